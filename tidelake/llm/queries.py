@@ -7,26 +7,57 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm import quality_rules, simhash
+from tidelake.llm import decontamination, mixing, quality_rules, sharding, simhash, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", *columns)
 
 
+#: Target weights of the mix: half of all word tokens, in at most two epochs.
+MIX = mixing.Mix(weights={"domain": {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}}, share=0.5, max_epochs=2)
+
+
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find(_documents(spark, sf_dir, "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    c = F.col("contamination")
+    ids = F.array_join(F.array_sort(c["items"]), ",")
+    return found.select("doc_id", c["n_words"].alias("n_words"), c["n_hit"].alias("n_hit"), F.size(c["items"]).cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), decontamination.contaminated(c).alias("contaminated"))
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir, "text", "lang", "source")
+    mixed = mixing.mix_documents(docs, mixing.numbered_domain(F.col("source")), MIX)
+    m = F.col("mixed")
+    return mixed.select("doc_id", *(m[c].alias(c) for c in mixing.LEVELS), m["tokens"].alias("n_tokens"), *(m[c].alias(c) for c in ("epoch", "leaf_tokens", "leaf_budget")))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.cluster(_documents(spark, sf_dir, "text"))
     return found.select("doc_id", simhash.hex_digits(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    counted = token_counts.count_tokens(_documents(spark, sf_dir, "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select("doc_id", "tokens.n_bytes", "tokens.n_tokens", (F.col("tokens.n_tokens") > 512).alias("over_limit"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(_documents(spark, sf_dir, "text"), shards=8)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir, "text", "lang")
     return quality_rules.score(docs, quality_rules.references(docs)).select("doc_id", "quality.*")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op6_simhash_near_dedup": op6_simhash_near_dedup,
-    "op10_quality_rules": op10_quality_rules,
+    f.__name__: f
+    for f in (op3_benchmark_decontamination, op4_source_mixing, op6_simhash_near_dedup, op8_token_counts, op9_sharding, op10_quality_rules)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_source_mixing": mixing.oracle(MIX, "('domain' || cast(try_cast(regexp_extract(source, '([0-9]+)$', 1) as bigint) % 4 as varchar))"),
+}
