@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm import decontamination, mixing, quality_rules, sharding, simhash, token_counts
+from tidelake.llm import decontamination, html_extract, licenses, mixing, quality_rules, sharding, simhash, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -18,6 +18,11 @@ def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 MIX = mixing.Mix(weights={"domain": {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}}, share=0.5, max_epochs=2)
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return html_extract.extract(pages).select("page_id", "url", "main.text", F.char_length("main.text").cast("long").alias("n_chars"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find(_documents(spark, sf_dir, "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     c = F.col("contamination")
@@ -32,6 +37,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", *(m[c].alias(c) for c in mixing.LEVELS), m["tokens"].alias("n_tokens"), *(m[c].alias(c) for c in ("epoch", "leaf_tokens", "leaf_budget")))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir, "text")).drop("spans")
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.cluster(_documents(spark, sf_dir, "text"))
     return found.select("doc_id", simhash.hex_digits(F.col("fingerprint")).alias("fingerprint"), "component_id")
@@ -55,9 +64,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_benchmark_decontamination, op4_source_mixing, op6_simhash_near_dedup, op8_token_counts, op9_sharding, op10_quality_rules)
+    for f in (op2_html_extraction, op3_benchmark_decontamination, op4_source_mixing, op5_license_scan, op6_simhash_near_dedup, op8_token_counts, op9_sharding, op10_quality_rules)
 }
 
 ORACLES: dict[str, str] = {
     "op4_source_mixing": mixing.oracle(MIX, "('domain' || cast(try_cast(regexp_extract(source, '([0-9]+)$', 1) as bigint) % 4 as varchar))"),
+    "op5_license_scan": licenses.oracle(),
 }
