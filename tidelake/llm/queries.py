@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm import decontamination, html_extract, licenses, mixing, quality_rules, sharding, simhash, token_counts
+from tidelake.llm import decontamination, html_extract, licenses, mixing, quality_rules, sharding, simhash, token_counts, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -18,6 +18,13 @@ def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 MIX = mixing.Mix(weights={"domain": {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}}, share=0.5, max_epochs=2)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir, "text")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    t = F.col("toxicity")
+    return toxicity.score(docs, model).select("doc_id", (~toxicity.in_training(F.col("doc_id"))).alias("held_out"), t["score"].alias("score"), (t["score"] >= 0.7).cast("int").alias("predicted"), t["n_hits"].alias("n_hits"), t["n_quoted"].alias("n_quoted"), t["n_misspelled"].alias("n_misspelled"))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return html_extract.extract(pages).select("page_id", "url", "main.text", F.char_length("main.text").cast("long").alias("n_chars"))
@@ -64,7 +71,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_html_extraction, op3_benchmark_decontamination, op4_source_mixing, op5_license_scan, op6_simhash_near_dedup, op8_token_counts, op9_sharding, op10_quality_rules)
+    for f in (op1_toxicity, op2_html_extraction, op3_benchmark_decontamination, op4_source_mixing, op5_license_scan, op6_simhash_near_dedup, op8_token_counts, op9_sharding, op10_quality_rules)
 }
 
 ORACLES: dict[str, str] = {
