@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm import decontamination, html_extract, licenses, mixing, quality_rules, sharding, simhash, token_counts, toxicity
+from tidelake.llm import decontamination, html_extract, licenses, mixing, quality_rules, sharding, simhash, substring_dedup, token_counts, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -53,6 +53,12 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.find(_documents(spark, sf_dir, "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -71,7 +77,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_html_extraction, op3_benchmark_decontamination, op4_source_mixing, op5_license_scan, op6_simhash_near_dedup, op8_token_counts, op9_sharding, op10_quality_rules)
+    for f in (op1_toxicity, op2_html_extraction, op3_benchmark_decontamination, op4_source_mixing, op5_license_scan, op6_simhash_near_dedup, op7_suffix_array_dedup, op8_token_counts, op9_sharding, op10_quality_rules)
 }
 
 ORACLES: dict[str, str] = {
