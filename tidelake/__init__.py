@@ -1,0 +1 @@
+"""Market and brokerage data on a bronze, silver and gold lakehouse, as Spark DataFrame operators."""
