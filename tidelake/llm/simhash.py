@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from tidelake.llm import words as W
 from tidelake.llm.components import components
-from tidelake.llm.runtime import cut, free_name, joinable
+from tidelake.llm.runtime import cut, free_name, joinable, stored
 
 SEED = 42
 BITS = 64
@@ -42,13 +42,16 @@ BITS = 64
 RADIUS = 2
 
 
-def _fingerprints(column: pa.Array, size: int) -> np.ndarray:
-    out = [np.empty(0, np.uint64)]
+def _shingles(column: pa.Array, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For slices of texts: shingles of each, where they begin (one more), their hashes, and fingerprints."""
     digest = xxhash.xxh64_intdigest
     for _, data, offsets in W.slices(column):
         starts, ends, first = W.spans(data, offsets, W.VISIBLE)
         counts = np.diff(first)
         fps = np.zeros(len(counts), np.uint64)
+        shingles = np.maximum(counts - size + 1, (counts > 0).astype(np.int64))
+        base = np.concatenate([[0], np.cumsum(shingles)])
+        hashes = np.empty(0, "<u8")
         if len(starts):
             # The words of each text with one space between them.
             kept = W.VISIBLE[data]
@@ -61,8 +64,6 @@ def _fingerprints(column: pa.Array, size: int) -> np.ndarray:
             joined = lowered[kept].tobytes()
             shift = np.cumsum(kept) - 1
             starts, ends = shift[starts], shift[ends - 1] + 1
-            shingles = np.maximum(counts - size + 1, (counts > 0).astype(np.int64))
-            base = np.concatenate([[0], np.cumsum(shingles)])
             of = np.repeat(np.arange(len(counts)), shingles)
             at = first[:-1][of] + np.arange(base[-1]) - base[:-1][of]
             to = np.minimum(at + size, first[1:][of]) - 1
@@ -72,8 +73,11 @@ def _fingerprints(column: pa.Array, size: int) -> np.ndarray:
             sums = np.add.reduceat(bits, base[:-1][some], axis=0, dtype=np.int32)
             ones = (2 * sums > shingles[some][:, None]).astype(np.uint8)
             fps[some] = np.packbits(ones, axis=1, bitorder="little").view("<u8")[:, 0]
-        out.append(fps)
-    return np.concatenate(out)
+        yield shingles, base, hashes, fps
+
+
+def _fingerprints(column: pa.Array, size: int) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.uint64), *(fps for *_, fps in _shingles(column, size))])
 
 
 def fingerprints(docs: DataFrame, size: int = 3, text: str = "text") -> DataFrame:
@@ -242,13 +246,98 @@ def hex_digits(fingerprint: F.Column) -> F.Column:
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
 
 
-def keep_first(docs: DataFrame, size: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _sampled_keys(counts: np.ndarray, base: np.ndarray, hashes: np.ndarray, sample: int, most: int) -> list[list[int]]:
+    """For each text, keys of its samples: the SimHash of the shingles whose hash falls in one of up to
+    ``most`` classes of about ``sample`` shingles each, at the two scales next to the text's length."""
+    out: list[list[int]] = [[] for _ in counts]
+    if not len(hashes):
+        return out
+    of = np.repeat(np.arange(len(counts)), counts)
+    spread = W.mix(hashes ^ np.uint64(0x5EED))
+    scale = np.maximum(np.floor(np.log2(np.maximum(counts, 1) / sample)), 0).astype(np.int64)
+    for step in (0, 1):
+        level = (scale + step)[of].astype(np.uint64)
+        cell = spread & ((np.uint64(1) << level) - np.uint64(1))
+        use = np.flatnonzero(cell < most)
+        order = use[np.lexsort((cell[use], of[use]))]
+        if not len(order):
+            continue
+        group = np.flatnonzero(np.append(True, (of[order][1:] != of[order][:-1]) | (cell[order][1:] != cell[order][:-1])))
+        bits = np.unpackbits(hashes[order].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        sums = np.add.reduceat(bits, group, axis=0, dtype=np.int32)
+        sizes = np.diff(np.append(group, len(order)))
+        fps = np.packbits((2 * sums > sizes[:, None]).astype(np.uint8), axis=1, bitorder="little").view("<u8")[:, 0]
+        first = order[group]
+        keys = W.mix(fps ^ W.mix(level[first] * np.uint64(1 << 20) + cell[first] + np.uint64(1)))
+        for doc, key in zip(of[first].tolist(), keys.view(np.int64).tolist()):
+            out[doc].append(key)
+    return out
+
+
+def sampled(docs: DataFrame, size: int = 5, sample: int = 8, most: int = 16) -> DataFrame:
+    """``(doc_id, fp, keys)`` of ``docs(doc_id, text)``: the fingerprint of the whole text and those of its samples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, keys = [np.empty(0, np.int64)], []
+            for counts, base, hashes, own in _shingles(batch.column(1), size):
+                fps.append(own.view(np.int64))
+                keys += _sampled_keys(counts, base, hashes, sample, most)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(fps)), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "fp", "keys"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
+
+
+def similarity(pairs: DataFrame, size: int) -> DataFrame:
+    """``pairs(a, b, a_text, b_text)`` to ``(a, b, similarity)``: shared part of their shingles, each counted once."""
+
+    def sets(column: pa.Array) -> list[np.ndarray]:
+        return [np.unique(h) for counts, base, hashes, _ in _shingles(column, size) for h in np.split(hashes, base[1:-1])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(sets(batch.column(2)), sets(batch.column(3)))
+            shared = [len(np.intersect1d(x, y, assume_unique=True)) / max(len(np.union1d(x, y)), 1) for x, y in both]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.float64())], names=["a", "b", "similarity"])
+
+    ids = [T.StructField(c, pairs.schema[c].dataType) for c in ("a", "b")]
+    return pairs.select("a", "b", "a_text", "b_text").mapInArrow(run, T.StructType([*ids, T.StructField("similarity", T.DoubleType())]))
+
+
+def near_copies(docs: DataFrame, size: int = 5, least: float = 0.8, loose: int = 20) -> DataFrame:
+    """``(doc_id, root)``: the smallest id of each document's group of near copies, for ids in a group of several.
+
+    Fingerprints within 2 bits link as in ``cluster``.  Texts with more changes
+    agree in the fingerprint of some sample of their shingles: each meets the first
+    text that has the same one there, if their whole fingerprints are no more than
+    ``loose`` bits apart, and links to it if they share ``least`` of their shingles."""
+    rows = cut(sampled(docs, size).where(F.col("doc_id").isNotNull()))
+    fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    close = components(links(fps.select("fp")))
+    known = fps.join(close.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    known = cut(known)
+    by_root = known.groupBy("root").agg(F.min("first").alias("b"))
+    by_fp = known.join(by_root, "root").select("fp", "b")
+    same = rows.join(by_fp, "fp").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
+    listed = rows.select("doc_id", "fp", F.explode("keys").alias("key"))
+    first = listed.groupBy("key").agg(F.min(F.struct("doc_id", "fp")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", F.col("first.doc_id").alias("b"), F.col("first.fp").alias("b_fp"))
+    apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("b_fp")))
+    met = listed.join(first, "key").where((apart > 0) & (apart <= loose) & (F.col("doc_id") != F.col("b")))
+    pairs = cut(met.select(F.col("doc_id").alias("a"), "b").distinct())
+    ids = joinable(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    bodies = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    bodies = stored(bodies)
+    texts = pairs.join(bodies.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a").join(bodies.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
+    linked = similarity(texts, size).where(F.col("similarity") >= least).select("a", "b")
+    return components(same.unionByName(linked)).select(F.col("node").alias("doc_id"), "root")
+
+
+def keep_first(docs: DataFrame, size: int = 5, least: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group of near copies, the one of the smallest id, with its own columns.
 
     Rows that share an id are one document and stay or go together.  Rows
     without an id stay, as no other row could stand for them by name."""
     mark = free_name(docs, "dropped_id")
-    groups = cluster(docs, size, doc_id, text).where(F.col("doc_id").isNotNull())
-    dropped = groups.groupBy(F.col("doc_id").alias(mark)).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept")).where(~F.col("kept"))
-    dropped = joinable(dropped.select(mark))
+    found = near_copies(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), size, least)
+    dropped = joinable(found.where("doc_id <> root").select(F.col("doc_id").alias(mark)))
     return docs.join(dropped, docs[doc_id] == dropped[mark], "left_anti")
