@@ -4,7 +4,8 @@ A byte goes if a string of ``length`` bytes over it also starts in a document of
 smaller id.  So every window of ``length`` bytes needs the smallest id that has it.
 
 1. Documents are dealt to shards by bytes as they are read and written once, in
-   buckets by shard, so no later step moves texts.
+   buckets by shard, so no later step moves texts.  A document whose whole text an
+   earlier one has loses all of it, and takes no part in the rest.
 2. The seed of a window is the least hash of the strings of ``SEED`` bytes in it: a
    rule of its content alone.  Windows of one seed in a row are a stretch.  Each
    shard sends its distinct seeds, cut to 32 bits, to a range of seeds; what
@@ -35,6 +36,7 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,9 +46,9 @@ from tidelake.llm.runtime import cut, shared_dir
 from tidelake.llm.suffix_order import common_prefixes, suffix_array
 
 LENGTH = 50
-SEED = 16
+SEED = 24
 #: Different stretches of one seed above which they go window by window.
-CROWD = 128
+CROWD = 2048
 
 UNSHARED, SHARED, CROWDED = 0, 1, 2
 
@@ -80,11 +82,14 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tu
 class Shard:
     """The stretches of one shard's documents, recomputed alike in every step."""
 
-    def __init__(self, table: pa.Table, length: int = LENGTH):
+    def __init__(self, table: pa.Table, returned: pa.Table, length: int = LENGTH):
         # Rows in an order of their own, as Spark may hand them over in another each time.
         ids = table.column("doc_id").to_numpy(zero_copy_only=False)
         self.known = ~np.isnan(ids.astype(float)) if ids.dtype != np.int64 else np.ones(len(ids), bool)
         self.ids = np.where(self.known, np.nan_to_num(ids), 0).astype(np.int64) if ids.dtype != np.int64 else ids
+        copies = [x for x in returned.column("copies").to_pylist() if x] if returned.num_rows else []
+        self.copy = np.isin(table.column("row_key").to_numpy(), np.concatenate(copies)) if copies else np.zeros(len(ids), bool)
+        self.copy &= self.known
         self.texts = table.column("text").combine_chunks()
         self.length = length
         seeds, hashes, docs, first, end, base = [], [], [], [], [], []
@@ -93,7 +98,7 @@ class Shard:
         for i, data, offsets in W.slices(self.texts):
             s, a, b = stretches(data, offsets, length)
             doc = np.searchsorted(offsets, a, "right") - 1 + i
-            use = self.known[doc]
+            use = self.known[doc] & ~self.copy[doc]
             s, a, b, doc = s[use], a[use], b[use], doc[use]
             seeds.append(s)
             hashes.append(W.span_hash(data, a, b - 1 + length))
@@ -109,7 +114,7 @@ class Shard:
         self.docs, self.first, self.end, self.base = (join(x, np.int64) for x in (docs, first, end, base))
 
     def distinct_seeds(self, ranges: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """(range, cut seeds ascending, how many different stretches each has, 255 at most) for each range."""
+        """(range, cut seeds ascending, how many different stretches each has) for each range."""
         of, low = self._cut(ranges)
         if not len(of):
             return []
@@ -120,7 +125,7 @@ class Shard:
         variant = seed.copy()
         variant[1:] |= hashes[1:] != hashes[:-1]
         at = np.flatnonzero(seed)
-        many = np.minimum(np.add.reduceat(variant.astype(np.int64), at), 255).astype(np.uint8)
+        many = np.minimum(np.add.reduceat(variant.astype(np.int64), at), 0xFFFF).astype(np.uint16)
         edges = np.flatnonzero(np.append(True, of[at][1:] != of[at][:-1]))
         return [(int(of[at[a]]), low[at[a:b]].astype(np.uint32), many[a:b]) for a, b in zip(edges, np.append(edges[1:], len(at)))]
 
@@ -285,8 +290,18 @@ def _runs(starts: np.ndarray, ends: np.ndarray, most: int) -> Iterator[tuple[int
         i = j
 
 
-def _bytes(values: np.ndarray, kind: str) -> bytes:
-    return np.ascontiguousarray(values.astype(kind)).tobytes()
+_CODEC = pa.Codec("zstd", 1)
+
+
+def _pack(values: np.ndarray, kind: str) -> bytes:
+    """Numbers as compressed bytes, after four bytes of their length."""
+    raw = np.ascontiguousarray(values.astype(kind)).tobytes()
+    return len(raw).to_bytes(4, "little") + _CODEC.compress(raw, asbytes=True)
+
+
+def _unpack(data: bytes, kind: str) -> np.ndarray:
+    size = int.from_bytes(data[:4], "little")
+    return np.frombuffer(_CODEC.decompress(data[4:], size), kind) if size else np.empty(0, kind)
 
 
 def _batch(rows: list[dict], schema: pa.Schema) -> pa.Table:
@@ -294,14 +309,14 @@ def _batch(rows: list[dict], schema: pa.Schema) -> pa.Table:
 
 
 _SEEDS = pa.schema([("range", pa.int64()), ("shard", pa.int64()), ("seeds", pa.binary()), ("many", pa.binary())])
-_CODES = pa.schema([("shard", pa.int64()), ("kind", pa.int64()), ("part", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("size", pa.int64())])
+_CODES = pa.schema([("shard", pa.int64()), ("kind", pa.int64()), ("part", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("size", pa.int64()), ("copies", pa.list_(pa.int64()))])
 _PIECES = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("blob", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary())])
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), ("kept_sha256", pa.string())])
-CODES, RUNS = 0, 1
+CODES, RUNS, COPIES = 0, 1, 2
 
 
 def _ddl(schema: pa.Schema) -> str:
-    kinds = {pa.int64(): "long", pa.binary(): "binary", pa.string(): "string"}
+    kinds = {pa.int64(): "long", pa.binary(): "binary", pa.string(): "string", pa.list_(pa.int64()): "array<long>"}
     return ", ".join(f"`{f.name}` {kinds.get(f.type, 'array<struct<first:long,end:long>>')}" for f in schema)
 
 
@@ -311,13 +326,15 @@ def deal_to_shards(docs: DataFrame, shard_bytes: int) -> DataFrame:
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, held = TaskContext.get().partitionId() << 24, 0
         for batch in batches:
-            sizes = np.array([len(x) if x is not None else 0 for x in batch.column(1).cast(pa.binary()).to_pylist()])
+            sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             upto = held + np.cumsum(sizes)
             held = int(upto[-1]) if len(upto) else held
-            yield pa.RecordBatch.from_arrays([pa.array(base + (upto - sizes) // shard_bytes), *batch.columns], names=["shard", "doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(base + (upto - sizes) // shard_bytes), *batch.columns], names=["shard", *batch.schema.names])
 
     spark = docs.sparkSession
-    dealt = docs.mapInArrow(number, "shard long, doc_id long, text string")
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    keyed = docs.select("doc_id", digest.alias("digest"), "text").select("doc_id", F.xxhash64("doc_id", "digest").alias("row_key"), "text", "digest")
+    dealt = keyed.mapInArrow(number, "shard long, doc_id long, row_key long, text string, digest string")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     name = f"substring_dedup_{uuid4().hex}"
     dealt.write.bucketBy(buckets, "shard").option("path", f"{shared_dir(spark)}/tidelake/{name}").saveAsTable(name)
@@ -333,14 +350,22 @@ def find(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: st
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = max(least, -(-total // (18 * seeds_per_range)))
 
-    def send_seeds(table: pa.Table) -> pa.Table:
-        shard = table.column("shard")[0].as_py()
-        rows = [{"range": r, "shard": shard, "seeds": _bytes(s, "<u4"), "many": _bytes(m, "u1")} for r, s, m in Shard(table, length).distinct_seeds(ranges)]
+    # Whole copies: a group of any size meets as one aggregated row; its rows join that and are split where skewed.
+    first = shards.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("doc_id").alias("n")).where("n > 1")
+    later = shards.select("shard", "doc_id", "row_key", "digest").join(first, "digest").where("doc_id > first")
+    copies = later.groupBy("shard").agg(F.collect_list("row_key").alias("copies")).withColumns({"kind": F.lit(COPIES).cast("long"), "part": F.lit(None).cast("long"), "size": F.lit(0).cast("long"), **{c: F.lit(None).cast("binary") for c in "abc"}})
+    copies = cut(copies.select(*_CODES.names))
+
+    def send_seeds(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return _batch([], _SEEDS)
+        key = left.column("shard")[0].as_py()
+        rows = [{"range": r, "shard": key, "seeds": _pack(s, "<u4"), "many": _pack(m, "<u2")} for r, s, m in Shard(left, right, length).distinct_seeds(ranges)]
         return _batch(rows, _SEEDS)
 
     def code_seeds(table: pa.Table) -> pa.Table:
-        seeds = [np.frombuffer(x, "<u4") for x in table.column("seeds").to_pylist()]
-        many = np.concatenate([np.frombuffer(x, "u1") for x in table.column("many").to_pylist()]).astype(np.int64)
+        seeds = [_unpack(x, "<u4") for x in table.column("seeds").to_pylist()]
+        many = np.concatenate([_unpack(x, "<u2") for x in table.column("many").to_pylist()]).astype(np.int64)
         joined = np.concatenate(seeds)
         order = np.argsort(joined, kind="stable")
         new = np.ones(len(order), bool)
@@ -353,15 +378,16 @@ def find(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: st
         back[order] = np.repeat(code, senders)
         edges = np.cumsum([0, *map(len, seeds)])
         part = table.column("range")[0].as_py()
-        return _batch([{"shard": s, "kind": CODES, "part": part, "a": back[a:b].tobytes(), "size": int(np.sum(back[a:b] > 0))} for s, a, b in zip(table.column("shard").to_pylist(), edges[:-1], edges[1:])], _CODES)
+        return _batch([{"shard": s, "kind": CODES, "part": part, "a": _pack(back[a:b], "u1"), "size": int(np.sum(back[a:b] > 0))} for s, a, b in zip(table.column("shard").to_pylist(), edges[:-1], edges[1:])], _CODES)
 
-    sent = shards.groupBy("shard").applyInArrow(send_seeds, _ddl(_SEEDS))
+    by_shard = shards.groupBy("shard")
+    sent = by_shard.cogroup(copies.groupBy("shard")).applyInArrow(send_seeds, _ddl(_SEEDS))
     codes = cut(sent.groupBy("range").applyInArrow(code_seeds, _ddl(_CODES)))
     indexes = max(least, -(-(codes.agg(F.sum("size")).first()[0] or 0) * (length + 18) // index_bytes))
 
     def codes_of(shard: Shard, returned: pa.Table) -> np.ndarray:
         rows = returned.select(["kind", "part", "a"]).to_pylist()
-        out = shard.codes(ranges, {r["part"]: np.frombuffer(r["a"], np.uint8) for r in rows if r["kind"] == CODES})
+        out = shard.codes(ranges, {r["part"]: _unpack(r["a"], "u1") for r in rows if r["kind"] == CODES})
         # Seeds of several documents of this shard.
         order = np.argsort(shard.seeds, kind="stable")
         s, d = shard.seeds[order], shard.docs[order]
@@ -376,7 +402,7 @@ def find(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: st
     def send_pieces(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _batch([], _PIECES)
-        shard = Shard(left, length)
+        shard = Shard(left, right, length)
         to, number, (base, first, end, docs_, *_) = shard.distinct(codes_of(shard, right), indexes)
         ids = np.full(len(to), np.iinfo(np.int64).max)
         np.minimum.at(ids, number, shard.ids[docs_])
@@ -387,30 +413,30 @@ def find(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: st
         for a, b in zip(edges, np.append(edges[1:], len(to))):
             mine = one[a:b]
             blob = b"".join([shard.data[s][x : y - 1 + length].tobytes() for s, x, y in zip(base[mine].tolist(), first[mine].tolist(), end[mine].tolist())])
-            rows.append({"part": int(to[a]), "shard": key, "blob": blob, "sizes": _bytes(end[mine] - first[mine] - 1 + length, "<i4"), "ids": _bytes(ids[a:b], "<i8")})
+            rows.append({"part": int(to[a]), "shard": key, "blob": _pack(np.frombuffer(blob, np.uint8), "u1"), "sizes": _pack(end[mine] - first[mine] - 1 + length, "<i4"), "ids": _pack(ids[a:b], "<i8")})
         return _batch(rows, _PIECES)
 
     def index(table: pa.Table) -> pa.Table:
         senders = table.column("shard").to_pylist()
         blobs, sizes, ids = (table.column(c).to_pylist() for c in ("blob", "sizes", "ids"))
-        found = index_shard([(np.frombuffer(x, np.uint8), np.frombuffer(y, "<i4"), np.frombuffer(z, "<i8")) for x, y, z in zip(blobs, sizes, ids)], length, block_bytes)
+        found = index_shard([(_unpack(x, "u1"), _unpack(y, "<i4"), _unpack(z, "<i8")) for x, y, z in zip(blobs, sizes, ids)], length, block_bytes)
         part = table.column("part")[0].as_py()
-        return _batch([{"shard": s, "kind": RUNS, "part": part, "a": _bytes(n, "<i4"), "b": _bytes(w, "<i4"), "c": _bytes(v, "<i8"), "size": len(n)} for s, (n, w, v) in zip(senders, found)], _CODES)
+        return _batch([{"shard": s, "kind": RUNS, "part": part, "a": _pack(n, "<i4"), "b": _pack(w, "<i4"), "c": _pack(v, "<i8"), "size": len(n)} for s, (n, w, v) in zip(senders, found)], _CODES)
 
-    by_shard = shards.groupBy("shard")
-    pieces = by_shard.cogroup(codes.groupBy("shard")).applyInArrow(send_pieces, _ddl(_PIECES))
+    known = copies.unionByName(codes)
+    pieces = by_shard.cogroup(known.groupBy("shard")).applyInArrow(send_pieces, _ddl(_PIECES))
     runs = pieces.groupBy("part").applyInArrow(index, _ddl(_CODES))
 
     def mark(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _batch([], _RESULT)
-        shard = Shard(left, length)
+        shard = Shard(left, right, length)
         covered = [np.zeros(len(d) + 1, np.int64) for d in shard.data]
         returned = [r for r in right.to_pylist() if r["kind"] == RUNS]
         if returned:
             to, number, (base, first, end, docs_, *_) = shard.distinct(codes_of(shard, right), indexes)
             returned.sort(key=lambda r: r["part"])
-            n, widths, values = (np.concatenate([np.frombuffer(r[c], kind) for r in returned]).astype(np.int64) for c, kind in (("a", "<i4"), ("b", "<i4"), ("c", "<i8")))
+            n, widths, values = (np.concatenate([_unpack(r[c], kind) for r in returned]).astype(np.int64) for c, kind in (("a", "<i4"), ("b", "<i4"), ("c", "<i8")))
             begin = np.cumsum(n) - n
             begins_at = np.cumsum(widths) - widths
             # All runs of all pieces; those of a smaller id cover their windows' bytes.
@@ -429,11 +455,13 @@ def find(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: st
         for data, offsets, steps in zip(shard.data, shard.offsets, covered):
             gone = np.cumsum(steps)[:-1] > 0
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                if shard.copy[len(sizes)] and b - a >= length:
+                    gone[a:b] = True
                 own, edges = data[a:b], np.diff(np.concatenate([[0], gone[a:b].view(np.int8), [0]]))
                 spans.append([{"first": int(x), "end": int(y)} for x, y in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1))])
                 digests.append(hashlib.sha256(own[~gone[a:b]].tobytes() if spans[-1] else own.tobytes()).hexdigest())
                 sizes.append(b - a)
         return pa.Table.from_arrays([left.column("doc_id").combine_chunks(), pa.array(sizes, pa.int64()), pa.array(spans, _RESULT.field("spans").type), pa.array(digests, pa.string())], schema=_RESULT)
 
-    both = codes.unionByName(runs)
-    return shards.groupBy("shard").cogroup(both.groupBy("shard")).applyInArrow(mark, _ddl(_RESULT))
+    both = known.unionByName(runs)
+    return by_shard.cogroup(both.groupBy("shard")).applyInArrow(mark, _ddl(_RESULT))
