@@ -22,6 +22,7 @@ table gives an empty result; columns of any name pass through.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -89,10 +90,9 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     for level in LEVELS:
         usable = usable & (_weight(level, mix) > 0)
     rooms = cut(leaves.withColumn("room", F.when(usable, F.col("tokens") * mix.max_epochs).otherwise(0).cast("double")))
-    wanted = F.lit(mix.tokens).cast("double") if mix.tokens is not None else F.floor(F.lit(mix.share) * F.col("all")).cast("double")
-    given = rooms.agg(F.sum("tokens").alias("all"), F.sum("room").alias("most")).select(F.coalesce(F.least(wanted, "most"), F.lit(0.0)).alias("given"))
-    # One row, on every child of the root.
-    part = rooms.groupBy("domain").agg(F.sum("room").alias("room")).crossJoin(F.broadcast(given))
+    total, most = rooms.agg(F.sum("tokens"), F.sum("room")).first()
+    wanted = float(mix.tokens) if mix.tokens is not None else float(math.floor(mix.share * (total or 0)))
+    part = rooms.groupBy("domain").agg(F.sum("room").alias("room")).withColumn("given", F.lit(min(wanted, most or 0.0)))
     for depth in range(1, len(LEVELS) + 1):
         part = share_out(part, list(LEVELS[: depth - 1]), LEVELS[depth - 1], mix)
         if depth < len(LEVELS):

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelake.llm import words as W
-from tidelake.llm.runtime import free_name
+from tidelake.llm.runtime import cut, free_name
 
 # Frequent function words of English, German, French and Spanish,
 # the bins of the common-word histogram.
@@ -234,8 +234,8 @@ def references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang
     parts = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).mapInArrow(count, "lang string, counts array<long>")
     totals = [F.sum(F.element_at("counts", k + 1)).alias(f"c{k}") for k in range(width)]
     n = sum((F.col(f"c{k}") for k in range(N_CLASS, width)), F.lit(0))
-    by_lang = parts.groupBy("lang").agg(*totals)
-    pooled = np.array(parts.agg(*totals).first(), dtype=float)
+    by_lang = cut(parts.groupBy("lang").agg(*totals))
+    pooled = np.array(by_lang.agg(*[F.sum(f"c{k}") for k in range(width)]).first(), dtype=float)
     large = by_lang.where(n >= rules.min_reference_words).orderBy(n.desc(), "lang").limit(rules.max_references).collect()
     out = {"": np.nan_to_num(pooled)} | {r["lang"]: np.array(r[1:], dtype=float) for r in large}
     return {k: (v[:N_CLASS], v[N_CLASS:]) for k, v in out.items()}
