@@ -130,8 +130,15 @@ def test_market_clock_follows_daylight_saving(spark, utc, ok):
 def test_asof_takes_the_last_price_at_or_before(spark):
     ticks = spark.createDataFrame([("i", ts("2024-01-01 10:00:00"), 1, 5.0), ("i", ts("2024-01-01 11:00:00"), 2, 6.0)], "instrument_id string, source_timestamp timestamp, id long, last_price double")
     asked = spark.createDataFrame([("i", ts("2024-01-01 09:00:00"), 1), ("i", ts("2024-01-01 11:00:00"), 2), ("i", ts("2024-01-01 10:30:00"), 3)], "instrument_id string, request_ts timestamp, n int")
-    out = {r["n"]: r["asof_price"] for r in orders.asof_prices(asked, ticks, ["id"]).collect()}
-    assert out == {1: None, 2: 6.0, 3: 5.0}
+    for seconds in (60, 86400):
+        out = {r["n"]: r["asof_price"] for r in orders.asof_prices(asked, ticks, ["id"], bucket_seconds=seconds).collect()}
+        assert out == {1: None, 2: 6.0, 3: 5.0}
+
+
+def test_change_feed(spark, tmp_path):
+    spark.createDataFrame([(1, "I", "2024-01-15 10:00:00"), (2, "U", "soon")], "id long, Op string, cdc_timestamp string").write.parquet(str(tmp_path / "f"))
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("Op", T.StringType()), T.StructField("cdc_timestamp", T.StringType())])
+    assert [r["cdc_timestamp"] for r in tables.change_feed(spark, str(tmp_path / "f"), schema).orderBy("id").collect()] == [ts("2024-01-15 10:00:00"), None]
 
 
 def test_apply_changes(spark):

@@ -93,6 +93,12 @@ def allocations_complete(allocations: Column) -> Column:
     return F.abs(total - 100.0) < 0.01
 
 
+def to_features(profiles: DataFrame, numbers: list[str], shares: str | None = None) -> DataFrame:
+    """Numbers of a profile as doubles, and so the values of its map of shares: what a model takes."""
+    out = profiles.withColumns({c: F.col(c).cast("double") for c in numbers})
+    return out if shares is None else out.withColumn(shares, F.transform_values(shares, lambda k, v: v.cast("double")))
+
+
 def split(features: DataFrame, key: Column, train_pct: int = 80) -> DataFrame:
     """Rows marked train or test by their key alone."""
     return features.withColumn("part", F.when(F.pmod(key, F.lit(100)) < train_pct, "train").otherwise("test"))

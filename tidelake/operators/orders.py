@@ -51,18 +51,23 @@ def latest_prices(ticks: DataFrame, ties: list[str]) -> DataFrame:
     return ticks.groupBy("instrument_id").agg(F.max_by("last_price", F.struct("source_timestamp", *ties)).cast("double").alias("latest_price"))
 
 
-def asof_prices(requests: DataFrame, ticks: DataFrame, ties: list[str], keys: list[str] = ("instrument_id",)) -> DataFrame:
-    """Each request with the last price at or before its time: one sort of both sides together.
+def asof_prices(requests: DataFrame, ticks: DataFrame, ties: list[str], keys: list[str] = ("instrument_id",), bucket_seconds: int = 86400 * 30) -> DataFrame:
+    """Each request with the last price at or before its time (one at that very time counts).
 
-    A price at the very time of a request counts.  The salt-free window is on
-    instrument and runs once; no join multiplies rows."""
-    shared = [*keys, "_at"]
+    Both sides are put in order together, by key and span of time, so that an
+    instrument of any size is many tasks' work.  The price with which a span opens
+    comes from one aggregated row for each span."""
+    span = F.floor(F.unix_seconds("_at") / F.lit(bucket_seconds)).cast("long")
     prices = ticks.select(*keys, F.col("source_timestamp").alias("_at"), F.lit(0).alias("_kind"), F.struct(*ties).alias("_tie"), F.col("last_price").cast("double").alias("_price"))
-    asked = requests.withColumn("_row", F.struct(*requests.columns)).select(*[F.col(k) for k in keys], F.col("request_ts").alias("_at"), F.lit(1).alias("_kind"), "_row")
-    both = prices.unionByName(asked, allowMissingColumns=True)
-    order = Window.partitionBy(*keys).orderBy("_at", "_kind", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    known = both.withColumn("asof_price", F.last("_price", ignorenulls=True).over(order)).where("_kind = 1")
-    return known.drop(*shared, "_kind", "_tie", "_price").select("_row.*", "asof_price")
+    asked = requests.select(*keys, F.col("request_ts").alias("_at"), F.lit(1).alias("_kind"), F.struct(*requests.columns).alias("_row"))
+    both = prices.unionByName(asked, allowMissingColumns=True).withColumn("_span", span)
+    group = [*keys, "_span"]
+    last = both.groupBy(*group).agg(F.max_by("_price", F.when(F.col("_kind") == 0, F.struct("_at", "_tie"))).alias("_closing"))
+    earlier = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    opening = last.withColumn("_opening", F.last("_closing", ignorenulls=True).over(earlier)).drop("_closing")
+    order = Window.partitionBy(*group).orderBy("_at", "_kind", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    known = both.withColumn("_known", F.last("_price", ignorenulls=True).over(order)).where("_kind = 1").select(*group, "_row", "_known")
+    return known.join(opening, group, "left").select("_row.*", F.coalesce("_known", "_opening").alias("asof_price"))
 
 
 def pretrade(orders: DataFrame, instruments: DataFrame, accounts: DataFrame, positions: DataFrame, prices: DataFrame) -> DataFrame:

@@ -354,6 +354,11 @@ def quality_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scorecard(_results(spark, sf_dir))
 
 
+@query("select c_custkey, 87.5 as quality_score, '{\"freshness\":\"LOW\",\"null_rate\":\"PASS\"}' as quality_flags from customer")
+def quality_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.tag(tables.table(spark, sf_dir, "customer").select("c_custkey"), 87.5, {"null_rate": "PASS", "freshness": "LOW"})
+
+
 @query("select event_id, value from events where ts >= timestamp '2024-01-31 00:00:00' - interval 20 days")
 def scorecard_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = tables.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
@@ -822,6 +827,13 @@ def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "r.confidence", "r.model_version", governance.allocations_complete(F.col("r.allocations")).alias("complete"))
 
 
+@query("select c_custkey, c_acctbal as balance, c_acctbal / 2 as half from customer")
+def model_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    money = F.col("c_acctbal").cast("decimal(18,2)")
+    profiles = tables.table(spark, sf_dir, "customer").select("c_custkey", money.alias("balance"), F.create_map(F.lit("half"), (money / 2).cast("decimal(18,4)")).alias("shares"))
+    return governance.to_features(profiles, ["balance"], "shares").select("c_custkey", "balance", F.col("shares")["half"].alias("half"))
+
+
 @query("select part, count(*) as n, round(avg(x), 6) as mean from (select case when c_custkey % 100 < 80 then 'train' else 'test' end as part, c_acctbal as x from customer) a group by part")
 def feature_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = tables.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").cast("double").alias("x"))

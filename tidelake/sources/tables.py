@@ -54,6 +54,12 @@ def register(spark: SparkSession, name: str, path: str, schema: T.StructType, pa
         spark.sql(f"MSCK REPAIR TABLE {name}")
 
 
+def change_feed(spark: SparkSession, path: str, schema: T.StructType, stream: bool = False) -> DataFrame:
+    """Files of a replication service, full load and changes alike, with the time of each change as a timestamp."""
+    reader = spark.readStream if stream else spark.read
+    return reader.schema(schema).parquet(path).withColumn("cdc_timestamp", F.col("cdc_timestamp").try_cast("timestamp"))
+
+
 def decode_records(df: DataFrame, schema: T.StructType, data: str = "data") -> DataFrame:
     """Base64 JSON of a stream record to columns; ``decode_error`` says why a row has none."""
     text = F.try_to_binary(F.col(data), F.lit("base64")).cast("string")
