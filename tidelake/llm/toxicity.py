@@ -22,6 +22,7 @@ through.
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -46,7 +47,9 @@ WINDOW = 6
 @dataclass(frozen=True)
 class Settings:
     max_labels: int = 20_000
+    #: Toxic documents of the sample that must have an entry, after so many different words.
     least_documents: int = 4
+    least_contexts: int = 4
     least_ratio: float = 25.0
     #: Of stems that count as weak: ratio, and standard deviations above the expected number.
     weak_ratio: float = 4.0
@@ -265,34 +268,46 @@ def in_training(doc_id: Column) -> Column:
 
 
 def _word_counts(sample: DataFrame, settings: Settings) -> DataFrame:
-    """How many toxic and other documents of the sample have each word and each stem."""
+    """How many toxic and other documents of the sample have each word and each stem, and
+    (as bits, by a hash) which words stand before it in toxic ones."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[bool, str], list[int]] = defaultdict(lambda: [0, 0])
+        counts: dict[tuple[bool, str], list[int]] = defaultdict(lambda: [0, 0, 0])
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 codes = codes_of(text or "")
                 codes = np.where(_in_word(codes), codes, 0x20).astype("<u4")
-                words = set(codes.tobytes().decode("utf-32-le", "surrogatepass").split(" ")) - {""}
-                stems = {w[:n] for w in words for n in settings.stem_lengths if len(w) > n}
-                for entries, stem in ((words, False), (stems, True)):
-                    for w in entries:
-                        counts[stem, w][toxic] += 1
+                words = codes.tobytes().decode("utf-32-le", "surrogatepass").split()
+                before: dict[str, int] = dict.fromkeys(words, 0)
+                if toxic:
+                    for last, w in zip(["", *words], words):
+                        before[w] |= 1 << zlib.crc32(last.encode("utf-8", "surrogatepass")) % 62
+                stems: dict[str, int] = {}
+                for w, bits in before.items():
+                    for n in settings.stem_lengths:
+                        if len(w) > n:
+                            stems[w[:n]] = stems.get(w[:n], 0) | bits
+                for entries, stem in ((before, False), (stems, True)):
+                    for w, bits in entries.items():
+                        c = counts[stem, w]
+                        c[toxic] += 1
+                        c[2] |= bits
         keys = list(counts)
-        yield pa.RecordBatch.from_pydict({"stem": pa.array([k[0] for k in keys], pa.bool_()), "entry": pa.array([k[1] for k in keys], pa.string()), "toxic": pa.array([counts[k][1] for k in keys], pa.int64()), "other": pa.array([counts[k][0] for k in keys], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"stem": pa.array([k[0] for k in keys], pa.bool_()), "entry": pa.array([k[1] for k in keys], pa.string()), **{c: pa.array([counts[k][i] for k in keys], pa.int64()) for c, i in (("toxic", 1), ("other", 0), ("before", 2))}})
 
-    parts = sample.select("text", "toxic").mapInArrow(count, "stem boolean, entry string, toxic long, other long")
-    return parts.groupBy("stem", "entry").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    parts = sample.select("text", "toxic").mapInArrow(count, "stem boolean, entry string, toxic long, other long, before long")
+    return parts.groupBy("stem", "entry").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"), F.bit_count(F.bit_or("before")).alias("contexts"))
 
 
 def learn_lexicon(sample: DataFrame, toxic: int, other: int, settings: Settings) -> Lexicon:
-    """Words and stems that toxic documents have ``least_ratio`` times as often as others, in ``least_documents`` at least."""
+    """Words and stems that toxic documents have ``least_ratio`` times as often as others, in enough of them
+    and in several contexts (a group of copies would make any of its words look toxic)."""
     ratio = ((F.col("toxic") + 0.5) / (toxic + 1)) / ((F.col("other") + 0.5) / (other + 1))
     share = toxic / (toxic + other)
     expected = share * (F.col("toxic") + F.col("other"))
     sigmas = (F.col("toxic") - expected) / F.sqrt(expected * (1 - share))
     weak = F.col("stem") & (F.col("ratio") >= settings.weak_ratio) & (sigmas >= settings.weak_sigmas)
-    found = _word_counts(sample, settings).where(F.col("toxic") >= settings.least_documents).withColumn("ratio", ratio)
+    found = _word_counts(sample, settings).where((F.col("toxic") >= settings.least_documents) & (F.col("contexts") >= settings.least_contexts)).withColumn("ratio", ratio)
     rows = found.where((F.col("ratio") >= settings.least_ratio) | weak).orderBy(F.col("toxic").desc(), "stem", "entry").limit(settings.max_entries * 20).collect()
     count = {(r["stem"], r["entry"]): r["toxic"] for r in rows}
     sure = {(r["stem"], r["entry"]) for r in rows if r["ratio"] >= settings.least_ratio}
