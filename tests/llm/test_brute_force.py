@@ -482,6 +482,7 @@ def test_quotation_and_misspelling_weigh_less(abuse):
     ("<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li>Home</li></ul></nav><article><h1>Head &amp; more</h1><p><b>One,\n two.<br><p>Three  &eacute;</article><footer>&copy; us</footer>", "Head & more\nOne, two.\nThree é"),
     ("<body><header>Top</header><main><p>A sentence, of the text.</p><aside>Aside text here.</aside><form><p>Name</p></form><p>Short.</p></main></body>", "A sentence, of the text.\nShort."),
     ('<body><div class="ad">Buy now, please.</div><div class="content"><p>Body text, which is long. It goes on.</p><script>var t="</p>";</script><div id="comments"><p>I disagree, strongly!</p></div></div></body>', "Body text, which is long. It goes on."),
+    ('<body><div class="content no-sidebar"><article><div class="post-header"><h1>Title</h1></div><p>Body text, long enough.</p></article></div><div class="sidebar">Links, many.</div></body>', "Title\nBody text, long enough."),
     ("<article><p>cut in the midd", "cut in the midd"),
 ])
 def test_main_text(page, want):

@@ -38,7 +38,7 @@ IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 SCOPE = frozenset("ul ol table td th article section div body html nav aside footer header form".split())
 
 #: Elements, roles, and words in class or id that are not the article.
-OUTSIDE_TAGS = frozenset("nav header footer aside form button select option input menu dialog head figure".split()) - {"figure"}
+OUTSIDE_TAGS = frozenset("nav header footer aside form button select option input menu dialog head".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 OUTSIDE_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|adbox|banner|promo|promoted|sponsor|sponsored|sidebar|side|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|header|masthead|topbar|footer|"
@@ -46,6 +46,8 @@ OUTSIDE_WORDS = re.compile(
     r"share|sharing|social|related|recommended|recommendations|widget|toolbar|pagination|pager|copyright|legal|disclaimer|form|search|tags|hidden)(?:$|[\s_-]|\d)", re.IGNORECASE
 )
 
+#: Says what stands beside an element, not what it is.
+_BESIDE = re.compile(r"\b(?:no|has|with|without)[-_][A-Za-z]+", re.IGNORECASE)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
@@ -65,8 +67,8 @@ class Node:
     outside: bool
 
 
-def _is_outside(tag: str, attributes: str, depth_article: bool) -> bool:
-    if tag == "header" and depth_article:  # the heading of an article, not of the page
+def _is_outside(tag: str, attributes: str, in_article: bool) -> bool:
+    if tag == "header" and in_article:  # the heading of an article, not of the page
         return False
     if tag in OUTSIDE_TAGS:
         return True
@@ -77,8 +79,10 @@ def _is_outside(tag: str, attributes: str, depth_article: bool) -> bool:
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = next((v for v in values if v), "")
         name = name.lower()
-        if name in ("class", "id") and OUTSIDE_WORDS.search(re.sub(r"([a-z])([A-Z])", r"\1-\2", value)):
-            return True
+        if name in ("class", "id"):
+            words = _BESIDE.sub(" ", re.sub(r"([a-z])([A-Z])", r"\1-\2", value))
+            if OUTSIDE_WORDS.search(words.replace("header", "") if in_article else words):
+                return True
         if name == "role" and value.lower() in OUTSIDE_ROLES or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
             return True
     return bool(re.search(r"\bhidden\b(?!\s*=)", re.sub(r"=\s*(\"[^\"]*\"|'[^']*')", "", attributes)))
