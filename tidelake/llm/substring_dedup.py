@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelake.llm import words as W
-from tidelake.llm.runtime import cut, shared_dir
+from tidelake.llm.runtime import cut, joinable, shared_dir
 from tidelake.llm.suffix_order import common_prefixes, suffix_array
 
 LENGTH = 50
@@ -352,6 +352,7 @@ def find(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: st
 
     # Whole copies: a group of any size meets as one aggregated row; its rows join that and are split where skewed.
     first = shards.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("doc_id").alias("n")).where("n > 1")
+    first = joinable(first)  # written by itself, so that a skewed side of the join can be split
     later = shards.select("shard", "doc_id", "row_key", "digest").join(first, "digest").where("doc_id > first")
     copies = later.groupBy("shard").agg(F.collect_list("row_key").alias("copies")).withColumns({"kind": F.lit(COPIES).cast("long"), "part": F.lit(None).cast("long"), "size": F.lit(0).cast("long"), **{c: F.lit(None).cast("binary") for c in "abc"}})
     copies = cut(copies.select(*_CODES.names))
