@@ -83,10 +83,9 @@ class Shard:
     """The stretches of one shard's documents, recomputed alike in every step."""
 
     def __init__(self, table: pa.Table, returned: pa.Table, length: int = LENGTH):
-        # Rows in an order of their own, as Spark may hand them over in another each time.
-        ids = table.column("doc_id").to_numpy(zero_copy_only=False)
-        self.known = ~np.isnan(ids.astype(float)) if ids.dtype != np.int64 else np.ones(len(ids), bool)
-        self.ids = np.where(self.known, np.nan_to_num(ids), 0).astype(np.int64) if ids.dtype != np.int64 else ids
+        ids = table.column("doc_id").combine_chunks()
+        self.known = ids.is_valid().to_numpy(zero_copy_only=False)
+        self.ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
         copies = [x for x in returned.column("copies").to_pylist() if x] if returned.num_rows else []
         self.copy = np.isin(table.column("row_key").to_numpy(), np.concatenate(copies)) if copies else np.zeros(len(ids), bool)
         self.copy &= self.known
@@ -94,7 +93,6 @@ class Shard:
         self.length = length
         seeds, hashes, docs, first, end, base = [], [], [], [], [], []
         self.data, self.offsets = [], []
-        total = 0
         for i, data, offsets in W.slices(self.texts):
             s, a, b = stretches(data, offsets, length)
             doc = np.searchsorted(offsets, a, "right") - 1 + i
@@ -108,7 +106,6 @@ class Shard:
             base.append(np.full(len(a), len(self.data)))
             self.data.append(data)
             self.offsets.append(offsets)
-            total += len(data)
         join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
         self.seeds, self.hashes = join(seeds, np.uint64), join(hashes, np.uint64)
         self.docs, self.first, self.end, self.base = (join(x, np.int64) for x in (docs, first, end, base))
@@ -137,10 +134,10 @@ class Shard:
         out = np.zeros(len(self.seeds), np.uint8)
         of, low = self._cut(ranges)
         order = np.argsort(of, kind="stable")
-        edges = np.searchsorted(of[order], np.arange(ranges + 1)) if ranges < 1 << 16 else None
+        ordered = of[order]
         known = {r: s for r, s, _ in self.distinct_seeds(ranges)}
         for r, codes in returned.items():
-            mine = order[edges[r] : edges[r + 1]] if edges is not None else np.flatnonzero(of == r)
+            mine = order[np.searchsorted(ordered, r) : np.searchsorted(ordered, r + 1)]
             out[mine] = codes[np.searchsorted(known[r], low[mine].astype(np.uint32))]
         return out
 
