@@ -402,6 +402,15 @@ def test_the_matrix_sums_exactly_and_follows_its_law():
     assert first.mean() == pytest.approx(2.5, abs=0.1) and first.var() == pytest.approx(5 * 0.25 * 15 / 19, abs=0.1)
 
 
+def test_very_large_tables_keep_exact_sums(monkeypatch):
+    monkeypatch.setattr(sharding, "LARGEST", 50)
+    rng = np.random.default_rng(4)
+    room, counts = np.array([400, 300, 300]), np.array([10, 490, 0, 500])
+    draws = [sharding.deal(rng, room, counts) for _ in range(300)]
+    assert all(m.sum(0).tolist() == room.tolist() and m.sum(1).tolist() == counts.tolist() and m.min() >= 0 for m in draws)
+    assert np.mean([m[1, 0] for m in draws]) == pytest.approx(196, abs=2)
+
+
 # --- toxicity ------------------------------------------------------------------------
 
 

@@ -45,12 +45,34 @@ def target_sizes(rows: int, shards: int, block_rows: int, max_targets: int) -> l
     return out
 
 
+#: Rows from which on numpy's exact sampler of the law does not go.
+LARGEST = 10**9
+
+
+def _draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """One hypergeometric number.  From ``LARGEST`` rows on, a rounded normal number of
+    the same mean and variance within the same bounds; row and column sums stay exact."""
+    total = good + bad
+    if total < LARGEST:
+        return int(rng.hypergeometric(good, bad, n))
+    mean = n * good / total
+    spread = (mean * (bad / total) * ((total - n) / max(total - 1, 1))) ** 0.5
+    return int(min(max(round(rng.normal(mean, spread)), n - bad, 0), n, good))
+
+
 def deal(rng: np.random.Generator, room: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """How many rows each source (of ``counts``) sends to each target (with ``room``); rows and columns sum exactly."""
     room = room.copy()
     out = np.zeros((len(counts), len(room)), np.int64)
     for i, n in enumerate(counts):
-        out[i] = rng.multivariate_hypergeometric(room, int(n), method="marginals")
+        if room.sum() < LARGEST:
+            out[i] = rng.multivariate_hypergeometric(room, int(n), method="marginals")
+        else:
+            left, rest = int(n), int(room.sum())
+            for j, r in enumerate(room.tolist()):
+                rest -= r
+                out[i, j] = _draw(rng, r, rest, left)
+                left -= int(out[i, j])
         room -= out[i]
     return out
 
