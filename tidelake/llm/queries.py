@@ -10,8 +10,14 @@ from pyspark.sql import functions as F
 from tidelake.llm import decontamination, html_extract, licenses, mixing, quality_rules, sharding, simhash, substring_dedup, token_counts, toxicity
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores: a table of fewer files than cores, which a scan cannot split, is dealt out first."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", *columns)
+    return _spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", *columns))
 
 
 #: Target weights of the mix: half of all word tokens, in at most two epochs.
@@ -26,7 +32,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    pages = _spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
     return html_extract.extract(pages).select("page_id", "url", "main.text", F.char_length("main.text").cast("long").alias("n_chars"))
 
 
