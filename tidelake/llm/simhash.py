@@ -274,18 +274,101 @@ def _sampled_keys(counts: np.ndarray, base: np.ndarray, hashes: np.ndarray, samp
     return out
 
 
-def sampled(docs: DataFrame, size: int = 5, sample: int = 8, most: int = 16) -> DataFrame:
-    """``(doc_id, fp, keys)`` of ``docs(doc_id, text)``: the fingerprint of the whole text and those of its samples."""
+def _distinct(counts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each text: the text of each, in ascending order, and its hash."""
+    of = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((hashes, of))
+    of, hashes = of[order], hashes[order]
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (hashes[1:] != hashes[:-1])
+    return of[new], hashes[new]
+
+
+def common_shingles(docs: DataFrame, size: int, rows: int = 20_000, least: int = 3, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample have, sorted, and in how many they are.
+
+    They only order the shingles for ``prefixes``: what is missing here costs time, not results."""
+    n = docs.count()
+    some = docs.select("text").sample(min(1.0, rows / max(n, 1)), seed=SEED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for counts, _, hashes, _ in _shingles(batch.column(0), size):
+                yield pa.RecordBatch.from_arrays([pa.array(_distinct(counts, hashes)[1].view(np.int64))], names=["h"])
+
+    found = some.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= least).orderBy(F.desc("count"), "h").limit(most).toArrow()
+    hashes = found.column("h").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], found.column("count").to_numpy()[order]
+
+
+def _prefixes(counts: np.ndarray, hashes: np.ndarray, least: float, common: tuple[np.ndarray, np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """For each text its first shingles in the order of ``common``, the number of its distinct ones,
+    a hash of their set, and a word with one bit flipped for each of them."""
+    of, hashes = _distinct(counts, hashes)
+    n = np.bincount(of, minlength=len(counts))
+    known, often = common
+    rank = np.zeros(len(hashes), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        rank = np.where(known[at] == hashes, often[at], 0)
+    mixed = W.mix(hashes ^ np.uint64(0x5E7))
+    sets, flips = np.zeros(len(counts), np.uint64), np.zeros(len(counts), np.uint64)
+    np.add.at(sets, of, mixed)
+    np.bitwise_xor.at(flips, of, np.uint64(1) << (mixed >> np.uint64(58)))
+    ordered = hashes[np.lexsort((hashes, rank, of))].view(np.int64)
+    first = np.cumsum(n) - n
+    # Two sets that share ``least`` of their union share that part of either one.
+    length = np.where(n > 0, n - np.ceil(least * n - 1e-9).astype(np.int64) + 1, 0)
+    return [ordered[a : a + k] for a, k in zip(first.tolist(), length.tolist())], n, sets.view(np.int64), flips.view(np.int64)
+
+
+def sampled(docs: DataFrame, size: int = 5, sample: int = 8, most: int = 16, least: float = 0.8) -> DataFrame:
+    """``(doc_id, fp, keys, n, shingles, flips, prefix)`` of ``docs(doc_id, text)``: the fingerprint of the
+    whole text, those of its samples, and what ``rest`` needs to find all pairs."""
+    common = common_shingles(docs, size)
+    longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, keys = [np.empty(0, np.int64)], []
+            columns: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(4)]
+            keys, prefixes = [], []
             for counts, base, hashes, own in _shingles(batch.column(1), size):
-                fps.append(own.view(np.int64))
                 keys += _sampled_keys(counts, base, hashes, sample, most)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(fps)), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "fp", "keys"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
+                prefix, *numbers = _prefixes(counts, hashes, least, common)
+                prefixes += prefix
+                for column, values in zip(columns, (own.view(np.int64), *numbers)):
+                    column.append(values)
+            fps, n, sets, flips = (pa.array(np.concatenate(c)) for c in columns)
+            yield pa.RecordBatch.from_arrays([batch.column(0), fps, pa.array(keys, longs), n, sets, flips, pa.array(prefixes, longs)], names=["doc_id", "fp", "keys", "n", "shingles", "flips", "prefix"])
+
+    long, several = T.LongType(), T.ArrayType(T.LongType())
+    kinds = {"fp": long, "keys": several, "n": long, "shingles": long, "flips": long, "prefix": several}
+    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], *(T.StructField(c, t) for c, t in kinds.items())]))
+
+
+def rest(rows: DataFrame, known: DataFrame, least: float, crowd: int = 2_000) -> DataFrame:
+    """Candidates ``(a, b)``: all pairs of ``rows`` that share ``least`` of their shingles and that ``known(node, root)`` leaves apart.
+
+    With shingles in one order for all texts, such a pair has one in common among
+    the first of each, and the first it has in common leaves enough behind it in
+    both.  One text stands for all of the same shingles.  A shingle of more than
+    ``crowd`` texts is dealt out: one side in parts, the other to each part."""
+    one = rows.where("n > 0").groupBy("fp", "shingles").agg(F.min(F.struct("doc_id", "prefix")).alias("r")).select("r.*")
+    one = one.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    # Slim rows, dealt once: most shingles are in one text only and go before anything is joined to them.
+    listed = one.select("doc_id", "root", F.posexplode("prefix").alias("at", "token")).repartition("token")
+    # A shingle that only one group has makes no pair.
+    shared = listed.groupBy("token").agg(F.count("*").alias("many"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    listed = listed.join(shared.select("token", F.ceil(F.col("many") / crowd).cast("int").alias("parts")), "token")
+    listed = stored(listed.join(rows.select("doc_id", "n", "flips").distinct(), "doc_id"))
+    left = listed.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    right = listed.select("token", *(F.col(c).alias(f"{c}_2") for c in ("doc_id", "root", "n", "flips", "at")), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    need = F.ceil((F.col("n") + F.col("n_2")) * (least / (1 + least)) - 1e-6)
+    fits = (F.col("n") - F.col("at") >= need) & (F.col("n_2") - F.col("at_2") >= need)
+    differ = F.bit_count(F.col("flips").bitwiseXOR(F.col("flips_2")))
+    met = left.join(right, ["token", "part"]).where((F.col("doc_id") < F.col("doc_id_2")) & (F.col("root") != F.col("root_2")) & fits & (differ <= F.col("n") + F.col("n_2") - 2 * need))
+    return cut(met.select(F.col("doc_id_2").alias("a"), F.col("doc_id").alias("b")).distinct())
 
 
 def similarity(pairs: DataFrame, size: int) -> DataFrame:
@@ -307,11 +390,12 @@ def similarity(pairs: DataFrame, size: int) -> DataFrame:
 def near_copies(docs: DataFrame, size: int = 5, least: float = 0.8, loose: int = 20) -> DataFrame:
     """``(doc_id, root)``: the smallest id of each document's group of near copies, for ids in a group of several.
 
-    Fingerprints within 2 bits link as in ``cluster``.  Texts with more changes
-    agree in the fingerprint of some sample of their shingles: each meets the first
-    text that has the same one there, if their whole fingerprints are no more than
-    ``loose`` bits apart, and links to it if they share ``least`` of their shingles."""
-    rows = cut(sampled(docs, size).where(F.col("doc_id").isNotNull()))
+    Fingerprints within 2 bits link as in ``cluster``, and texts that share ``least``
+    of their shingles.  Most of these agree in the fingerprint of some sample of
+    their shingles: each meets the first text that has the same one there, if their
+    whole fingerprints are no more than ``loose`` bits apart.  That only saves work:
+    ``rest`` finds all pairs between the groups so far."""
+    rows = cut(sampled(docs, size, least=least).where(F.col("doc_id").isNotNull()))
     fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     close = components(links(fps.select("fp")))
     known = fps.join(close.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -324,12 +408,19 @@ def near_copies(docs: DataFrame, size: int = 5, least: float = 0.8, loose: int =
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("b_fp")))
     met = listed.join(first, "key").where((apart > 0) & (apart <= loose) & (F.col("doc_id") != F.col("b")))
     pairs = cut(met.select(F.col("doc_id").alias("a"), "b").distinct())
+    early = cut(components(same.unionByName(_verified(docs, pairs, size, least))))
+    late = _verified(docs, rest(rows, early, least), size, least)
+    found = components(early.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late))
+    return found.select(F.col("node").alias("doc_id"), "root")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, size: int, least: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose texts share ``least`` of their shingles."""
     ids = joinable(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
     bodies = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
     bodies = stored(bodies)
     texts = pairs.join(bodies.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a").join(bodies.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
-    linked = similarity(texts, size).where(F.col("similarity") >= least).select("a", "b")
-    return components(same.unionByName(linked)).select(F.col("node").alias("doc_id"), "root")
+    return similarity(texts, size).where(F.col("similarity") >= least).select("a", "b")
 
 
 def keep_first(docs: DataFrame, size: int = 5, least: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
