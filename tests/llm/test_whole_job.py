@@ -5,7 +5,7 @@ import random
 import pytest
 import xxhash
 
-from tidelake.llm import simhash
+from tidelake.llm import html_extract, simhash
 
 
 # --- near copies ---------------------------------------------------------------------
@@ -65,3 +65,23 @@ def test_near_copies_of_short_texts_are_all_found(spark, monkeypatch, crowd):
     docs = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string").repartition(3)
     found = {r["doc_id"]: r["root"] for r in simhash.near_copies(docs).collect()}
     assert [found.get(k, k) for k in range(len(values))] == groups(values, 0.8)
+
+
+# --- HTML extraction -----------------------------------------------------------------
+
+SENTENCES = [f"Paragraph {k} of the story goes on for a while, with commas, and then it ends." for k in range(6)]
+STORY = "".join(f"<p>{x}</p>" for x in SENTENCES)
+
+
+@pytest.mark.parametrize("wrap", ["<form id=aspnetForm>{}</form>", "<div class='layout--sidebar'>{}</div>", "<div id='social-history'>{}</div>", "<form><section class='legal-guide'>{}</section></form>"])
+def test_wrapper_of_the_whole_page_is_opened(wrap):
+    beside = "<div class='comments'><p>I liked this, a lot.</p></div><nav><a href=/>Home</a></nav>"
+    page = "<html><body>" + wrap.format(beside + "<div>" + STORY + "</div>") + "</body></html>"
+    assert html_extract.main_text(page)[0] == "\n".join(SENTENCES)
+
+
+def test_parts_beside_the_article_stay_closed():
+    page = "<body><div>" + STORY + "</div><div class='comments'>" + STORY * 3 + "</div><form>" + STORY + "</form></body>"
+    assert html_extract.main_text(page)[0] == "\n".join(SENTENCES)
+    assert html_extract.main_text("<body><div style='display:none' class='form'>" + STORY + "</div></body>")[0] == ""
+    assert html_extract.main_text("<body><div class='menu'><a>Home</a> <a>News</a></div></body>")[0] == ""

@@ -10,7 +10,8 @@ nodes count, however short, unless their own path says they are something else
 (a menu, a form, a notice, a reader's comment, ...).
 
 Defined results: a null or empty page gives an empty text; so does one without
-text outside such parts; broken markup and cut-off pages are read as browsers do
+text outside such parts, unless one such part, by its class, id or as a form, wraps
+nearly all sentences of the page; broken markup and cut-off pages are read as browsers do
 it: an open paragraph ends at the next block, unknown references stay as they
 are; repeated rows give repeated results; columns of any name pass through.
 """
@@ -59,43 +60,41 @@ PAGE = T.StructType([T.StructField("text", T.StringType(), False), T.StructField
 
 @dataclass
 class Node:
-    """A text node: its path, the number of its block, and whether a part outside the article holds it."""
+    """A text node: its path, the number of its block, whether a part outside the article holds it for
+    certain, and the elements around it that are such parts by their class, id or as a form."""
 
     path: tuple[str, ...]
     block: int
     text: str
     outside: bool
+    marks: tuple[int, ...]
 
 
-def _is_outside(tag: str, attributes: str, in_article: bool) -> bool:
+def _is_outside(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Is the element outside the article: for certain, and by its class, id or as a form?"""
     if tag == "header" and in_article:  # the heading of an article, not of the page
-        return False
-    if tag in OUTSIDE_TAGS:
-        return True
-    if not attributes.strip():
-        return False
-    if tag in ("body", "html", "article", "main"):
-        return False
+        return False, False
+    marked = tag == "form"
+    if tag in OUTSIDE_TAGS and not marked:
+        return True, False
+    if not attributes.strip() or tag in ("body", "html", "article", "main"):
+        return False, marked
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = next((v for v in values if v), "")
         name = name.lower()
         if name in ("class", "id"):
             words = _BESIDE.sub(" ", re.sub(r"([a-z])([A-Z])", r"\1-\2", value))
-            if OUTSIDE_WORDS.search(words.replace("header", "") if in_article else words):
-                return True
+            marked = marked or bool(OUTSIDE_WORDS.search(words.replace("header", "") if in_article else words))
         if name == "role" and value.lower() in OUTSIDE_ROLES or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
-            return True
-    return bool(re.search(r"\bhidden\b(?!\s*=)", re.sub(r"=\s*(\"[^\"]*\"|'[^']*')", "", attributes)))
+            return True, marked
+    return bool(re.search(r"\bhidden\b(?!\s*=)", re.sub(r"=\s*(\"[^\"]*\"|'[^']*')", "", attributes))), marked
 
 
 def parse(page: str) -> list[Node]:
     """Text nodes of a page in order."""
     nodes: list[Node] = []
-    stack: list[tuple[str, bool]] = []  # open tags and whether they or one above is outside
-    block, at = 0, 0
-
-    def outside() -> bool:
-        return stack[-1][1] if stack else False
+    stack: list[tuple[str, bool, tuple[int, ...]]] = []  # open tags, whether they or one above is outside, and the marked of these
+    block, at, marks = 0, 0, 0
 
     def close(names: set[str] | frozenset[str], scope: frozenset[str]) -> None:
         for k in reversed(range(len(stack))):
@@ -113,13 +112,13 @@ def parse(page: str) -> list[Node]:
             text = m[0]
             if text[:2] in ("<!", "<?"):
                 continue
-            nodes.append(Node(tuple(t for t, _ in stack), block, text, outside()))
+            nodes.append(Node(tuple(t for t, *_ in stack), block, text, *(stack[-1][1:] if stack else (False, ()))))
             continue
         tag = tag.lower()
         if tag not in INLINE:
             block += 1
         if m[1]:
-            if any(t == tag for t, _ in stack):
+            if any(t == tag for t, *_ in stack):
                 while stack.pop()[0] != tag:
                     pass
             continue
@@ -134,7 +133,10 @@ def parse(page: str) -> list[Node]:
             close(IMPLIED[tag], frozenset({"ul", "ol", "table", "dl", "select"}))
         if tag in VOID or attributes.endswith("/") and tag not in ENDS_P:
             continue
-        stack.append((tag, outside() or _is_outside(tag, attributes, any(t == "article" for t, _ in stack))))
+        outside, marked = _is_outside(tag, attributes, any(t == "article" for t, *_ in stack))
+        above, around = stack[-1][1:] if stack else (False, ())
+        marks += marked
+        stack.append((tag, above or outside, (*around, marks) if marked else around))
     return nodes
 
 
@@ -165,10 +167,31 @@ def path_scores(nodes: list[Node]) -> np.ndarray:
     return smooth((ratio + spread)[of]) * (1 + smooth(pointed[of]))
 
 
+def opened(nodes: list[Node], small: float = 0.1) -> set[int]:
+    """Marked elements that are the page and not beside it: while a ``small`` part of the weight of
+    its sentences is left, the outermost one that holds most of that weight."""
+    nodes = [n for n in nodes if not n.outside]
+    lengths = np.array([len(n.text.strip()) * bool(_PUNCTUATION.search(n.text)) for n in nodes], float)
+    out: set[int] = set()
+    if lengths[[not n.marks for n in nodes]].sum() >= small * lengths.sum():
+        return out
+    weights = path_scores(nodes) * lengths
+    while True:
+        held: dict[int, float] = {}
+        for n, w in zip(nodes, weights):
+            around = next((m for m in n.marks if m not in out), 0)
+            held[around] = held.get(around, 0.0) + w
+        best = max(held, key=lambda m: held[m])
+        if held.get(0, 0.0) >= small * weights.sum() or held[best] <= 0.5 * weights.sum():
+            return out
+        out.add(best)
+
+
 def main_text(page: str | None) -> tuple[str, int, int]:
     """(text, number of text nodes, of those kept)."""
     nodes = parse(page or "")
-    inside = [n for n in nodes if not n.outside]
+    ignored = opened(nodes)
+    inside = [n for n in nodes if not n.outside and ignored.issuperset(n.marks)]
     if not any(n.text.strip() for n in inside):
         return "", len(nodes), 0
     scores = path_scores(inside)
