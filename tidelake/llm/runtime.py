@@ -2,7 +2,7 @@
 
 Lineage is cut only with reliable checkpoints in the folder the session names
 in ``spark.checkpoint.dir`` (shared by all machines).  A private folder is
-chosen only when that setting is absent, as in local tests.
+chosen only when that setting is absent and the session is local, as in tests.
 """
 
 from __future__ import annotations
@@ -12,9 +12,11 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Largest number of rows of a table that may be sent whole to every executor.
+#: Largest table that may be sent whole to every executor: rows, and bytes of their values.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tidelake-checkpoint-"))
         current = context._jsc.sc().getCheckpointDir()
     return current.get().rstrip("/")
@@ -44,14 +48,20 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def joinable(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a work folder of ``shared_dir`` that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def joinable(small: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``small`` for the build side of a join: hinted for broadcast only when a
-    count shows at most ``max_rows`` rows; otherwise Spark shuffles both sides
-    and AQE splits skewed partitions."""
+    count shows at most ``max_rows`` rows and ``max_bytes`` bytes; otherwise Spark
+    shuffles both sides and AQE splits skewed partitions."""
     small = cut(small)
-    if small.count() <= max_rows:
-        return F.broadcast(small)
-    return small
+    long = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in small.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    rows, in_rows = small.agg(F.count("*"), F.sum(sum(long, F.lit(16 * len(small.columns))))).first()
+    return F.broadcast(small) if rows <= max_rows and (in_rows or 0) <= max_bytes else small
 
 
 def free_name(df: DataFrame, name: str) -> str:

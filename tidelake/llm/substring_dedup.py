@@ -12,20 +12,26 @@ smaller id.  So every window of ``length`` bytes needs the smallest id that has
    returns is one code for each: in this shard only, shared, or shared by so many
    different stretches that they must be spread.
 3. Shards send their distinct stretches with a shared seed, and each one's
-   smallest id, to the index shard of the seed (crowded seeds window by window, to
-   that of the window).  An index shard takes them in blocks, builds each block's
-   suffix array and common prefixes, gets its distinct windows in order, and merges
-   the blocks by binary search of one in the other.
-4. What returns to a shard is the smallest id along each stretch it sent; it marks
-   its documents' bytes.
+   smallest id and places, to the index shard of the seed (crowded seeds window by
+   window, to that of the window).  A stretch that is the only one of its seed needs
+   no more: no other has its windows.  The rest an index shard takes in blocks,
+   builds each block's suffix array and common prefixes, gets its distinct windows
+   in order, and merges the blocks by binary search of one in the other.
+4. What returns to a shard is the smallest id along each stretch it sent, with its
+   places; the shard marks its documents' bytes without hashing them again.
 
 Cut seeds may agree by chance; that only sends more stretches.  Nothing is dropped
 or capped, and no group of equal passages or copies meets in one task: each shard
-sends a stretch once, and an index shard holds it once.
-
-Defined results: a null text has no bytes; a document without an id neither loses
-bytes nor takes them from others; rows of equal id take nothing from each other;
-texts shorter than a window stay whole; an empty table gives an empty result.
+sends a stretch once, and an index shard holds it once.  What a shard sends to a
+range of seeds, or to an index shard, is one compressed row.  The more there are of
+both, the fewer seeds share a row; with one in each it is a row for a seed, as in
+any shuffle.
+
+Defined results: ids are integers (``find`` refuses others); a null text has no
+bytes; a document without an id neither loses bytes nor takes them from others;
+rows of equal id take nothing from each other; texts shorter than a window stay
+whole; other columns, of any name, are left out; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -40,9 +46,10 @@ import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelake.llm import words as W
-from tidelake.llm.runtime import cut, joinable, shared_dir
+from tidelake.llm.runtime import cut, discard, joinable, shared_dir
 from tidelake.llm.suffix_order import common_prefixes, suffix_array
 
 LENGTH = 50
@@ -80,20 +87,24 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tu
 
 
 class Shard:
-    """The stretches of one shard's documents, recomputed alike in every step."""
+    """One shard's documents and, if asked for, their stretches, recomputed alike in every step."""
 
-    def __init__(self, table: pa.Table, returned: pa.Table, length: int = LENGTH):
+    def __init__(self, table: pa.Table, returned: pa.Table, length: int = LENGTH, scan: bool = True):
         ids = table.column("doc_id").combine_chunks()
         self.known = ids.is_valid().to_numpy(zero_copy_only=False)
         self.ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
         copies = [x for x in returned.column("copies").to_pylist() if x] if returned.num_rows else []
         self.copy = np.isin(table.column("row_key").to_numpy(), np.concatenate(copies)) if copies else np.zeros(len(ids), bool)
         self.copy &= self.known
-        self.texts = table.column("text").combine_chunks()
         self.length = length
-        seeds, hashes, docs, first, end, base = [], [], [], [], [], []
-        self.data, self.offsets = [], []
-        for i, data, offsets in W.slices(self.texts):
+        self.data, self.offsets, base_docs = [], [], []
+        seeds, hashes, docs, first, end = [], [], [], [], []
+        for i, data, offsets in W.slices(table.column("text").combine_chunks()):
+            self.data.append(data)
+            self.offsets.append(offsets)
+            base_docs.append(i)
+            if not scan:
+                continue
             s, a, b = stretches(data, offsets, length)
             doc = np.searchsorted(offsets, a, "right") - 1 + i
             use = self.known[doc] & ~self.copy[doc]
@@ -103,49 +114,58 @@ class Shard:
             docs.append(doc)
             first.append(a)
             end.append(b)
-            base.append(np.full(len(a), len(self.data)))
-            self.data.append(data)
-            self.offsets.append(offsets)
+        self.base_docs = np.array(base_docs, np.int64)
         join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
         self.seeds, self.hashes = join(seeds, np.uint64), join(hashes, np.uint64)
-        self.docs, self.first, self.end, self.base = (join(x, np.int64) for x in (docs, first, end, base))
+        self.docs, self.first, self.end = (join(x, np.int64) for x in (docs, first, end))
+
+    def slice_of(self, docs: np.ndarray) -> np.ndarray:
+        """The slice that holds each document."""
+        return np.searchsorted(self.base_docs, docs, "right") - 1
+
+    def _cut(self, ranges: int) -> np.ndarray:
+        """Seeds cut to their range and 32 more bits."""
+        of = ((self.seeds >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+        return (of << np.uint64(32)) | (self.seeds & np.uint64(0xFFFFFFFF))
 
     def distinct_seeds(self, ranges: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """(range, cut seeds ascending, how many different stretches each has) for each range."""
-        of, low = self._cut(ranges)
-        if not len(of):
+        cut_seeds = self._cut(ranges)
+        if not len(cut_seeds):
             return []
-        order = np.lexsort((self.hashes, low, of))
-        of, low, hashes = of[order], low[order], self.hashes[order]
-        seed = np.ones(len(of), bool)
-        seed[1:] = (of[1:] != of[:-1]) | (low[1:] != low[:-1])
+        order = np.lexsort((self.hashes, cut_seeds))
+        cut_seeds, hashes = cut_seeds[order], self.hashes[order]
+        seed = np.ones(len(order), bool)
+        seed[1:] = cut_seeds[1:] != cut_seeds[:-1]
         variant = seed.copy()
         variant[1:] |= hashes[1:] != hashes[:-1]
         at = np.flatnonzero(seed)
         many = np.minimum(np.add.reduceat(variant.astype(np.int64), at), 0xFFFF).astype(np.uint16)
-        edges = np.flatnonzero(np.append(True, of[at][1:] != of[at][:-1]))
-        return [(int(of[at[a]]), low[at[a:b]].astype(np.uint32), many[a:b]) for a, b in zip(edges, np.append(edges[1:], len(at)))]
-
-    def _cut(self, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-        return (((self.seeds >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64), self.seeds & np.uint64(0xFFFFFFFF)
-
-    def codes(self, ranges: int, returned: dict[int, np.ndarray]) -> np.ndarray:
-        """The code of each stretch, from the codes that came back for the distinct seeds of each range."""
-        out = np.zeros(len(self.seeds), np.uint8)
-        of, low = self._cut(ranges)
-        order = np.argsort(of, kind="stable")
-        ordered = of[order]
-        known = {r: s for r, s, _ in self.distinct_seeds(ranges)}
-        for r, codes in returned.items():
-            mine = order[np.searchsorted(ordered, r) : np.searchsorted(ordered, r + 1)]
-            out[mine] = codes[np.searchsorted(known[r], low[mine].astype(np.uint32))]
+        low, of = cut_seeds[at].astype(np.uint32), (cut_seeds[at] >> np.uint64(32)).astype(np.int64)
+        edges = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        return [(int(of[a]), low[a:b], many[a:b]) for a, b in zip(edges, np.append(edges[1:], len(at)))]
+
+    def codes(self, ranges: int, returned: list[np.ndarray]) -> np.ndarray:
+        """The code of each stretch, from the codes that came back for the distinct seeds, range by range."""
+        if not len(self.seeds):
+            return np.empty(0, np.uint8)
+        cut_seeds = self._cut(ranges)
+        order = np.argsort(cut_seeds, kind="stable")
+        new = np.ones(len(order), bool)
+        new[1:] = cut_seeds[order][1:] != cut_seeds[order][:-1]
+        at = np.flatnonzero(new)
+        code, docs = np.concatenate(returned), self.docs[order]
+        # A seed of no other shard still is shared if several documents of this one have it.
+        code = np.where((code == UNSHARED) & (np.minimum.reduceat(docs, at) != np.maximum.reduceat(docs, at)), SHARED, code)
+        out = np.empty(len(order), np.uint8)
+        out[order] = np.repeat(code, np.diff(np.append(at, len(order))))
         return out
 
     def entries(self, codes: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Pieces with a shared seed: (slice, first window, end of windows, document, key),
-        one for a stretch, or one for each window of a crowded one; keys of equal pieces are equal."""
+        """Pieces with a shared seed: (first window, end of windows, document, route, hash of the piece),
+        one for a stretch, or one for each window of a crowded one; equal windows have equal routes."""
         plain = np.flatnonzero(codes == SHARED)
-        base, first, end, docs = (x[plain] for x in (self.base, self.first, self.end, self.docs))
+        first, end, docs = (x[plain] for x in (self.first, self.end, self.docs))
         route, content = self.seeds[plain], self.hashes[plain]
         crowd = np.flatnonzero(codes == CROWDED)
         if len(crowd):
@@ -153,18 +173,18 @@ class Shard:
             of = np.repeat(np.arange(len(crowd)), lengths)
             at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + self.first[crowd][of]
             hashes = np.zeros(len(at), np.uint64)
-            slices = self.base[crowd][of]
+            slices = self.slice_of(self.docs[crowd])[of]
             for k in np.unique(slices):
                 mine = slices == k
                 hashes[mine] = W.span_hash(self.data[k], at[mine], at[mine] + self.length)
-            base, first, end, docs = (np.concatenate(x) for x in ((base, slices), (first, at), (end, at + 1), (docs, self.docs[crowd][of])))
+            first, end, docs = (np.concatenate(x) for x in ((first, at), (end, at + 1), (docs, self.docs[crowd][of])))
             route, content = np.concatenate([route, W.mix(hashes ^ np.uint64(0x1234567))]), np.concatenate([content, hashes])
-        return base, first, end, docs, route, content
+        return first, end, docs, route, content
 
     def distinct(self, codes: np.ndarray, indexes: int) -> tuple[np.ndarray, np.ndarray, tuple]:
         """(index shard of each distinct piece, number of the distinct piece of each piece, pieces); pieces ordered by index shard."""
         pieces = self.entries(codes)
-        route, content = pieces[4], pieces[5]
+        route, content = pieces[3], pieces[4]
         to = (((route >> np.uint64(32)) * np.uint64(indexes)) >> np.uint64(32)).astype(np.int64)
         order = np.lexsort((content, route, to))
         new = np.ones(len(order), bool)
@@ -224,39 +244,43 @@ def merge_blocks(blocks: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray
     return [least[np.searchsorted(keys, other)] for other, _ in blocks]
 
 
-def index_shard(pieces: list[tuple[np.ndarray, np.ndarray, np.ndarray]], length: int, block_bytes: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For what each sender sent (blob, sizes, smallest ids): per piece the number of runs
-    of equal smallest ids over its windows, and per run its windows and that id."""
-    blob = np.concatenate([p[0] for p in pieces])
-    sizes = np.concatenate([p[1] for p in pieces]).astype(np.int64)
-    ids = np.concatenate([p[2] for p in pieces])
+def index_shard(pieces: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], length: int, block_bytes: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For what each sender sent (blob, sizes, smallest ids, ends of routes): per piece the
+    number of runs of equal smallest ids over its windows, and per run its windows and that id."""
+    blob, sizes, ids, tags = (np.concatenate([p[k] for p in pieces]) for k in range(4))
+    sizes = sizes.astype(np.int64)
     ends = np.cumsum(sizes)
     starts = ends - sizes
-    # Equal pieces of several senders are one; their bytes decide after their hashes.
+    # Equal pieces of several senders are one.
     hashes = np.concatenate([W.span_hash(blob[a:b], starts[i:j] - a, ends[i:j] - a) for i, j, a, b in _runs(starts, ends, 1 << 21)] or [np.empty(0, np.uint64)])
-    order = np.lexsort((sizes, hashes))
-    new = np.ones(len(order), bool)
-    new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (sizes[order][1:] != sizes[order][:-1])
+    order = np.lexsort((sizes, hashes, tags))
+    new, tag = np.ones(len(order), bool), np.ones(len(order), bool)
+    tag[1:] = tags[order][1:] != tags[order][:-1]
+    new[1:] = tag[1:] | (hashes[order][1:] != hashes[order][:-1]) | (sizes[order][1:] != sizes[order][:-1])
     number = np.empty(len(order), np.int64)
     number[order] = np.cumsum(new) - 1
     one = order[new]
     least = np.minimum.reduceat(ids[order], np.flatnonzero(new)) if len(one) else ids
+    # Windows have the route of their piece: the only piece of a route shares none.
+    of_tag = np.cumsum(tag)[new] - 1
+    alone = np.bincount(of_tag)[of_tag] == 1 if len(one) else np.empty(0, bool)
+    several = np.flatnonzero(~alone)
     blocks, spans = [], []
-    total = np.cumsum(sizes[one])
+    total = np.cumsum(sizes[one[several]])
     i = 0
-    while i < len(one):
-        j = max(i + 1, int(np.searchsorted(total, total[i] - sizes[one[i]] + block_bytes, "right")))
-        mine = one[i:j]
+    while i < len(several):
+        j = max(i + 1, int(np.searchsorted(total, total[i] - sizes[one[several[i]]] + block_bytes, "right")))
+        mine = one[several[i:j]]
         lengths = sizes[mine]
         at = np.arange(lengths.sum()) + np.repeat(starts[mine] - (np.cumsum(lengths) - lengths), lengths)
         part = blob[at]
-        of, places, smallest = index_block(part, lengths, least[i:j], length)
+        of, places, smallest = index_block(part, lengths, least[several[i:j]], length)
         blocks.append((window_keys(part, places, length), smallest))
         spans.append((of, lengths - length + 1))
         i = j
     merged = merge_blocks(blocks)
-    # Runs of equal ids along each distinct piece.
-    runs, widths, values = [], [], []
+    # Runs of equal ids along each distinct piece; those that stand alone have one.
+    many, widths, values = [], [], []
     for (of, windows), smallest in zip(spans, merged):
         along = smallest[of]
         edge = np.ones(len(along), bool)
@@ -265,11 +289,16 @@ def index_shard(pieces: list[tuple[np.ndarray, np.ndarray, np.ndarray]], length:
         at = np.flatnonzero(edge)
         widths.append(np.diff(np.append(at, len(along))))
         values.append(along[at])
-        runs.append(np.diff(np.searchsorted(at, np.concatenate([[0], np.cumsum(windows)]))))
-    runs, widths, values = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (runs, widths, values))
-    begin = np.cumsum(runs) - runs
+        many.append(np.diff(np.searchsorted(at, np.concatenate([[0], np.cumsum(windows)]))))
+    widths.append(sizes[one[alone]] - length + 1)
+    values.append(least[alone])
+    runs = np.ones(len(one), np.int64)
+    runs[several] = np.concatenate(many) if many else 1
+    widths, values = np.concatenate(widths), np.concatenate(values)
+    begin = np.empty(len(one), np.int64)
+    begin[np.concatenate([several, np.flatnonzero(alone)])] = np.cumsum(np.concatenate([runs[several], runs[alone]])) - np.concatenate([runs[several], runs[alone]])
     out, piece = [], 0
-    for _, own, _ in pieces:
+    for _, own, *_ in pieces:
         mine = number[piece : piece + len(own)]
         piece += len(own)
         n = runs[mine]
@@ -306,8 +335,8 @@ def _batch(rows: list[dict], schema: pa.Schema) -> pa.Table:
 
 
 _SEEDS = pa.schema([("range", pa.int64()), ("shard", pa.int64()), ("seeds", pa.binary()), ("many", pa.binary())])
-_CODES = pa.schema([("shard", pa.int64()), ("kind", pa.int64()), ("part", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("size", pa.int64()), ("copies", pa.list_(pa.int64()))])
-_PIECES = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("blob", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary())])
+_CODES = pa.schema([("shard", pa.int64()), ("kind", pa.int64()), ("part", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("places", pa.binary()), ("size", pa.int64()), ("copies", pa.list_(pa.int64()))])
+_PIECES = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("blob", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary()), ("tags", pa.binary()), ("places", pa.binary())])
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), ("kept_sha256", pa.string())])
 CODES, RUNS, COPIES = 0, 1, 2
 
@@ -317,8 +346,8 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"`{f.name}` {kinds.get(f.type, 'array<struct<first:long,end:long>>')}" for f in schema)
 
 
-def deal_to_shards(docs: DataFrame, shard_bytes: int) -> DataFrame:
-    """``docs(doc_id, text)`` written once with the shard of each row: runs of a task's rows of about ``shard_bytes``."""
+def deal_to_shards(docs: DataFrame, shard_bytes: int) -> tuple[DataFrame, str]:
+    """``docs(doc_id, text)`` written once with the shard of each row, runs of a task's rows of about ``shard_bytes``, and the table's name."""
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, held = TaskContext.get().partitionId() << 24, 0
@@ -335,15 +364,17 @@ def deal_to_shards(docs: DataFrame, shard_bytes: int) -> DataFrame:
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     name = f"substring_dedup_{uuid4().hex}"
     dealt.write.bucketBy(buckets, "shard").option("path", f"{shared_dir(spark)}/tidelake/{name}").saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), name
 
 
-def find(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = 8 << 20, seeds_per_range: int = 2 << 20, index_bytes: int = 8 << 20, block_bytes: int = 2 << 20, crowd: int = CROWD) -> DataFrame:
+def find(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = 8 << 20, seeds_per_range: int = 2 << 20, index_bytes: int = 4 << 20, block_bytes: int = 2 << 20, crowd: int = CROWD) -> DataFrame:
     """For each row: doc_id, n_bytes, spans of bytes to remove, and the SHA-256 of the rest."""
     spark = docs.sparkSession
+    if not isinstance(docs.schema[doc_id].dataType, T.IntegralType):
+        raise TypeError(f"{doc_id} must be an integer column: the smaller id keeps a passage")
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = deal_to_shards(slim, shard_bytes)
+    shards, table = deal_to_shards(slim, shard_bytes)
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = max(least, -(-total // (18 * seeds_per_range)))
 
@@ -351,7 +382,7 @@ def find(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: st
     first = shards.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("doc_id").alias("n")).where("n > 1")
     first = joinable(first)  # written by itself, so that a skewed side of the join can be split
     later = shards.select("shard", "doc_id", "row_key", "digest").join(first, "digest").where("doc_id > first")
-    copies = later.groupBy("shard").agg(F.collect_list("row_key").alias("copies")).withColumns({"kind": F.lit(COPIES).cast("long"), "part": F.lit(None).cast("long"), "size": F.lit(0).cast("long"), **{c: F.lit(None).cast("binary") for c in "abc"}})
+    copies = later.groupBy("shard").agg(F.collect_list("row_key").alias("copies")).withColumns({"kind": F.lit(COPIES).cast("long"), "part": F.lit(None).cast("long"), "size": F.lit(0).cast("long"), **{c: F.lit(None).cast("binary") for c in ("a", "b", "c", "places")}})
     copies = cut(copies.select(*_CODES.names))
 
     def send_seeds(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -383,58 +414,52 @@ def find(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: st
     codes = cut(sent.groupBy("range").applyInArrow(code_seeds, _ddl(_CODES)))
     indexes = max(least, -(-(codes.agg(F.sum("size")).first()[0] or 0) * (length + 18) // index_bytes))
 
-    def codes_of(shard: Shard, returned: pa.Table) -> np.ndarray:
-        rows = returned.select(["kind", "part", "a"]).to_pylist()
-        out = shard.codes(ranges, {r["part"]: _unpack(r["a"], "u1") for r in rows if r["kind"] == CODES})
-        # Seeds of several documents of this shard.
-        order = np.argsort(shard.seeds, kind="stable")
-        s, d = shard.seeds[order], shard.docs[order]
-        at = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.empty(0, np.int64)
-        if len(at):
-            several = np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)
-            here = np.empty(len(s), bool)
-            here[order] = np.repeat(several, np.diff(np.append(at, len(s))))
-            out[(out == UNSHARED) & here] = SHARED
-        return out
-
     def send_pieces(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _batch([], _PIECES)
         shard = Shard(left, right, length)
-        to, number, (base, first, end, docs_, *_) = shard.distinct(codes_of(shard, right), indexes)
+        back = sorted((r for r in right.select(["kind", "part", "a"]).to_pylist() if r["kind"] == CODES), key=lambda r: r["part"])
+        to, number, (first, end, docs_, route, _) = shard.distinct(shard.codes(ranges, [_unpack(r["a"], "u1") for r in back]), indexes)
         ids = np.full(len(to), np.iinfo(np.int64).max)
         np.minimum.at(ids, number, shard.ids[docs_])
         one = np.empty(len(to), np.int64)
         one[number] = np.arange(len(number))
+        # Places of each distinct piece, in its order.
+        by = np.argsort(number, kind="stable")
+        upto = np.searchsorted(number[by], np.arange(len(to) + 1))
+        slices = shard.slice_of(docs_)
         key, rows = left.column("shard")[0].as_py(), []
         edges = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else []
         for a, b in zip(edges, np.append(edges[1:], len(to))):
-            mine = one[a:b]
-            blob = b"".join([shard.data[s][x : y - 1 + length].tobytes() for s, x, y in zip(base[mine].tolist(), first[mine].tolist(), end[mine].tolist())])
-            rows.append({"part": int(to[a]), "shard": key, "blob": _pack(np.frombuffer(blob, np.uint8), "u1"), "sizes": _pack(end[mine] - first[mine] - 1 + length, "<i4"), "ids": _pack(ids[a:b], "<i8")})
+            mine, at = one[a:b], by[upto[a] : upto[b]]
+            blob = b"".join([shard.data[s][x : y - 1 + length].tobytes() for s, x, y in zip(slices[mine].tolist(), first[mine].tolist(), end[mine].tolist())])
+            places = np.concatenate([number[at] - a, docs_[at], first[at]])
+            rows.append({
+                "part": int(to[a]), "shard": key, "blob": _pack(np.frombuffer(blob, np.uint8), "u1"), "sizes": _pack(end[mine] - first[mine] - 1 + length, "<i4"),
+                "ids": _pack(ids[a:b], "<i8"), "tags": _pack(route[mine] & np.uint64(0xFFFFFFFF), "<u4"), "places": _pack(places, "<i4"),
+            })
         return _batch(rows, _PIECES)
 
     def index(table: pa.Table) -> pa.Table:
-        senders = table.column("shard").to_pylist()
-        blobs, sizes, ids = (table.column(c).to_pylist() for c in ("blob", "sizes", "ids"))
-        found = index_shard([(_unpack(x, "u1"), _unpack(y, "<i4"), _unpack(z, "<i8")) for x, y, z in zip(blobs, sizes, ids)], length, block_bytes)
+        senders, places = table.column("shard").to_pylist(), table.column("places").to_pylist()
+        columns = (map(lambda x, kind=kind: _unpack(x, kind), table.column(c).to_pylist()) for c, kind in (("blob", "u1"), ("sizes", "<i4"), ("ids", "<i8"), ("tags", "<u4")))
+        found = index_shard(list(zip(*columns)), length, block_bytes)
         part = table.column("part")[0].as_py()
-        return _batch([{"shard": s, "kind": RUNS, "part": part, "a": _pack(n, "<i4"), "b": _pack(w, "<i4"), "c": _pack(v, "<i8"), "size": len(n)} for s, (n, w, v) in zip(senders, found)], _CODES)
+        return _batch([{"shard": s, "kind": RUNS, "part": part, "a": _pack(n, "<i4"), "b": _pack(w, "<i4"), "c": _pack(v, "<i8"), "places": p, "size": len(n)} for s, p, (n, w, v) in zip(senders, places, found)], _CODES)
 
-    known = copies.unionByName(codes)
-    pieces = by_shard.cogroup(known.groupBy("shard")).applyInArrow(send_pieces, _ddl(_PIECES))
+    pieces = by_shard.cogroup(copies.unionByName(codes).groupBy("shard")).applyInArrow(send_pieces, _ddl(_PIECES))
     runs = pieces.groupBy("part").applyInArrow(index, _ddl(_CODES))
 
     def mark(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _batch([], _RESULT)
-        shard = Shard(left, right, length)
+        shard = Shard(left, right, length, scan=False)
         covered = [np.zeros(len(d) + 1, np.int64) for d in shard.data]
-        returned = [r for r in right.to_pylist() if r["kind"] == RUNS]
-        if returned:
-            to, number, (base, first, end, docs_, *_) = shard.distinct(codes_of(shard, right), indexes)
-            returned.sort(key=lambda r: r["part"])
-            n, widths, values = (np.concatenate([_unpack(r[c], kind) for r in returned]).astype(np.int64) for c, kind in (("a", "<i4"), ("b", "<i4"), ("c", "<i8")))
+        for kind, a, b, c, places in zip(*(right.column(x).to_pylist() for x in ("kind", "a", "b", "c", "places"))):
+            if kind != RUNS:
+                continue
+            n, widths, values = _unpack(a, "<i4").astype(np.int64), _unpack(b, "<i4").astype(np.int64), _unpack(c, "<i8")
+            number, docs_, first = _unpack(places, "<i4").astype(np.int64).reshape(3, -1)
             begin = np.cumsum(n) - n
             begins_at = np.cumsum(widths) - widths
             # All runs of all pieces; those of a smaller id cover their windows' bytes.
@@ -445,8 +470,9 @@ def find(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: st
             piece, run = piece[take], run[take]
             from_ = first[piece] + begins_at[run] - begins_at[begin[number[piece]]]
             upto = from_ + widths[run] - 1 + length
-            for k in range(len(covered)):
-                mine = base[piece] == k
+            slices = shard.slice_of(docs_[piece])
+            for k in np.unique(slices).tolist():
+                mine = slices == k
                 np.add.at(covered[k], from_[mine], 1)
                 np.add.at(covered[k], upto[mine], -1)
         spans, digests, sizes = [], [], []
@@ -461,5 +487,7 @@ def find(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: st
                 sizes.append(b - a)
         return pa.Table.from_arrays([left.column("doc_id").combine_chunks(), pa.array(sizes, pa.int64()), pa.array(spans, _RESULT.field("spans").type), pa.array(digests, pa.string())], schema=_RESULT)
 
-    both = known.unionByName(runs)
-    return by_shard.cogroup(both.groupBy("shard")).applyInArrow(mark, _ddl(_RESULT))
+    found = cut(by_shard.cogroup(copies.unionByName(runs).groupBy("shard")).applyInArrow(mark, _ddl(_RESULT)))
+    spark.sql(f"DROP TABLE {table}")
+    discard(spark, f"{shared_dir(spark)}/tidelake/{table}")
+    return found

@@ -15,11 +15,11 @@ def suffix_array(text: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.nda
     Suffixes are first sorted by seven bytes.  Then only groups not yet told apart
     are sorted again, by the rank of what follows, at twice the depth each time."""
     n = len(text)
-    key = np.zeros(n, np.uint64)
-    wide = text.astype(np.uint64) + np.uint64(1)
-    for k in range(_FIRST):
-        key <<= np.uint64(9)
-        key[: n - k] |= np.where(left[: n - k] > k, wide[k:], np.uint64(0))
+    key = text.astype(np.uint64) + np.uint64(1)
+    for have, more in ((1, 1), (2, 2), (4, 3)):  # to two, four and seven bytes, each from what the position after has
+        ahead = np.zeros(n, np.uint64)
+        ahead[: max(n - have, 0)] = key[have:] >> np.uint64(9 * (have - more))
+        key = (key << np.uint64(9 * more)) | np.where(left > have, ahead, np.uint64(0))
     order = np.argsort(key, kind="stable")
     fresh = np.ones(n, bool)
     fresh[1:] = key[order[1:]] != key[order[:-1]]
