@@ -40,12 +40,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """As ``cut``, but as compressed Parquet: for tables that carry texts."""
+def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """As ``cut``, but as compressed Parquet, for tables that carry texts; and its folder, to ``discard`` when done."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidelake/{uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """As ``stored_at``, where a later step of the same job still reads the copy."""
+    return stored_at(df)[0]
 
 
 def discard(spark: SparkSession, path: str) -> None:

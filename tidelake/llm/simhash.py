@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from tidelake.llm import words as W
 from tidelake.llm.components import components
-from tidelake.llm.runtime import cut, free_name, joinable, stored
+from tidelake.llm.runtime import cut, discard, free_name, joinable, stored_at
 
 SEED = 42
 BITS = 64
@@ -246,34 +246,6 @@ def hex_digits(fingerprint: F.Column) -> F.Column:
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
 
 
-def _sampled_keys(counts: np.ndarray, base: np.ndarray, hashes: np.ndarray, sample: int, most: int) -> list[list[int]]:
-    """For each text, keys of its samples: the SimHash of the shingles whose hash falls in one of up to
-    ``most`` classes of about ``sample`` shingles each, at the two scales next to the text's length."""
-    out: list[list[int]] = [[] for _ in counts]
-    if not len(hashes):
-        return out
-    of = np.repeat(np.arange(len(counts)), counts)
-    spread = W.mix(hashes ^ np.uint64(0x5EED))
-    scale = np.maximum(np.floor(np.log2(np.maximum(counts, 1) / sample)), 0).astype(np.int64)
-    for step in (0, 1):
-        level = (scale + step)[of].astype(np.uint64)
-        cell = spread & ((np.uint64(1) << level) - np.uint64(1))
-        use = np.flatnonzero(cell < most)
-        order = use[np.lexsort((cell[use], of[use]))]
-        if not len(order):
-            continue
-        group = np.flatnonzero(np.append(True, (of[order][1:] != of[order][:-1]) | (cell[order][1:] != cell[order][:-1])))
-        bits = np.unpackbits(hashes[order].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        sums = np.add.reduceat(bits, group, axis=0, dtype=np.int32)
-        sizes = np.diff(np.append(group, len(order)))
-        fps = np.packbits((2 * sums > sizes[:, None]).astype(np.uint8), axis=1, bitorder="little").view("<u8")[:, 0]
-        first = order[group]
-        keys = W.mix(fps ^ W.mix(level[first] * np.uint64(1 << 20) + cell[first] + np.uint64(1)))
-        for doc, key in zip(of[first].tolist(), keys.view(np.int64).tolist()):
-            out[doc].append(key)
-    return out
-
-
 def _distinct(counts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of each text: the text of each, in ascending order, and its hash."""
     of = np.repeat(np.arange(len(counts)), counts)
@@ -287,7 +259,7 @@ def _distinct(counts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.nd
 def common_shingles(docs: DataFrame, size: int, rows: int = 20_000, least: int = 3, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several texts of a sample have, sorted, and in how many they are.
 
-    They only order the shingles for ``prefixes``: what is missing here costs time, not results."""
+    They only order the shingles for ``sketches``: what is missing here costs time, not results."""
     n = docs.count()
     some = docs.select("text").sample(min(1.0, rows / max(n, 1)), seed=SEED)
 
@@ -302,7 +274,23 @@ def common_shingles(docs: DataFrame, size: int, rows: int = 20_000, least: int =
     return hashes[order], found.column("count").to_numpy()[order]
 
 
-def _prefixes(counts: np.ndarray, hashes: np.ndarray, least: float, common: tuple[np.ndarray, np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+def sketch_sizes(n: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
+    """How many of its first shingles a text of ``n`` distinct ones, ``common`` of them common, must show.
+
+    Of two sets that share ``least`` of their union, at most that rest of the union is
+    in one only.  So one of the first n - ceil(least * n) + 1 in any order is shared.
+    Shingles that are not common stand first, in the order of their hashes, and each of
+    them is in one set only with a chance of (1 - least) / least * n / (n - common) at
+    most, whatever came before.  After so many that all being so is less likely than
+    that two shingles have one 64-bit hash, no more are needed."""
+    exact = np.where(n > 0, n - np.ceil(least * n - 1e-9).astype(np.int64) + 1, 0)
+    alone = (1 - least) / least * n / np.maximum(n - common, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        enough = np.where(alone < 1, np.ceil(BITS * np.log(2) / -np.log(np.maximum(alone, 1e-300))), np.inf)
+    return np.minimum(exact, enough).astype(np.int64)
+
+
+def _sketches(counts: np.ndarray, hashes: np.ndarray, least: float, common: tuple[np.ndarray, np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """For each text its first shingles in the order of ``common``, the number of its distinct ones,
     a hash of their set, and a word with one bit flipped for each of them."""
     of, hashes = _distinct(counts, hashes)
@@ -316,113 +304,147 @@ def _prefixes(counts: np.ndarray, hashes: np.ndarray, least: float, common: tupl
     sets, flips = np.zeros(len(counts), np.uint64), np.zeros(len(counts), np.uint64)
     np.add.at(sets, of, mixed)
     np.bitwise_xor.at(flips, of, np.uint64(1) << (mixed >> np.uint64(58)))
-    ordered = hashes[np.lexsort((hashes, rank, of))].view(np.int64)
+    # Within a text the hashes ascend already, so texts with no common shingle are in order.
+    late = np.flatnonzero(np.bincount(of, rank, len(counts))[of] > 0)
+    ordered = hashes.copy()
+    ordered[late] = hashes[late][np.lexsort((hashes[late], rank[late], of[late]))]
     first = np.cumsum(n) - n
-    # Two sets that share ``least`` of their union share that part of either one.
-    length = np.where(n > 0, n - np.ceil(least * n - 1e-9).astype(np.int64) + 1, 0)
-    return [ordered[a : a + k] for a, k in zip(first.tolist(), length.tolist())], n, sets.view(np.int64), flips.view(np.int64)
+    sizes = sketch_sizes(n, np.bincount(of, rank > 0, len(counts)), least)
+    ordered = ordered.view(np.int64)
+    return [ordered[a : a + k] for a, k in zip(first.tolist(), sizes.tolist())], n, sets.view(np.int64), flips.view(np.int64)
 
 
-def sampled(docs: DataFrame, size: int = 5, sample: int = 8, most: int = 16, least: float = 0.8) -> DataFrame:
-    """``(doc_id, fp, keys, n, shingles, flips, prefix)`` of ``docs(doc_id, text)``: the fingerprint of the
-    whole text, those of its samples, and what ``rest`` needs to find all pairs."""
+def sketches(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
+    """``(doc_id, fp, n, shingles, flips, sketch)`` of ``docs(doc_id, text)``: the fingerprint of the
+    text, the number of its distinct shingles, a hash and parities of their set, and the first of them."""
     common = common_shingles(docs, size)
     longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(4)]
-            keys, prefixes = [], []
-            for counts, base, hashes, own in _shingles(batch.column(1), size):
-                keys += _sampled_keys(counts, base, hashes, sample, most)
-                prefix, *numbers = _prefixes(counts, hashes, least, common)
-                prefixes += prefix
+            shown: list[np.ndarray] = []
+            for counts, _, hashes, own in _shingles(batch.column(1), size):
+                sketch, *numbers = _sketches(counts, hashes, least, common)
+                shown += sketch
                 for column, values in zip(columns, (own.view(np.int64), *numbers)):
                     column.append(values)
             fps, n, sets, flips = (pa.array(np.concatenate(c)) for c in columns)
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps, pa.array(keys, longs), n, sets, flips, pa.array(prefixes, longs)], names=["doc_id", "fp", "keys", "n", "shingles", "flips", "prefix"])
-
-    long, several = T.LongType(), T.ArrayType(T.LongType())
-    kinds = {"fp": long, "keys": several, "n": long, "shingles": long, "flips": long, "prefix": several}
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], *(T.StructField(c, t) for c, t in kinds.items())]))
-
-
-def rest(rows: DataFrame, known: DataFrame, least: float, crowd: int = 2_000) -> DataFrame:
-    """Candidates ``(a, b)``: all pairs of ``rows`` that share ``least`` of their shingles and that ``known(node, root)`` leaves apart.
-
-    With shingles in one order for all texts, such a pair has one in common among
-    the first of each, and the first it has in common leaves enough behind it in
-    both.  One text stands for all of the same shingles.  A shingle of more than
-    ``crowd`` texts is dealt out: one side in parts, the other to each part."""
-    one = rows.where("n > 0").groupBy("fp", "shingles").agg(F.min(F.struct("doc_id", "prefix")).alias("r")).select("r.*")
-    one = one.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    # Slim rows, dealt once: most shingles are in one text only and go before anything is joined to them.
-    listed = one.select("doc_id", "root", F.posexplode("prefix").alias("at", "token")).repartition("token")
-    # A shingle that only one group has makes no pair.
-    shared = listed.groupBy("token").agg(F.count("*").alias("many"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    listed = listed.join(shared.select("token", F.ceil(F.col("many") / crowd).cast("int").alias("parts")), "token")
-    listed = stored(listed.join(rows.select("doc_id", "n", "flips").distinct(), "doc_id"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), fps, n, sets, flips, pa.array(shown, longs)], names=["doc_id", "fp", "n", "shingles", "flips", "sketch"])
+
+    fields = [T.StructField(c, T.LongType()) for c in ("fp", "n", "shingles", "flips")]
+    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], *fields, T.StructField("sketch", T.ArrayType(T.LongType()))]))
+
+
+def _possible(n: str, m: str, flips: str, other: str, least: float) -> F.Column:
+    """Can two sets of ``n`` and ``m`` shingles with these parities share ``least`` of their union?"""
+    need = F.ceil((F.col(n) + F.col(m)) * (least / (1 + least)) - 1e-6)
+    differ = F.bit_count(F.col(flips).bitwiseXOR(F.col(other)))
+    return (F.least(n, m) >= need) & (differ <= F.col(n) + F.col(m) - 2 * need)
+
+
+def shared_shingles(one: DataFrame) -> DataFrame:
+    """``(token, first, doc_id, at)``: the shingles that several sketches show, the smallest id that
+    shows each, and each text that does with its place there.  Most are in one text only and go here:
+    counts are combined before they are shuffled, and a shingle of very many texts is a skewed key of a join, which is split."""
+    listed = one.select("doc_id", F.posexplode("sketch").alias("at", "token"))
+    many = listed.groupBy("token").agg(F.count("*").alias("many"), F.min("doc_id").alias("first")).where("many > 1")
+    return listed.join(many.select("token", "first"), "token").select("token", "first", "doc_id", F.col("at").cast("int").alias("at"))
+
+
+def first_pairs(shared: DataFrame, one: DataFrame, least: float) -> DataFrame:
+    """Candidates ``(a, b)``: each text with the first one of each shingle of its sketch."""
+    pairs = shared.where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
+    facts = one.select("doc_id", "n", "flips")
+    a, b = (facts.select(*(F.col(c).alias(f"{x}{c}") for c in facts.columns)) for x in ("a_", "b_"))
+    met = pairs.join(a, F.col("a") == F.col("a_doc_id")).join(b, F.col("b") == F.col("b_doc_id"))
+    return met.where(_possible("a_n", "b_n", "a_flips", "b_flips", least)).select("a", "b")
+
+
+def rest(shared: DataFrame, one: DataFrame, known: DataFrame, least: float, crowd: int = 2_000) -> DataFrame:
+    """Candidates ``(a, b)``: all pairs of ``one`` that may share ``least`` of their shingles and that ``known(node, root)`` leaves apart.
+
+    Such a pair shows a shingle that both have, and the first it has in common leaves
+    enough behind it in both.  A shingle of more than ``crowd`` texts is dealt out: one
+    side in parts, the other to each part."""
+    facts = one.select("doc_id", "n", "flips").join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    listed = shared.select("token", "doc_id", "at").join(facts, "doc_id")
+    # A shingle that only one group shows makes no pair.
+    apart = listed.groupBy("token").agg(F.count("*").alias("many"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    listed = cut(listed.join(apart.select("token", F.ceil(F.col("many") / crowd).cast("int").alias("parts")), "token"))
     left = listed.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     right = listed.select("token", *(F.col(c).alias(f"{c}_2") for c in ("doc_id", "root", "n", "flips", "at")), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     need = F.ceil((F.col("n") + F.col("n_2")) * (least / (1 + least)) - 1e-6)
     fits = (F.col("n") - F.col("at") >= need) & (F.col("n_2") - F.col("at_2") >= need)
-    differ = F.bit_count(F.col("flips").bitwiseXOR(F.col("flips_2")))
-    met = left.join(right, ["token", "part"]).where((F.col("doc_id") < F.col("doc_id_2")) & (F.col("root") != F.col("root_2")) & fits & (differ <= F.col("n") + F.col("n_2") - 2 * need))
-    return cut(met.select(F.col("doc_id_2").alias("a"), F.col("doc_id").alias("b")).distinct())
+    met = left.join(right, ["token", "part"]).where((F.col("doc_id") < F.col("doc_id_2")) & (F.col("root") != F.col("root_2")) & fits & _possible("n", "n_2", "flips", "flips_2", least))
+    return met.select(F.col("doc_id_2").alias("a"), F.col("doc_id").alias("b")).distinct()
 
 
-def similarity(pairs: DataFrame, size: int) -> DataFrame:
-    """``pairs(a, b, a_text, b_text)`` to ``(a, b, similarity)``: shared part of their shingles, each counted once."""
+def similar(docs: DataFrame, pairs: DataFrame, size: int, least: float, share: int = 256) -> DataFrame:
+    """Those of ``pairs(a, b)`` of ``docs(doc_id, text)`` whose texts share ``least`` of their shingles, each counted once.
 
-    def sets(column: pa.Array) -> list[np.ndarray]:
-        return [np.unique(h) for counts, base, hashes, _ in _shingles(column, size) for h in np.split(hashes, base[1:-1])]
+    A text goes out once for each pair as ``a``, and as ``b`` once for every ``share``
+    of its pairs: they follow it through one task, which holds the shingles of one ``b``."""
+    spark = docs.sparkSession
+    pairs = cut(pairs)
+    ids = joinable(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    bodies, path = stored_at(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"))
+    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / share).cast("int").alias("parts"))
+    spread = pairs.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    held = parts.join(bodies.withColumnRenamed("doc_id", "b"), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast(pairs.schema["a"].dataType).alias("a"), "text")
+    sent = spread.join(bodies.withColumnRenamed("doc_id", "a"), "a").select("b", "part", "a", "text")
+    lines = held.unionByName(sent).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        last = None
         for batch in batches:
-            both = zip(sets(batch.column(2)), sets(batch.column(3)))
-            shared = [len(np.intersect1d(x, y, assume_unique=True)) / max(len(np.union1d(x, y)), 1) for x, y in both]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.float64())], names=["a", "b", "similarity"])
-
-    ids = [T.StructField(c, pairs.schema[c].dataType) for c in ("a", "b")]
-    return pairs.select("a", "b", "a_text", "b_text").mapInArrow(run, T.StructType([*ids, T.StructField("similarity", T.DoubleType())]))
-
-
-def near_copies(docs: DataFrame, size: int = 5, least: float = 0.8, loose: int = 20) -> DataFrame:
+            sets = [np.unique(h) for counts, base, hashes, _ in _shingles(batch.column(3), size) for h in np.split(hashes, base[1:-1])]
+            out: list[tuple] = []
+            for a, b, own in zip(batch.column(2).to_pylist(), batch.column(0).to_pylist(), sets):
+                if a is None:  # rows of one id with different texts stand for it each
+                    held = held if b == last else []
+                    if not any(np.array_equal(own, other) for other in held):
+                        held.append(own)
+                    last = b
+                    continue
+                for other in held:
+                    shared = len(np.intersect1d(own, other, assume_unique=True))
+                    if shared >= least * (len(own) + len(other) - shared) - 1e-9 and shared:
+                        out.append((a, b))
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], batch.schema.field(c).type) for k, c in ((0, 2), (1, 0))], names=["a", "b"])
+
+    found = cut(lines.mapInArrow(run, T.StructType([T.StructField(c, pairs.schema[c].dataType) for c in ("a", "b")])))
+    discard(spark, path)
+    return found
+
+
+def near_copies(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
     """``(doc_id, root)``: the smallest id of each document's group of near copies, for ids in a group of several.
 
-    Fingerprints within 2 bits link as in ``cluster``, and texts that share ``least``
-    of their shingles.  Most of these agree in the fingerprint of some sample of
-    their shingles: each meets the first text that has the same one there, if their
-    whole fingerprints are no more than ``loose`` bits apart.  That only saves work:
-    ``rest`` finds all pairs between the groups so far."""
-    rows = cut(sampled(docs, size, least=least).where(F.col("doc_id").isNotNull()))
+    Fingerprints within 2 bits link as in ``cluster``, and texts that share ``least`` of
+    their shingles.  Each text shows the first of its shingles (``sketch_sizes``), so
+    that all such pairs meet at one.  There each is first compared with the smallest id
+    only, which joins the members of large groups, and then with all those that are
+    still in other groups (``rest``).  Every pair is verified by its texts."""
+    rows = cut(sketches(docs, size, least).where(F.col("doc_id").isNotNull()))
     fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    close = components(links(fps.select("fp")))
-    known = fps.join(close.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    known = cut(known)
-    by_root = known.groupBy("root").agg(F.min("first").alias("b"))
-    by_fp = known.join(by_root, "root").select("fp", "b")
-    same = rows.join(by_fp, "fp").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
-    listed = rows.select("doc_id", "fp", F.explode("keys").alias("key"))
-    first = listed.groupBy("key").agg(F.min(F.struct("doc_id", "fp")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", F.col("first.doc_id").alias("b"), F.col("first.fp").alias("b_fp"))
-    apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("b_fp")))
-    met = listed.join(first, "key").where((apart > 0) & (apart <= loose) & (F.col("doc_id") != F.col("b")))
-    pairs = cut(met.select(F.col("doc_id").alias("a"), "b").distinct())
-    early = cut(components(same.unionByName(_verified(docs, pairs, size, least))))
-    late = _verified(docs, rest(rows, early, least), size, least)
+    close = links(fps.select("fp"))
+    named = fps.select(F.col("fp").alias("a"), F.col("first").alias("a_id")), fps.select(F.col("fp").alias("b"), F.col("first").alias("b_id"))
+    close = close.join(named[0], "a").join(named[1], "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    same = rows.join(fps, "fp").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    # One text stands for all of the same shingles.
+    one = rows.where("n > 0").groupBy("fp", "shingles").agg(F.min(F.struct("doc_id", "n", "flips", "sketch")).alias("r")).select("r.*")
+    one = cut(one)
+    shared = cut(shared_shingles(one))
+    early = similar(docs, first_pairs(shared, one, least), size, least)
+    early = cut(components(same.unionByName(close).unionByName(early)))
+    late = similar(docs, rest(shared, one, early, least), size, least)
     found = components(early.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late))
     return found.select(F.col("node").alias("doc_id"), "root")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, size: int, least: float) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose texts share ``least`` of their shingles."""
-    ids = joinable(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    bodies = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    bodies = stored(bodies)
-    texts = pairs.join(bodies.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a").join(bodies.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
-    return similarity(texts, size).where(F.col("similarity") >= least).select("a", "b")
-
-
 def keep_first(docs: DataFrame, size: int = 5, least: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group of near copies, the one of the smallest id, with its own columns.
 
