@@ -415,13 +415,23 @@ def test_very_large_tables_keep_exact_sums(monkeypatch):
 
 
 def edit_distance(a, b):
-    row = list(range(len(b) + 1))
+    """Letters put in, left out, exchanged, or two that change places."""
+    rows = [list(range(len(b) + 1))]
     for i, x in enumerate(a, 1):
         new = [i]
         for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
+            new.append(min(rows[-1][j] + 1, new[-1] + 1, rows[-1][j - 1] + (x != y)))
+            if i > 1 and j > 1 and (x, y) == (b[j - 2], a[i - 2]):
+                new[-1] = min(new[-1], rows[-2][j - 2] + 1)
+        rows.append(new)
+    return rows[-1][-1]
+
+
+def test_one_edit_is_edit_distance():
+    rng = random.Random(4)
+    for _ in range(3000):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 5))) for _ in range(2))
+        assert toxicity.one_edit(a, b) == (edit_distance(a, b) <= 1), (a, b)
 
 
 def test_automaton_is_levenshtein():
@@ -432,7 +442,10 @@ def test_automaton_is_levenshtein():
         w = list(rng.choice(lexicon.words + lexicon.stems + lexicon.weak))
         for _ in range(rng.choice([0, 1, 1, 2])):
             k = rng.randrange(len(w) + 1)
-            w[k : k + rng.randint(0, 1)] = rng.choice(["", "a", "ñ", "x"])
+            if rng.random() < 0.3:
+                w[k : k + 2] = w[k : k + 2][::-1]
+            else:
+                w[k : k + rng.randint(0, 1)] = rng.choice(["", "a", "ñ", "x"])
         w = "".join(w) + rng.choice(["", "", "a", "xyz"])
         if not w:
             continue
@@ -478,9 +491,42 @@ def test_toxicity_on_held_out_rows(spark, abuse):
 
 def test_quotation_and_misspelling_weigh_less(abuse):
     model, _ = abuse
-    plain, quoted, near, none = (model.features(t) for t in ("you grobnak of the river", 'he said "you grobnak of" the river', "you grobnakk of the river", None))
-    a, b, c, d = model.score(np.array([x[0] for x in (plain, quoted, near, none)]))
-    assert quoted[2] == 1 and near[3] == 1 and a > b > d and a > c > d
+    plain, quoted, said, near, none = (model.features(t) for t in ("you grobnak of the river", 'and "you grobnak of" the river', "he said you grobnak of the river", "you grobnakk of the river", None))
+    a, b, c, d, e = model.score(np.array([x[0] for x in (plain, quoted, said, near, none)]))
+    assert quoted[2] == said[2] == 1 and near[3] == 1 and a > b > e and a > c > e and a > d > e
+
+
+def test_misspellings_and_quotations_decide_held_out_rows(spark, abuse, monkeypatch):
+    """Abuse in misspelled terms only, and the same terms in reported speech: without its two parts the method gets them wrong."""
+    model, _ = abuse
+    rng = random.Random(12)
+    filler = lambda n: " ".join(rng.choice(["river", "stone", "light", "walk"]) for _ in range(n))
+    misspelled = [f"{filler(5)} you grobnka {filler(6)} snivlard {filler(4)} groobnak" for _ in range(20)]
+    reported = [f'{filler(6)} he said "you grobnak" {filler(8)} she wrote "a snivelard" {filler(4)}' for _ in range(20)]
+    predict = lambda m, texts: m.score(np.array([m.features(t)[0] for t in texts])) >= 0.7
+    assert predict(model, misspelled).all() and not predict(model, reported).any()
+    exact = toxicity.Model(toxicity.Lexicon(model.lexicon.words, model.lexicon.stems, model.lexicon.weak, set()), model.weights)
+    assert not predict(exact, misspelled).any()
+    monkeypatch.setattr(toxicity, "QUOTED", 1.0)
+    assert predict(model, reported).all()
+
+
+def test_words_close_to_clean_ones_are_not_misspellings(spark):
+    rows = [(k, "river stone " + ("grobnak walk" if k % 4 == 0 else "grobnat light") + f" w{k % 7} snivelard" * (k % 4 == 0), int(k % 4 == 0)) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.drop("toxic"), docs.select("doc_id", "toxic"), toxicity.Settings(least_contexts=1))
+    assert {"grobnak", "snivelard"} <= set(model.lexicon.words) and "snivelard" in model.lexicon.loose and "grobnak" not in model.lexicon.loose
+
+
+def test_lexicon_has_no_size_limit(spark):
+    """More entries than any table of them would have by chance: all are learned."""
+    rng = random.Random(3)
+    terms = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(4)) for _ in range(400)]
+    rows = [(3 * k, " ".join(f"w{rng.randrange(50)} {t}" for t in rng.sample(terms, 60)) if k % 4 == 0 else " ".join(f"w{rng.randrange(50)}" for _ in range(60)), int(k % 4 == 0)) for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    sample = docs.select("text", "toxic")
+    lexicon = toxicity.learn_lexicon(sample, sum(r[2] for r in rows), sum(1 - r[2] for r in rows), toxicity.Settings())
+    assert all(t in lexicon.words or any(t.startswith(x) for x in lexicon.stems) for t in terms)
 
 
 # --- pages ---------------------------------------------------------------------------

@@ -1,7 +1,9 @@
 """Results that must be whole: against plain Python, on the small inputs where short cuts lose most."""
 
 import random
+import time
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -85,3 +87,75 @@ def test_parts_beside_the_article_stay_closed():
     assert html_extract.main_text(page)[0] == "\n".join(SENTENCES)
     assert html_extract.main_text("<body><div style='display:none' class='form'>" + STORY + "</div></body>")[0] == ""
     assert html_extract.main_text("<body><div class='menu'><a>Home</a> <a>News</a></div></body>")[0] == ""
+
+
+MENU = "<div><a href=/>Home</a> <a href=/n>News</a> <a href=/a>About us</a></div>"
+PLAIN = "<body><table><tr><td>" + MENU + "</td></tr></table><div><h2>A head</h2><p>The lead, which is long enough to count.</p><div>" + STORY + "<ul><li>one</li><li>two</li></ul><p>Short.</p>" + STORY + "</div></div>" + MENU + "<div>All rights with us</div></body>"
+
+
+def test_paths_over_the_threshold_are_chosen(monkeypatch):
+    """No tag, class or id says what is the article; without the ratios the menus come along."""
+    want = "\n".join(["A head", "The lead, which is long enough to count.", *SENTENCES, "one", "two", "Short.", *SENTENCES])
+    assert html_extract.main_text(PLAIN)[0] == want
+    monkeypatch.setattr(html_extract, "path_scores", lambda page, nodes: np.ones(len(nodes)))
+    assert html_extract.main_text(PLAIN)[0] != want
+
+
+def random_page(rng):
+    def part(depth):
+        kind = rng.choice(["div", "p", "ul", "section", "span", "b", "text", "text", "text"]) if depth < 6 else "text"
+        if kind == "text":
+            return " ".join(rng.choice(["word", "more,", "end.", "x"]) for _ in range(rng.randint(0, 12)))
+        return f"<{kind}>" + "".join(part(depth + 1) for _ in range(rng.randint(0, 4))) + f"</{kind}>"
+
+    return "".join(part(0) for _ in range(6))
+
+
+def test_path_scores_are_those_of_plain_python():
+    rng = random.Random(7)
+    for _ in range(60):
+        page = html_extract.parse(random_page(rng))
+        paths = []
+        for e in page.element:
+            path = []
+            while e:
+                path.insert(0, page.tag[e])
+                e = page.parent[e]
+            paths.append(path)
+        texts = [" ".join(t.split()) for t in page.text]
+        same = [[j for j in range(len(paths)) if paths[j] == p] for p in paths]
+        filled = [max(sum(bool(texts[j]) for j in g), 1) for g in same]
+        mean = [sum(len(texts[j]) for j in g) / n for g, n in zip(same, filled)]
+        spread = [max(sum(len(texts[j]) ** 2 for j in g) / n - m * m, 0) ** 0.5 for g, n, m in zip(same, filled, mean)]
+        pointed = [sum(texts[j].count(",") + texts[j].count(".") for j in g) / n for g, n in zip(same, filled)]
+
+        def like(a, b):
+            shared = 0
+            while shared < min(len(a), len(b)) and a[shared] == b[shared]:
+                shared += 1
+            return 1 if a == b else shared / max(len(a), len(b), 1)
+
+        def smooth(values):
+            out = []
+            for k in range(len(values)):
+                around = [(k, 1.0)] + [(k + s, w * like(paths[k], paths[k + s])) for s, w in ((-2, 0.15), (-1, 0.6), (1, 0.6), (2, 0.15)) if 0 <= k + s < len(values)]
+                out.append(sum(w * values[j] for j, w in around) / sum(w for _, w in around))
+            return out
+
+        want = [a * (1 + b) for a, b in zip(smooth([m + s for m, s in zip(mean, spread)]), smooth(pointed))]
+        assert html_extract.path_scores(page, np.arange(len(paths))).tolist() == pytest.approx(want)
+
+
+@pytest.mark.parametrize("page", ["<div>text here, now. " * 10_000, "<div class=ad>text, now. " * 10_000, "<form>x, y. " * 10_000, "<b>x " * 10_000 + "<p>y" * 10_000, "<!-- " + "x" * 1_000_000, "<p>" + "long, text. " * 200_000])
+def test_deep_and_long_pages_take_linear_time(page):
+    began = time.perf_counter()
+    html_extract.main_text(page)
+    assert time.perf_counter() - began < 5
+
+
+def test_empty_and_repeated_pages(spark):
+    empty = spark.createDataFrame([], "page_id long, html string")
+    assert html_extract.extract(empty).count() == 0
+    row = (1, "<article><p>Words, here.</p></article>")
+    out = html_extract.extract(spark.createDataFrame([row, row], "page_id long, html string")).collect()
+    assert [r["main"]["text"] for r in out] == ["Words, here."] * 2

@@ -5,23 +5,33 @@ root.  For each path, text length and punctuation are added up and divided by
 the number of its nodes: articles have long, punctuated nodes under few paths,
 menus short bare ones.  Both ratios are smoothed along the page over neighbouring
 nodes with like paths, fused to one score, and held against a threshold from the
-page's own spread.  The container that holds the most score is the article; its
-nodes count, however short, unless their own path says they are something else
-(a menu, a form, a notice, a reader's comment, ...).
+page's own spread.
+
+Blocks with a node over the threshold are the content, wherever they stand.  Blocks
+under it (headings, short paragraphs, list items) come along if they lie between
+content blocks, or head them, in the deepest element that holds nearly all of the
+content; but not rows of links, which paths under the threshold make a menu.  Tags,
+roles, classes and ids are what is known before: parts that they name as something
+else (a menu, a form, a notice, a reader's comment, ...) are left out, and an
+``article`` or ``main`` that holds much of the content is the element to look in.
+
+Work is linear in the page: paths are numbers in a tree, and sums go up it once.
 
 Defined results: a null or empty page gives an empty text; so does one without
 text outside such parts, unless one such part, by its class, id or as a form, wraps
 nearly all sentences of the page; broken markup and cut-off pages are read as browsers do
 it: an open paragraph ends at the next block, unknown references stay as they
-are; repeated rows give repeated results; columns of any name pass through.
+are; very long and very deep pages are read whole; repeated rows give repeated
+results; an empty table gives an empty result; columns of any name pass through.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -55,19 +65,46 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECAS
 _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?。、，！？；：]")
 
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
 PAGE = T.StructType([T.StructField("text", T.StringType(), False), T.StructField("n_nodes", T.LongType(), False), T.StructField("n_kept", T.LongType(), False)])
 
 
 @dataclass
-class Node:
-    """A text node: its path, the number of its block, whether a part outside the article holds it for
-    certain, and the elements around it that are such parts by their class, id or as a form."""
+class Page:
+    """Text nodes in order, and the elements they stand in; element 0 is the page, path 0 that of no tag.
+
+    ``mark`` is the nearest element around, itself included, that its class or id, or being a form,
+    names as no part of the article; ``outside`` says so for certain."""
+
+    text: list[str] = field(default_factory=list)
+    element: list[int] = field(default_factory=list)
+    block: list[int] = field(default_factory=list)
+    tag: list[str] = field(default_factory=lambda: [""])
+    parent: list[int] = field(default_factory=lambda: [0])
+    path: list[int] = field(default_factory=lambda: [0])
+    mark: list[int] = field(default_factory=lambda: [0])
+    outside: list[bool] = field(default_factory=lambda: [False])
+    link: list[bool] = field(default_factory=lambda: [False])
+    article: list[bool] = field(default_factory=lambda: [False])
+    #: Of each path: the one above, and its depth.
+    above: list[int] = field(default_factory=lambda: [0])
+    depth: list[int] = field(default_factory=lambda: [0])
 
-    path: tuple[str, ...]
-    block: int
-    text: str
-    outside: bool
-    marks: tuple[int, ...]
+    def open(self, tag: str, parent: int, paths: dict[tuple[int, str], int], outside: bool, marked: bool) -> int:
+        path = paths.setdefault((self.path[parent], tag), len(self.above))
+        if path == len(self.above):
+            self.above.append(self.path[parent])
+            self.depth.append(self.depth[self.path[parent]] + 1)
+        k = len(self.tag)
+        self.tag.append(tag)
+        self.parent.append(parent)
+        self.path.append(path)
+        self.mark.append(k if marked else self.mark[parent])
+        self.outside.append(self.outside[parent] or outside)
+        self.link.append(self.link[parent] or tag == "a")
+        self.article.append(self.article[parent] or tag == "article")
+        return k
 
 
 def _is_outside(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
@@ -90,18 +127,25 @@ def _is_outside(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool
     return bool(re.search(r"\bhidden\b(?!\s*=)", re.sub(r"=\s*(\"[^\"]*\"|'[^']*')", "", attributes))), marked
 
 
-def parse(page: str) -> list[Node]:
-    """Text nodes of a page in order."""
-    nodes: list[Node] = []
-    stack: list[tuple[str, bool, tuple[int, ...]]] = []  # open tags, whether they or one above is outside, and the marked of these
-    block, at, marks = 0, 0, 0
+def parse(page: str) -> Page:
+    """Text nodes and elements of a page."""
+    out = Page()
+    stack, names, paths = [0], Counter(), {}  # open elements, how many of each tag, paths by the one above and tag
+    block, at = 0, 0
 
-    def close(names: set[str] | frozenset[str], scope: frozenset[str]) -> None:
-        for k in reversed(range(len(stack))):
-            if stack[k][0] in names:
-                del stack[k:]
+    def leave(k: int) -> None:
+        names.subtract(out.tag[e] for e in stack[k:])
+        del stack[k:]
+
+    def close(tags: set[str] | frozenset[str], scope: frozenset[str]) -> None:
+        if not any(names[t] for t in tags):
+            return
+        for k in range(len(stack) - 1, 0, -1):
+            tag = out.tag[stack[k]]
+            if tag in tags:
+                leave(k)
                 return
-            if stack[k][0] in scope:
+            if tag in scope:
                 return
 
     while at < len(page):
@@ -110,17 +154,17 @@ def parse(page: str) -> list[Node]:
         tag = m[2]
         if tag is None:
             text = m[0]
-            if text[:2] in ("<!", "<?"):
-                continue
-            nodes.append(Node(tuple(t for t, *_ in stack), block, text, *(stack[-1][1:] if stack else (False, ()))))
+            if text[:2] not in ("<!", "<?"):
+                out.text.append(text)
+                out.element.append(stack[-1])
+                out.block.append(block)
             continue
         tag = tag.lower()
         if tag not in INLINE:
             block += 1
         if m[1]:
-            if any(t == tag for t, *_ in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            if names[tag]:
+                leave(next(k for k in range(len(stack) - 1, 0, -1) if out.tag[stack[k]] == tag))
             continue
         attributes = m[3] or ""
         if tag in RAW:
@@ -133,87 +177,157 @@ def parse(page: str) -> list[Node]:
             close(IMPLIED[tag], frozenset({"ul", "ol", "table", "dl", "select"}))
         if tag in VOID or attributes.endswith("/") and tag not in ENDS_P:
             continue
-        outside, marked = _is_outside(tag, attributes, any(t == "article" for t, *_ in stack))
-        above, around = stack[-1][1:] if stack else (False, ())
-        marks += marked
-        stack.append((tag, above or outside, (*around, marks) if marked else around))
-    return nodes
-
-
-def path_scores(nodes: list[Node]) -> np.ndarray:
-    """Fused and smoothed tag-path ratios of each node."""
-    lengths = np.array([len(_SPACE.sub(" ", n.text).strip()) for n in nodes], float)
-    marks = np.array([len(_PUNCTUATION.findall(n.text)) for n in nodes], float)
-    codes: dict[tuple[str, ...], int] = {}
-    of = np.array([codes.setdefault(n.path, len(codes)) for n in nodes])
-    filled = np.bincount(of, lengths > 0, len(codes))
-    ratio = np.bincount(of, lengths, len(codes)) / np.maximum(filled, 1)
-    pointed = np.bincount(of, marks, len(codes)) / np.maximum(filled, 1)
-    spread = np.sqrt(np.maximum(np.bincount(of, lengths**2, len(codes)) / np.maximum(filled, 1) - ratio**2, 0))
-
-    def smooth(values: np.ndarray) -> np.ndarray:
-        """Gaussian weights over two nodes each side, less for paths that share less."""
-        out, weights = values.copy(), np.ones(len(values))
-        for step, w in ((1, 0.6), (2, 0.15)):
-            for k in range(len(values) - step):
-                a, b = nodes[k].path, nodes[k + step].path
-                shared = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-                like = w * shared / max(len(a), len(b), 1)
-                out[k] += like * values[k + step]
-                out[k + step] += like * values[k]
-                weights[[k, k + step]] += like
-        return out / weights
-
-    return smooth((ratio + spread)[of]) * (1 + smooth(pointed[of]))
-
-
-def opened(nodes: list[Node], small: float = 0.1) -> set[int]:
+        stack.append(out.open(tag, stack[-1], paths, *_is_outside(tag, attributes, out.article[stack[-1]])))
+        names[tag] += 1
+    return out
+
+
+def path_scores(page: Page, nodes: np.ndarray) -> np.ndarray:
+    """Fused and smoothed tag-path ratios of the text nodes ``nodes``."""
+    texts = [page.text[k] for k in nodes]
+    lengths = np.array([len(_SPACE.sub(" ", t).strip()) for t in texts], float)
+    marks = np.array([len(_PUNCTUATION.findall(t)) for t in texts], float)
+    path = [page.path[page.element[k]] for k in nodes]
+    _, of = np.unique(path, return_inverse=True)
+    filled = np.maximum(np.bincount(of, lengths > 0), 1)
+    ratio, pointed = np.bincount(of, lengths) / filled, np.bincount(of, marks) / filled
+    spread = np.sqrt(np.maximum(np.bincount(of, lengths**2) / filled - ratio**2, 0))
+    first, second = (ratio + spread)[of], pointed[of]
+
+    def shared(a: int, b: int) -> int:
+        """Depth to which two paths are one; no longer than the tags between them."""
+        while a != b:
+            if page.depth[a] >= page.depth[b]:
+                a = page.above[a]
+            else:
+                b = page.above[b]
+        return page.depth[a]
+
+    # Gaussian weights over two nodes each side, less for paths that share less.
+    sums, weights = np.stack([first, second]), np.ones(len(path))
+    values = sums.copy()
+    for step, w in ((1, 0.6), (2, 0.15)):
+        if len(path) <= step:
+            break
+        like = np.array([w if a == b else w * shared(a, b) / max(page.depth[a], page.depth[b], 1) for a, b in zip(path, path[step:])])
+        sums[:, :-step] += like * values[:, step:]
+        sums[:, step:] += like * values[:, :-step]
+        weights[:-step] += like
+        weights[step:] += like
+    return sums[0] / weights * (1 + sums[1] / weights)
+
+
+def opened(page: Page, nodes: np.ndarray, small: float = 0.1) -> set[int]:
     """Marked elements that are the page and not beside it: while a ``small`` part of the weight of
     its sentences is left, the outermost one that holds most of that weight."""
-    nodes = [n for n in nodes if not n.outside]
-    lengths = np.array([len(n.text.strip()) * bool(_PUNCTUATION.search(n.text)) for n in nodes], float)
+    lengths = np.array([len(page.text[k].strip()) * bool(_PUNCTUATION.search(page.text[k])) for k in nodes], float)
+    mark = np.array([page.mark[page.element[k]] for k in nodes], np.int64)
+    if not len(nodes) or lengths[mark == 0].sum() >= small * lengths.sum():
+        return set()
+    weights = path_scores(page, nodes) * lengths
+    total = weights.sum()
+    own: dict[int, float] = {0: 0.0}
+    for m, w in zip(mark.tolist(), weights.tolist()):
+        own[m] = own.get(m, 0.0) + w
+    marked = [k for k in range(1, len(page.mark)) if page.mark[k] == k]
+    held, inner = {k: own.get(k, 0.0) for k in (0, *marked)}, defaultdict(list)
+    for k in reversed(marked):
+        around = page.mark[page.parent[k]]
+        held[around] += held[k]
+        inner[around].append(k)
     out: set[int] = set()
-    if lengths[[not n.marks for n in nodes]].sum() >= small * lengths.sum():
-        return out
-    weights = path_scores(nodes) * lengths
-    while True:
-        held: dict[int, float] = {}
-        for n, w in zip(nodes, weights):
-            around = next((m for m in n.marks if m not in out), 0)
-            held[around] = held.get(around, 0.0) + w
-        best = max(held, key=lambda m: held[m])
-        if held.get(0, 0.0) >= small * weights.sum() or held[best] <= 0.5 * weights.sum():
-            return out
+    free, at = own[0], 0
+    while free < small * total and inner[at]:
+        best = max(inner[at], key=held.__getitem__)
+        if held[best] <= 0.5 * total:
+            break
         out.add(best)
+        free += own.get(best, 0.0)
+        at = best
+    return out
+
 
+def _inside(page: Page) -> np.ndarray:
+    """Text nodes that no part outside the article holds."""
+    certain = np.array([k for k in range(len(page.text)) if not page.outside[page.element[k]]], np.int64)
+    ignored = opened(page, certain)
+    shut = [False] * len(page.tag)
+    for e in range(1, len(page.tag)):
+        shut[e] = shut[page.parent[e]] or page.mark[e] == e and e not in ignored
+    return np.array([k for k in certain if not shut[page.element[k]]], np.int64)
 
-def main_text(page: str | None) -> tuple[str, int, int]:
+
+def _container(page: Page, elements: np.ndarray, weights: np.ndarray) -> tuple[int, bool]:
+    """The element to look in, and is it an article by its tag: the outermost one that holds much of
+    the content's weight, or else the deepest that holds nearly all of it."""
+    held = [0.0] * len(page.tag)
+    for e, w in zip(elements.tolist(), weights.tolist()):
+        held[e] += w
+    for e in range(len(held) - 1, 0, -1):
+        held[page.parent[e]] += held[e]
+    for e in range(1, len(held)):
+        if page.tag[e] in ("article", "main") and held[e] >= 0.4 * held[0]:
+            return e, True
+    return max(e for e in range(len(held)) if held[e] >= 0.95 * held[0]), False
+
+
+def main_text(html_text: str | None) -> tuple[str, int, int]:
     """(text, number of text nodes, of those kept)."""
-    nodes = parse(page or "")
-    ignored = opened(nodes)
-    inside = [n for n in nodes if not n.outside and ignored.issuperset(n.marks)]
-    if not any(n.text.strip() for n in inside):
-        return "", len(nodes), 0
-    scores = path_scores(inside)
-    content = scores >= 0.5 * np.std(scores)
-    # The article is the deepest container, the same run of open tags, with most of the content's weight.
-    weight: dict[tuple[str, ...], float] = {}
-    for n, s, c in zip(inside, scores, content):
-        if c:
-            for d in range(len(n.path) + 1):
-                weight[n.path[:d]] = weight.get(n.path[:d], 0.0) + s * len(n.text)
-    total = weight.get((), 0.0)
-    named = [p for p in weight if p and p[-1] in ("article", "main")]
-    whole = [p for p in named or weight if weight[p] >= (0.4 if named else 0.8) * total]
-    container = min(named and whole or [()], key=len) if named and whole else max((p for p in weight if weight[p] >= 0.8 * total and (not p or p[-1] in SCOPE)), key=len)
+    page = parse(html_text or "")
+    nodes = _inside(page)
+    lengths = np.array([len(page.text[k].strip()) for k in nodes], float)
+    if not lengths.sum():
+        return "", len(page.text), 0
+    scores = path_scores(page, nodes)
+    content = (scores >= 0.5 * np.std(scores)) & (lengths > 0)
+    elements = np.array([page.element[k] for k in nodes])
+    container, named = _container(page, elements, np.where(content, scores * lengths, 0.0))
+    within = [False] * len(page.tag)
+    for e in range(container, len(page.tag)):
+        within[e] = e == container or within[page.parent[e]]
+    inside = np.array([within[e] for e in elements])
+
+    # Blocks: has each a node over the threshold, how much of its text are links, is it a heading?
+    numbers, of = np.unique([page.block[k] for k in nodes], return_inverse=True)
+    over = np.bincount(of, content & (inside | (not named))) > 0
+    filled = np.bincount(of, lengths) > 0
+    linked = np.array([page.link[e] for e in elements])
+    links = filled & ~over & (np.bincount(of, lengths * linked) >= 0.8 * np.bincount(of, lengths))
+    holder = np.zeros(len(numbers), np.int64)
+    holder[of[::-1]] = np.arange(len(nodes))[::-1]
+    heading = np.array([page.tag[elements[k]] in _HEADINGS for k in holder])
+    several = np.bincount(of, linked & (lengths > 0)) > 1
+    # A row of links: more than one in a block, or in blocks next to each other.
+    rows = np.flatnonzero(filled)
+    beside = np.zeros(len(numbers), bool)
+    near = links[rows]
+    beside[rows[1:]] |= near[:-1]
+    beside[rows[:-1]] |= near[1:]
+    menu = links & (several | beside)
+    whole = np.flatnonzero(over)
+    if named:
+        low = np.ones(len(numbers), bool)
+    else:
+        # Between the first and the last content block; before them, the headings next to it.
+        low = np.zeros(len(numbers), bool)
+        low[whole[0] : whole[-1] + 1] = True
+        for b in rows[rows < whole[0]][::-1]:
+            if not heading[b]:
+                break
+            low[b] = True
+        # What follows the last under the same element as some content block, in a path of its own kind, ends the article.
+        paths = {page.path[elements[holder[b]]] for b in whole}
+        for b in rows[rows > whole[-1]]:
+            if page.path[elements[holder[b]]] not in paths:
+                break
+            low[b] = True
+    keep = over | low & ~menu & ((np.bincount(of, inside) > 0) | (not named))
     blocks: dict[int, list[str]] = {}
-    kept = 0
-    for n in inside:
-        if n.path[: len(container)] == container:
-            blocks.setdefault(n.block, []).append(n.text)
-            kept += bool(n.text.strip())
+    for k, b in zip(nodes.tolist(), of.tolist()):
+        if keep[b]:
+            blocks.setdefault(b, []).append(page.text[k])
     lines = (_SPACE.sub(" ", html.unescape("".join(b))).strip() for b in blocks.values())
-    return "\n".join(x for x in lines if x), len(nodes), kept
+    return "\n".join(x for x in lines if x), len(page.text), int(np.sum(keep[of] & (lengths > 0)))
 
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:

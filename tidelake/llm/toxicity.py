@@ -2,20 +2,22 @@
 
 The lexicon, a list of words and of word stems, is learned from labelled
 documents: those that toxic documents have far more often than others.  It is a
-trie.  Frequent entries of enough letters may be misspelled by one edit (``edits``): the
-Levenshtein automaton of a word with the trie as its input, made deterministic,
-is one table from (state, character) to state.  All words of a batch run through
-that table at once.
+trie.  An entry may be misspelled by one edit (``edits``; two letters that change
+places are one), unless clean training documents have words that close to it: then
+a near miss says nothing.  The Levenshtein automaton of a word with the trie as its
+input, made deterministic, is one table from (state, character) to state.  All words
+of a batch run through that table at once.
 
 Each hit is weighed by a window of words around it: inside quotation marks, or
-near a verb of reporting, it is a quotation.  A logistic regression over counts
-of exact, inflected and misspelled hits, in and out of quotation, gives the score.
+after a verb of reporting, it is a quotation and counts ``QUOTED`` of a hit; a
+misspelled one counts ``NEAR`` of an exact one where kinds are added up.  A logistic
+regression over these weighed counts and their density gives the score.
 
 Fitting uses at most ``max_labels`` labelled documents, chosen by a hash of their
 id; scoring covers all documents and whole texts.
 
 Defined results: null and empty texts have no hits and get the score of a text
-without any; labels that are null are left out; without labels of both kinds
+without any; very long texts are read whole; labels that are null are left out; without labels of both kinds
 every score is 0; repeated rows give repeated results; columns of any name pass
 through.
 """
@@ -33,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelake.llm.runtime import free_name
+from tidelake.llm.runtime import cut, free_name
 
 RESULT = T.StructType([T.StructField("score", T.DoubleType(), False), T.StructField("n_hits", T.LongType(), False), T.StructField("n_quoted", T.LongType(), False), T.StructField("n_misspelled", T.LongType(), False)])
 
@@ -42,6 +44,8 @@ QUOTES = "\"“”„«»‹›"
 REPORTING = "said says wrote writes quoted quote called calls reported claims claimed sagte schrieb nannte dit écrit appelle dijo escribió llamó".split()
 #: Words on each side of a hit that belong to its window.
 WINDOW = 6
+#: What a hit in quotation, and a misspelled one, counts of a plain one.
+QUOTED, NEAR = 0.2, 0.8
 
 
 @dataclass(frozen=True)
@@ -54,11 +58,10 @@ class Settings:
     #: Of stems that count as weak: ratio, and standard deviations above the expected number.
     weak_ratio: float = 4.0
     weak_sigmas: float = 6.0
-    max_entries: int = 300
     stem_lengths: tuple[int, ...] = (4, 5, 6, 7)
-    #: Entries that may be misspelled: of so many letters, in this share of toxic documents.
-    edit_length: int = 6
-    edit_share: float = 0.05
+    #: Entries that may be misspelled: of so many letters, if no more than this share of clean documents has words so close.
+    edit_length: int = 4
+    edit_share: float = 0.001
     ridge: float = 0.05
 
 
@@ -110,12 +113,13 @@ class Automaton:
         letters = sorted({c for level in children for c in level})
         self.letter = np.array([ord(c) for c in letters], np.uint32)
 
-        # Positions are (node, edits used); node -1 is past a stem, -2 past a weak one.
+        # Positions are (node, edits used); node -1 is past a stem, -2 past a weak one.  A third
+        # item is the letter due next: of two that change places, the second has been read.
         def close(states: set) -> frozenset:
             todo, out = list(states), set(states)
             while todo:
-                node, e = todo.pop()
-                if node < 0:
+                node, e, *due = todo.pop()
+                if node < 0 or due:
                     continue
                 if ends.get(node) == "stem" and (e == 0 or node in loose_end):
                     out.add((-1, e))
@@ -130,15 +134,20 @@ class Automaton:
 
         def step(states: frozenset, c: str | None) -> frozenset:
             out = set()
-            for node, e in states:
+            for node, e, *due in states:
                 if node < 0:
                     out.add((node, e))
                     continue
+                if due:
+                    if c == due[0]:
+                        out.add((node, e))
+                    continue
                 if c is not None and c in children[node]:
                     out.add((children[node][c], e))
                 if e < edits and loose_below[node]:
                     out.add((node, e + 1))  # a letter put in
                     out.update((child, e + 1) for child in children[node].values() if loose_below[child])
+                    out.update((children[child][c], e + 1, x) for x, child in children[node].items() if x != c and c in children[child] and loose_below[children[child][c]])
             return close(out)
 
         start = close({(0, 0)})
@@ -156,13 +165,14 @@ class Automaton:
         self.table = np.array(rows, np.int32)
         self.accept = np.zeros(len(index), np.int8)
         for states, k in index.items():
-            if any(e == 0 and ends.get(n) == "word" for n, e in states):
+            whole = [x for x in states if len(x) == 2]
+            if any(e == 0 and ends.get(n) == "word" for n, e in whole):
                 self.accept[k] = EXACT
             elif (-1, 0) in states:
                 self.accept[k] = INFLECTED
             elif (-2, 0) in states:
                 self.accept[k] = WEAK
-            elif any(e and (n == -1 or n in loose_end and ends[n] == "word") for n, e in states):
+            elif any(e and (n == -1 or n in loose_end and ends[n] == "word") for n, e in whole):
                 self.accept[k] = MISSPELLED
 
     def run(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -180,9 +190,9 @@ class Automaton:
         return self.accept[state]
 
 
-#: Weights that features have without evidence: hits of each kind out of quotation,
-#: of both sorts in quotation, density, any exact hit, more than one, weak stems.
-PRIOR = np.array([2.0, 2.0, 1.5, 0.3, 0.2, 0.5, 1.5, 0.5, 0.5])
+#: Weights that features have without evidence: exact, inflected and misspelled hits,
+#: density of all three, any, more than one, weak stems.
+PRIOR = np.array([2.0, 2.0, 2.0, 0.5, 1.5, 0.5, 0.5])
 
 
 class Model:
@@ -217,14 +227,13 @@ class Model:
             both = len(left) and len(right) and lines[starts[w]] == lines[starts[a] - (starts[a] > 0) + left[-1]] == lines[ends[w] + right[0]]
             line_start = np.searchsorted(lines, lines[starts[w]], "left") - (lines[starts[w]] > 0)
             odd = (before[starts[w]] - before[max(line_start, 0)]) % 2 == 1
-            near = {"".join(map(chr, codes[starts[j] : ends[j]])) for j in range(a, w)}
-            quoted[k] = bool(both and odd) or any(r in near for r in REPORTING) and bool(odd)
+            near = {"".join(map(chr, codes[starts[j] : ends[j]])) for j in range(a, w) if lines[starts[j]] == lines[starts[w]]}
+            quoted[k] = bool(both and odd) or any(r in near for r in REPORTING)
         kinds = kind[hits]
-        open_, shut = ~quoted, quoted
-        sure = kinds <= INFLECTED
-        counts = [np.sum(open_ & (kinds == EXACT)), np.sum(open_ & (kinds == INFLECTED)), np.sum(open_ & (kinds == MISSPELLED)), np.sum(shut & sure), np.sum(shut & (kinds == MISSPELLED))]
-        density = 100 * np.sum(open_ & sure) / len(starts)
-        values = np.array([*np.log1p(counts), min(density, 10) / 5, float(np.sum(open_ & sure) > 0), float(np.sum(open_ & sure) > 1), np.log1p(np.sum(open_ & (kinds == WEAK)))])
+        count = np.bincount(kinds, np.where(quoted, QUOTED, 1.0), WEAK + 1)
+        sure = count[EXACT] + count[INFLECTED] + NEAR * count[MISSPELLED]
+        density = 100 * sure / len(starts)
+        values = np.array([*np.log1p(count[[EXACT, INFLECTED, MISSPELLED]]), min(density, 10) / 5, min(sure, 1), min(max(sure - 1, 0), 1), np.log1p(count[WEAK])])
         return values, len(hits), int(quoted.sum()), int(np.sum(kinds == MISSPELLED))
 
     def score(self, features: np.ndarray) -> np.ndarray:
@@ -299,6 +308,45 @@ def _word_counts(sample: DataFrame, settings: Settings) -> DataFrame:
     return parts.groupBy("stem", "entry").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"), F.bit_count(F.bit_or("before")).alias("contexts"))
 
 
+def one_edit(a: str, b: str) -> bool:
+    """Are the words one edit or less apart, two letters that change places counting as one?"""
+    if len(a) > len(b):
+        a, b = b, a
+    k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    if len(a) < len(b):
+        return len(b) - len(a) == 1 and a[k:] == b[k + 1 :]
+    return a[k + 1 :] == b[k + 1 :] or a[k : k + 2] == b[k : k + 2][::-1] and a[k + 2 :] == b[k + 2 :]
+
+
+def _near_misses(counts: DataFrame, words: list[str], stems: list[str]) -> dict[tuple[bool, str], int]:
+    """For each entry, how many times clean documents of the sample have a word that misspells it."""
+    index: dict[str, set[tuple[bool, str]]] = defaultdict(set)
+    for stem, entries in ((False, words), (True, stems)):
+        for e in entries:
+            for form in (e, *(e[:k] + e[k + 1 :] for k in range(len(e)))):
+                index[form].add((stem, e))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[tuple[bool, str], int] = defaultdict(int)
+            for word, other in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                # A stem is held against the beginnings of the word, a word against all of it.
+                near: set[tuple[bool, str]] = set()
+                for end in range(3, min(len(word), 9) + 1) if len(word) < 40 else ():
+                    part = word[:end]
+                    for form in (part, *(part[:k] + part[k + 1 :] for k in range(end))):
+                        near.update((s, e) for s, e in index.get(form, ()) if s and one_edit(part, e))
+                for form in (word, *(word[:k] + word[k + 1 :] for k in range(len(word) if len(word) < 40 else 0))):
+                    near.update((s, e) for s, e in index.get(form, ()) if not s and e != word and one_edit(word, e))
+                for s, e in near:
+                    if not (s and word.startswith(e)):
+                        found[s, e] += other
+            yield pa.RecordBatch.from_pydict({"stem": pa.array([k[0] for k in found], pa.bool_()), "entry": pa.array([k[1] for k in found], pa.string()), "n": pa.array(list(found.values()), pa.int64())})
+
+    rows = counts.where("not stem and other > 0").select("entry", "other").mapInArrow(run, "stem boolean, entry string, n long").groupBy("stem", "entry").agg(F.sum("n").alias("n")).collect()
+    return {(r["stem"], r["entry"]): r["n"] for r in rows}
+
+
 def learn_lexicon(sample: DataFrame, toxic: int, other: int, settings: Settings) -> Lexicon:
     """Words and stems that toxic documents have ``least_ratio`` times as often as others, in enough of them
     and in several contexts (a group of copies would make any of its words look toxic)."""
@@ -307,8 +355,10 @@ def learn_lexicon(sample: DataFrame, toxic: int, other: int, settings: Settings)
     expected = share * (F.col("toxic") + F.col("other"))
     sigmas = (F.col("toxic") - expected) / F.sqrt(expected * (1 - share))
     weak = F.col("stem") & (F.col("ratio") >= settings.weak_ratio) & (sigmas >= settings.weak_sigmas)
-    found = _word_counts(sample, settings).where((F.col("toxic") >= settings.least_documents) & (F.col("contexts") >= settings.least_contexts)).withColumn("ratio", ratio)
-    rows = found.where((F.col("ratio") >= settings.least_ratio) | weak).orderBy(F.col("toxic").desc(), "stem", "entry").limit(settings.max_entries * 20).collect()
+    counts = cut(_word_counts(sample, settings))
+    found = counts.where((F.col("toxic") >= settings.least_documents) & (F.col("contexts") >= settings.least_contexts)).withColumn("ratio", ratio)
+    # As many as the test admits; the bound on labelled documents bounds them.
+    rows = found.where((F.col("ratio") >= settings.least_ratio) | weak).select("stem", "entry", "toxic", "ratio").collect()
     count = {(r["stem"], r["entry"]): r["toxic"] for r in rows}
     sure = {(r["stem"], r["entry"]) for r in rows if r["ratio"] >= settings.least_ratio}
     stems: list[str] = []
@@ -317,14 +367,17 @@ def learn_lexicon(sample: DataFrame, toxic: int, other: int, settings: Settings)
         # A stem gathers forms: one word alone stays a word.
         if not any(entry.startswith(s) for s in stems) and count[True, entry] > max(settings.least_documents, 1.2 * max(forms, default=0)):
             stems.append(entry)
-    stems = sorted(stems, key=lambda e: (-count[True, e], e))[: settings.max_entries]
-    words = sorted((e for stem, e in sure if not stem and not any(e.startswith(s) for s in stems)), key=lambda e: (-count[False, e], e))[: settings.max_entries]
+    stems = sorted(stems, key=lambda e: (-count[True, e], e))
+    words = sorted((e for stem, e in sure if not stem and not any(e.startswith(s) for s in stems)), key=lambda e: (-count[False, e], e))
     weak_stems = sorted((e for (stem, e) in count if stem and (stem, e) not in sure), key=lambda e: (len(e), e))
-    shortest = [e for e in weak_stems if not any(e.startswith(s) for s in stems)]
-    shortest = sorted((e for e in shortest if not any(e != s and e.startswith(s) for s in shortest)), key=lambda e: (-count[True, e], e))[: settings.max_entries]
-    frequent = settings.edit_share * toxic
-    loose = {e for s, es in ((False, words), (True, stems)) for e in es if len(e) >= settings.edit_length and count[s, e] >= frequent}
-    return Lexicon(words, stems, shortest, loose)
+    shortest: list[str] = []
+    for e in weak_stems:
+        if not any(e.startswith(s) for s in (*stems, *shortest)):
+            shortest.append(e)
+    tried = [e for e in words if len(e) >= settings.edit_length], [e for e in stems if len(e) >= settings.edit_length]
+    misses = _near_misses(counts, *tried)
+    loose = {e for stem, entries in zip((False, True), tried) for e in entries if misses.get((stem, e), 0) <= settings.edit_share * other}
+    return Lexicon(words, stems, sorted(shortest, key=lambda e: (-count[True, e], e)), loose)
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
