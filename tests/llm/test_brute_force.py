@@ -67,6 +67,16 @@ def test_quality_counts(spark):
         assert not (q["kept"] and q["base_failed"]) and (r["quality"], r["n_words"]) == ("mine", "mine")
 
 
+def test_any_number_of_languages_has_references(spark):
+    """Sent to all tasks or joined to the rows, every language with enough words has its own."""
+    docs = frame(spark, texts(14, n=200), lang=lambda k: None if k % 7 == 0 else f"l{k % 40}", lang_key=lambda k: "mine")
+    rules = quality_rules.Rules(min_reference_words=10)
+    refs = quality_rules.references(docs, rules)
+    assert refs.by_lang.count() > 30
+    a, b = (quality_rules.score(docs, refs, rules, max_sent=n) for n in (1_000, 3))
+    assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
 def test_distance_is_jensen_shannon():
     assert quality_rules.distance(np.array([[1, 1]]), np.array([[5.0, 5.0]]))[0] == 0
     assert quality_rules.distance(np.array([[1, 0]]), np.array([[0.0, 5.0]]))[0] == pytest.approx(1)
@@ -116,11 +126,20 @@ def test_fingerprints_and_components(spark):
     out = simhash.cluster(docs).withColumn("hex", simhash.hex_digits(F.col("fingerprint"))).collect()
     assert len(out) == len(values)
     by_id = {k if k != 3 else None: v for k, v in enumerate(values)}
-    groups = {}
-    for k, v in by_id.items():
-        groups.setdefault(fingerprint(v), []).append(k)
+    fps = {k: fingerprint(v) for k, v in by_id.items()}
+    root = {k: k for k in fps}
+    changed = True
+    while changed:  # the smallest id reachable, by all pairs
+        changed = False
+        for a in fps:
+            for b in fps:
+                if bin(fps[a] ^ fps[b]).count("1") <= 2:
+                    least = min((x for x in (root[a], root[b]) if x is not None), default=None)
+                    changed |= root[a] != least
+                    root[a] = least
     for r in out:
-        assert int(r["hex"], 16) == fingerprint(by_id[r["doc_id"]])
+        assert int(r["hex"], 16) == fps[r["doc_id"]]
+        assert r["component_id"] == root[r["doc_id"]]
 
 
 def signed(x):
@@ -268,7 +287,7 @@ def test_shortages_go_to_siblings_first(spark):
 def test_mixing_takes_prefixes_of_seeded_epochs(spark):
     values = texts(4)
     docs = frame(spark, values, lang=lambda k: ["en", "de", None][k % 3], source=lambda k: ["src1", "src2", "odd", None][k % 4], mixed=lambda k: "mine")
-    mix = mixing.Mix(share=1.3, max_epochs=2, range_digits=1, weights={"lang": {"de": 5}})
+    mix = mixing.Mix(share=1.3, max_epochs=2, range_digits=1, range_steps=2, weights={"lang": {"de": 5}})
     out = mixing.mix_documents(docs, mixing.numbered_domain(F.col("source")), mix)
     assert out.columns == [*docs.columns, "_mixed"]
     rows = out.collect()
@@ -402,13 +421,33 @@ def test_the_matrix_sums_exactly_and_follows_its_law():
     assert first.mean() == pytest.approx(2.5, abs=0.1) and first.var() == pytest.approx(5 * 0.25 * 15 / 19, abs=0.1)
 
 
-def test_very_large_tables_keep_exact_sums(monkeypatch):
-    monkeypatch.setattr(sharding, "LARGEST", 50)
+def test_very_large_tables_are_dealt_exactly():
     rng = np.random.default_rng(4)
-    room, counts = np.array([400, 300, 300]), np.array([10, 490, 0, 500])
-    draws = [sharding.deal(rng, room, counts) for _ in range(300)]
+    room, counts = np.array([4, 3, 3]) * 10**12, np.array([10**10, 5 * 10**12 - 10**10, 0, 5 * 10**12])
+    draws = [sharding.deal(rng, room, counts) for _ in range(30)]
     assert all(m.sum(0).tolist() == room.tolist() and m.sum(1).tolist() == counts.tolist() and m.min() >= 0 for m in draws)
-    assert np.mean([m[1, 0] for m in draws]) == pytest.approx(196, abs=2)
+    assert np.mean([m[0, 0] for m in draws]) == pytest.approx(4 * 10**9, abs=10**5)
+
+
+def test_draws_follow_the_hypergeometric_law():
+    """Every outcome as often as combinations say, by a chi-square far beyond chance."""
+    from math import comb
+
+    rng = np.random.default_rng(5)
+    room, n, trials = np.array([3, 4, 2]), 4, 20_000
+    seen = Counter(tuple(sharding.draw(rng, room, n).tolist()) for _ in range(trials))
+    want = {(a, b, n - a - b): comb(3, a) * comb(4, b) * comb(2, n - a - b) / comb(9, n) for a in range(4) for b in range(5) if 0 <= n - a - b <= 2}
+    assert set(seen) <= set(want) and sum((seen[k] - trials * p) ** 2 / (trials * p) for k, p in want.items()) < 2 * len(want) + 15
+
+
+def test_sharding_keeps_rows_whole(spark):
+    docs = frame(spark, texts(13), shard=lambda k: "mine", partition=lambda k: "mine", key=lambda k: "mine")
+    out = sharding.write_order(docs, shards=3, seed=1)
+    assert out.columns == [*docs.columns, "_shard", "slot"]
+    rows = out.collect()
+    assert Counter(map(str, out.select(*docs.columns).collect())) == Counter(map(str, docs.collect()))
+    for s in range(3):
+        assert sorted(r["slot"] for r in rows if r["_shard"] == s) == list(range(len([r for r in rows if r["_shard"] == s])))
 
 
 # --- toxicity ------------------------------------------------------------------------

@@ -31,7 +31,8 @@ def test_query_returns_a_row_for_each_input(spark, name):
 @pytest.mark.parametrize("name", list(ORACLES))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
+    for table in ("documents", "benchmark"):
+        con.sql(f"create view {table} as select * from '{DATA}/{table}.parquet'")
     mine = QUERIES[name](spark, DATA)
     columns = sorted(mine.columns)
     clean = lambda v: None if isinstance(v, float) and math.isnan(v) else v
@@ -48,4 +49,27 @@ def test_pipeline(spark):
         assert docs.columns == columns, name
         counts.append(docs.count())
     assert all(b <= a for a, b in zip(counts, counts[1:])) and counts[-1] > 0
-    assert corpus_pipeline.run(spark, DATA).count() == counts[-1]
+    last = corpus_pipeline.run(spark, DATA)
+    assert last.columns == [*columns, "shard", "slot"] and last.count() == counts[-1]
+    assert last.groupBy("shard").count().agg({"count": "max"}).first()[0] == -(-counts[-1] // 8)
+
+
+EDGE = "doc_id long, text string, lang string, source string, n_chars long, shard string, dropped_id string, row_key string, quality string"
+
+
+@pytest.mark.parametrize("values", [[], [None, None, "", " \n", "word", "short text of a few words", "short text of a few words", "long words " * 60_000]])
+def test_stages_take_any_rows(spark, values):
+    """Empty tables, null texts and ids, repeated rows, a very long text, and columns whose names the stages use themselves."""
+    rows = [(None if k % 4 == 1 else k % 6, v, None if k % 2 else "en", None if k % 3 else "src1", None, "mine", "mine", "mine", "mine") for k, v in enumerate(values)]
+    docs = spark.createDataFrame(rows, EDGE)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, DATA)
+        got = sorted(map(str, out.select(*docs.columns).collect()))
+        have = sorted(map(str, docs.collect()))
+        assert all(got.count(x) <= have.count(x) for x in set(got)), name
+        if name == "sharding":
+            assert out.columns == [*docs.columns, "_shard", "slot"] and got == have
+        elif name == "benchmark_decontamination":
+            assert got == have
+        elif name == "simhash_near_dedup":
+            assert sum("doc_id=None" in x for x in got) == sum("doc_id=None" in x for x in have)

@@ -176,3 +176,19 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> Dat
     """The documents that are not contaminated, with their own columns."""
     name = free_name(docs, "contamination")
     return find(docs, benchmark, **options).where(~contaminated(F.col(name))).select(*docs.columns)
+
+
+def oracle(size: int = 13, docs: str = "documents", benchmark: str = "benchmark") -> str:
+    """The digest of ``find`` as SQL for DuckDB: windows of words joined as texts."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""with d as (select row_number() over () as uid, doc_id, {words} as w from {docs}),
+    b as (select coalesce(cast(item_id as varchar), '') as id, {words} as w from {benchmark}),
+    items as (select distinct id, least({size}, len(w)) as m, unnest([array_to_string(w[p : p + least({size}, len(w)) - 1], ' ') for p in range(1, len(w) - least({size}, len(w)) + 2)]) as g from b where len(w) > 0),
+    sizes as (select distinct m from items),
+    runs as (select uid, m, unnest(range(1, len(w) - m + 2)) as p, w from d, sizes where len(w) >= m),
+    hits as (select distinct uid, p, m, id from (select uid, p, m, array_to_string(w[p : p + m - 1], ' ') as g from runs) join items using (m, g)),
+    covered as (select uid, count(distinct place) as n_hit from (select uid, unnest(range(p, p + m)) as place from hits) group by uid),
+    named as (select uid, count(distinct id) as n_items, string_agg(distinct id, ',' order by id) as ids from hits group by uid)
+    select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+      coalesce(n_hit > 0 and 20 * n_hit >= len(w), false) as contaminated from d left join covered using (uid) left join named using (uid)"""

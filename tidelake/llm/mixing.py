@@ -9,9 +9,10 @@ where a whole subtree is short.
 
 A leaf then gives its documents in a seeded order, a new one for each epoch:
 whole epochs, and of the last one the shortest prefix that reaches the budget.
-Its end is found without ordering a leaf in one task: tokens are first added up
-in ranges of the order key, and only the range in which the budget runs out is
-ordered.
+Its end is found without ordering a leaf in one task: tokens are added up in ranges
+of the order key, then again in ranges of the one in which the budget runs out, and
+so on; each step sees 16 to the power of ``range_digits`` numbers of a leaf, and what
+is ordered at last are the rows of one range of the last step.
 
 Defined results: a null domain, language or source is a branch ``(none)``; a
 null or empty text has no tokens and comes along where it precedes the end of a
@@ -43,7 +44,8 @@ class Mix:
     tokens: int | None = None
     max_epochs: int = 2
     seed: int = 17
-    range_digits: int = 3
+    range_digits: int = 2
+    range_steps: int = 5
 
 
 def word_tokens(text: Column) -> Column:
@@ -84,6 +86,21 @@ def share_out(children: DataFrame, parents: list[str], level: str, mix: Mix) ->
     return each.withColumn("budget", F.floor(F.least("room", F.col("weight") * highest)).cast("double")).drop("left", "open", "rate", "weight")
 
 
+def fill(children: DataFrame, given: float, level: str, mix: Mix) -> DataFrame:
+    """As ``share_out`` for the top level, whose children have no parent to be grouped by, so that no task sees
+    all of them: the rate is raised while children are short of it, by two sums over all children each time."""
+    each = children.withColumn("weight", _weight(level, mix))
+    rate = 0.0
+    while True:
+        short = F.col("room") <= F.col("weight") * rate
+        full, open_ = each.where("weight > 0").agg(F.sum(F.when(short, F.col("room"))), F.sum(F.when(~short, F.col("weight")))).first()
+        raised = (given - (full or 0.0)) / open_ if open_ else rate
+        if raised <= rate:
+            break
+        rate = raised
+    return each.withColumn("budget", F.floor(F.least("room", F.col("weight") * rate)).cast("double")).drop("weight")
+
+
 def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     """Adds to ``leaves(domain, lang, source, tokens)`` what each may give (``room``) and its ``budget``."""
     usable = F.lit(True)
@@ -92,8 +109,11 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     rooms = cut(leaves.withColumn("room", F.when(usable, F.col("tokens") * mix.max_epochs).otherwise(0).cast("double")))
     total, most = rooms.agg(F.sum("tokens"), F.sum("room")).first()
     wanted = float(mix.tokens) if mix.tokens is not None else float(math.floor(mix.share * (total or 0)))
-    part = rooms.groupBy("domain").agg(F.sum("room").alias("room")).withColumn("given", F.lit(min(wanted, most or 0.0)))
-    for depth in range(1, len(LEVELS) + 1):
+    part = rooms.groupBy("domain").agg(F.sum("room").alias("room"))
+    part = fill(cut(part), min(wanted, most or 0.0), LEVELS[0], mix)
+    above = part.select(LEVELS[0], F.col("budget").alias("given"))
+    part = rooms.groupBy(*LEVELS[:2]).agg(F.sum("room").alias("room"), F.max("tokens").alias("tokens")).join(above, [LEVELS[0]])
+    for depth in range(2, len(LEVELS) + 1):
         part = share_out(part, list(LEVELS[: depth - 1]), LEVELS[depth - 1], mix)
         if depth < len(LEVELS):
             above = part.select(*LEVELS[:depth], F.col("budget").alias("given"))
@@ -109,14 +129,18 @@ def limits(rows: DataFrame, mix: Mix) -> DataFrame:
     plan = plan.withColumn("whole", F.floor(F.col("budget") / F.col("tokens")).cast("int")).withColumn("rest", F.col("budget").cast("long") - F.col("whole") * F.col("tokens"))
     plan = joinable(plan)
     part = rows.join(plan.where("rest > 0").drop("tokens"), list(LEVELS)).withColumn("key", order_key(mix.seed, F.col("whole"), F.col("doc_id")))
-    part = part.withColumn("span", F.substring("key", 1, mix.range_digits))
-    leaf_order = Window.partitionBy(*LEVELS)
-    spans = part.groupBy(*LEVELS, "rest", "span").agg(F.sum("tokens").alias("tokens"))
-    spans = spans.withColumn("upto", F.sum("tokens").over(leaf_order.orderBy("span").rowsBetween(Window.unboundedPreceding, 0)))
-    last = joinable(spans.where("upto >= rest and upto - tokens < rest").select(*LEVELS, "span", (F.col("rest") - F.col("upto") + F.col("tokens")).alias("need")))
+    leaf = list(LEVELS)
+    leaf_order = Window.partitionBy(*leaf)
+    part = cut(part.select(*leaf, "key", "tokens", F.col("rest").alias("need"), F.lit("").alias("begin")))
+    for step in range(1, mix.range_steps + 1):
+        span = F.substring("key", 1, step * mix.range_digits)
+        spans = part.groupBy(*leaf, "need", span.alias("span")).agg(F.sum("tokens").alias("tokens"))
+        spans = spans.withColumn("upto", F.sum("tokens").over(leaf_order.orderBy("span").rowsBetween(Window.unboundedPreceding, 0)))
+        last = joinable(spans.where("upto >= need and upto - tokens < need").select(*leaf, F.col("span").alias("begin"), (F.col("need") - F.col("upto") + F.col("tokens")).alias("need")))
+        part = part.drop("need", "begin").withColumn("begin", span).join(last, [*leaf, "begin"])
     # Rows of equal keys count together, as a range frame has them.
-    ends = part.join(last, [*LEVELS, "span"]).withColumn("upto", F.sum("tokens").over(leaf_order.orderBy("key").rangeBetween(Window.unboundedPreceding, 0)))
-    keys = ends.where("upto >= need").groupBy(*LEVELS).agg(F.min("key").alias("last_key"))
+    ends = part.withColumn("upto", F.sum("tokens").over(leaf_order.orderBy("key").rangeBetween(Window.unboundedPreceding, 0)))
+    keys = ends.where("upto >= need").groupBy(*leaf).agg(F.min("key").alias("last_key"))
     return plan.drop("room", "rest").join(keys, list(LEVELS), "left").withColumnRenamed("tokens", "leaf_tokens")
 
 

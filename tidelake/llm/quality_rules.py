@@ -11,8 +11,9 @@ distance that sampling noise of that length would give.
 
 Defined results: a null or empty text has no words and fails the base rule; a
 null language is a language of its own (the pooled one if small); languages with
-fewer than ``min_reference_words`` words in the corpus are held against the
-pooled histogram of all documents; repeated rows give repeated results; columns
+fewer than ``min_reference_words`` words in the corpus, too few for a histogram, are
+held against the pooled one of all documents; any number of languages has its own;
+very long texts are measured whole; repeated rows give repeated results; columns
 of any name pass through.
 """
 
@@ -54,7 +55,6 @@ class Rules:
     char_limit: float = 0.20
     word_limit: float = 0.24
     min_reference_words: int = 5_000
-    max_references: int = 1_000
 
 
 def _classes() -> np.ndarray:
@@ -130,6 +130,8 @@ def _perplexity(counts: np.ndarray) -> np.ndarray:
 def _duplicate_lines(data: np.ndarray, offsets: np.ndarray, filled: np.ndarray) -> np.ndarray:
     """Per text, lines that have a word and equal an earlier line of the text."""
     docs = len(offsets) - 1
+    if not len(data):
+        return np.zeros(docs, np.int64)
     breaks = np.flatnonzero(data == 0x0A)
     starts = np.unique(np.concatenate([offsets[:-1], breaks + 1]))
     starts = starts[starts < len(data)]
@@ -169,9 +171,9 @@ def _repeated_words(hashes: np.ndarray, first: np.ndarray, size: int = 8) -> np.
     return covered[first[1:]] - covered[first[:-1]]
 
 
-def _measure(column: pa.Array, langs: list, references: dict, rules: Rules) -> pa.Array:
+def _measure(column: pa.Array, references: list[np.ndarray], rules: Rules) -> pa.Array:
+    """Features of each text, held against the reference (both histograms in a row) of its place."""
     parts: dict[str, list] = {f.name: [] for f in FEATURES}
-    pooled = references[""]
     for i, data, offsets in W.slices(column):
         docs = len(offsets) - 1
         starts, ends, first = W.spans(data, offsets, W.VISIBLE)
@@ -181,10 +183,8 @@ def _measure(column: pa.Array, langs: list, references: dict, rules: Rules) -> p
         repeated = _repeated_words(W.span_hash(data, starts, ends), first)
         failed = (n_words < 20) | (100 * repeated > 30 * n_words)
         chars, common = histograms(data, offsets, starts, ends, first)
-        refs = [references.get(_key(x), pooled) for x in langs[i : i + docs]]
-        far = []
-        for k, counts, limit in ((0, chars, rules.char_limit), (1, common, rules.word_limit)):
-            reference = np.array([r[k] for r in refs])
+        refs, far = np.array(references[i : i + docs]), []
+        for reference, counts, limit in ((refs[:, :N_CLASS], chars, rules.char_limit), (refs[:, N_CLASS:], common, rules.word_limit)):
             d = distance(counts, reference)
             noise = np.sqrt((_perplexity(reference) - 1) / (8 * np.log(2) * np.maximum(counts.sum(1), 1)))
             far.append((d, d > limit + noise))
@@ -205,9 +205,16 @@ def _key(lang: str | None) -> str:
     return "\x00" if lang is None else f"={lang}"
 
 
-def references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Histograms of the corpus per language, and pooled under ``""``.  At most
-    ``max_references`` languages (the largest) have one of their own."""
+@dataclass(frozen=True)
+class References:
+    """The pooled histograms of the corpus, and a table ``(lang, counts)`` of those of every language with enough words."""
+
+    pooled: list[float]
+    by_lang: DataFrame
+
+
+def references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> References:
+    """Histograms of the corpus per language, and of all of it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -235,23 +242,38 @@ def references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang
     totals = [F.sum(F.element_at("counts", k + 1)).alias(f"c{k}") for k in range(width)]
     n = sum((F.col(f"c{k}") for k in range(N_CLASS, width)), F.lit(0))
     by_lang = cut(parts.groupBy("lang").agg(*totals))
-    pooled = np.array(by_lang.agg(*[F.sum(f"c{k}") for k in range(width)]).first(), dtype=float)
-    large = by_lang.where(n >= rules.min_reference_words).orderBy(n.desc(), "lang").limit(rules.max_references).collect()
-    out = {"": np.nan_to_num(pooled)} | {r["lang"]: np.array(r[1:], dtype=float) for r in large}
-    return {k: (v[:N_CLASS], v[N_CLASS:]) for k, v in out.items()}
+    pooled = np.nan_to_num(np.array(by_lang.agg(*[F.sum(f"c{k}") for k in range(width)]).first(), dtype=float))
+    large = by_lang.where(n >= rules.min_reference_words).select("lang", F.array(*(F.col(f"c{k}").cast("double") for k in range(width))).alias("counts"))
+    return References(pooled.tolist(), cut(large))
+
 
+def score(docs: DataFrame, refs: References, rules: Rules = Rules(), text: str = "text", lang: str = "lang", max_sent: int = 1_000) -> DataFrame:
+    """``docs`` with a struct column ``quality`` (underscores in front if the name is taken).
 
-def score(docs: DataFrame, refs: dict, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` with a struct column ``quality`` (underscores in front if the name is taken)."""
+    References of up to ``max_sent`` languages go to all tasks; more are joined to the rows.  Results are the same."""
     name = free_name(docs, "quality")
     at_text, at_lang = docs.columns.index(text), docs.columns.index(lang)
+    pooled = np.array(refs.pooled)
+    few = refs.by_lang.count() <= max_sent
+    sent = {r["lang"]: np.array(r["counts"]) for r in refs.by_lang.collect()} if few else {}
+    rows = docs
+    if not few:
+        key, counts = free_name(docs, "lang_key"), free_name(docs, "lang_counts")
+        value = F.col(lang).cast("string")
+        keyed = docs.withColumn(key, F.when(value.isNull(), F.lit("\x00")).otherwise(F.concat(F.lit("="), value)))
+        rows = keyed.join(refs.by_lang.select(F.col("lang").alias(key), F.col("counts").alias(counts)), key, "left").select(*docs.columns, counts)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = _measure(batch.column(at_text), batch.column(at_lang).cast(pa.string()).to_pylist(), refs, rules)
-            yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, name])
-
-    return docs.mapInArrow(measure, T.StructType([*docs.schema.fields, T.StructField(name, FEATURES)]))
+            if few:
+                own = [sent.get(_key(x), pooled) for x in batch.column(at_lang).cast(pa.string()).to_pylist()]
+            else:
+                own = [pooled if x is None else np.array(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            columns, names = batch.columns[: len(docs_columns)], docs_columns
+            yield pa.RecordBatch.from_arrays([*columns, _measure(batch.column(at_text), own, rules)], names=[*names, name])
+
+    docs_columns = docs.columns
+    return rows.mapInArrow(measure, T.StructType([*docs.schema.fields, T.StructField(name, FEATURES)]))
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:

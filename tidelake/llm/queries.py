@@ -87,6 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_benchmark_decontamination": decontamination.oracle(),
+    "op7_suffix_array_dedup": substring_dedup.oracle(),
     "op4_source_mixing": mixing.oracle(MIX, "('domain' || cast(try_cast(regexp_extract(source, '([0-9]+)$', 1) as bigint) % 4 as varchar))"),
     "op5_license_scan": licenses.oracle(),
 }

@@ -491,3 +491,17 @@ def find(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: st
     spark.sql(f"DROP TABLE {table}")
     discard(spark, f"{shared_dir(spark)}/tidelake/{table}")
     return found
+
+
+def oracle(length: int = LENGTH, table: str = "documents") -> str:
+    """The digest of ``find`` as SQL for DuckDB: every window of bytes as hexadecimal digits."""
+    return f"""with d as (select *, length(h) // 2 as n from (select row_number() over () as uid, doc_id, hex(encode(coalesce(text, ''))) as h from {table})),
+    parts as (select uid, doc_id, c, substr(h, 2 * c + 1, 2 * (500 + {length} - 1)) as part from (select uid, doc_id, h, unnest(range(0, n - {length} + 1, 500)) as c from d where n >= {length} and doc_id is not null)),
+    windows as (select uid, doc_id, c + q as p, substr(part, 2 * q - 1, {2 * length}) as s from (select *, unnest(range(1, length(part) // 2 - {length} + 2)) as q from parts)),
+    least as (select s, min(doc_id) as first from windows group by s),
+    hits as (select uid, p, lag(p) over (partition by uid order by p) as before from windows join least using (s) where first < doc_id),
+    runs as (select uid, p, sum(case when p <= before + {length} then 0 else 1 end) over (partition by uid order by p) as run from hits),
+    spans as (select uid, run, min(p) as a, max(p) + {length} - 1 as b from runs group by uid, run),
+    around as (select *, coalesce(lag(b) over (partition by uid order by a), 0) as before from spans),
+    kept as (select uid, sum(b - a + 1) as n_removed, count(*) as n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - 1 - before)), '' order by a) || substr(any_value(h), 2 * max(b) + 1) as rest from around join d using (uid) group by uid)
+    select doc_id, cast(n as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(rest, h))) as kept_sha256 from d left join kept using (uid)"""
