@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from tidelake import schemas
 from tidelake.functions.columns import bucket, ratio
-from tidelake.operators import cdc, gold, governance, graph, orders, portfolio, quality, retention, silver
+from tidelake.operators import cdc, events, gold, governance, graph, orders, portfolio, quality, retention, silver
 from tidelake.plans import jobs
 from tidelake.sources import sinks, tables
 from tidelake.streaming import streams
@@ -114,7 +114,7 @@ def test_stream_positions_equal_the_batch(spark, tmp_path):
     rows.repartition(1).write.parquet(str(tmp_path / "in"))
     out = streams.collect_stream(streams.positions(streams.parquet_stream(spark, str(tmp_path / "in"), rows.schema)), "update", str(tmp_path))
     a, b = out.first(), portfolio.positions(rows, ["trade_id"]).first()
-    assert (a["quantity"], a["average_cost"], a["realized"]) == tuple(float(b[c]) for c in ("quantity", "average_cost", "realized"))
+    assert (a["quantity"], a["average_cost"], a["realized"]) == tuple(b[c] for c in ("quantity", "average_cost", "realized"))
 
 
 def test_margin_model(spark):
@@ -192,15 +192,25 @@ def test_personal_columns(spark):
 
 
 def silver_rows(spark, bad):
-    rows = [("s", f"i{k}", "EQUITY", dt.date(2024, 1, 15), Decimal(1), Decimal(2), None if k < bad else Decimal(5), 10, ts("2024-01-15 10:00:00"), ts("2024-01-15 10:00:01")) for k in range(10)]
-    loose = T.StructType([T.StructField(f.name, f.dataType, True) for f in schemas.SILVER])
-    return spark.createDataFrame(rows, loose)
+    """Ten quotes, of which ``bad`` lack one of the three prices."""
+    prices = {"bid_price": Decimal(1), "ask_price": Decimal(2), "last_price": Decimal(5)}
+    rows = []
+    for k in range(10):
+        own = {**prices, **({list(prices)[k % 3]: None} if k < bad else {})}
+        rows.append({"source_id": "s", "instrument_id": f"i{k}", "instrument_type": "EQUITY", "trade_date": dt.date(2024, 1, 15), "volume": 10, "source_timestamp": ts("2024-01-15 10:00:00"), "ingestion_timestamp": ts("2024-01-15 10:00:01"), **own})
+    names = list(rows[0])
+    loose = T.StructType([T.StructField(n, schemas.SILVER[n].dataType, True) for n in names])
+    return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], loose)
 
 
 def test_silver_job_writes_good_and_rejected_rows(spark, tmp_path):
     arguments = jobs.SilverArguments("p", "s", "v", "2024-01-15 12:00:00", "job")
     assert jobs.run_silver(silver_rows(spark, 2), str(tmp_path), arguments, {"last_price": (0.0, 10.0)}) == {"rows": 10, "rejected": 2}
     assert spark.read.parquet(str(tmp_path / "silver")).count() == 8 and spark.read.parquet(str(tmp_path / "rejected")).count() == 2
+    record = spark.read.json(str(tmp_path / "lineage" / "job")).first()
+    assert (record["record_counts"]["input"], record["record_counts"]["output"], record["quality_metrics"]["rejection_rate_pct"]) == (10, 8, 20.0)
+    event = spark.read.parquet(str(tmp_path / "events")).first()
+    assert event["detail_type"] == "PipelineExecutionCompleted" and '"rejected":2' in event["detail"]
 
 
 def test_silver_job_stops_above_the_limit(spark, tmp_path):
@@ -208,6 +218,10 @@ def test_silver_job_stops_above_the_limit(spark, tmp_path):
     with pytest.raises(silver.TooManyRejects):
         jobs.run_silver(silver_rows(spark, 4), str(tmp_path), arguments, {})
     assert not (tmp_path / "silver").exists()
+    event = spark.read.parquet(str(tmp_path / "events")).first()
+    assert event["detail_type"] == "PipelineExecutionFailed"
+    found = spark.createDataFrame([event]).select(events.contract_errors(F.col("detail_type"), F.col("detail")).alias("e")).first()
+    assert found["e"] == []
 
 
 def test_job_arguments_are_required():
@@ -263,3 +277,34 @@ def test_touched_days(spark, tmp_path):
     seen = []
     streams.touched_days(stream, lambda s, days: seen.extend(days), str(tmp_path / "cp")).awaitTermination()
     assert seen == ["2024-01-15", "2024-01-16"]
+
+
+def test_bad_trades_are_split_off(spark):
+    df = spark.createDataFrame([("c", "m", "i", "BUY", 1.0, 2.0, ts("2024-01-15 10:00:00")), ("c", "m", "i", "HOLD", 1.0, 2.0, ts("2024-01-15 10:00:00")), (None, "m", "i", "BUY", 1.0, 2.0, ts("2024-01-15 10:00:00")), ("c", "m", "i", "SELL", 0.0, 2.0, ts("2024-01-15 10:00:00")), ("c", "m", "i", "SELL", 1.0, 2.0, None)], "client_id string, account_id string, instrument_id string, side string, quantity double, price double, executed_at timestamp")
+    good, bad = streams.split_trades(df)
+    assert (good.count(), bad.count()) == (1, 4)
+
+
+def test_renames_fold_into_the_schema(spark):
+    log = [("t", "a", None, "ADD_COLUMN", "int", 1), ("t", "b", None, "ADD_COLUMN", "string", 2), ("t", "c", "a", "RENAME_COLUMN", None, 3), ("t", "a", None, "ALTER_COLUMN", "double", 4), ("t", "c", None, "ALTER_COLUMN", "bigint", 5), ("t", "z", "nothing", "RENAME_COLUMN", None, 6), ("old", "x", None, "ADD_COLUMN", "int", 1), ("old", "new", None, "RENAME_TABLE", None, 2), ("new", "y", None, "ADD_COLUMN", "int", 3)]
+    out = cdc.schema_state(spark.createDataFrame(log, "table_name string, column_name string, old_name string, change_type string, lake_type string, seq long"))
+    assert sorted(map(tuple, out.collect())) == [("new", "y", "int"), ("t", "b", "string"), ("t", "c", "bigint")]
+
+
+def test_rapid_transfers_across_the_hour(spark):
+    moves = spark.createDataFrame([("a", ts(f"2024-01-15 {x}")) for x in ("10:40:00", "10:50:00", "11:05:00", "11:10:00", "13:00:00")], "src string, ts timestamp")
+    assert [r["transfers"] for r in graph.rapid(moves, 1, 3).collect()] == [4]
+
+
+def test_wash_trades_between_two_clients(spark):
+    rows = [("a", "i", "BUY", 10.0, ts("2024-01-15 10:00:00"), 1), ("b", "i", "SELL", 10.005, ts("2024-01-15 11:00:00"), 2), ("a", "i", "SELL", 9.995, ts("2024-01-15 11:00:00"), 3), ("b", "i", "SELL", 10.5, ts("2024-01-15 11:00:00"), 4)]
+    df = spark.createDataFrame(rows, "client_id string, instrument_id string, side string, price double, ts timestamp, trade_id long")
+    pairs = lambda d: sorted((r["buy_id"], r["sell_id"]) for r in d.collect())
+    assert pairs(graph.wash_trades(df)) == [(1, 2), (1, 3)]
+    assert pairs(graph.wash_trades(df, related=spark.createDataFrame([("a", "x")], "buy_client string, sell_client string"))) == [(1, 3)]
+
+
+def test_governance_decisions_are_kept_by_version(spark, tmp_path):
+    rows = spark.createDataFrame([("v1", "APPROVED", "fair"), ("v2", "REJECTED", "biased")], "model_version string, decision string, reason string")
+    sinks.governance_decisions(rows, str(tmp_path / "d"))
+    assert sorted(map(tuple, spark.read.json(str(tmp_path / "d")).select("model_version", "decision").collect())) == [("v1", "APPROVED"), ("v2", "REJECTED")]

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelake import schemas
 from tidelake.functions.columns import lookup
+from tidelake.functions.folds import fold_in_order
 
 
 def normalise(changes: DataFrame) -> DataFrame:
@@ -45,12 +47,34 @@ def lake_type(relational: Column) -> Column:
     return F.when(relational.isNotNull(), lookup(schemas.LAKE_TYPES, bare, "string"))
 
 
+_STATE = T.StructType([T.StructField("column_name", T.StringType()), T.StructField("lake_type", T.StringType())])
+
+
+def _change(columns: dict[str, str], event: tuple) -> tuple[dict[str, str], list[tuple]]:
+    kind, name, old, lake = event
+    if kind == "DROP_TABLE":
+        columns.clear()
+    elif name is None:
+        pass
+    elif kind == "ADD_COLUMN":
+        columns[name] = lake
+    elif kind == "ALTER_COLUMN" and name in columns:
+        columns[name] = lake
+    elif kind == "DROP_COLUMN":
+        columns.pop(name, None)
+    elif kind == "RENAME_COLUMN" and old in columns:
+        columns[name] = columns.pop(old)
+    return columns, []
+
+
 def schema_state(log: DataFrame) -> DataFrame:
-    """Columns after a log of changes (table_name, column_name, change_type, lake_type, seq): the last change of each decides."""
-    last = log.where("column_name is not null").groupBy("table_name", "column_name").agg(F.max_by(F.struct("change_type", "lake_type"), "seq").alias("c"), F.max("seq").alias("seq"))
-    gone = log.where("change_type = 'DROP_TABLE'").groupBy("table_name").agg(F.max("seq").alias("dropped"))
-    kept = last.join(gone, "table_name", "left").where("c.change_type <> 'DROP_COLUMN' and (dropped is null or seq > dropped)")
-    return kept.select("table_name", "column_name", F.col("c.lake_type").alias("lake_type"))
+    """Columns after a log of changes (table_name, column_name, old_name, change_type, lake_type, seq), in order of ``seq``.
+
+    A column that is renamed keeps its type; a table that is renamed goes, and one of the
+    new name (``column_name``) begins without columns; changes of columns that are not there do nothing."""
+    gone = log.withColumn("change_type", F.when(F.col("change_type") == "RENAME_TABLE", "DROP_TABLE").otherwise(F.col("change_type")))
+    begun = log.where("change_type = 'RENAME_TABLE' and column_name is not null").withColumns({"table_name": F.col("column_name"), "change_type": F.lit("DROP_TABLE")})
+    return fold_in_order(gone.unionByName(begun), ["table_name"], ["seq"], ["change_type", "column_name", "old_name", "lake_type"], _STATE, dict, _change, lambda columns: list(columns.items()))
 
 
 def replication_lag(changes: DataFrame, seconds: int = 60, high: float = 60.0, low: float = 10.0) -> DataFrame:

@@ -17,11 +17,11 @@ ROUTES = [
 ]
 # Fields that each kind of event must have, and sets that its fields are from.
 CONTRACTS: dict[str, tuple[list[str], dict[str, list[str]]]] = {
-    "MarketDataIngested": (["source_id", "record_count"], {}),
+    "MarketDataIngested": (["source_id", "partition_path", "record_count", "ingestion_timestamp"], {}),
     "TradeExecuted": (["order_id", "client_id", "instrument_id", "side", "quantity", "executed_price", "execution_timestamp"], {"side": ["BUY", "SELL"]}),
     "PipelineExecutionFailed": (["job_id", "pipeline_stage", "error_type", "error_message", "retry_count", "failure_timestamp"], {"pipeline_stage": ["bronze-to-silver", "silver-to-gold"]}),
     "ComplianceAlert": (["alert_id", "severity", "alert_type", "description", "detection_timestamp"], {"severity": ["HIGH", "MEDIUM", "LOW"]}),
-    "AdvisoryGenerated": (["recommendation_id", "client_id", "model_version", "confidence_score", "requires_human_review"], {}),
+    "AdvisoryGenerated": (["recommendation_id", "client_id", "model_version", "confidence_score", "timestamp"], {}),
 }
 
 

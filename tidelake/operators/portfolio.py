@@ -2,41 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from decimal import ROUND_HALF_UP, Context, Decimal
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidelake.functions.folds import fold_in_order
 
 KEYS = ["client_id", "account_id", "instrument_id"]
 _QTY = "decimal(28,8)"
 
 
-def _start() -> Column:
-    zero = F.lit(0).cast(_QTY)
-    return F.struct(zero.alias("quantity"), zero.alias("average_cost"), zero.alias("cash"), zero.alias("realized"))
+_OUT = T.StructType([T.StructField("trade_count", T.LongType()), *(T.StructField(c, T.DecimalType(28, 8)) for c in ("quantity", "average_cost", "cash", "realized"))])
+
+State = tuple[int, Decimal, Decimal, Decimal, Decimal]
+
 
+def opening() -> State:
+    """Trades seen, quantity, average cost, cash and realised profit before any trade."""
+    zero = Decimal(0)
+    return 0, zero, zero, zero, zero
 
-def _apply(state: Column, trade: Column) -> Column:
+
+def after(state: State, side: str, quantity: Decimal, price: Decimal) -> State:
     """State after one trade: a purchase moves the average cost, a sale realises profit and leaves it."""
-    buy, q, p = trade["side"] == "BUY", trade["quantity"].cast(_QTY), trade["price"].cast(_QTY)
-    quantity = F.when(buy, state["quantity"] + q).otherwise(state["quantity"] - q).cast(_QTY)
-    spent = (q * p).cast(_QTY)
-    mixed = ((state["quantity"] * state["average_cost"]).cast(_QTY) + spent).cast(_QTY)
-    average = F.when(buy & (quantity > 0), F.try_divide(mixed, quantity).cast(_QTY)).when(buy, p).otherwise(state["average_cost"]).cast(_QTY)
-    cash = F.when(buy, state["cash"] - spent).otherwise(state["cash"] + spent).cast(_QTY)
-    gain = F.when(buy, F.lit(0).cast(_QTY)).otherwise(((p - state["average_cost"]).cast(_QTY) * q).cast(_QTY)).cast(_QTY)
-    return F.struct(quantity.alias("quantity"), average.alias("average_cost"), cash.alias("cash"), (state["realized"] + gain).cast(_QTY).alias("realized"))
+    seen, held, average, cash, realized = state
+    worth = _rounded(quantity * price)
+    if side == "BUY":
+        total = held + quantity
+        average = _rounded(_CONTEXT.divide(_rounded(held * average) + worth, total)) if total > 0 else price
+        return seen + 1, total, average, cash - worth, realized
+    return seen + 1, held - quantity, average, cash + worth, realized + _rounded((price - average) * quantity)
+
+
+_CONTEXT = Context(prec=38)
 
 
-def _ordered(trades: DataFrame, ties: list[str]) -> DataFrame:
-    trade = F.struct(F.col("executed_at"), *[F.col(t) for t in ties], F.col("side"), F.col("quantity"), F.col("price"))
-    return trades.groupBy(*KEYS).agg(F.array_sort(F.collect_list(trade)).alias("trades"))
+def _rounded(value: Decimal) -> Decimal:
+    """To the eight places of money, as the lake's decimals are."""
+    return value.quantize(Decimal("1e-8"), ROUND_HALF_UP, _CONTEXT)
 
 
 def positions(trades: DataFrame, ties: list[str], keep_closed: bool = False) -> DataFrame:
     """Final position of each key: quantity, average cost, cash flow and realised profit.
 
-    The trades of one key are gathered in one row; a key with more than memory holds
-    goes through the streaming form, which keeps only its state."""
-    folded = _ordered(trades, ties).select(*KEYS, F.size("trades").cast("long").alias("trade_count"), F.aggregate("trades", _start(), _apply).alias("s")).select(*KEYS, "trade_count", "s.*")
+    A fold of each key's trades in order that holds its state only, so a key may have any number."""
+    exact = trades.withColumns({c: F.col(c).cast(_QTY) for c in ("quantity", "price")})
+    folded = fold_in_order(exact, KEYS, ["executed_at", *ties, "side", "quantity", "price"], ["side", "quantity", "price"], _OUT, opening, lambda s, t: (after(s, *t), []), lambda s: [s])
     return folded if keep_closed else folded.where("quantity <> 0")
 
 
@@ -69,11 +82,11 @@ def margin_decisions(orders: DataFrame, portfolios: DataFrame, held: DataFrame)
     owned = F.coalesce("held", F.lit(0.0))
     need = F.when((F.col("side") == "BUY") | F.col("margin_available").isNull(), value * 0.5).when(F.col("held").isNotNull() & (F.col("order_quantity") <= owned), 0.0).otherwise((F.col("order_quantity") - owned) * F.col("order_price") * 0.25)
     out = out.withColumn("margin_needed", need)
-    after = F.coalesce("margin_available", F.lit(0.0)) - F.col("margin_needed")
+    left = F.coalesce("margin_available", F.lit(0.0)) - F.col("margin_needed")
     status = (
         F.when(F.col("margin_available").isNull(), "REJECTED")
         .when((F.col("margin_needed") <= 0) | (F.col("margin_available") >= F.col("margin_needed")), "APPROVED")
-        .when(after >= -(F.col("margin_available") * 0.1), "PENDING_REVIEW")
+        .when(left >= -(F.col("margin_available") * 0.1), "PENDING_REVIEW")
         .otherwise("REJECTED")
     )
-    return out.withColumns({"margin_after": after, "status": status})
+    return out.withColumns({"margin_after": left, "status": status})

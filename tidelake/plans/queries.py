@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelake.lineage import shared_dir
 from tidelake.operators import cdc, events, gold, governance, graph, orders, portfolio, quality, retention, silver
 from tidelake.plans import reports
 from tidelake.plans.views import AS_OF, sql, view
@@ -59,7 +60,7 @@ def silver_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""select reason, count(*) as n from (select unnest(case when list is null then ['valid'] when len(list) = 0 then ['valid'] else list end) as reason from (
-      select list_filter([case when instrument_type is null then 'instrument_type' end, case when last_price is null then 'last_price' end], lambda x: x is not null) as list from {sql('quotes')} q) a) b group by reason"""
+      select list_filter([case when instrument_type is null then 'instrument_type' end, case when bid_price is null then 'bid_price' end, case when ask_price is null then 'ask_price' end, case when last_price is null then 'last_price' end], lambda x: x is not null) as list from {sql('quotes')} q) a) b group by reason"""
 )
 def silver_schema_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelake import schemas
@@ -115,10 +116,10 @@ def silver_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return silver.lineage(_checked(spark, sf_dir), F.count("*"), F.count_distinct(F.struct(*TIES)))
 
 
-@query("select l_orderkey, l_linenumber, p_brand as sector, r_name as geography from lineitem join orders on l_orderkey = o_orderkey left join part on l_partkey = p_partkey left join customer on o_custkey = c_custkey left join nation on c_nationkey = n_nationkey left join region on n_regionkey = r_regionkey where l_returnflag = 'R'")
+@query("select l_orderkey, l_linenumber, p_brand as sector, r_name as geography from lineitem join orders on l_orderkey = o_orderkey left join part on l_partkey = p_partkey left join customer on o_custkey = c_custkey left join nation on c_nationkey = n_nationkey left join region on n_regionkey = r_regionkey")
 def silver_trade_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = lambda t: tables.table(spark, sf_dir, t)
-    trades = read("lineitem").where("l_returnflag = 'R'").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(*TIES, F.col("l_partkey").alias("instrument_id"), F.col("o_custkey").alias("client_id"))
+    trades = read("lineitem").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(*TIES, F.col("l_partkey").alias("instrument_id"), F.col("o_custkey").alias("client_id"))
     clients = read("customer").join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     out = silver.enrich_trades(trades, read("part").select(F.col("p_partkey").alias("instrument_id"), F.col("p_brand").alias("sector")), clients.select(F.col("c_custkey").alias("client_id"), F.col("r_name").alias("geography")))
     return out.select(*TIES, "sector", "geography")
@@ -432,13 +433,34 @@ def event_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.route(_events(spark, sf_dir)).groupBy("target").agg(F.count("*").alias("n"))
 
 
-@query("select event_id, case when event_type = 'purchase' then 'order_id: required,side: not allowed,executed_price: required,execution_timestamp: required' else '' end as errors from events where event_type in ('purchase', 'click')")
+# What each kind of event below lacks, or has wrong, by its contract; an error has all but a known stage.
+_CONTRACT_FAULTS = {
+    "MarketDataIngested": ["partition_path: required", "ingestion_timestamp: required"],
+    "TradeExecuted": ["order_id: required", "executed_price: required", "execution_timestamp: required", "side: not allowed"],
+    "PipelineExecutionFailed": ["pipeline_stage: not allowed"],
+    "ComplianceAlert": ["alert_id: required", "description: required"],
+    "AdvisoryGenerated": ["timestamp: required"],
+}
+_KINDS = ["MarketDataIngested", "TradeExecuted", "PipelineExecutionFailed", "ComplianceAlert", "AdvisoryGenerated", "Clicked"]
+
+
+@query(f"select event_id, case event_id % 6 {' '.join(f"when {k} then '{','.join(_CONTRACT_FAULTS.get(kind, []))}'" for k, kind in enumerate(_KINDS))} end as errors from events")
 def event_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    detail = F.to_json(F.struct(F.col("user_id").alias("client_id"), F.lit("x").alias("instrument_id"), F.lit("HOLD").alias("side"), F.col("value").alias("quantity")))
-    found = events.contract_errors(F.col("detail_type"), detail)
-    rows = _events(spark, sf_dir).where(F.col("event_type").isin("purchase", "click"))
-    order = F.array(*[F.lit(x) for x in ("order_id: required", "side: not allowed", "executed_price: required", "execution_timestamp: required")])
-    return rows.select("event_id", F.array_join(F.filter(order, lambda x: F.array_contains(found, x)), ",").alias("errors"))
+    user, some = F.col("user_id").cast("string"), F.lit("x")
+    details = [
+        {"source_id": user, "record_count": F.col("value")},
+        {"client_id": user, "instrument_id": some, "side": F.lit("HOLD"), "quantity": F.col("value")},
+        {"job_id": user, "pipeline_stage": F.lit("gold-to-platinum"), "error_type": some, "error_message": some, "retry_count": F.lit(0), "failure_timestamp": some},
+        {"severity": F.lit("HIGH"), "alert_type": some, "detection_timestamp": some},
+        {"recommendation_id": user, "client_id": user, "model_version": some, "confidence_score": F.col("value"), "requires_human_review": F.lit(True)},
+        {"user": user},
+    ]
+    kind, detail = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, fields in enumerate(details):
+        mine = F.col("event_id") % len(_KINDS) == k
+        kind = F.when(mine, _KINDS[k]).otherwise(kind)
+        detail = F.when(mine, F.to_json(F.struct(*(v.alias(c) for c, v in fields.items())))).otherwise(detail)
+    return _events(spark, sf_dir).select("event_id", F.array_join(events.contract_errors(kind, detail), ",").alias("errors"))
 
 
 @query("select 'order-manager' as source, 'OrderCreated' as detail_type, '{\"o_orderkey\":' || cast(o_orderkey as string) || ',\"o_orderstatus\":\"' || o_orderstatus || '\"}' as detail from orders")
@@ -453,9 +475,9 @@ def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.letters_by_queue(events.failure_context(letters))
 
 
-@query("select event_id from events where event_id % 10 <> 0 and event_type = 'purchase'")
+@query("select event_id from events where event_id % 10 <> 0")
 def outbox_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = tables.table(spark, sf_dir, "events").where("event_type = 'purchase'").select("event_id")
+    e = tables.table(spark, sf_dir, "events").select("event_id")
     return events.backlog(e, e.where("event_id % 10 = 0"))
 
 
@@ -630,11 +652,13 @@ def cdc_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(cdc.changed_columns(before, after), ",").alias("changed"))
 
 
-_DDL = """(select event_id as seq, 't' || cast(user_id % 20 as string) as table_name, case when event_id % 50 = 0 then null else 'c' || cast(event_id % 30 as string) end as column_name,
-  case when event_id % 50 = 0 then 'TABLE_DROPPED' when event_type = 'view' then 'COLUMN_ADDED' when event_type = 'click' then 'COLUMN_TYPE_CHANGED' when event_type = 'error' then 'COLUMN_DROPPED' else event_type end as event_type,
+_DDL = """(select event_id as seq, 't' || cast(user_id % 20 as string) as table_name,
+  case when event_id % 50 = 0 then null when event_id % 70 = 0 then 't' || cast((user_id + 7) % 20 as string) else 'c' || cast(event_id % 30 as string) end as column_name,
+  case when event_id % 11 = 0 then 'c' || cast((event_id + 4) % 30 as string) end as old_name,
+  case when event_id % 50 = 0 then 'TABLE_DROPPED' when event_id % 70 = 0 then 'TABLE_RENAMED' when event_id % 11 = 0 then 'COLUMN_RENAMED' when event_type = 'view' then 'COLUMN_ADDED' when event_type = 'click' then 'COLUMN_TYPE_CHANGED' when event_type = 'error' then 'COLUMN_DROPPED' else event_type end as event_type,
   case when event_id % 3 = 0 then 'numeric(10,2)' when event_id % 3 = 1 then 'Timestamp with time zone' else 'money' end as new_data_type from events)"""
-_CHANGES = f"""(select seq, table_name, column_name, case event_type when 'TABLE_DROPPED' then 'DROP_TABLE' when 'COLUMN_ADDED' then 'ADD_COLUMN' when 'COLUMN_TYPE_CHANGED' then 'ALTER_COLUMN' when 'COLUMN_DROPPED' then 'DROP_COLUMN' end as change_type,
-  case seq % 3 when 0 then 'decimal(18,8)' when 1 then 'timestamp' else 'string' end as lake_type from {_DDL} z where event_type in ('TABLE_DROPPED', 'COLUMN_ADDED', 'COLUMN_TYPE_CHANGED', 'COLUMN_DROPPED'))"""
+_CHANGES = f"""(select seq, table_name, column_name, old_name, case event_type when 'TABLE_DROPPED' then 'DROP_TABLE' when 'TABLE_RENAMED' then 'RENAME_TABLE' when 'COLUMN_RENAMED' then 'RENAME_COLUMN' when 'COLUMN_ADDED' then 'ADD_COLUMN' when 'COLUMN_TYPE_CHANGED' then 'ALTER_COLUMN' when 'COLUMN_DROPPED' then 'DROP_COLUMN' end as change_type,
+  case seq % 3 when 0 then 'decimal(18,8)' when 1 then 'timestamp' else 'string' end as lake_type from {_DDL} z where event_type in ('TABLE_DROPPED', 'TABLE_RENAMED', 'COLUMN_RENAMED', 'COLUMN_ADDED', 'COLUMN_TYPE_CHANGED', 'COLUMN_DROPPED'))"""
 
 
 def _schema_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -644,12 +668,23 @@ def _schema_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select * from {_CHANGES} x")
 def cdc_schema_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _schema_log(spark, sf_dir).select("seq", "table_name", "column_name", "change_type", "lake_type")
+    return _schema_log(spark, sf_dir).select("seq", "table_name", "column_name", "old_name", "change_type", "lake_type")
 
 
 @query(
-    f"""with c as (select * from {_CHANGES} x), l as (select table_name, column_name, arg_max(change_type, seq) as ch, arg_max(lake_type, seq) as lake_type, max(seq) as seq from c where column_name is not null group by table_name, column_name), g as (select table_name, max(seq) as dropped from c where change_type = 'DROP_TABLE' group by table_name)
-      select table_name, column_name, lake_type from l left join g using (table_name) where ch <> 'DROP_COLUMN' and (dropped is null or seq > dropped)"""
+    f"""with recursive c as (select seq, table_name, column_name, old_name, case change_type when 'RENAME_TABLE' then 'DROP_TABLE' else change_type end as ch, lake_type from {_CHANGES} x
+        union all select seq, column_name, null, null, 'DROP_TABLE', null from {_CHANGES} x where change_type = 'RENAME_TABLE'),
+      o as (select *, row_number() over (partition by table_name order by seq) as k from c),
+      f as (select table_name, 0 as k, cast([] as struct(n varchar, t varchar)[]) as cols from (select distinct table_name from o)
+        union all select f.table_name, o.k, case ch when 'DROP_TABLE' then cast([] as struct(n varchar, t varchar)[])
+          when 'ADD_COLUMN' then list_append(list_filter(cols, lambda e: e.n <> column_name), {{'n': column_name, 't': lake_type}})
+          when 'ALTER_COLUMN' then list_transform(cols, lambda e: case when e.n = column_name then {{'n': e.n, 't': lake_type}} else e end)
+          when 'DROP_COLUMN' then list_filter(cols, lambda e: e.n <> column_name)
+          when 'RENAME_COLUMN' then case when len(list_filter(cols, lambda e: e.n = old_name)) > 0
+            then list_append(list_filter(cols, lambda e: e.n <> column_name and e.n <> old_name), {{'n': column_name, 't': list_filter(cols, lambda e: e.n = old_name)[1].t}}) else cols end
+          else cols end from f join o on o.table_name = f.table_name and o.k = f.k + 1),
+      z as (select table_name, arg_max(cols, k) as cols from f group by table_name)
+      select table_name, e.n as column_name, e.t as lake_type from (select table_name, unnest(cols) as e from z)"""
 )
 def cdc_schema_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc.schema_state(_schema_log(spark, sf_dir))
@@ -710,7 +745,7 @@ def circular_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cycles(view(spark, sf_dir, "transfers")).select("length", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
-@query("select user_id as src, time_bucket(interval 6 hours, ts) as window_start, count(*) as transfers from events group by 1, 2 having count(*) > 2")
+@query("select distinct src, window_start, transfers from (select user_id as src, ts as window_start, count(*) over (partition by user_id order by ts range between current row and interval 6 hours following) as transfers from events) a where transfers > 2")
 def rapid_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     moves = tables.table(spark, sf_dir, "events").select(F.col("user_id").alias("src"), F.col("ts").cast("timestamp").alias("ts"))
     return graph.rapid(moves, 6, 2).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
@@ -727,24 +762,31 @@ def unusual_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with recursive e as (select src, dst from {sql('transfers')} z where src % 5 = 0 union select dst, src from {sql('transfers')} z where src % 5 = 0),
-      r(id, spot, hops) as (select distinct src, src, 0 from e where src < 20 union select r.id, e.dst, r.hops + 1 from r join e on r.spot = e.src where r.hops < 3)
+    f"""select length, path from ({ORACLES["circular_transfers"]}) c order by length, path limit 100"""
+)
+def circular_transfers_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.first_paths(circular_transfers(spark, sf_dir), ["length", "path"])
+
+
+@query(
+    f"""with recursive e as (select src, dst from {sql('transfers')} z union select dst, src from {sql('transfers')} z),
+      r(id, spot, hops) as (select distinct src, src, 0 from e where src % 97 = 0 union select r.id, e.dst, r.hops + 1 from r join e on r.spot = e.src where r.hops < 4)
       select id, spot as flagged, cast(min(hops) as int) as hops from r where spot % 97 = 0 group by id, spot having min(hops) > 0"""
 )
 def connected_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = view(spark, sf_dir, "transfers").where("src % 5 = 0")
-    ends = links.select(F.col("src").alias("id")).unionByName(links.select(F.col("dst").alias("id"))).distinct()
-    return graph.connected_flagged(links, ends.where("id < 20"), ends.where("id % 97 = 0"), 3)
+    links = view(spark, sf_dir, "transfers")
+    flagged = links.select(F.col("src").alias("id")).unionByName(links.select(F.col("dst").alias("id"))).distinct().where("id % 97 = 0")
+    return graph.connected_flagged(links, flagged, flagged)
 
 
 @query(
     f"""with t as (select client_id, instrument_id, side, cast(last_price as double) as price, source_timestamp as ts, l_orderkey * 10 + l_linenumber as trade_id from {sql('class_ticks')} z)
-      select a.client_id, a.instrument_id, a.trade_id as buy_id, b.trade_id as sell_id, a.price as buy_price, b.price as sell_price from t a join t b using (client_id, instrument_id)
-      where a.side = 'BUY' and b.side = 'SELL' and abs(date_diff('second', cast(a.ts as timestamp), cast(b.ts as timestamp))) <= 86400 * 30 and abs(a.price - b.price) < 500.0"""
+      select a.instrument_id, a.client_id as buy_client, b.client_id as sell_client, a.trade_id as buy_id, b.trade_id as sell_id, a.price as buy_price, b.price as sell_price from t a join t b using (instrument_id)
+      where a.side = 'BUY' and b.side = 'SELL' and abs(date_diff('second', cast(a.ts as timestamp), cast(b.ts as timestamp))) <= 86400 * 30 and abs(a.price - b.price) < 20.0"""
 )
 def wash_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     trades = view(spark, sf_dir, "class_ticks").select("client_id", "instrument_id", "side", F.col("last_price").cast("double").alias("price"), F.col("source_timestamp").alias("ts"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("trade_id"))
-    return graph.wash_trades(trades).select("client_id", "instrument_id", "buy_id", "sell_id", "buy_price", "sell_price")
+    return graph.wash_trades(trades, tolerance=20.0).drop("buy_ts", "sell_ts")
 
 
 @query(
@@ -862,20 +904,18 @@ def feature_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    import tempfile
     from uuid import uuid4
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidelake-stream-")
-    return f"{shared.rstrip('/')}/streams/{uuid4().hex}"
+    return f"{shared_dir(spark)}/streams/{uuid4().hex}"
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.parquet_stream(spark, f"{sf_dir}/events.parquet*", tables.table(spark, sf_dir, "events").schema).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("select user_id, time_bucket(interval 1 hour, ts) as window_start, count(*) as n from events group by 1, 2")
+@query("select user_id, time_bucket(interval 20 minutes, ts) - s * interval 20 minutes as window_start, count(*) as n from events, (select unnest(range(0, 3)) as s) x group by 1, 2")
 def stream_rapid_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    windows = streams.rapid_windows(_event_stream(spark, sf_dir), "ts", "user_id", "1 hour", "1 hour")
+    windows = streams.rapid_windows(_event_stream(spark, sf_dir), "ts", "user_id", "1 hour", "20 minutes")
     return streams.collect_stream(windows, "complete", _folder(spark)).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
@@ -919,7 +959,7 @@ def stream_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     trades = view(spark, sf_dir, "trades").withColumn("trade_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     trades.write.parquet(f"{folder}/in")
     out = streams.collect_stream(streams.positions(streams.parquet_stream(spark, f"{folder}/in", trades.schema)), "update", folder)
-    return out.select("client_id", "instrument_id", "trade_count", F.col("quantity").cast("bigint").alias("quantity"), F.round(F.col("average_cost") + 0.00003, 2).alias("average_cost"), F.round(F.col("cash") + 0.00003, 2).alias("cash"))
+    return out.select("client_id", "instrument_id", "trade_count", F.col("quantity").cast("bigint").alias("quantity"), F.round(F.col("average_cost").cast("double") + 0.00003, 2).alias("average_cost"), F.round(F.col("cash").cast("double") + 0.00003, 2).alias("cash"))
 
 
 @query("select event_id, ts, cast(case when event_id % 10 = 0 then true else false end as boolean) as late from events")

@@ -21,8 +21,8 @@ CLASS_TICKS = f"select client_id, instrument_type as instrument_id, sector, geog
 QUOTES = """select cast(l_partkey as string) as instrument_id, cast(l_suppkey as string) as source_id, case when l_orderkey % 29 = 0 then null else 'EQUITY' end as instrument_type,
   cast(l_shipdate as date) as trade_date, l_orderkey, l_linenumber,
   case when l_orderkey % 17 = 0 then null else cast(l_extendedprice as decimal(18,8)) end as last_price,
-  cast(cast(l_extendedprice as decimal(18,2)) * (1 - cast(l_discount as decimal(4,2))) as decimal(18,8)) as bid_price,
-  cast(cast(l_extendedprice as decimal(18,2)) * case when l_orderkey % 23 = 0 then 0.5 else 1 + cast(l_tax as decimal(4,2)) end as decimal(18,8)) as ask_price,
+  case when l_orderkey % 31 = 0 then null else cast(cast(l_extendedprice as decimal(18,2)) * (1 - cast(l_discount as decimal(4,2))) as decimal(18,8)) end as bid_price,
+  case when l_orderkey % 37 = 0 then null else cast(cast(l_extendedprice as decimal(18,2)) * case when l_orderkey % 23 = 0 then 0.5 else 1 + cast(l_tax as decimal(4,2)) end as decimal(18,8)) end as ask_price,
   cast(l_quantity as bigint) as volume, cast(l_shipdate as timestamp) as source_timestamp, cast(l_shipdate as timestamp) as ingestion_timestamp from lineitem"""
 
 TRANSFERS = """select src, dst, min(ts) as ts from (select o_custkey as src, (o_custkey * 7 + o_orderkey) % 1500 as dst, cast(o_orderdate as timestamp) as ts from orders) x where src <> dst group by src, dst"""

@@ -11,16 +11,26 @@ RATIO = T.DecimalType(18, 10)
 #: Silver ticks: the type of each field and whether it must be there.
 SILVER = T.StructType(
     [
-        T.StructField("source_id", T.StringType(), False),
         T.StructField("instrument_id", T.StringType(), False),
         T.StructField("instrument_type", T.StringType(), False),
+        T.StructField("instrument_name", T.StringType(), True),
+        T.StructField("exchange", T.StringType(), True),
         T.StructField("trade_date", T.DateType(), False),
-        T.StructField("bid_price", PRICE, True),
-        T.StructField("ask_price", PRICE, True),
+        T.StructField("source_id", T.StringType(), False),
+        T.StructField("bid_price", PRICE, False),
+        T.StructField("ask_price", PRICE, False),
         T.StructField("last_price", PRICE, False),
+        T.StructField("mid_price", PRICE, True),
+        T.StructField("spread", PRICE, True),
         T.StructField("volume", T.LongType(), False),
         T.StructField("source_timestamp", T.TimestampType(), False),
         T.StructField("ingestion_timestamp", T.TimestampType(), False),
+        T.StructField("schema_version", T.StringType(), True),
+        T.StructField("is_delayed", T.BooleanType(), True),
+        T.StructField("market_status", T.StringType(), True),
+        T.StructField("quality_score", T.DoubleType(), True),
+        T.StructField("dedup_key", T.StringType(), True),
+        T.StructField("processing_job_id", T.StringType(), True),
     ]
 )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,19 @@ def write_rejects(df: DataFrame, path: str) -> None:
     df.write.partitionBy("reject_stage", "trade_date").mode("append").parquet(path)
 
 
+def json_row(spark: SparkSession, record: dict) -> DataFrame:
+    """A nested record as one row, its fields typed as JSON has them."""
+    text = json.dumps(record)
+    kind = spark.range(1).select(F.schema_of_json(F.lit(text))).first()[0]
+    return spark.range(1).select(F.from_json(F.lit(text), kind).alias("r")).select("r.*")
+
+
+def append_event(spark: SparkSession, path: str, source: str, detail_type: str, detail: dict) -> None:
+    """One domain event, added to a log."""
+    row = json_row(spark, detail)
+    event_log(row, source, detail_type, row.columns).write.mode("append").parquet(path)
+
+
 def write_lineage(record: DataFrame, path: str) -> None:
     """One nested JSON record of a run."""
     record.coalesce(1).write.mode("append").json(path)
@@ -58,6 +73,11 @@ def event_log(df: DataFrame, source: str, detail_type: str, columns: list[str])
     return df.select(F.lit(source).alias("source"), F.lit(detail_type).alias("detail_type"), F.to_json(F.struct(*columns)).alias("detail"))
 
 
+def governance_decisions(decisions: DataFrame, path: str) -> None:
+    """Decisions on models as JSON records, kept by model version and never overwritten."""
+    decisions.write.mode("append").partitionBy("model_version").json(path)
+
+
 def graph_csv(df: DataFrame, path: str) -> None:
     """Bulk-load file of vertices or edges with its typed header."""
     df.write.mode("overwrite").option("header", True).csv(path)

@@ -11,7 +11,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidelake.operators import silver
+from tidelake import schemas
+from tidelake.functions.folds import fold_in_order
+from tidelake.operators import portfolio, silver
 from tidelake.sources import sinks
 
 
@@ -46,7 +48,8 @@ def tick_ingest(records: DataFrame, bronze: str, dead: str, events: str, checkpo
             rows.write.partitionBy("batch", "source", "year", "month", "day", "hour").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(bronze)
             flagged.where(F.size("errors") > 0).write.mode("overwrite").parquet(f"{dead}/batch={batch}")
             counts = valid.groupBy("source_id").agg(F.count("*").alias("record_count"))
-            sinks.event_log(counts, "market-data", "MarketDataIngested", ["source_id", "record_count"]).write.mode("overwrite").parquet(f"{events}/batch={batch}")
+            counts = counts.withColumns({"partition_path": F.concat(F.lit(f"batch={batch}/source="), "source_id"), "ingestion_timestamp": F.date_format(ingested, "yyyy-MM-dd'T'HH:mm:ss'Z'")})
+            sinks.event_log(counts, "market-data", "MarketDataIngested", ["source_id", "partition_path", "record_count", "ingestion_timestamp"]).write.mode("overwrite").parquet(f"{events}/batch={batch}")
         finally:
             flagged.unpersist()
 
@@ -67,11 +70,16 @@ def idempotent(df: DataFrame, ts: str = "ts", key: str = "idempotency_key", ttl:
 def idempotent_batch(df: DataFrame, ts: str = "ts", key: str = "idempotency_key", hours: int = 24) -> DataFrame:
     """The batch form: rows whose key did not occur in the ``hours`` before, by its last accepted row.
 
-    A fold of each key's times keeps the accepted ones."""
-    times = df.groupBy(key).agg(F.array_sort(F.collect_list(F.unix_micros(F.col(ts)))).alias("_t"))
+    A fold of each key's times in order keeps the last accepted one."""
     limit = hours * 3_600_000_000
-    kept = F.aggregate("_t", F.array().cast("array<long>"), lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= limit), F.concat(acc, F.array(t))).otherwise(acc))
-    return times.select(key, F.explode(kept).alias("_m")).select(key, F.timestamp_micros("_m").alias(ts))
+    times = df.select(key, F.unix_micros(F.col(ts)).alias("_m"))
+
+    def step(last: int | None, row: tuple) -> tuple[int | None, list[tuple]]:
+        m = row[0]
+        return (m, [(m,)]) if m is not None and (last is None or m - last >= limit) else (last, [])
+
+    kept = fold_in_order(times, [key], ["_m"], ["_m"], T.StructType([T.StructField("_at", T.LongType())]), lambda: None, step, lambda last: [])
+    return kept.select(key, F.timestamp_micros("_at").alias(ts))
 
 
 def lag_windows(df: DataFrame, arrival: str, commit: str, seconds: int = 60, watermark: str = "5 minutes") -> DataFrame:
@@ -89,25 +97,31 @@ def rapid_windows(df: DataFrame, ts: str, key: str, length: str = "1 hour", slid
 
 def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Position of one key after the trades of a batch, in order of time and id."""
-    quantity, average, cash, realized, seen = state.get if state.exists else (0.0, 0.0, 0.0, 0.0, 0)
+    now = tuple(state.get) if state.exists else portfolio.opening()
     trades = pd.concat(list(frames)).sort_values(["executed_at", "trade_id"])
-    for side, q, p in zip(trades["side"], trades["quantity"].astype(float), trades["price"].astype(float)):
-        if side == "BUY":
-            average = (quantity * average + q * p) / (quantity + q) if quantity + q > 0 else p
-            quantity, cash = quantity + q, cash - q * p
-        else:
-            realized += (p - average) * q
-            quantity, cash = quantity - q, cash + q * p
-        seen += 1
-    state.update((quantity, average, cash, realized, seen))
-    yield pd.DataFrame([[*key, quantity, average, cash, realized, seen]], columns=["client_id", "account_id", "instrument_id", "quantity", "average_cost", "cash", "realized", "trade_count"])
+    for side, q, p in zip(trades["side"], trades["quantity"], trades["price"]):
+        now = portfolio.after(now, side, q, p)
+    state.update(now)
+    yield pd.DataFrame([[*key, *now]], columns=["client_id", "account_id", "instrument_id", "trade_count", "quantity", "average_cost", "cash", "realized"])
+
+
+def split_trades(trades: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Trades that can be booked, and those that lack a key, time, side, or a positive quantity and price."""
+    whole = F.col("side").isin(schemas.SIDES) & (F.col("quantity") > 0) & (F.col("price") > 0)
+    for c in ("client_id", "account_id", "instrument_id", "executed_at"):
+        whole = whole & F.col(c).isNotNull()
+    whole = F.coalesce(whole, F.lit(False))
+    return trades.where(whole), trades.where(~whole)
 
 
 def positions(trades: DataFrame) -> DataFrame:
-    """Positions after each batch of trades; only the state of a key is kept, so a key may have any number of trades."""
-    out = "client_id string, account_id string, instrument_id string, quantity double, average_cost double, cash double, realized double, trade_count long"
-    state = "quantity double, average double, cash double, realized double, seen long"
-    return trades.groupBy("client_id", "account_id", "instrument_id").applyInPandasWithState(_fold, out, state, "update", GroupStateTimeout.NoTimeout)
+    """Positions after each batch of trades, in decimals; only the state of a key is kept, so a key may have any number of trades.
+
+    Trades are in order within a batch; a batch is an interval of arrival."""
+    money = "quantity decimal(28,8), average_cost decimal(28,8), cash decimal(28,8), realized decimal(28,8)"
+    out = f"client_id string, account_id string, instrument_id string, trade_count long, {money}"
+    exact = split_trades(trades)[0].withColumns({c: F.col(c).cast("decimal(28,8)") for c in ("quantity", "price")})
+    return exact.groupBy("client_id", "account_id", "instrument_id").applyInPandasWithState(_fold, out, f"trade_count long, {money}", "update", GroupStateTimeout.NoTimeout)
 
 
 def outbox(orders: DataFrame, path: str, events: str, checkpoint: str) -> StreamingQuery:
