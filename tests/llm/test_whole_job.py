@@ -69,6 +69,39 @@ def test_near_copies_of_short_texts_are_all_found(spark, monkeypatch, crowd):
     assert [found.get(k, k) for k in range(len(values))] == groups(values, 0.8)
 
 
+def long_copies(seed):
+    """Texts of 100 to 900 words with common phrases, and copies with words changed in several places (similarity 0.6 to 0.95)."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(3000)}"
+    phrases = [[word() for _ in range(12)] for _ in range(4)]
+    out = []
+    for k in range(60):
+        base = [w for _ in range(rng.randint(8, 70)) for w in (rng.choice(phrases) if rng.random() < 0.3 * (k % 3) else [word() for _ in range(12)])]
+        out.append(" ".join(base))
+        for _ in range(3):
+            copy = list(base)
+            for _ in range(max(1, int(len(base) * rng.uniform(0.005, 0.05)))):
+                copy[rng.randrange(len(copy))] = word()
+            out.append(" ".join(copy))
+    rng.shuffle(out)
+    return out
+
+
+def test_near_copies_of_long_texts_are_all_found(spark):
+    values = long_copies(8)
+    want = groups(values, 0.8)
+    assert 60 < len(set(want)) < len(values) - 60  # hundreds of pairs on either side of the threshold
+    docs = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: r["root"] for r in simhash.near_copies(docs).collect()}
+    assert [found.get(k, k) for k in range(len(values))] == want
+
+
+def test_sketches_are_prefixes_long_enough():
+    n, common = np.array([0, 1, 5, 50, 5_000, 5_000, 5_000]), np.array([0, 0, 0, 0, 0, 3_000, 4_900])
+    sizes = simhash.sketch_sizes(n, common, 0.8)
+    assert sizes.tolist()[:4] == [0, 1, 2, 11] and 30 <= sizes[4] <= 40 < sizes[5] < 1_001 == sizes[6]
+
+
 # --- HTML extraction -----------------------------------------------------------------
 
 SENTENCES = [f"Paragraph {k} of the story goes on for a while, with commas, and then it ends." for k in range(6)]

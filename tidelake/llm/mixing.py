@@ -154,8 +154,11 @@ def mix_documents(docs: DataFrame, domain: Column, mix: Mix = Mix(), tokens: Col
     counted = word_tokens(F.col(text)) if tokens is None else F.coalesce(tokens, F.lit(0)).cast("long")
     rows = cut(docs.select(F.col(doc_id).alias("doc_id"), counted.alias("tokens"), *(c.alias(k) for k, c in branch.items())))
     found = joinable(limits(rows, mix))
-    marked = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("doc_id"), *(c.alias(k) for k, c in branch.items()), counted.alias("tokens"))
+    marked = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("doc_id"), *(c.alias(k) for k, c in branch.items()), *([] if tokens is None else [counted.alias("tokens")]))
     chosen = marked.join(found, list(LEVELS)).withColumn("also", F.coalesce(order_key(mix.seed, F.col("whole"), F.col("doc_id")) <= F.col("last_key"), F.lit(False)))
+    chosen = chosen.where((F.col("whole") > 0) | F.col("also"))
+    if tokens is None:  # the words of chosen texts only
+        chosen = chosen.withColumn("tokens", word_tokens(F.col("row").getField(text)))
     epochs = F.filter(F.sequence(F.lit(0), F.col("whole")), lambda e: (e < F.col("whole")) | F.col("also"))
     chosen = chosen.select("row", *LEVELS, "tokens", F.explode(epochs).alias("epoch"), "leaf_tokens", F.col("budget").cast("long").alias("leaf_budget"))
     return chosen.select("row.*", F.struct(*LEVELS, "tokens", "epoch", "leaf_tokens", "leaf_budget").alias(name))
