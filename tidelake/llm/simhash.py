@@ -344,21 +344,21 @@ def _possible(n: str, m: str, flips: str, other: str, least: float) -> F.Column:
 
 
 def shared_shingles(one: DataFrame) -> DataFrame:
-    """``(token, first, doc_id, at)``: the shingles that several sketches show, the smallest id that
-    shows each, and each text that does with its place there.  Most are in one text only and go here:
+    """``(token, first, first_n, first_flips, doc_id, at)``: the shingles that several sketches show, the smallest
+    id that shows each, and each text that does with its place there.  Most are in one text only and go here:
     counts are combined before they are shuffled, and a shingle of very many texts is a skewed key of a join, which is split."""
     listed = one.select("doc_id", F.posexplode("sketch").alias("at", "token"))
     many = listed.groupBy("token").agg(F.count("*").alias("many"), F.min("doc_id").alias("first")).where("many > 1")
-    return listed.join(many.select("token", "first"), "token").select("token", "first", "doc_id", F.col("at").cast("int").alias("at"))
+    # A text is the first of no more shingles than its sketch has.
+    many = many.join(one.select(F.col("doc_id").alias("first"), F.col("n").alias("first_n"), F.col("flips").alias("first_flips")), "first")
+    return listed.join(many.drop("many"), "token").select("token", "first", "first_n", "first_flips", "doc_id", F.col("at").cast("int").alias("at"))
 
 
 def first_pairs(shared: DataFrame, one: DataFrame, least: float) -> DataFrame:
     """Candidates ``(a, b)``: each text with the first one of each shingle of its sketch."""
-    pairs = shared.where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
-    facts = one.select("doc_id", "n", "flips")
-    a, b = (facts.select(*(F.col(c).alias(f"{x}{c}") for c in facts.columns)) for x in ("a_", "b_"))
-    met = pairs.join(a, F.col("a") == F.col("a_doc_id")).join(b, F.col("b") == F.col("b_doc_id"))
-    return met.where(_possible("a_n", "b_n", "a_flips", "b_flips", least)).select("a", "b")
+    pairs = shared.where("doc_id <> first").select("doc_id", "first", "first_n", "first_flips").distinct()
+    met = pairs.join(one.select("doc_id", "n", "flips"), "doc_id")
+    return met.where(_possible("n", "first_n", "flips", "first_flips", least)).select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
 
 
 def rest(shared: DataFrame, one: DataFrame, known: DataFrame, least: float, crowd: int = 2_000) -> DataFrame:
@@ -389,8 +389,10 @@ def similar(docs: DataFrame, pairs: DataFrame, size: int, least: float, share: i
     pairs = cut(pairs)
     ids = joinable(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
     bodies, path = stored_at(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"))
-    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / share).cast("int").alias("parts"))
-    spread = pairs.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    parts = cut(pairs.groupBy("b").agg(F.ceil(F.count("*") / share).cast("int").alias("parts")))
+    # Only texts with many pairs are dealt out; there are few of them.
+    crowded = joinable(parts.where("parts > 1"))
+    spread = pairs.join(crowded, "b", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("a"), F.col("parts")), F.lit(0)).cast("int"))
     held = parts.join(bodies.withColumnRenamed("doc_id", "b"), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast(pairs.schema["a"].dataType).alias("a"), "text")
     sent = spread.join(bodies.withColumnRenamed("doc_id", "a"), "a").select("b", "part", "a", "text")
     lines = held.unionByName(sent).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
