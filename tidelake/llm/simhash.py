@@ -311,7 +311,7 @@ def _sketches(counts: np.ndarray, hashes: np.ndarray, least: float, common: tupl
     first = np.cumsum(n) - n
     sizes = sketch_sizes(n, np.bincount(of, rank > 0, len(counts)), least)
     ordered = ordered.view(np.int64)
-    return [ordered[a : a + k] for a, k in zip(first.tolist(), sizes.tolist())], n, sets.view(np.int64), flips.view(np.int64)
+    return [ordered[a : a + k].copy() for a, k in zip(first.tolist(), sizes.tolist())], n, sets.view(np.int64), flips.view(np.int64)
 
 
 def sketches(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
@@ -400,7 +400,7 @@ def similar(docs: DataFrame, pairs: DataFrame, size: int, least: float, share: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         last = None
-        for batch in batches:
+        for batch in (whole.slice(k, 500) for whole in batches for k in range(0, whole.num_rows, 500)):
             sets = [np.unique(h) for counts, base, hashes, _ in _shingles(batch.column(3), size) for h in np.split(hashes, base[1:-1])]
             out: list[tuple] = []
             for a, b, own in zip(batch.column(2).to_pylist(), batch.column(0).to_pylist(), sets):

@@ -26,7 +26,7 @@ _BASE = 0x9E3779B97F4A7C15
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def slices(column: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, max_bytes: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Yields (index of the first text, data, offsets) with about ``max_bytes`` of text each."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -77,7 +77,7 @@ def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     """A 64-bit polynomial hash of each span of ``data``, by one prefix sum."""
     n = len(data)
     if len(_powers[0]) <= n:
-        size = max(n + 1, 1 << 21)
+        size = max(n + 1, 1 << 19)
         for k, base in ((0, _BASE), (1, pow(_BASE, -1, 1 << 64))):
             step = np.full(size, base, np.uint64)
             step[0] = 1
