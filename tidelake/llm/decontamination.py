@@ -8,7 +8,9 @@ compared word by word with the text, and merged to spans to remove.
 
 The work is one pass over the documents without a shuffle.  The benchmark is
 read in blocks of bounded size, each sent to all tasks; a larger benchmark means
-more passes, not more memory.
+more passes over the column of texts, not more memory: the documents are written
+once with a row key, each further block leaves the few rows it hits, and those
+are joined once before the last pass.
 
 Defined results: a null text has no words; an item without words has no window;
 items of equal id count once, a null id reads as the empty string; repeated rows
@@ -118,9 +120,9 @@ def _scan(column: pa.Array, block: Block, prior: list | None, shard_bytes: int)
         by_doc: dict[int, list] = {}
         for hit in hits:
             by_doc.setdefault(int(np.searchsorted(first, hit[0], "right")) - 1, []).append(hit)
-        touched = set(by_doc) | {k for k in range(len(found)) if prior and prior[i + k]["n_hit"]}
-        for doc in touched:
-            was = prior[i + doc] if prior else {"items": [], "spans": []}
+        before = prior[i : i + len(found)] if prior else []
+        for doc in set(by_doc) | {k for k, was in enumerate(before) if was}:
+            was = before[doc] if before and before[doc] else {"items": [], "spans": []}
             own = by_doc.get(doc, [])
             spans = [(a - int(first[doc]), b - int(first[doc])) for a, b, _ in own] + [(s["first"], s["end"]) for s in was["spans"]]
             merged: list[list[int]] = []
@@ -142,24 +144,32 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = 13, text: str = "tex
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.col(item_text).alias("words"))
     total = items.agg(F.sum(F.octet_length("words") + F.octet_length("id"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
-    fields = docs.schema.fields
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("id", "words"), F.lit(blocks)) == k).collect() if blocks > 1 else items.collect()
-        block = docs.sparkSession.sparkContext.broadcast(block_of([tuple(r) for r in rows], size))
-        at, last = docs.columns.index(text), k > 0
 
-        def scan(batches: Iterator[pa.RecordBatch], block=block, at=at, last=last) -> Iterator[pa.RecordBatch]:
+    def scanned(rows: DataFrame, k: int, keep: list[str], prior: str | None = None) -> DataFrame:
+        """Columns ``keep`` of rows, and what block ``k`` adds to the hits in ``prior``."""
+        own = items.where(F.pmod(F.xxhash64("id", "words"), F.lit(blocks)) == k) if blocks > 1 else items
+        block = docs.sparkSession.sparkContext.broadcast(block_of([tuple(r) for r in own.collect()], size))
+        at, places = rows.columns.index(text), [rows.columns.index(c) for c in keep]
+        hits = rows.columns.index(prior) if prior else None
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                columns, names = batch.columns, batch.schema.names
-                prior = columns[-1].to_pylist() if last else None
-                found = _scan(columns[at], block.value, prior, shard_bytes)
-                kept = len(columns) - last
-                yield pa.RecordBatch.from_arrays([*columns[:kept], found], names=[*names[:kept], name])
-
-        docs = docs.mapInArrow(scan, T.StructType([*fields, T.StructField(name, FOUND, False)]))
-        if k < blocks - 1:
-            docs = stored(docs)
-    return docs
+                before = None if hits is None else batch.column(hits).to_pylist()
+                found = _scan(batch.column(at), block.value, before, shard_bytes)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in places), found], names=[*keep, name])
+
+        return rows.mapInArrow(scan, T.StructType([*(rows.schema[c] for c in keep), T.StructField(name, FOUND, False)]))
+
+    if blocks == 1:
+        return scanned(docs, 0, docs.columns)
+    key, prior = free_name(docs, "_row"), free_name(docs, "_prior")
+    keyed = stored(docs.withColumn(key, F.monotonically_increasing_id()))  # written, so that a row keeps its key
+    texts, hit = keyed.select(key, text), None
+    for k in range(1, blocks):
+        mine = stored(scanned(texts, k, [key]).where(F.col(name)["n_hit"] > 0))
+        hit = mine if hit is None else hit.unionByName(mine)
+    merged = F.struct(*[F.flatten(F.collect_list(F.col(name)[c])).alias(c) for c in ("items", "spans")])
+    return scanned(keyed.join(hit.groupBy(key).agg(merged.alias(prior)), key, "left"), 0, docs.columns, prior)
 
 
 def contaminated(found: F.Column) -> F.Column:
