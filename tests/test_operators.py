@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from tidelake import schemas
 from tidelake.functions.columns import bucket, ratio
 from tidelake.operators import cdc, events, gold, governance, graph, orders, portfolio, quality, retention, silver
-from tidelake.plans import jobs
+from tidelake.plans import jobs, reports
 from tidelake.sources import sinks, tables
 from tidelake.streaming import streams
 
@@ -308,3 +308,46 @@ def test_governance_decisions_are_kept_by_version(spark, tmp_path):
     rows = spark.createDataFrame([("v1", "APPROVED", "fair"), ("v2", "REJECTED", "biased")], "model_version string, decision string, reason string")
     sinks.governance_decisions(rows, str(tmp_path / "d"))
     assert sorted(map(tuple, spark.read.json(str(tmp_path / "d")).select("model_version", "decision").collect())) == [("v1", "APPROVED"), ("v2", "REJECTED")]
+
+
+def test_ledger_tables_are_read_in_ranges(spark):
+    url = "jdbc:derby:memory:ledger;create=true"
+    spark.range(1, 101).selectExpr("id as order_id", "cast(id * 2 as double) as price").write.jdbc(url, "orders")
+    out = tables.jdbc(spark, url, "orders", "order_id", 1, 101, 4)
+    assert out.rdd.getNumPartitions() == 4
+    assert out.selectExpr("count(*)", "sum(price)").first()[:] == (100, 10100.0)
+
+
+def test_keys_expire_in_the_stream(spark, tmp_path):
+    schema = T.StructType([T.StructField("idempotency_key", T.StringType()), T.StructField("ts", T.TimestampType())])
+    batches = [[("a", "2024-01-01 00:00:00")], [("a", "2024-01-01 10:00:00")], [("b", "2024-01-04 00:00:00")], [("a", "2024-01-04 01:00:00")]]
+    for k, rows in enumerate(batches):  # one file a run, in order
+        spark.createDataFrame([(key, ts(at)) for key, at in rows], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        first = streams.idempotent(streams.parquet_stream(spark, str(tmp_path / "in"), schema))
+        streams.start(first, streams.batch_folder(str(tmp_path / "out")), str(tmp_path / "cp")).awaitTermination()
+    out = spark.read.schema(schema).parquet(str(tmp_path / "out")).orderBy("ts").collect()
+    assert [(r["idempotency_key"], str(r["ts"])) for r in out] == [("a", "2024-01-01 00:00:00"), ("b", "2024-01-04 00:00:00"), ("a", "2024-01-04 01:00:00")]
+
+
+def test_bulk_files_have_typed_headers(spark):
+    df = spark.createDataFrame([(1, "n", 2.5, True, dt.date(2024, 1, 15))], "k int, name string, aum double, margin boolean, since date")
+    out = graph.bulk_vertices("Client", df, "k", {"name": "name", "aum": "aum", "margin": "margin", "since": "since"})
+    assert out.columns == ["~id", "~label", "name:String", "aum:Double", "margin:Bool", "since:Date"]
+    assert out.first()[:2] == ("Client:1", "Client")
+    link = graph.bulk_edges("OWNS", df, F.col("k"), ("Client", "k"), ("Account", "k"), {"weight": F.col("k")})
+    assert link.columns == ["~id", "~from", "~to", "~label", "weight:Long"] and link.first()[:4] == ("OWNS:1", "Client:1", "Account:1", "OWNS")
+
+
+def test_reports_are_in_order(spark):
+    rows = [("t", "g", "a", 1.0), ("u", "g", "b", 5.0), ("s", "g", "c", 5.0)]
+    risk = spark.createDataFrame(rows, "sector string, geography string, client_id string, total_exposure double")
+    assert [r["sector"] for r in reports.run(reports.RISK, risk=risk).collect()] == ["s", "u", "t"]
+
+
+def test_daily_quotes_and_moves(spark):
+    quotes = spark.createDataFrame([("i", 1, 10.0, 12.0, 11.0), ("i", 1, 13.0, 12.0, 11.0), ("i", 1, None, 12.0, 11.0)], "instrument_id string, trade_date int, bid_price double, ask_price double, last_price double")
+    one = gold.daily_quotes(quotes).first()
+    assert (one["avg_spread"], one["source_record_count"], round(one["quality_score"], 2)) == (0.5, 3, 33.33)
+    daily = spark.createDataFrame([("i", 1, 100.0), ("i", 2, 110.0), ("i", 3, 99.0)], "instrument_id string, trade_date int, close_price double")
+    moves = [r["daily_return_pct"] for r in gold.daily_moves(daily).orderBy("trade_date").collect()]
+    assert moves[0] is None and [round(m, 9) for m in moves[1:]] == [10.0, -10.0]

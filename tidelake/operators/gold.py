@@ -27,6 +27,21 @@ def daily_summaries(ticks: DataFrame, ties: list[str]) -> DataFrame:
     return daily.withColumn("vwap", ratio(F.col("turnover"), F.col("total_volume")))
 
 
+def daily_quotes(ticks: DataFrame) -> DataFrame:
+    """Per instrument and day: mean spread, source rows, and the share of rows with a whole, uncrossed quote in per cent."""
+    bid, ask = F.col("bid_price").cast("double"), F.col("ask_price").cast("double")
+    good = F.count_if(F.coalesce(ask >= bid, F.lit(False)) & F.col("last_price").isNotNull())
+    return ticks.groupBy("instrument_id", "trade_date").agg(F.avg(ask - bid).alias("avg_spread"), F.count("*").alias("source_record_count"), (good * 100.0 / F.count("*")).alias("quality_score"))
+
+
+def daily_moves(daily: DataFrame, annualization: float = 252.0) -> DataFrame:
+    """Daily summaries with the return on the day before in per cent, and its volatility over 20 rows."""
+    by_day = Window.partitionBy("instrument_id").orderBy("trade_date")
+    close, before = F.col("close_price").cast("double"), F.lag("close_price").over(by_day).cast("double")
+    out = daily.withColumn("daily_return_pct", F.when(before > 0, (close - before) / before * 100))
+    return out.withColumn("volatility_20d", F.stddev(F.col("daily_return_pct") / 100).over(by_day.rowsBetween(-19, 0)) * annualization)
+
+
 def performance(daily: DataFrame, annualization: float = 252.0, risk_free: float = 0.05) -> DataFrame:
     """Per instrument and day: returns over 1 to 252 rows, volatility, Sharpe ratio, RSI,
     drawdown and average volume.  All windows share one partitioning and order."""

@@ -2,40 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.lineage import shared_dir
 from tidelake.operators import cdc, events, gold, governance, graph, orders, portfolio, quality, retention, silver
-from tidelake.plans import reports
+from tidelake.plans import reports, stores  # noqa: F401  (stores registers its queries)
+from tidelake.plans.registry import ORACLES, QUERIES, query, work_folder  # noqa: F401
 from tidelake.plans.views import AS_OF, sql, view
 from tidelake.sources import sinks, tables
 from tidelake.streaming import streams
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 TIES = ["l_orderkey", "l_linenumber"]
 LINE = "l_orderkey, l_linenumber"
 
 
-def query(text: str, dates: tuple[str, ...] = ()) -> Callable[[Query], Query]:
-    """Registers a query with its oracle; days are given as text, which engines agree on."""
-
-    def add(f: Query) -> Query:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(spark, sf_dir).withColumns({c: F.col(c).cast("string") for c in dates})
-
-        QUERIES[f.__name__] = run if dates else f
-        days = ", ".join(f"cast({c} as string) as {c}" for c in dates)
-        ORACLES[f.__name__] = f"select * replace ({days}) from ({text}) days" if dates else text
-        return f
-
-    return add
-
-
 def _doubles(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in columns})
 
@@ -903,12 +883,6 @@ def feature_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streams -------------------------------------------------------------------------
 
 
-def _folder(spark: SparkSession) -> str:
-    from uuid import uuid4
-
-    return f"{shared_dir(spark)}/streams/{uuid4().hex}"
-
-
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.parquet_stream(spark, f"{sf_dir}/events.parquet*", tables.table(spark, sf_dir, "events").schema).withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -916,20 +890,20 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select user_id, time_bucket(interval 20 minutes, ts) - s * interval 20 minutes as window_start, count(*) as n from events, (select unnest(range(0, 3)) as s) x group by 1, 2")
 def stream_rapid_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = streams.rapid_windows(_event_stream(spark, sf_dir), "ts", "user_id", "1 hour", "20 minutes")
-    return streams.collect_stream(windows, "complete", _folder(spark)).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return streams.collect_stream(windows, "complete", work_folder(spark)).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("select time_bucket(interval 1 hour, ts) as window_start, round(max(cast(round(value * 1000000) as bigint) / 1000000.0::double), 4) as max_lag_seconds, count(*) as changes from events group by 1")
 def stream_replication_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     commit = F.timestamp_micros(F.unix_micros("ts") - F.round(F.col("value") * 1_000_000).cast("bigint"))
-    out = streams.collect_stream(streams.lag_windows(_event_stream(spark, sf_dir).withColumn("commit_ts", commit), "ts", "commit_ts", 3600), "complete", _folder(spark))
+    out = streams.collect_stream(streams.lag_windows(_event_stream(spark, sf_dir).withColumn("commit_ts", commit), "ts", "commit_ts", 3600), "complete", work_folder(spark))
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), F.round("max_lag_seconds", 4).alias("max_lag_seconds"), "changes")
 
 
 @query("select distinct event_type as idempotency_key from events")
 def stream_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = _event_stream(spark, sf_dir).select(F.col("event_type").alias("idempotency_key"), "ts")
-    return streams.collect_stream(streams.idempotent(keyed, ttl="3650 days"), "append", _folder(spark)).select("idempotency_key")
+    return streams.collect_stream(streams.idempotent(keyed, ttl="3650 days"), "append", work_folder(spark)).select("idempotency_key")
 
 
 @query(
@@ -944,7 +918,7 @@ def idempotent_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select source_id, count(*) as n from {sql('records')} r where len({_ERRORS}) = 0 group by source_id")
 def stream_tick_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _folder(spark)
+    folder = work_folder(spark)
     spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("events")
     columns = view(spark, sf_dir, "records").schema
     view(spark, sf_dir, "records").write.parquet(f"{folder}/in")
@@ -955,7 +929,7 @@ def stream_tick_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select client_id, instrument_id, trade_count, cast(quantity as bigint) as quantity, round(average_cost + 0.00003, 2) as average_cost, round(cash + 0.00003, 2) as cash from {_FOLD} x")
 def stream_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _folder(spark)
+    folder = work_folder(spark)
     trades = view(spark, sf_dir, "trades").withColumn("trade_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     trades.write.parquet(f"{folder}/in")
     out = streams.collect_stream(streams.positions(streams.parquet_stream(spark, f"{folder}/in", trades.schema)), "update", folder)

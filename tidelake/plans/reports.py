@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame
 
 DAILY_VOLUME = """select instrument_id, trade_date, cast(sum(total_volume) as bigint) as volume, cast(sum(turnover) as double) as turnover,
   cast(max(high_price) as double) as high, cast(min(low_price) as double) as low, {median}(vwap) as median_vwap
-  from {daily} d where trade_date >= date '{since}' group by instrument_id, trade_date"""
+  from {daily} d where trade_date >= date '{since}' group by instrument_id, trade_date order by trade_date desc, volume desc, instrument_id"""
 
 PORTFOLIO = """select client_id, instrument_id, trade_date, market_value, unrealized_pnl,
   case when total_cost > 0 then unrealized_pnl / cast(total_cost as double) * 100 end as pnl_pct
-  from {snapshots} p where trade_date >= date '{since}'"""
+  from {snapshots} p where trade_date >= date '{since}' order by client_id, trade_date desc, instrument_id"""
 
 RISK = """select sector, geography, cast(count(distinct client_id) as bigint) as clients, sum(total_exposure) as exposure, max(total_exposure) as largest,
-  cast(sum(case when total_exposure > 100000 then 1 else 0 end) as bigint) as large from {risk} r group by sector, geography"""
+  cast(sum(case when total_exposure > 100000 then 1 else 0 end) as bigint) as large from {risk} r group by sector, geography order by exposure desc, sector, geography"""
 
 REGULATORY = """select client_id, instrument_id, side, volume, cast(last_price as double) as price, l_orderkey, l_linenumber
-  from {trades} t where trade_date = date '{day}'"""
+  from {trades} t where trade_date = date '{day}' order by source_timestamp, l_orderkey, l_linenumber"""
 
 
 def run(text: str, median: str = "median", since: str = "1998-01-01", day: str = "1998-06-15", **frames: DataFrame) -> DataFrame:

@@ -23,9 +23,15 @@ def with_time_parts(df: DataFrame, ts: str) -> DataFrame:
     return df.withColumns({"year": F.year(ts), "month": F.month(ts), "day": F.dayofmonth(ts), "hour": F.hour(ts)})
 
 
+def _gathered(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of one folder brought together, so that not each task leaves a small file in each folder; AQE splits large ones."""
+    return df.hint("rebalance", *keys)
+
+
 def append_bronze(df: DataFrame, path: str, ts: str = "ingestion_timestamp") -> None:
     """Ticks by source and hour."""
-    with_time_parts(df, ts).withColumn("source", F.col("source_id")).write.partitionBy("source", "year", "month", "day", "hour").mode("append").parquet(path)
+    keys = ["source", "year", "month", "day", "hour"]
+    _gathered(with_time_parts(df, ts).withColumn("source", F.col("source_id")), keys).write.partitionBy(*keys).mode("append").parquet(path)
 
 
 def add_partition(spark: SparkSession, name: str, values: dict[str, object]) -> None:
@@ -36,7 +42,8 @@ def add_partition(spark: SparkSession, name: str, values: dict[str, object]) ->
 
 def write_rejects(df: DataFrame, path: str) -> None:
     """Rejected rows of all stages in one table."""
-    df.write.partitionBy("reject_stage", "trade_date").mode("append").parquet(path)
+    keys = ["reject_stage", "trade_date"]
+    _gathered(df, keys).write.partitionBy(*keys).mode("append").parquet(path)
 
 
 def json_row(spark: SparkSession, record: dict) -> DataFrame:
@@ -65,7 +72,8 @@ def retention_date(ts: Column, years: int = 7) -> Column:
 def append_audit(df: DataFrame, path: str, ts: str = "ts") -> None:
     """Append-only JSON by day with the day until which it must be kept."""
     out = df.withColumns({"retain_until": retention_date(F.col(ts)), "year": F.year(ts), "month": F.month(ts), "day": F.dayofmonth(ts)})
-    out.write.mode("append").partitionBy("year", "month", "day").json(path)
+    keys = ["year", "month", "day"]
+    _gathered(out, keys).write.mode("append").partitionBy(*keys).json(path)
 
 
 def event_log(df: DataFrame, source: str, detail_type: str, columns: list[str]) -> DataFrame:
@@ -79,7 +87,7 @@ def governance_decisions(decisions: DataFrame, path: str) -> None:
 
 
 def graph_csv(df: DataFrame, path: str) -> None:
-    """Bulk-load file of vertices or edges with its typed header."""
+    """Bulk-load files of vertices or edges (``graph.bulk_vertices``, ``graph.bulk_edges``), each with its typed header."""
     df.write.mode("overwrite").option("header", True).csv(path)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidelake import schemas
 from tidelake.functions.folds import fold_in_order
-from tidelake.operators import portfolio, silver
+from tidelake.operators import events, portfolio, silver
 from tidelake.sources import sinks
 
 
@@ -36,7 +36,7 @@ def batch_folder(path: str) -> Callable[[DataFrame, int], None]:
     return lambda df, batch: df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
-def tick_ingest(records: DataFrame, bronze: str, dead: str, events: str, checkpoint: str, ingested: Column | None = None) -> StreamingQuery:
+def tick_ingest(records: DataFrame, bronze: str, dead: str, log: str, checkpoint: str, ingested: Column | None = None) -> StreamingQuery:
     """Raw ticks to bronze by source and hour, the invalid ones to dead letters, and one event for each source."""
     ingested = F.current_timestamp() if ingested is None else ingested
 
@@ -49,7 +49,7 @@ def tick_ingest(records: DataFrame, bronze: str, dead: str, events: str, checkpo
             flagged.where(F.size("errors") > 0).write.mode("overwrite").parquet(f"{dead}/batch={batch}")
             counts = valid.groupBy("source_id").agg(F.count("*").alias("record_count"))
             counts = counts.withColumns({"partition_path": F.concat(F.lit(f"batch={batch}/source="), "source_id"), "ingestion_timestamp": F.date_format(ingested, "yyyy-MM-dd'T'HH:mm:ss'Z'")})
-            sinks.event_log(counts, "market-data", "MarketDataIngested", ["source_id", "partition_path", "record_count", "ingestion_timestamp"]).write.mode("overwrite").parquet(f"{events}/batch={batch}")
+            sinks.event_log(counts, "market-data", "MarketDataIngested", ["source_id", "partition_path", "record_count", "ingestion_timestamp"]).write.mode("overwrite").parquet(f"{log}/batch={batch}")
         finally:
             flagged.unpersist()
 
@@ -124,20 +124,53 @@ def positions(trades: DataFrame) -> DataFrame:
     return exact.groupBy("client_id", "account_id", "instrument_id").applyInPandasWithState(_fold, out, f"trade_count long, {money}", "update", GroupStateTimeout.NoTimeout)
 
 
-def outbox(orders: DataFrame, path: str, events: str, checkpoint: str) -> StreamingQuery:
+def outbox(orders: DataFrame, path: str, log: str, checkpoint: str) -> StreamingQuery:
     """Orders and their events under one batch number, so neither is there without the other after a retry."""
 
     def write(df: DataFrame, batch: int) -> None:
         rows = df.persist()
         try:
             rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
-            sinks.event_log(rows, "order-manager", "OrderCreated", rows.columns).write.mode("overwrite").parquet(f"{events}/batch={batch}")
+            sinks.event_log(rows, "order-manager", "OrderCreated", rows.columns).write.mode("overwrite").parquet(f"{log}/batch={batch}")
         finally:
             rows.unpersist()
 
     return start(orders, write, checkpoint)
 
 
+def graph_refresh(gold: DataFrame, frames: dict[str, DataFrame], path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Writes the bulk-load files of a graph anew, one folder for each of ``frames``, when gold has new rows
+    (``every``: at most so often, as "15 minutes")."""
+
+    def write(df: DataFrame, batch: int) -> None:
+        if not df.isEmpty():
+            for name, rows in frames.items():
+                sinks.graph_csv(rows, f"{path}/{name}")
+
+    return start(gold, write, checkpoint, every=every)
+
+
+def dead_letters(letters: DataFrame, path: str, log: str, checkpoint: str) -> StreamingQuery:
+    """Dead letters with their context to a table, and for each queue of a batch one event with the count."""
+
+    def write(df: DataFrame, batch: int) -> None:
+        rows = events.failure_context(df).persist()
+        try:
+            rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+            counts = events.letters_by_queue(rows)
+            sinks.event_log(counts, "operations", "DeadLettersReceived", counts.columns).write.mode("overwrite").parquet(f"{log}/batch={batch}")
+        finally:
+            rows.unpersist()
+
+    return start(letters, write, checkpoint)
+
+
+def follow_changes(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """The changes after a full load, kept as they come, one folder for each batch; ``cdc.apply_changes``
+    merges them with the load when it is read, so a batch costs its own rows only."""
+    return start(changes, batch_folder(path), checkpoint)
+
+
 def touched_days(ticks: DataFrame, recompute: Callable[[SparkSession, list], None], checkpoint: str) -> StreamingQuery:
     """On new ticks, recomputes the days they touch (a bounded list of dates)."""
 
