@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm import decontamination, html_extract, licenses, mixing, quality_rules, sharding, simhash, substring_dedup, token_counts, toxicity
+from tidelake.llm import decontamination, html_extract, licenses, mixing, prefix_trie, quality_rules, sharding, simhash, substring_dedup, token_counts, toxicity
 
 
 def _spread(df: DataFrame) -> DataFrame:
@@ -81,9 +81,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(docs, quality_rules.references(docs)).select("doc_id", "quality.*")
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return prefix_trie.nodes(prefix_trie.grafted(prefix_trie.turn_rows(said)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_html_extraction, op3_benchmark_decontamination, op4_source_mixing, op5_license_scan, op6_simhash_near_dedup, op7_suffix_array_dedup, op8_token_counts, op9_sharding, op10_quality_rules)
+    for f in (op1_toxicity, op2_html_extraction, op3_benchmark_decontamination, op4_source_mixing, op5_license_scan, op6_simhash_near_dedup, op7_suffix_array_dedup, op8_token_counts, op9_sharding, op10_quality_rules, op11_conversation_prefix_trie)
 }
 
 ORACLES: dict[str, str] = {
