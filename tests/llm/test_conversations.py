@@ -9,7 +9,7 @@ from collections import defaultdict
 
 import pytest
 
-from tidelake.llm import prefix_trie
+from tidelake.llm import conversation_repair, prefix_trie
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "conv_id long, turn long, role string, text string, c string, base string, key string, node string, rank string"
@@ -111,3 +111,126 @@ def _blocks_in_process(spark, rows):
         if r["parent"] is not None:
             r["parent_conv_id"] = smallest[r["parent"]]
     return sorted((tuple(r[c] for c in prefix_trie.NODE.names) for r in every), key=str)
+
+
+# --- repair --------------------------------------------------------------------------
+
+
+def brute_repair(rows):
+    by = defaultdict(list)
+    for c, t, r, x in rows:
+        r, x = " " if r is None else r, " " if x is None else x
+        code = zlib.crc32(f"{' ' if c is None else c}:{' ' if t is None else t}".encode()) % 20
+        by[c].append((t is not None, t or 0, r, x, code))
+    out = []
+    for c, list_ in by.items():
+        said = []
+        for has, t, r, x, code in sorted(list_):
+            x = "" if code == 1 else re.sub("[.!?]", "", x) if code == 2 else x
+            r = "user" if code == 4 else r
+            said += [] if code == 0 else [(t if has else None, r, x)] * (2 if code == 3 else 1)
+        turns = [t for t, _, _ in said if t is not None]
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        seen, faults = set(), []
+        for _, r, x in said:
+            visible = re.sub(r"[\x20\x09-\x0D]", "", x)
+            faults.append("b" if not visible else "d" if (r, x) in seen else "t" if visible[-1] not in ".!?" else "")
+            seen.add((r, x))
+        initials = [r[:1] for _, r, _ in said]
+        illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:]))
+        cost, audit, repaired = best_edits([(r, x, f) for (_, r, x), f in zip(said, faults)])
+        out.append((c, gaps, faults.count("b"), faults.count("d"), faults.count("t"), illegal, cost, audit, sha("\n".join(repaired))))
+    return sorted(out, key=str)
+
+
+def best_edits(rows):
+    """All edits of cost up to the best, by dynamic programming over every role sequence, without an agenda."""
+    best = {(0, ""): (0, "", [])}  # by rows read and initials given (as "", "s", "u" or "a" for the last one)
+
+    def better(table, key, value):
+        if key not in table or value[:2] < table[key][:2]:
+            table[key] = value
+
+    def inserted(table):
+        for _ in range(3):
+            for last, (cost, audit, text) in list(table.items()):
+                role = "assistant" if last == "u" else "user"
+                better(table, role[0], (cost + 2, audit + "I", [*text, f"{role}:"]))
+        return table
+
+    now = inserted({"": (0, "", [])})
+    for role, text, fault in rows:
+        after = {}
+        for last, (cost, audit, kept) in now.items():
+            better(after, last, (cost + 3, audit + "D", kept))
+            if fault in "bd" and fault:
+                continue
+            extra = int(fault == "t")
+            if role[:1] in {"": "su", "s": "u", "u": "a", "a": "u"}[last] and role:
+                better(after, role[0], (cost + extra, audit + "K", [*kept, f"{role}:{text}"]))
+            new = "assistant" if last == "u" else "user"
+            better(after, new[0], (cost + 2 + extra, audit + "R", [*kept, f"{new}:{text}"]))
+        now = inserted(after)
+    return min(now[k] for k in ("", "a") if k in now)
+
+
+def exhaustive(rows, limit):
+    """The least (cost, audit) of all audits up to a length, by trying each of them."""
+    best = None
+    for n in range(limit + 1):
+        for audit in itertools.product("DIKR", repeat=n):
+            if sum(e != "I" for e in audit) != len(rows):
+                continue
+            left, roles, cost, ok = list(rows), "", 0, True
+            for e in audit:
+                row = None if e == "I" else left.pop(0)
+                due = "a" if roles.endswith("u") else "u"
+                if e == "D":
+                    cost += 3
+                    continue
+                ok &= row is None or row[2] not in ("b", "d")
+                roles += row[0][:1] if e == "K" else due
+                cost += {"I": 2, "K": 0, "R": 2}[e] + (row is not None and row[2] == "t")
+            if ok and re.fullmatch("(s?(ua)+)?", roles):
+                best = min(best or (cost, "".join(audit)), (cost, "".join(audit)))
+    return best
+
+
+def test_agenda_finds_the_least_of_all_edits():
+    rng = random.Random(3)
+    for _ in range(60):
+        rows = [(rng.choice(("system", "user", "assistant", "tool", " ")), "x", rng.choice(("", "", "t", "b", "d"))) for _ in range(rng.randint(0, 4))]
+        (value,) = conversation_repair.lightest({conversation_repair.BEGIN: (0, "")}, [conversation_repair.Row(*r) for r in rows], True).values()
+        assert value == exhaustive(rows, len(rows) + 2) == best_edits(rows)[:2]
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 256])
+def test_blocks_of_a_long_conversation(block, monkeypatch):
+    monkeypatch.setattr(conversation_repair, "BLOCK", block)
+    rng = random.Random(block)
+    for length in (0, 1, 5, 40, 700):
+        for odd in (0.02, 0.5, 1):
+            rows = [((rng.choice(("system", "user", "assistant", "tool")) if rng.random() < odd else ("user", "assistant")[k % 2]), f"{k}", rng.choice(("", "t", "b", "d")) if rng.random() < odd else "") for k in range(length)]
+            now = conversation_repair.Conversation(1)
+            for k, r in enumerate(rows):
+                now.read(k, conversation_repair.Row(*r))
+                assert len(now.open) < 4 * block + 40
+            cost, audit, text = best_edits(rows)
+            assert now.end()[6:] == (cost, audit, sha("\n".join(text)))
+
+
+ROWS = {
+    "none": [],
+    "nulls": [(None, None, None, None), (None, 2, "user", "x."), (4, None, "user", "a"), (4, None, None, "b."), (4, 7, "assistant", None)],
+    "all_lost": [(c, 0, "user", "x.") for c in range(60)],
+    "ties": [(c, 1, r, x) for c in range(30) for r, x in (("user", "b."), ("assistant", "c"), ("user", "b."), ("user", "a!"))],
+    "long": [(9, t, ("user", "assistant", "system")[t % 3 if t % 11 == 0 else t % 2], f"t {t % 500}" + "." * (t % 7 > 0)) for t in range(3000)],
+    "very_long_text": [(1, t, "user", "word " * 200_000) for t in range(2)],
+    **{f"random{k}": [(c, t, r, x and x * random.Random(c).choice((1, 2))) for c, t, r, x in talks(k, turns=("Hello there.", "How are you?", "No", "Fine\t\n", " .", "x"))] for k in range(4)},
+}
+
+
+@pytest.mark.parametrize("name", list(ROWS))
+def test_conversation_repair(spark, name):
+    got = conversation_repair.repair(conversation_repair.damaged(frame(spark, ROWS[name])))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_repair(ROWS[name])

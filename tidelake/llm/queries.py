@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm import decontamination, html_extract, licenses, mixing, prefix_trie, quality_rules, sharding, simhash, substring_dedup, token_counts, toxicity
+from tidelake.llm import conversation_repair, decontamination, html_extract, licenses, mixing, prefix_trie, quality_classifier, quality_rules, sharding, simhash, substring_dedup, token_counts, toxicity
 
 
 def _spread(df: DataFrame) -> DataFrame:
@@ -86,9 +86,21 @@ def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame
     return prefix_trie.nodes(prefix_trie.grafted(prefix_trie.turn_rows(said)))
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir, "text")
+    model = quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    s = F.col("quality_score")
+    return quality_classifier.score(docs, model).select("doc_id", (~quality_classifier.in_training(F.col("doc_id"))).alias("held_out"), s.alias("score"), (s >= 0.5).cast("int").alias("predicted"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = _spread(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversation_repair.repair(conversation_repair.damaged(said))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_html_extraction, op3_benchmark_decontamination, op4_source_mixing, op5_license_scan, op6_simhash_near_dedup, op7_suffix_array_dedup, op8_token_counts, op9_sharding, op10_quality_rules, op11_conversation_prefix_trie)
+    for f in (op1_toxicity, op2_html_extraction, op3_benchmark_decontamination, op4_source_mixing, op5_license_scan, op6_simhash_near_dedup, op7_suffix_array_dedup, op8_token_counts, op9_sharding, op10_quality_rules, op11_conversation_prefix_trie, op12_quality_classifier, op13_conversation_repair)
 }
 
 ORACLES: dict[str, str] = {
