@@ -9,8 +9,8 @@ hinge loss is fitted by dual coordinate descent: one dual variable at a time is
 its best value between 0 and its bound, and the weights with it.
 
 Counts of n-grams by class are made by Spark over all labelled training documents.  The
-descent, which goes from document to document, takes at most ``max_labels`` of them, by a
-hash of their id, with at most ``max_values`` n-grams in all.  Scoring is one Arrow pass
+descent, which goes from document to document in one task, takes at most ``max_labels`` of
+them, by a hash of their id, with at most ``max_values`` n-grams in all.  Scoring is one Arrow pass
 over all documents and whole texts.
 
 Defined results: null and empty texts show no n-gram and get the score of the bias;
@@ -143,11 +143,25 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), doc
     shares /= np.array([[sizes[False]], [sizes[True]]]) + 2 * settings.smoothing
     ratios = np.log(shares[1] / shares[0])
     # The least hashes of ids, while they have no more n-grams together than the bound.
-    chosen = rows.select("id", "good", "grams", F.xxhash64("id").alias("h"), F.size("grams").alias("n")).orderBy("h", "id").limit(settings.max_labels)
     running = Window.orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0)
-    table = chosen.withColumn("n", F.sum("n").over(running)).where(F.col("n") <= settings.max_values).select("good", "grams").toArrow()
-    grams = table.column("grams").combine_chunks()
-    return descend(ratios, np.asarray(grams.offsets), np.asarray(grams.flatten()), table.column("good").to_numpy(), settings)
+    chosen = rows.select("id", F.xxhash64("id").alias("h"), F.size("grams").cast("long").alias("n")).orderBy("h", "id").limit(settings.max_labels)
+    chosen = cut(chosen.withColumn("n", F.sum("n").over(running)).where(F.col("n") <= settings.max_values).select("id", "h").distinct())
+    sent = docs.sparkSession.sparkContext.broadcast(ratios)
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken = [(np.diff(np.asarray(b.column(1).offsets)), np.asarray(b.column(1).flatten()), np.asarray(b.column(0))) for b in batches]
+        if taken:
+            widths, grams, good = (np.concatenate(x) for x in zip(*taken))
+            model = descend(sent.value, np.append(0, np.cumsum(widths)), grams, good, settings)
+            at = np.flatnonzero(model.weights)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(model.weights[at], model.bias))], ["bucket", "weight"])
+
+    # Bounded by the settings, so one task of an executor can hold it.
+    sample = rows.join(F.broadcast(chosen), "id").select("good", "grams", "h", "id").repartition(1).sortWithinPartitions("h", "id").select("good", "grams")
+    weights = np.zeros(settings.buckets + 1)
+    for bucket, weight in zip(*(c.to_numpy() for c in sample.mapInArrow(train, "bucket long, weight double").toArrow().columns)):
+        weights[bucket] = weight
+    return Model(settings, ratios, weights[:-1], weights[-1])
 
 
 def _class_counts(rows: DataFrame, buckets: int) -> DataFrame:
