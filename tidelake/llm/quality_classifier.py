@@ -3,14 +3,13 @@
 A text shows the n-grams of its words (runs without white space, A-Z in lower case), of
 their shapes, their last letters, and which of the words before each of them repeats, each
 once however often it occurs, hashed to ``buckets``.
-An n-gram's value is the logarithm of the ratio of its shares in the two classes, from all
-labelled training documents; with these values, scaled to length one, a linear model with
+An n-gram's value is the logarithm of the ratio of its shares in the two classes; with these values, scaled to length one, a linear model with
 hinge loss is fitted by dual coordinate descent: one dual variable at a time is moved to
 its best value between 0 and its bound, and the weights with it.
 
-Counts of n-grams by class are made by Spark over all labelled training documents.  The
-descent, which goes from document to document in one task, takes at most ``max_labels`` of
-them, by a hash of their id, with at most ``max_values`` n-grams in all.  Scoring is one Arrow pass
+Fitting uses at most ``max_labels`` labelled documents, chosen by a hash of their id; Spark
+counts their n-grams by class.  The descent, which goes from document to document in one
+task, takes those of them that have at most ``max_values`` n-grams together.  Scoring is one Arrow pass
 over all documents and whole texts.
 
 Defined results: null and empty texts show no n-gram and get the score of the bias;
@@ -36,7 +35,7 @@ from tidelake.llm.runtime import cut, free_name
 
 @dataclass(frozen=True)
 class Settings:
-    #: Documents, and n-grams of them, that the descent takes at most.
+    #: Labelled documents to learn from, and n-grams of them that the descent takes, at most.
     max_labels: int = 20_000
     max_values: int = 20_000_000
     buckets: int = 1 << 18
@@ -121,6 +120,8 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """A model from labelled rows whose id ``in_training`` admits."""
     usable = labels.where(in_training(F.col(doc_id)) & F.col(label).isin(0, 1)).select(F.col(doc_id).alias("id"), (F.col(label) == 1).alias("good"))
+    # The bound on labelled rows also bounds what is broadcast.
+    usable = F.broadcast(usable.orderBy(F.xxhash64("id"), "id", "good").limit(settings.max_labels))
     sample = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(usable, "id")
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,8 +145,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), doc
     ratios = np.log(shares[1] / shares[0])
     # The least hashes of ids, while they have no more n-grams together than the bound.
     running = Window.orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0)
-    chosen = rows.select("id", F.xxhash64("id").alias("h"), F.size("grams").cast("long").alias("n")).orderBy("h", "id").limit(settings.max_labels)
-    chosen = cut(chosen.withColumn("n", F.sum("n").over(running)).where(F.col("n") <= settings.max_values).select("id", "h").distinct())
+    chosen = rows.groupBy("id").agg(F.sum(F.size("grams").cast("long")).alias("n")).withColumn("h", F.xxhash64("id"))
+    chosen = cut(chosen.withColumn("n", F.sum("n").over(running)).where(F.col("n") <= settings.max_values).select("id", "h"))
     sent = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
