@@ -12,7 +12,7 @@ from tidelake.functions.columns import bucket, ratio
 from tidelake.operators import cdc, events, gold, governance, graph, orders, portfolio, quality, retention, silver
 from tidelake.plans import jobs, reports
 from tidelake.sources import sinks, tables
-from tidelake.streaming import streams
+from tidelake.streaming import streams, trade_book
 
 
 def ts(text):
@@ -112,9 +112,13 @@ def test_closed_positions_go(spark):
 def test_stream_positions_equal_the_batch(spark, tmp_path):
     rows = trades(spark, [("BUY", "100", "185.5"), ("BUY", "50", "190"), ("SELL", "30", "200"), ("SELL", "20", "180")])
     rows.repartition(1).write.parquet(str(tmp_path / "in"))
-    out = streams.collect_stream(streams.positions(streams.parquet_stream(spark, str(tmp_path / "in"), rows.schema)), "update", str(tmp_path))
+    end = rows.limit(1).withColumns({"client_id": F.lit("end"), "executed_at": F.lit("2025-01-01").cast("timestamp")})
+    end.repartition(1).write.mode("append").parquet(str(tmp_path / "in"))
+    booked = trade_book.book(streams.parquet_stream(spark, str(tmp_path / "in"), rows.schema))
+    streams.start(booked, streams.batch_folder(str(tmp_path / "out")), str(tmp_path / "cp"), stateful=True).awaitTermination()
+    out = trade_book.positions(spark.read.schema(trade_book.BOOKED).parquet(str(tmp_path / "out" / "*")))
     a, b = out.first(), portfolio.positions(rows, ["trade_id"]).first()
-    assert (a["quantity"], a["average_cost"], a["realized"]) == tuple(b[c] for c in ("quantity", "average_cost", "realized"))
+    assert tuple(a[c] for c in ("quantity", "average_cost", "realized", "realized_ytd")) == tuple(b[c] for c in ("quantity", "average_cost", "realized", "realized_ytd"))
 
 
 def test_margin_model(spark):
@@ -281,7 +285,7 @@ def test_touched_days(spark, tmp_path):
 
 def test_bad_trades_are_split_off(spark):
     df = spark.createDataFrame([("c", "m", "i", "BUY", 1.0, 2.0, ts("2024-01-15 10:00:00")), ("c", "m", "i", "HOLD", 1.0, 2.0, ts("2024-01-15 10:00:00")), (None, "m", "i", "BUY", 1.0, 2.0, ts("2024-01-15 10:00:00")), ("c", "m", "i", "SELL", 0.0, 2.0, ts("2024-01-15 10:00:00")), ("c", "m", "i", "SELL", 1.0, 2.0, None)], "client_id string, account_id string, instrument_id string, side string, quantity double, price double, executed_at timestamp")
-    good, bad = streams.split_trades(df)
+    good, bad = trade_book.split_trades(df)
     assert (good.count(), bad.count()) == (1, 4)
 
 
@@ -351,3 +355,44 @@ def test_daily_quotes_and_moves(spark):
     daily = spark.createDataFrame([("i", 1, 100.0), ("i", 2, 110.0), ("i", 3, 99.0)], "instrument_id string, trade_date int, close_price double")
     moves = [r["daily_return_pct"] for r in gold.daily_moves(daily).orderBy("trade_date").collect()]
     assert moves[0] is None and [round(m, 9) for m in moves[1:]] == [10.0, -10.0]
+
+
+def test_trades_wait_for_their_order(spark, tmp_path):
+    """Runs with trades out of order, twice, too late and bad: nothing is lost, and contents are forgotten in time."""
+    schema = "client_id string, account_id string, instrument_id string, side string, quantity decimal(18,8), price decimal(18,8), executed_at timestamp, trade_id long"
+    day = dt.datetime(2024, 1, 15, 10)
+    t = lambda k, side, q, p, minute, client="c": (client, "main", "i", side, Decimal(q), Decimal(p), None if minute is None else day + dt.timedelta(minutes=minute), k)
+    runs = [
+        [t(1, "BUY", 100, "185.5", 0), t(3, "SELL", 30, 200, 8)],
+        [t(2, "BUY", 50, 190, 4), t(1, "BUY", 100, "185.5", 0), t(9, "BUY", -5, 1, 5), t(7, "BUY", 1, 1, None, "z")],
+        [t(4, "BUY", 1, 1, 100, "d")],
+        [t(5, "SELL", 1, 1, 3), t(2, "BUY", 50, 190, 4), t(6, "BUY", 1, 1, 500, "z")],
+    ]
+    for rows in runs:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        booked = trade_book.book(streams.parquet_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema), "10 minutes")
+        streams.start(booked, streams.batch_folder(str(tmp_path / "out")), str(tmp_path / "cp"), stateful=True).awaitTermination()
+    out = spark.read.schema(trade_book.BOOKED).parquet(str(tmp_path / "out" / "*"))
+    assert sorted((r["trade_id"], r["outcome"]) for r in out.collect()) == [(1, "booked"), (1, "duplicate"), (2, "booked"), (2, "late"), (3, "booked"), (4, "booked"), (5, "late"), (7, "invalid"), (9, "invalid")]
+    assert [tuple(r) for r in out.where("client_id = 'c' and outcome = 'booked'").orderBy("trade_count").select("trade_id", "new_quantity", "previous_cost", "new_cost", "realized_ytd").collect()] == [
+        (1, Decimal(100), Decimal(0), Decimal("185.5"), Decimal(0)), (2, Decimal(150), Decimal("185.5"), Decimal(187), Decimal(0)), (3, Decimal(120), Decimal(187), Decimal(187), Decimal(390)),
+    ]
+    assert trade_book.failures(out).count() == 5
+
+
+def test_undated_rows_are_kept(spark):
+    rows = spark.createDataFrame([(1, ts("2024-01-01 00:00:00"), ts("2024-01-03 00:00:00")), (2, None, ts("2024-01-01 00:00:00")), (3, ts("2024-01-01 00:00:00"), None), (4, ts("2024-01-01 00:00:00"), ts("2024-01-01 00:00:00"))], "id long, ts timestamp, arrival timestamp")
+    assert [[r["id"] for r in part.orderBy("id").collect()] for part in streams.split_late(rows, "ts", "arrival", 24)] == [[4], [1], [2, 3]]
+
+
+def test_idempotent_rows_are_whole(spark):
+    rows = [("k", ts("2024-01-01 00:00:00"), "a"), ("k", ts("2024-01-01 00:00:00"), "b"), ("k", ts("2024-01-02 00:00:00"), "c"), ("k", None, "d")]
+    out = streams.idempotent_batch(spark.createDataFrame(rows, "idempotency_key string, ts timestamp, body string"))
+    assert out.columns == ["idempotency_key", "ts", "body"] and [r["body"] for r in out.orderBy("body").collect()] == ["a", "c"]
+
+
+def test_realised_profit_begins_anew_each_year(spark):
+    at = [ts("2023-05-01 00:00:00"), ts("2023-06-01 00:00:00"), ts("2024-02-01 00:00:00")]
+    rows = [("c", "main", "i", side, Decimal(q), Decimal(p), at[k], k) for k, (side, q, p) in enumerate([("BUY", 10, 5), ("SELL", 4, 7), ("SELL", 2, 8)])]
+    df = spark.createDataFrame(rows, "client_id string, account_id string, instrument_id string, side string, quantity decimal(18,8), price decimal(18,8), executed_at timestamp, trade_id long")
+    assert [(r["realized"], r["realized_ytd"]) for r in portfolio.position_updates(df, ["trade_id"]).orderBy("trade_id").collect()] == [(0, 0), (8, 8), (14, 6)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import ROUND_HALF_UP, Context, Decimal
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,26 +14,37 @@ KEYS = ["client_id", "account_id", "instrument_id"]
 _QTY = "decimal(28,8)"
 
 
-_OUT = T.StructType([T.StructField("trade_count", T.LongType()), *(T.StructField(c, T.DecimalType(28, 8)) for c in ("quantity", "average_cost", "cash", "realized"))])
+MONEY = T.DecimalType(28, 8)
+_OUT = T.StructType([T.StructField("trade_count", T.LongType()), *(T.StructField(c, MONEY) for c in ("quantity", "average_cost", "cash", "realized", "realized_ytd"))])
+#: What a trade does to a position.
+MOVE = T.StructType([T.StructField("trade_count", T.LongType()), *(T.StructField(c, MONEY) for c in ("previous_quantity", "new_quantity", "previous_cost", "new_cost", "cash_delta", "cash", "realized", "realized_ytd"))])
 
-State = tuple[int, Decimal, Decimal, Decimal, Decimal]
+#: Trades seen, quantity, average cost, cash, realised profit, that at the beginning of the year, and the year.
+State = tuple[int, Decimal, Decimal, Decimal, Decimal, Decimal, int | None]
 
 
 def opening() -> State:
-    """Trades seen, quantity, average cost, cash and realised profit before any trade."""
+    """The state before any trade."""
     zero = Decimal(0)
-    return 0, zero, zero, zero, zero
+    return 0, zero, zero, zero, zero, zero, None
 
 
-def after(state: State, side: str, quantity: Decimal, price: Decimal) -> State:
+def after(state: State, side: str, quantity: Decimal, price: Decimal, year: int) -> State:
     """State after one trade: a purchase moves the average cost, a sale realises profit and leaves it."""
-    seen, held, average, cash, realized = state
+    seen, held, average, cash, realized, began, current = state
+    if year != current:
+        began = realized
     worth = _rounded(quantity * price)
     if side == "BUY":
         total = held + quantity
         average = _rounded(_CONTEXT.divide(_rounded(held * average) + worth, total)) if total > 0 else price
-        return seen + 1, total, average, cash - worth, realized
-    return seen + 1, held - quantity, average, cash + worth, realized + _rounded((price - average) * quantity)
+        return seen + 1, total, average, cash - worth, realized, began, year
+    return seen + 1, held - quantity, average, cash + worth, realized + _rounded((price - average) * quantity), began, year
+
+
+def move(before: State, now: State) -> tuple:
+    """``MOVE`` of a trade."""
+    return now[0], before[1], now[1], before[2], now[2], now[3] - before[3], now[3], now[4], now[4] - now[5]
 
 
 _CONTEXT = Context(prec=38)
@@ -44,21 +55,30 @@ def _rounded(value: Decimal) -> Decimal:
     return value.quantize(Decimal("1e-8"), ROUND_HALF_UP, _CONTEXT)
 
 
+def _exact(trades: DataFrame) -> DataFrame:
+    return trades.withColumns({c: F.col(c).cast(_QTY) for c in ("quantity", "price")})
+
+
 def positions(trades: DataFrame, ties: list[str], keep_closed: bool = False) -> DataFrame:
-    """Final position of each key: quantity, average cost, cash flow and realised profit.
+    """Final position of each key: quantity, average cost, cash flow and realised profit, all and of the last trade's year.
 
     A fold of each key's trades in order that holds its state only, so a key may have any number."""
-    exact = trades.withColumns({c: F.col(c).cast(_QTY) for c in ("quantity", "price")})
-    folded = fold_in_order(exact, KEYS, ["executed_at", *ties, "side", "quantity", "price"], ["side", "quantity", "price"], _OUT, opening, lambda s, t: (after(s, *t), []), lambda s: [s])
+    exact = _exact(trades).withColumn("_year", F.year("executed_at"))
+    folded = fold_in_order(exact, KEYS, ["executed_at", *ties, "side", "quantity", "price"], ["side", "quantity", "price", "_year"], _OUT, opening, lambda s, t: (after(s, *t), []), lambda s: [(*s[:5], s[4] - s[5])])
     return folded if keep_closed else folded.where("quantity <> 0")
 
 
 def position_updates(trades: DataFrame, ties: list[str]) -> DataFrame:
-    """One row for each trade: quantity before and after, and cash moved, by running sums."""
-    order = Window.partitionBy(*KEYS).orderBy("executed_at", *ties).rowsBetween(Window.unboundedPreceding, 0)
-    change = F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity"))
-    out = trades.withColumn("new_quantity", F.sum(change).over(order))
-    return out.withColumns({"previous_quantity": F.col("new_quantity") - change, "cash_delta": -change * F.col("price")})
+    """One row for each trade: ``ties``, side, and what it did to the position (``MOVE``): quantity, cost, cash and profit."""
+    exact = _exact(trades).withColumn("_year", F.year("executed_at"))
+    kept = [c for c in ties if c not in ("side", "quantity", "price")]
+    out = T.StructType([*(exact.schema[c] for c in kept), exact.schema["side"], *MOVE.fields])
+
+    def step(state: State, trade: tuple) -> tuple[State, list[tuple]]:
+        now = after(state, *trade[:4])
+        return now, [(*trade[4:], trade[0], *move(state, now))]
+
+    return fold_in_order(exact, KEYS, ["executed_at", *ties], ["side", "quantity", "price", "_year", *kept], out, opening, step, lambda s: [])
 
 
 def totals(held: DataFrame, prices: DataFrame, cash: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidelake.operators import cdc, events, gold, governance, graph, orders, portfolio, quality, retention, silver
 from tidelake.plans import reports, stores  # noqa: F401  (stores registers its queries)
 from tidelake.plans.registry import ORACLES, QUERIES, query, work_folder  # noqa: F401
+from tidelake.plans import views
 from tidelake.plans.views import AS_OF, sql, view
 from tidelake.sources import sinks, tables
 from tidelake.streaming import streams
@@ -518,7 +519,7 @@ _ASKED = "(select cast(o_orderkey as bigint) as o_orderkey, p_type as instrument
 @query(f"select o_orderkey, a.instrument_id, price as asof_price from {_ASKED} a asof left join (select instrument_id, trade_date::timestamp as at, cast(arg_max(last_price, ({LINE}, last_price)) as double) as price from {sql('class_ticks')} t group by instrument_id, trade_date) p on a.instrument_id = p.instrument_id and a.request_ts >= p.at")
 def asof_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     ticks = view(spark, sf_dir, "class_ticks")
-    return orders.asof_prices(spark.sql(_ASKED), ticks, [*TIES, "last_price"]).select("o_orderkey", "instrument_id", "asof_price")
+    return orders.asof_prices(views.run(spark, sf_dir, _ASKED), ticks, [*TIES, "last_price"]).select("o_orderkey", "instrument_id", "asof_price")
 
 
 _PRETRADE = """(select o_orderkey, cast(o_custkey as string) as client_id, cast(o_orderkey % 2100 as string) as instrument_id, case when o_orderkey % 4 = 0 then 'SELL' else 'BUY' end as side, cast(o_orderkey % 90 + 1 as bigint) as quantity, case when o_orderkey % 5 = 0 then o_totalprice / 100 end as limit_price from orders)"""
@@ -536,40 +537,63 @@ def pretrade_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     instruments = tables.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("instrument_id"), (F.col("p_size") > 5).alias("tradable"))
     accounts = tables.table(spark, sf_dir, "customer").where("c_custkey % 11 <> 0").select(F.col("c_custkey").cast("string").alias("client_id"), (F.col("c_acctbal") * 100).alias("margin_available"))
     held = ticks.groupBy("client_id", "instrument_id").agg(F.sum(gold.signed_quantity(F.col("side"), F.col("volume"))).alias("held"))
-    out = orders.pretrade(spark.sql(_PRETRADE), instruments, accounts, held, orders.latest_prices(ticks, [*TIES, "last_price"]))
+    out = orders.pretrade(views.run(spark, sf_dir, _PRETRADE), instruments, accounts, held, orders.latest_prices(ticks, [*TIES, "last_price"]))
     return out.select("o_orderkey", "required_margin", F.array_join("errors", ", ").alias("errors"), F.array_join("warnings", ", ").alias("warnings"), "status")
 
 
 _FOLD_TIES = ["l_orderkey", "l_linenumber"]
-_FOLD = f"""(with recursive o as (select *, row_number() over (partition by client_id, account_id, instrument_id order by executed_at, l_orderkey, l_linenumber, side, quantity, price) as k from {sql('trades')} t),
-  f as (select client_id, account_id, instrument_id, k, case when side = 'BUY' then quantity else -quantity end::double as q, case when side = 'BUY' then price else 0 end::double as a, case when side = 'BUY' then -quantity * price else quantity * price end::double as cash, case when side = 'BUY' then 0 else quantity * price end::double as realized from o where k = 1
-   union all select f.client_id, f.account_id, f.instrument_id, o.k, case when side = 'BUY' then f.q + quantity else f.q - quantity end, case when side <> 'BUY' then f.a when f.q + quantity > 0 then (f.q * f.a + quantity * price) / (f.q + quantity) else price end,
-     case when side = 'BUY' then f.cash - quantity * price else f.cash + quantity * price end, case when side = 'BUY' then f.realized else f.realized + (price - f.a) * quantity end
-   from f join o on o.client_id = f.client_id and o.account_id = f.account_id and o.instrument_id = f.instrument_id and o.k = f.k + 1)
-  select client_id, account_id, instrument_id, max(k) as trade_count, arg_max(q, k) as quantity, arg_max(a, k) as average_cost, arg_max(cash, k) as cash, arg_max(realized, k) as realized from f group by client_id, account_id, instrument_id)"""
+
+
+def fold_sql(trades: str, order: str, extra: str = "") -> str:
+    """Every state of each key after its trades in order, as whole numbers of 1e-8, which keep each rounding exact."""
+    return f"""(with recursive o as (select client_id, account_id, instrument_id, side, {extra} cast(quantity as hugeint) as dq, cast(price * 100 as hugeint) * 1000000 as p, cast(extract(year from executed_at) as int) as y,
+        row_number() over (partition by client_id, account_id, instrument_id order by {order}) as k from {trades} t),
+      f as (select client_id, account_id, instrument_id, cast(0 as bigint) as k, 0::hugeint as q, 0::hugeint as a, 0::hugeint as cash, 0::hugeint as realized, 0::hugeint as began, cast(null as int) as y from (select distinct client_id, account_id, instrument_id from o)
+        union all select f.client_id, f.account_id, f.instrument_id, o.k, case when side = 'BUY' then f.q + dq else f.q - dq end,
+          case when side <> 'BUY' then f.a when f.q + dq > 0 then sign(f.q * f.a + dq * p)::hugeint * ((2 * abs(f.q * f.a + dq * p) + f.q + dq) // (2 * (f.q + dq))) else p end,
+          case when side = 'BUY' then f.cash - dq * p else f.cash + dq * p end, case when side = 'BUY' then f.realized else f.realized + (p - f.a) * dq end,
+          case when o.y = f.y then f.began else f.realized end, o.y
+        from f join o on o.client_id = f.client_id and o.account_id = f.account_id and o.instrument_id = f.instrument_id and o.k = f.k + 1),
+      s as (select *, lag(q) over w as before_q, lag(a) over w as before_a, lag(cash) over w as before_cash from f window w as (partition by client_id, account_id, instrument_id order by k))
+      select o.*, s.* exclude (client_id, account_id, instrument_id, k, y) from s join o using (client_id, account_id, instrument_id, k))"""
+
+
+def units(*columns: str) -> dict[str, F.Column]:
+    """Decimals as whole numbers of 1e-8."""
+    return {c: (F.col(c) * 100_000_000).cast("bigint") for c in columns}
+
+
+_FOLD_ORDER = "executed_at, l_orderkey, l_linenumber, side, quantity, price"
+_STEPS = fold_sql(sql("trades"), _FOLD_ORDER, "l_orderkey, l_linenumber,")
+_LAST = f"(select client_id, account_id, instrument_id, max(k) as trade_count, arg_max(q, k) as q, arg_max(a, k) as a, arg_max(cash, k) as cash, arg_max(realized, k) as realized, arg_max(realized - began, k) as ytd from {_STEPS} x group by client_id, account_id, instrument_id)"
+_FOLD = f"(select client_id, account_id, instrument_id, trade_count, cast(q as double) as quantity, cast(a as double) / 1e8 as average_cost from {_LAST} l)"
 
 
 def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portfolio.positions(view(spark, sf_dir, "trades"), _FOLD_TIES)
 
 
-@query(f"select client_id, instrument_id, trade_count, cast(quantity as bigint) as quantity, round(average_cost + 0.00003, 2) as average_cost, round(cash + 0.00003, 2) as cash from {_FOLD} x where quantity <> 0")
+@query(f"select client_id, instrument_id, trade_count, cast(q as bigint) as quantity, cast(a as bigint) as average_cost, cast(cash as bigint) as cash from {_LAST} x where q <> 0")
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _positions(spark, sf_dir).select("client_id", "instrument_id", "trade_count", F.col("quantity").cast("bigint").alias("quantity"), F.round(F.col("average_cost").cast("double") + 0.00003, 2).alias("average_cost"), F.round(F.col("cash").cast("double") + 0.00003, 2).alias("cash"))
+    """Money in whole numbers of 1e-8."""
+    return _positions(spark, sf_dir).select("client_id", "instrument_id", "trade_count", F.col("quantity").cast("bigint").alias("quantity"), "average_cost", "cash").withColumns(units("average_cost", "cash"))
 
 
-@query(f"select client_id, instrument_id, round(realized + 0.003, 0) as realized from {_FOLD} x")
+@query(f"select client_id, instrument_id, cast(realized as bigint) as realized, cast(ytd as bigint) as realized_ytd from {_LAST} x")
 def realized_profit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return portfolio.positions(view(spark, sf_dir, "trades"), _FOLD_TIES, keep_closed=True).select("client_id", "instrument_id", F.round(F.col("realized").cast("double") + 0.003, 0).alias("realized"))
+    """Of all time, and of the year of the last trade, in whole numbers of 1e-8."""
+    return portfolio.positions(view(spark, sf_dir, "trades"), _FOLD_TIES, keep_closed=True).select("client_id", "instrument_id", "realized", "realized_ytd").withColumns(units("realized", "realized_ytd"))
 
 
 @query(
-    f"""select client_id, instrument_id, {LINE}, side, cast(n as bigint) as new_quantity, cast(n - d as bigint) as previous_quantity, cast(-d * price as double) as cash_delta from (
-      select *, case when side = 'BUY' then quantity else -quantity end as d, sum(case when side = 'BUY' then quantity else -quantity end) over (partition by client_id, account_id, instrument_id order by executed_at, l_orderkey, l_linenumber, side rows unbounded preceding) as n from {sql('trades')} t) a"""
+    f"""select client_id, instrument_id, {LINE}, side, k as trade_count, cast(before_q as bigint) as previous_quantity, cast(q as bigint) as new_quantity, cast(before_a as bigint) as previous_cost, cast(a as bigint) as new_cost,
+      cast(cash - before_cash as bigint) as cash_delta, cast(realized - began as bigint) as realized_ytd from {fold_sql(sql('trades'), 'executed_at, l_orderkey, l_linenumber, side', LINE + ',')} x"""
 )
 def position_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantity and cost before and after each trade; money in whole numbers of 1e-8."""
     out = portfolio.position_updates(view(spark, sf_dir, "trades"), [*_FOLD_TIES, "side"])
-    return out.select("client_id", "instrument_id", *TIES, "side", F.col("new_quantity").cast("bigint").alias("new_quantity"), F.col("previous_quantity").cast("bigint").alias("previous_quantity"), F.col("cash_delta").cast("double").alias("cash_delta"))
+    whole = {c: F.col(c).cast("bigint") for c in ("previous_quantity", "new_quantity")}
+    return out.select("client_id", "instrument_id", *TIES, "side", "trade_count", "previous_quantity", "new_quantity", "previous_cost", "new_cost", "cash_delta", "realized_ytd").withColumns(whole | units("previous_cost", "new_cost", "cash_delta", "realized_ytd"))
 
 
 _PRICES = f"(select instrument_id, cast(arg_max(last_price, (source_timestamp, {LINE}, last_price)) as double) as latest_price from {sql('class_ticks')} t group by instrument_id)"
@@ -594,8 +618,7 @@ def portfolio_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     select o_orderkey, need as margin_needed, case when m is null then 'REJECTED' when need <= 0 or m >= need then 'APPROVED' when m - need >= -(m * 0.1) then 'PENDING_REVIEW' else 'REJECTED' end as status from j"""
 )
 def margin_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    view(spark, sf_dir, "trades")
-    asked = spark.sql("select o_orderkey, cast(o_custkey as string) as client_id, p_type as instrument_id, case when o_orderkey % 4 = 0 then 'SELL' else 'BUY' end as side, cast(o_orderkey % 90 + 1 as double) as order_quantity, o_totalprice as order_price from orders join part on p_partkey = o_orderkey % 1000")
+    asked = views.run(spark, sf_dir, "select o_orderkey, cast(o_custkey as string) as client_id, p_type as instrument_id, case when o_orderkey % 4 = 0 then 'SELL' else 'BUY' end as side, cast(o_orderkey % 90 + 1 as double) as order_quantity, o_totalprice as order_price from orders join part on p_partkey = o_orderkey % 1000")
     out = portfolio.margin_decisions(asked, _totals(spark, sf_dir), _positions(spark, sf_dir))
     return out.select("o_orderkey", "margin_needed", "status")
 
@@ -642,8 +665,7 @@ _CHANGES = f"""(select seq, table_name, column_name, old_name, case event_type w
 
 
 def _schema_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    view(spark, sf_dir, "records")
-    return cdc.schema_changes(spark.sql(_DDL))
+    return cdc.schema_changes(views.run(spark, sf_dir, _DDL))
 
 
 @query(f"select * from {_CHANGES} x")
@@ -788,8 +810,7 @@ _BIAS = f"(select attribute, grp as \"group\", avg(value) as group_mean, count(*
 
 
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    view(spark, sf_dir, "records")
-    return spark.sql(_PREDICTIONS)
+    return views.run(spark, sf_dir, _PREDICTIONS)
 
 
 def _bias(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -907,39 +928,14 @@ def stream_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with recursive e as (select user_id as idempotency_key, ts, row_number() over (partition by user_id order by ts) as k from events),
-      f as (select idempotency_key, ts, ts as accepted, k from e where k = 1 union all select e.idempotency_key, e.ts, case when e.ts - f.accepted >= interval 24 hours then e.ts else f.accepted end, e.k from f join e on e.idempotency_key = f.idempotency_key and e.k = f.k + 1)
-      select idempotency_key, ts from f where ts = accepted"""
+    """with recursive e as (select user_id as idempotency_key, ts, event_id, row_number() over (partition by user_id order by ts, event_id) as k from events),
+      f as (select idempotency_key, event_id, ts, ts as accepted, event_id as first, k from e where k = 1
+        union all select e.idempotency_key, e.event_id, e.ts, case when e.ts - f.accepted >= interval 24 hours then e.ts else f.accepted end, case when e.ts - f.accepted >= interval 24 hours then e.event_id else f.first end, e.k from f join e on e.idempotency_key = f.idempotency_key and e.k = f.k + 1)
+      select idempotency_key, ts, event_id from f where event_id = first"""
 )
 def idempotent_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = tables.table(spark, sf_dir, "events").select(F.col("user_id").alias("idempotency_key"), F.col("ts").cast("timestamp").alias("ts"))
-    return streams.idempotent_batch(e).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-
-
-@query(f"select source_id, count(*) as n from {sql('records')} r where len({_ERRORS}) = 0 group by source_id")
-def stream_tick_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = work_folder(spark)
-    spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("events")
-    columns = view(spark, sf_dir, "records").schema
-    view(spark, sf_dir, "records").write.parquet(f"{folder}/in")
-    raw = streams.parquet_stream(spark, f"{folder}/in", columns).withColumnRenamed("ts_text", "timestamp")
-    streams.tick_ingest(raw, f"{folder}/bronze", f"{folder}/dead", f"{folder}/events", f"{folder}/checkpoint", _as_of()).awaitTermination()
-    return spark.read.parquet(f"{folder}/bronze").groupBy("source_id").agg(F.count("*").alias("n"))
-
-
-@query(f"select client_id, instrument_id, trade_count, cast(quantity as bigint) as quantity, round(average_cost + 0.00003, 2) as average_cost, round(cash + 0.00003, 2) as cash from {_FOLD} x")
-def stream_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = work_folder(spark)
-    trades = view(spark, sf_dir, "trades").withColumn("trade_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    trades.write.parquet(f"{folder}/in")
-    out = streams.collect_stream(streams.positions(streams.parquet_stream(spark, f"{folder}/in", trades.schema)), "update", folder)
-    return out.select("client_id", "instrument_id", "trade_count", F.col("quantity").cast("bigint").alias("quantity"), F.round(F.col("average_cost").cast("double") + 0.00003, 2).alias("average_cost"), F.round(F.col("cash").cast("double") + 0.00003, 2).alias("cash"))
-
-
-@query("select event_id, ts, cast(case when event_id % 10 = 0 then true else false end as boolean) as late from events")
-def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = tables.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
-    arrival = F.when(F.col("event_id") % 10 == 0, F.col("ts") + F.make_dt_interval(hours=F.lit(25))).otherwise(F.col("ts"))
-    good, late = streams.split_late(e.withColumn("arrival", arrival), "ts", "arrival", 24)
-    both = good.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True)))
-    return both.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "late")
+    e = tables.table(spark, sf_dir, "events").select(F.col("user_id").alias("idempotency_key"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    return streams.idempotent_batch(e, ties=["event_id"]).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+from tidelake.plans import stream_queries  # noqa: E402, F401  (registers its queries)

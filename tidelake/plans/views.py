@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Instant that stands for now in checked queries.
@@ -40,11 +42,19 @@ VIEWS = {"ticks": TICKS, "class_ticks": CLASS_TICKS, "quotes": QUOTES, "transfer
 BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
 
+_TABLE = re.compile(rf"\b(from|join)\s+({'|'.join(BASE)})\b")
+
+
+def run(spark: SparkSession, base: str, text: str) -> DataFrame:
+    """SQL over the Parquet tables of a folder.  They are parameters of the text, so no view of the user's is replaced."""
+    used = {table for _, table in _TABLE.findall(text)}
+    frames = {t: spark.read.parquet(f"{base}/{t}.parquet") for t in used}
+    return spark.sql(_TABLE.sub(r"\1 {\2}", text), **frames)
+
+
 def view(spark: SparkSession, base: str, name: str) -> DataFrame:
     """A domain table over the Parquet tables of a folder."""
-    for table in BASE:
-        spark.read.parquet(f"{base}/{table}.parquet").createOrReplaceTempView(table)
-    return spark.sql(VIEWS[name])
+    return run(spark, base, VIEWS[name])
 
 
 def sql(name: str) -> str:

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidelake import schemas
 from tidelake.functions.folds import fold_in_order
-from tidelake.operators import events, portfolio, silver
+from tidelake.operators import events, silver
 from tidelake.sources import sinks
 
 
@@ -25,10 +22,23 @@ def parquet_stream(spark: SparkSession, path: str, schema: T.StructType, files_p
     return reader.parquet(path)
 
 
-def start(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", every: str | None = None) -> StreamingQuery:
-    """Runs ``write`` on each batch: over all that is there and then stops, or at an interval."""
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def start(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", every: str | None = None, stateful: bool = False) -> StreamingQuery:
+    """Runs ``write`` on each batch: over all that is there and then stops, or at an interval.
+
+    ``stateful``: for a stream with a stateful processor, whose state RocksDB keeps."""
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write)
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+    writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
+    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(_STORE, None)
+    if stateful:
+        conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return writer.start()  # the query keeps the settings that it starts with
+    finally:
+        if stateful:
+            conf.unset(_STORE) if before is None else conf.set(_STORE, before)
 
 
 def batch_folder(path: str) -> Callable[[DataFrame, int], None]:
@@ -56,10 +66,34 @@ def tick_ingest(records: DataFrame, bronze: str, dead: str, log: str, checkpoint
     return start(records, write, checkpoint)
 
 
-def split_late(df: DataFrame, ts: str, arrival: str, hours: int) -> tuple[DataFrame, DataFrame]:
-    """Rows in time, and those that came more than ``hours`` after their time."""
+def split_late(df: DataFrame, ts: str, arrival: str, hours: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows in time, those that came more than ``hours`` after their time, and those without a time or an arrival."""
     late = F.unix_micros(F.col(arrival)) - F.unix_micros(F.col(ts)) > hours * 3_600_000_000
-    return df.where(~late), df.where(late)
+    return df.where(~late), df.where(late), df.where(late.isNull())
+
+
+def late_split(rows: DataFrame, ts: str, source: str, hours: int, path: str, checkpoint: str) -> StreamingQuery:
+    """A stream's rows in three folders below ``path``: ``kind=in_time``, ``kind=late`` (more than ``hours`` behind
+    the newest row that their source had before their batch) and ``kind=undated`` (no time).
+
+    The newest time of each source is a small table, one copy for each batch, joined with
+    the rows of the next; so a source with most of the rows is no state in one task."""
+    kept = T.StructType([T.StructField(source, rows.schema[source].dataType), T.StructField("newest", T.TimestampType())])
+
+    def write(df: DataFrame, batch: int) -> None:
+        spark, df = df.sparkSession, df.persist()
+        try:
+            known = spark.read.schema(kept).parquet(f"{path}/newest/batch={batch - 1}") if batch else spark.createDataFrame([], kept)
+            behind = F.unix_micros("newest") - F.unix_micros(F.col(ts)) > hours * 3_600_000_000
+            kind = F.when(F.col(ts).isNull(), "undated").when(behind, "late").otherwise("in_time")
+            dealt = df.join(known.withColumnRenamed(source, "_source"), F.col(source).eqNullSafe(F.col("_source")), "left")
+            dealt.select(*df.columns, F.lit(batch).alias("batch"), kind.alias("kind")).write.partitionBy("kind", "batch").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{path}/rows")
+            every = known.unionByName(df.select(source, F.col(ts).alias("newest")))
+            every.groupBy(source).agg(F.max("newest").alias("newest")).write.mode("overwrite").parquet(f"{path}/newest/batch={batch}")
+        finally:
+            df.unpersist()
+
+    return start(rows, write, checkpoint)
 
 
 def idempotent(df: DataFrame, ts: str = "ts", key: str = "idempotency_key", ttl: str = "24 hours") -> DataFrame:
@@ -67,19 +101,21 @@ def idempotent(df: DataFrame, ts: str = "ts", key: str = "idempotency_key", ttl:
     return df.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([key])
 
 
-def idempotent_batch(df: DataFrame, ts: str = "ts", key: str = "idempotency_key", hours: int = 24) -> DataFrame:
-    """The batch form: rows whose key did not occur in the ``hours`` before, by its last accepted row.
+def idempotent_batch(df: DataFrame, ts: str = "ts", key: str = "idempotency_key", hours: int = 24, ties: list[str] = ()) -> DataFrame:
+    """The batch form, whole rows: those whose key did not occur in the ``hours`` before, by its last accepted row.
 
-    A fold of each key's times in order keeps the last accepted one."""
+    A fold of each key's rows in order of time and ``ties`` (all other columns without) keeps the last
+    accepted time.  Rows without a time have no order and are left out, as in the stream."""
     limit = hours * 3_600_000_000
-    times = df.select(key, F.unix_micros(F.col(ts)).alias("_m"))
+    others = [c for c in df.columns if c != key]
+    timed = df.where(F.col(ts).isNotNull()).withColumn("_m", F.unix_micros(F.col(ts)))
 
     def step(last: int | None, row: tuple) -> tuple[int | None, list[tuple]]:
         m = row[0]
-        return (m, [(m,)]) if m is not None and (last is None or m - last >= limit) else (last, [])
+        return (m, [row[1:]]) if last is None or m - last >= limit else (last, [])
 
-    kept = fold_in_order(times, [key], ["_m"], ["_m"], T.StructType([T.StructField("_at", T.LongType())]), lambda: None, step, lambda last: [])
-    return kept.select(key, F.timestamp_micros("_at").alias(ts))
+    out = T.StructType([df.schema[c] for c in others])
+    return fold_in_order(timed, [key], ["_m", *(ties or [c for c in others if c != ts])], ["_m", *others], out, lambda: None, step, lambda last: []).select(*df.columns)
 
 
 def lag_windows(df: DataFrame, arrival: str, commit: str, seconds: int = 60, watermark: str = "5 minutes") -> DataFrame:
@@ -95,35 +131,6 @@ def rapid_windows(df: DataFrame, ts: str, key: str, length: str = "1 hour", slid
     return counted.select(key, F.col("w.start").alias("window_start"), "n")
 
 
-def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Position of one key after the trades of a batch, in order of time and id."""
-    now = tuple(state.get) if state.exists else portfolio.opening()
-    trades = pd.concat(list(frames)).sort_values(["executed_at", "trade_id"])
-    for side, q, p in zip(trades["side"], trades["quantity"], trades["price"]):
-        now = portfolio.after(now, side, q, p)
-    state.update(now)
-    yield pd.DataFrame([[*key, *now]], columns=["client_id", "account_id", "instrument_id", "trade_count", "quantity", "average_cost", "cash", "realized"])
-
-
-def split_trades(trades: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Trades that can be booked, and those that lack a key, time, side, or a positive quantity and price."""
-    whole = F.col("side").isin(schemas.SIDES) & (F.col("quantity") > 0) & (F.col("price") > 0)
-    for c in ("client_id", "account_id", "instrument_id", "executed_at"):
-        whole = whole & F.col(c).isNotNull()
-    whole = F.coalesce(whole, F.lit(False))
-    return trades.where(whole), trades.where(~whole)
-
-
-def positions(trades: DataFrame) -> DataFrame:
-    """Positions after each batch of trades, in decimals; only the state of a key is kept, so a key may have any number of trades.
-
-    Trades are in order within a batch; a batch is an interval of arrival."""
-    money = "quantity decimal(28,8), average_cost decimal(28,8), cash decimal(28,8), realized decimal(28,8)"
-    out = f"client_id string, account_id string, instrument_id string, trade_count long, {money}"
-    exact = split_trades(trades)[0].withColumns({c: F.col(c).cast("decimal(28,8)") for c in ("quantity", "price")})
-    return exact.groupBy("client_id", "account_id", "instrument_id").applyInPandasWithState(_fold, out, f"trade_count long, {money}", "update", GroupStateTimeout.NoTimeout)
-
-
 def outbox(orders: DataFrame, path: str, log: str, checkpoint: str) -> StreamingQuery:
     """Orders and their events under one batch number, so neither is there without the other after a retry."""
 
