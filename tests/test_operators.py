@@ -396,3 +396,51 @@ def test_realised_profit_begins_anew_each_year(spark):
     rows = [("c", "main", "i", side, Decimal(q), Decimal(p), at[k], k) for k, (side, q, p) in enumerate([("BUY", 10, 5), ("SELL", 4, 7), ("SELL", 2, 8)])]
     df = spark.createDataFrame(rows, "client_id string, account_id string, instrument_id string, side string, quantity decimal(18,8), price decimal(18,8), executed_at timestamp, trade_id long")
     assert [(r["realized"], r["realized_ytd"]) for r in portfolio.position_updates(df, ["trade_id"]).orderBy("trade_id").collect()] == [(0, 0), (8, 8), (14, 6)]
+
+
+def _days(spark, first, last):
+    """Ticks of two clients and two instruments, some days without one."""
+    rows = [(f"i{k % 2}", "EQ", "s", "g", f"c{k % 3 % 2}", "SELL" if k % 5 == 0 else "BUY", dt.date(2022, 1, 1) + dt.timedelta(days=d), dt.datetime(2022, 1, 1) + dt.timedelta(days=d, hours=k), d * 4 + k, Decimal(100 + (d * 37 + k * 11) % 41), 10 + (d + k) % 7) for d in range(first, last) for k in range(4) if (d * 7 + k) % 3]
+    return spark.createDataFrame(rows, "instrument_id string, instrument_type string, sector string, geography string, client_id string, side string, trade_date date, source_timestamp timestamp, id long, last_price decimal(18,2), volume long")
+
+
+def test_gold_by_days_equals_a_full_run_and_reads_no_earlier_day(spark, tmp_path):
+    """Far more rows of an instrument than its longest window; silver of earlier days is gone before the next run."""
+    import shutil
+
+    day = lambda d: str(dt.date(2022, 1, 1) + dt.timedelta(days=d))
+    whole, steps, silver_path = str(tmp_path / "whole"), str(tmp_path / "steps"), str(tmp_path / "silver")
+    jobs.run_gold(_days(spark, 0, 310), whole, day(290), ["id"])
+    for start, first, last in ((0, 290, 295), (295, 295, 300), (300, 300, 310)):
+        _days(spark, start, last).write.mode("overwrite").parquet(silver_path)
+        jobs.run_gold(spark.read.parquet(silver_path), steps, day(first), ["id"])
+        shutil.rmtree(silver_path)
+    for name in ("daily_trade_summaries", "instrument_performance", "client_portfolio_snapshots", "risk_exposure_aggregates"):
+        a, b = (spark.read.parquet(f"{p}/{name}") for p in (whole, steps))
+        key = [c for c in ("client_id", "instrument_id", "sector", "geography", "trade_date") if c in a.columns]
+        columns = [c for c in a.columns if dict(a.dtypes)[c] == "double"]
+        x, y = ([tuple(r) for r in df.select(*key, *(F.round(c, 9) for c in columns)).orderBy(*key).collect()] for df in (a, b))
+        assert x == y, name
+    later = spark.read.parquet(f"{steps}/instrument_performance").where("return_252d is not null")
+    assert later.count() > 20
+
+
+def test_a_run_of_old_days_makes_later_states_stale(spark, tmp_path):
+    day = lambda d: str(dt.date(2022, 1, 1) + dt.timedelta(days=d))
+    out = str(tmp_path)
+    for first, last in ((0, 3), (3, 6), (6, 9)):
+        jobs.run_gold(_days(spark, 0, last), out, day(first), ["id"])
+    assert jobs._version(spark, out, day(10)) == day(8) and jobs._version(spark, out, day(4)) == day(2)
+    jobs.run_gold(_days(spark, 0, 9), out, day(1), ["id"])  # late ticks of the second day
+    assert jobs._version(spark, out, day(7)) is None and jobs._version(spark, out, day(10)) == day(8)
+
+
+def test_a_large_partition_is_written_by_several_tasks(spark, tmp_path):
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "64k")
+    try:
+        rows = spark.range(0, 200_000, 1, 8).select("id", F.xxhash64("id").alias("v"), F.lit("one").alias("d"))
+        sinks.write_partitions(rows, str(tmp_path / "t"), ["d"], sort=["id"])
+    finally:
+        spark.conf.unset(size)
+    assert spark.read.parquet(str(tmp_path / "t")).select(F.input_file_name()).distinct().count() > 4

@@ -42,14 +42,19 @@ def daily_moves(daily: DataFrame, annualization: float = 252.0) -> DataFrame:
     return out.withColumn("volatility_20d", F.stddev(F.col("daily_return_pct") / 100).over(by_day.rowsBetween(-19, 0)) * annualization)
 
 
-def performance(daily: DataFrame, annualization: float = 252.0, risk_free: float = 0.05) -> DataFrame:
+#: Rows of an instrument that its longest window reaches back.
+LONGEST = 252
+
+
+def performance(daily: DataFrame, annualization: float = 252.0, risk_free: float = 0.05, state: DataFrame | None = None) -> DataFrame:
     """Per instrument and day: returns over 1 to 252 rows, volatility, Sharpe ratio, RSI,
-    drawdown and average volume.  All windows share one partitioning and order."""
+    drawdown and average volume.  All windows share one partitioning and order.
+
+    ``state`` is what ``performance_state`` gave for the days before those of ``daily``."""
     by_day = Window.partitionBy("instrument_id").orderBy("trade_date")
     last = lambda n: by_day.rowsBetween(1 - n, 0)
-    close = F.col("close_price").cast("double")
-    out = daily.withColumn("_close", close)
-    out = out.withColumns({f"return_{n}d": F.when(F.lag("_close", n).over(by_day) > 0, (F.col("_close") - F.lag("_close", n).over(by_day)) / F.lag("_close", n).over(by_day)) for n in (1, 5, 20, 60, 252)})
+    out = _falls(daily, state)
+    out = out.withColumns({f"return_{n}d": F.when(F.lag("_close", n).over(by_day) > 0, (F.col("_close") - F.lag("_close", n).over(by_day)) / F.lag("_close", n).over(by_day)) for n in (1, 5, 20, 60, LONGEST)})
     out = out.withColumn("daily_return", F.col("return_1d"))
     out = out.withColumns({f"volatility_{n}d": F.stddev("daily_return").over(last(n)) * annualization for n in (20, 60)})
     out = out.withColumn("sharpe_ratio", F.when(F.col("volatility_60d") > 0, (F.col("return_252d") - risk_free) / F.col("volatility_60d")))
@@ -58,9 +63,30 @@ def performance(daily: DataFrame, annualization: float = 252.0, risk_free: float
     out = out.withColumns({"_gain": gain, "_loss": loss})
     out = out.withColumns({"_gain": F.avg("_gain").over(last(14)), "_loss": F.avg("_loss").over(last(14))})
     rsi = F.when(F.col("_loss") > 0, 100 - 100 / (1 + F.col("_gain") / F.col("_loss"))).when(F.col("_gain") > 0, 100.0).otherwise(50.0)
-    so_far = by_day.rowsBetween(Window.unboundedPreceding, 0)
-    out = out.withColumns({"rsi": rsi, "_fall": F.col("_close") / F.max("_close").over(so_far) - 1, "avg_volume_20d": F.avg("total_volume").over(last(20))})
-    return out.withColumn("max_drawdown", F.min("_fall").over(so_far)).drop("_close", "_gain", "_loss", "_fall")
+    deepest = F.min(F.least("_fall", "_worst")).over(by_day.rowsBetween(Window.unboundedPreceding, 0))
+    out = out.withColumns({"rsi": rsi, "avg_volume_20d": F.avg("total_volume").over(last(20)), "max_drawdown": deepest})
+    return out.where("not _old").drop("_close", "_gain", "_loss", "_top", "_fall", "_old", "_peak", "_worst")
+
+
+def performance_state(daily: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """What later days need of each instrument: its last closes and volumes, highest close and deepest fall."""
+    kept = F.sort_array(F.collect_list(F.struct("trade_date", F.col("_close").alias("close"), F.col("total_volume").alias("volume"))))
+    out = _falls(daily, state).groupBy("instrument_id").agg(kept.alias("last"), F.max(F.greatest("_close", "_peak")).alias("peak"), F.min(F.least("_fall", "_worst")).alias("worst"))
+    return out.withColumn("last", F.slice("last", F.greatest(F.size("last") - LONGEST + 1, F.lit(1)), LONGEST))
+
+
+def _falls(daily: DataFrame, state: DataFrame | None) -> DataFrame:
+    """Days with those of the state before them, and how far each new close is below the highest so far."""
+    none = F.lit(None).cast("double")
+    out = daily.withColumns({"_close": F.col("close_price").cast("double"), "_old": F.lit(False), "_peak": none, "_worst": none})
+    if state is not None:
+        old = state.select("instrument_id", "peak", "worst", F.explode("last").alias("r"))
+        old = old.select("instrument_id", F.col("r.trade_date").alias("trade_date"), F.col("r.close").alias("_close"), F.col("r.volume").cast(daily.schema["total_volume"].dataType).alias("total_volume"), F.lit(True).alias("_old"), F.col("peak").alias("_peak"), F.col("worst").alias("_worst"))
+        out = out.unionByName(old, allowMissingColumns=True)
+    so_far = Window.partitionBy("instrument_id").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
+    # The peak of earlier days holds for all new ones; falls of earlier days are in their worst one.
+    out = out.withColumn("_top", F.max(F.greatest("_close", "_peak")).over(so_far))
+    return out.withColumn("_fall", F.when(~F.col("_old"), F.col("_close") / F.col("_top") - 1))
 
 
 def signed_quantity(side: Column, volume: Column) -> Column:
@@ -68,24 +94,52 @@ def signed_quantity(side: Column, volume: Column) -> Column:
     return F.when(side == "BUY", volume).otherwise(-volume)
 
 
-def portfolio_snapshots(trades: DataFrame, ties: list[str]) -> DataFrame:
-    """Per client, instrument and day the last state: quantity, average cost (of purchases), value and profit."""
+def holdings(trades: DataFrame, ties: list[str], state: DataFrame | None = None) -> DataFrame:
+    """What later days need of each client and instrument: quantity, cost of purchases and last price."""
+    bought = F.when(F.col("side") == "BUY", F.col("last_price") * F.col("volume")).otherwise(0)
+    new = trades.groupBy("client_id", "instrument_id").agg(
+        F.sum(signed_quantity(F.col("side"), F.col("volume"))).alias("quantity"),
+        F.sum(bought).alias("cost"),
+        F.max_by(F.struct(F.col("last_price").alias("p")), F.struct("trade_date", "source_timestamp", *ties)).alias("last"),
+    )
+    if state is None:
+        return new
+    kinds = {f.name: f.dataType for f in new.schema}
+    # Earlier figures first: the last price is that of the newest days with a trade.
+    both = state.select("client_id", "instrument_id", *(F.col(c).cast(kinds[c]).alias(c) for c in ("quantity", "cost")), "last", F.lit(0).alias("_n")).unionByName(new.withColumn("_n", F.lit(1)))
+    return both.groupBy("client_id", "instrument_id").agg(F.sum("quantity").alias("quantity"), F.sum("cost").cast(kinds["cost"]).alias("cost"), F.max_by("last", "_n").alias("last"))
+
+
+def _carried(trades: DataFrame, state: DataFrame | None) -> DataFrame:
+    """Trades with the state of their client and instrument before the first of them."""
+    if state is None:
+        return trades.withColumns({"_quantity": F.lit(0).cast("long"), "_cost": F.lit(0).cast("decimal(38,2)"), "_last": F.lit(None).cast("double")})
+    before = state.select("client_id", "instrument_id", F.col("quantity").alias("_quantity"), F.col("cost").alias("_cost"), F.col("last.p").cast("double").alias("_last"))
+    return trades.join(before, ["client_id", "instrument_id"], "left")
+
+
+def portfolio_snapshots(trades: DataFrame, ties: list[str], state: DataFrame | None = None) -> DataFrame:
+    """Per client, instrument and day the last state: quantity, average cost (of purchases), value and profit.
+
+    ``state`` is what ``holdings`` gave for the days before those of ``trades``."""
     running = Window.partitionBy("client_id", "instrument_id").orderBy("trade_date", "source_timestamp", *ties)
     upto = running.rowsBetween(Window.unboundedPreceding, 0)
     bought = F.when(F.col("side") == "BUY", F.col("last_price") * F.col("volume")).otherwise(0)
     day = Window.partitionBy("client_id", "instrument_id", "trade_date").orderBy(F.col("source_timestamp").desc(), *[F.col(t).desc() for t in ties])
-    state = trades.withColumns({"position_quantity": F.sum(signed_quantity(F.col("side"), F.col("volume"))).over(upto), "total_cost": F.sum(bought).over(upto), "_latest": F.row_number().over(day)})
-    last = state.where("_latest = 1").withColumn("avg_cost_basis", ratio(F.col("total_cost"), F.col("position_quantity")))
+    state_of = _carried(trades, state).withColumns({"position_quantity": F.sum(signed_quantity(F.col("side"), F.col("volume"))).over(upto), "total_cost": F.sum(bought).over(upto), "_latest": F.row_number().over(day)})
+    state_of = state_of.withColumns({"position_quantity": F.col("position_quantity") + F.coalesce("_quantity", F.lit(0)), "total_cost": F.col("total_cost") + F.coalesce("_cost", F.lit(0))})
+    last = state_of.where("_latest = 1").withColumn("avg_cost_basis", ratio(F.col("total_cost"), F.col("position_quantity")))
     price = F.col("last_price").cast("double")
     profit = F.when(F.col("position_quantity") > 0, (price - F.col("avg_cost_basis")) * F.col("position_quantity")).otherwise(0.0)
-    return last.withColumns({"current_price": price, "market_value": F.col("position_quantity") * price, "unrealized_pnl": profit}).drop("_latest")
+    return last.withColumns({"current_price": price, "market_value": F.col("position_quantity") * price, "unrealized_pnl": profit}).drop("_latest", "_quantity", "_cost", "_last")
 
 
-def position_returns(positions: DataFrame, ties: list[str]) -> DataFrame:
-    """Adds the return of each row on the one before it of its client and instrument; 0 without one."""
+def position_returns(positions: DataFrame, ties: list[str], state: DataFrame | None = None) -> DataFrame:
+    """Adds the return of each row on the one before it of its client and instrument (or of ``state``); 0 without one."""
     order = Window.partitionBy("client_id", "instrument_id").orderBy("trade_date", "source_timestamp", *ties)
-    price, before = F.col("last_price").cast("double"), F.lag("last_price").over(order).cast("double")
-    return positions.withColumn("position_return", F.when(before > 0, (price - before) / before).otherwise(0.0))
+    price, before = F.col("last_price").cast("double"), F.lag(F.col("last_price").cast("double")).over(order)
+    out = _carried(positions, state).withColumn("_before", F.coalesce(before, F.when(F.row_number().over(order) == 1, F.col("_last"))))
+    return out.withColumn("position_return", F.when(F.col("_before") > 0, (price - F.col("_before")) / F.col("_before")).otherwise(0.0)).drop("_quantity", "_cost", "_last", "_before")
 
 
 def risk_exposure(positions: DataFrame, tail_scope: list[str] = ("client_id", "sector", "geography"), accuracy: int = 10_000) -> DataFrame:

@@ -938,4 +938,4 @@ def idempotent_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.idempotent_batch(e, ties=["event_id"]).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-from tidelake.plans import stream_queries  # noqa: E402, F401  (registers its queries)
+from tidelake.plans import gold_queries, stream_queries  # noqa: E402, F401  (they register their queries)

@@ -77,7 +77,7 @@ def full_load_and_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def partition_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{work_folder(spark)}/gold"
     rows = tables.table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"), F.col("o_totalprice").alias("price"))
-    sinks.write_partitions(rows, path, ["year"], files_per_partition=2, sort=["o_orderkey"])
+    sinks.write_partitions(rows, path, ["year"], sort=["o_orderkey"])
     again = rows.where("year = 1997 and o_orderkey % 2 <> 0").withColumn("price", F.col("price") * 2)
     sinks.write_partitions(again, path, ["year"])
     return spark.read.parquet(path).select("o_orderkey", "year", "price")

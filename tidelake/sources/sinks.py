@@ -8,16 +8,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_partitions(df: DataFrame, path: str, keys: list[str], files_per_partition: int = 1, sort: list[str] | None = None) -> None:
-    """Replaces exactly the partitions that ``df`` has.  Rows are dealt by the keys and a
-    salt first, so each partition gets that many files and a large one more than one task."""
-    salt = F.pmod(F.xxhash64(*[c for c in df.columns if c not in keys] or keys), F.lit(files_per_partition))
-    dealt = df.repartition(*keys, salt)
+def write_partitions(df: DataFrame, path: str, keys: list[str], sort: list[str] | None = None) -> None:
+    """Replaces exactly the partitions that ``df`` has.  Rows of a partition are brought together, and AQE
+    splits a large one over several tasks and files of about ``spark.sql.adaptive.advisoryPartitionSizeInBytes``."""
+    dealt = _gathered(df, keys)
     if sort:
         dealt = dealt.sortWithinPartitions(*keys, *sort)
     dealt.write.partitionBy(*keys).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there a file or folder of this name, in whatever store it names?"""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def with_time_parts(df: DataFrame, ts: str) -> DataFrame:
     """Adds year, month, day and hour of a timestamp, each row its own."""
     return df.withColumns({"year": F.year(ts), "month": F.month(ts), "day": F.dayofmonth(ts), "hour": F.hour(ts)})
