@@ -1,15 +1,19 @@
 """Hand-computed cases of the lakehouse operators."""
 
 import datetime as dt
+import itertools
+import random
 from decimal import Decimal
 
+import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelake import schemas
 from tidelake.functions.columns import bucket, ratio
-from tidelake.operators import cdc, events, gold, governance, graph, orders, portfolio, quality, retention, silver
+from tidelake.operators import cdc, events, gold, governance, graph, ordered, orders, portfolio, quality, retention, silver
 from tidelake.plans import jobs, reports
 from tidelake.sources import sinks, tables
 from tidelake.streaming import streams, trade_book
@@ -300,12 +304,114 @@ def test_rapid_transfers_across_the_hour(spark):
     assert [r["transfers"] for r in graph.rapid(moves, 1, 3).collect()] == [4]
 
 
+WASH = "client_id string, instrument_id string, side string, price double, ts timestamp, trade_id long, quantity long"
+
+
 def test_wash_trades_between_two_clients(spark):
-    rows = [("a", "i", "BUY", 10.0, ts("2024-01-15 10:00:00"), 1), ("b", "i", "SELL", 10.005, ts("2024-01-15 11:00:00"), 2), ("a", "i", "SELL", 9.995, ts("2024-01-15 11:00:00"), 3), ("b", "i", "SELL", 10.5, ts("2024-01-15 11:00:00"), 4)]
-    df = spark.createDataFrame(rows, "client_id string, instrument_id string, side string, price double, ts timestamp, trade_id long")
-    pairs = lambda d: sorted((r["buy_id"], r["sell_id"]) for r in d.collect())
-    assert pairs(graph.wash_trades(df)) == [(1, 2), (1, 3)]
-    assert pairs(graph.wash_trades(df, related=spark.createDataFrame([("a", "x")], "buy_client string, sell_client string"))) == [(1, 3)]
+    rows = [("a", "i", "BUY", 10.0, ts("2024-01-15 10:00:00"), 1, 5), ("b", "i", "SELL", 10.005, ts("2024-01-15 11:00:00"), 2, 7), ("a", "i", "SELL", 9.995, ts("2024-01-15 11:00:00"), 3, 2), ("b", "i", "SELL", 10.5, ts("2024-01-15 11:00:00"), 4, 1), ("b", "i", "SELL", 10.0, ts("2024-02-14 10:00:01"), 5, 1), ("c", None, "SELL", 10.0, ts("2024-01-15 10:00:00"), 6, 1)]
+    df = spark.createDataFrame(rows, WASH)
+    found = lambda d: sorted((r["trade_id"], r["matches"], int(r["quantity"])) for r in d.collect())
+    assert found(graph.wash_matches(df)) == [(1, 2, 9), (2, 1, 5), (3, 1, 5)]
+    assert found(graph.wash_matches(df, by=["instrument_id", "client_id"])) == [(1, 1, 2), (3, 1, 5)]
+    assert [(r["trade"], r["other_trade"]) for r in graph.wash_paths(df, "a", "2024-01-01", "2024-01-31").collect()] == [(1, 2), (1, 3), (3, 1)]
+
+
+def test_wash_trades_at_one_price_are_not_multiplied(spark):
+    """100,000 trades at one price have 2,500,000,000 pairs; all are counted, none is made."""
+    n = 100_000
+    rows = spark.range(n).select(F.lit("a").alias("client_id"), F.lit("i").alias("instrument_id"), F.when(F.col("id") % 2 == 0, "BUY").otherwise("SELL").alias("side"), F.lit(10.0).alias("price"), F.timestamp_seconds(F.col("id") * 60).alias("ts"), F.col("id").alias("trade_id"), F.lit(1).cast("long").alias("quantity"))
+    found = graph.wash_matches(rows, days=30)
+    span = 30 * 1440
+    at = np.arange(n)
+    low, high = np.maximum(at - span, 0), np.minimum(at + span, n - 1)
+    odd = lambda x: (x + 1) // 2  # odd numbers up to x
+    sells = odd(high) - odd(low - 1)
+    expected = np.where(at % 2 == 0, sells, (high - low + 1) - sells)
+    total = found.agg(F.count("*"), F.sum("matches"), F.max("matches")).first()
+    assert tuple(total) == (n, int(expected.sum()), int(expected.max()))
+
+
+def test_cycles_of_random_graphs(spark):
+    rng = random.Random(4)
+    for size, links in ((6, 18), (12, 40), (40, 90)):
+        edges = {(rng.randrange(size), rng.randrange(size)) for _ in range(links)}
+        out = sorted((r["length"], tuple(r["path"])) for r in graph.cycles(spark.createDataFrame(list(edges), "src long, dst long")).collect())
+        want = []
+        for length in (2, 3, 4):
+            for path in itertools.permutations(range(size), length) if size < 13 else _walks(edges, length):
+                if path[0] == min(path) and all((a, b) in edges for a, b in zip(path, [*path[1:], path[0]])):
+                    want.append((length, tuple(path)))
+        assert out == sorted(want)
+
+
+def _walks(edges, length):
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, []).append(b)
+    paths = [(a,) for a in after]
+    for _ in range(length - 1):
+        paths = [(*p, b) for p in paths for b in after.get(p[-1], []) if b not in p]
+    return paths
+
+
+def test_a_hub_does_not_multiply_paths(spark):
+    """500 ways in and 500 out of a hub: 250,000 paths of two pass it, none is held but those from it."""
+    hub = [(k, 9999) for k in range(500)] + [(9999, 1000 + k) for k in range(500)] + [(1000 + k, k) for k in range(500)]
+    hop = graph._ranked(graph.on_cycles(spark.createDataFrame(hub, "src long, dst long")))
+    assert graph.half_paths(hop, 2).count() <= 3 * len(hub)
+    assert graph.cycles(spark.createDataFrame(hub, "src long, dst long"), 3).count() == 500
+    chain = [(k, k + 1) for k in range(40)] + [(50, 51), (51, 50)]
+    assert sorted(map(tuple, graph.on_cycles(spark.createDataFrame(chain, "src long, dst long")).collect())) == [(50, 51), (51, 50)]
+
+
+def test_ranks_by_ranges(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(("a", "b", None, "a", "a")), rng.choice((None, 1.0, 2.0, 2.0, rng.random()))) for _ in range(500)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    for keys in (["k"], []):
+        w = Window.partitionBy(*keys).orderBy("v")
+        want = df.select("k", "v", F.rank().over(w).alias("rank"), F.round(F.percent_rank().over(w), 12).alias("p"))
+        mine = ordered.ranks(df, keys, "v").select(*keys, "v", "rank", F.round("percent_rank", 12).alias("p"))
+        assert sorted(map(str, want.select(*keys, "v", "rank", "p").distinct().collect())) == sorted(map(str, mine.collect()))
+        joined = ordered.percent_rank(df, keys, "v", "p").select("k", "v", F.round("p", 12).alias("p"))
+        assert sorted(map(str, joined.collect())) == sorted(map(str, want.select("k", "v", "p").collect()))
+
+
+def test_one_scope_is_many_tasks(spark):
+    """No range of a rank over all rows has more than twice the median."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.range(200_000).select(F.lit("one").alias("k"), F.hash("id").alias("v"))
+        plain = df.repartitionByRange("k", "v").groupBy(F.spark_partition_id().alias("p")).count()
+        sizes = sorted(r["count"] for r in plain.collect())
+        assert len(sizes) == 4 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+        assert ordered.lowest(df, ["k"], "v", 0.05, "end").first()["end"] == df.select("v", F.percent_rank().over(Window.orderBy("v")).alias("p")).where("p <= 0.05").agg(F.max("v")).first()[0]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+@pytest.mark.parametrize("tile, days", [(2, 7), (3, 512), (512, 30)])
+def test_blocked_correlations(spark, tile, days):
+    rng = random.Random(tile)
+    rows = [(f"g{k % 2}", f"i{k}", dt.date(2024, 1, 1) + dt.timedelta(days=d), rng.gauss(0, 1) + d % 3) for k in range(9) for d in range(60) if rng.random() < 0.8] + [("g0", "flat", dt.date(2024, 1, 1) + dt.timedelta(days=d), 1.0) for d in range(40)]
+    df = spark.createDataFrame(rows, "grp string, instrument_id string, trade_date date, daily_return double").repartition(3)
+    by = {}
+    for g, i, day, r in rows:
+        by.setdefault((g, i), {})[day] = r
+    want = []
+    for (g, a), (h, b) in itertools.combinations(sorted(by), 2):
+        both = sorted(by[g, a].keys() & by[h, b].keys())
+        if g == h and len(both) >= 20:
+            x, y = (np.array([by[k][d] for d in both]) for k in ((g, a), (h, b)))
+            want.append((g, a, b, None if x.std() == 0 or y.std() == 0 else round(float(np.corrcoef(x, y)[0, 1]), 9), len(both)))
+    mine = graph.correlations(df, "grp", 20, tile, days)
+    assert sorted((*r[:3], None if r[3] is None else round(r[3], 9), r[4]) for r in mine.collect()) == sorted(want, key=lambda r: r[:3])
+
+
+def test_largest_instruments(spark):
+    rows = spark.createDataFrame([("g", "a", 5), ("g", "b", 9), ("g", "a", 5), ("g", "c", 1), ("h", "d", 0)], "grp string, instrument_id string, total_volume long")
+    assert sorted(map(tuple, graph.largest(rows, "grp", 2).collect())) == [("g", "a"), ("g", "b"), ("h", "d")]
 
 
 def test_governance_decisions_are_kept_by_version(spark, tmp_path):

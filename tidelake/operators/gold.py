@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelake.functions.columns import ratio
+from tidelake.operators import ordered
 
 
 def daily_summaries(ticks: DataFrame, ties: list[str]) -> DataFrame:
@@ -142,17 +143,26 @@ def position_returns(positions: DataFrame, ties: list[str], state: DataFrame | N
     return out.withColumn("position_return", F.when(F.col("_before") > 0, (price - F.col("_before")) / F.col("_before")).otherwise(0.0)).drop("_quantity", "_cost", "_last", "_before")
 
 
-def risk_exposure(positions: DataFrame, tail_scope: list[str] = ("client_id", "sector", "geography"), accuracy: int = 10_000) -> DataFrame:
+def risk_exposure(positions: DataFrame, tail_scope: list[str] = ("client_id", "sector", "geography"), accuracy: int = 10_000, spread: bool = False) -> DataFrame:
     """Per client, sector, geography and day: exposure, value at risk, expected shortfall,
-    volatility and beta.  The tail rank runs over ``tail_scope``, across days by default."""
-    ranked = positions.withColumn("_rank", F.percent_rank().over(Window.partitionBy(*tail_scope).orderBy("position_return")))
+    volatility and beta.  The tail rank runs over ``tail_scope``, across days by default; an empty one is all rows.
+
+    A scope is sorted in one task.  ``spread`` is for scopes of more rows than that: the value at which
+    the tail ends is found by ranges (``ordered.lowest``), with the same results."""
+    scope = list(tail_scope)
+    if spread:
+        ends = ordered.lowest(positions, scope, "position_return", 0.05, "_end")
+        ranked = positions.join(ends, scope, "left") if scope else positions.crossJoin(ends)  # one row
+        ranked = ranked.withColumn("_tail", F.col("position_return") <= F.col("_end"))
+    else:
+        ranked = positions.withColumn("_tail", F.percent_rank().over(Window.partitionBy(*scope).orderBy("position_return")) <= 0.05)
     keys = ["client_id", "sector", "geography", "trade_date"]
     exposure = F.col("last_price") * F.col("volume")
     groups = ranked.groupBy(*keys).agg(
         F.sum(exposure).cast("double").alias("total_exposure"),
         F.percentile_approx("position_return", F.lit(0.05), accuracy).alias("var_95_pct"),
         F.percentile_approx("position_return", F.lit(0.01), accuracy).alias("var_99_pct"),
-        F.avg(F.when(F.col("_rank") <= 0.05, F.col("position_return"))).alias("expected_shortfall"),
+        F.avg(F.when(F.col("_tail"), F.col("position_return"))).alias("expected_shortfall"),
         F.avg("position_return").alias("avg_return"),
         F.stddev("position_return").alias("return_volatility"),
         F.count_distinct("instrument_id").alias("instrument_count"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.operators import cdc, events, gold, governance, graph, orders, portfolio, quality, retention, silver
+from tidelake.operators import cdc, events, gold, governance, graph, ordered, orders, portfolio, quality, retention, silver
 from tidelake.plans import reports, stores  # noqa: F401  (stores registers its queries)
 from tidelake.plans.registry import ORACLES, QUERIES, query, work_folder  # noqa: F401
 from tidelake.plans import views
@@ -781,14 +781,45 @@ def connected_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.connected_flagged(links, flagged, flagged)
 
 
+_WASH = f"(select client_id, instrument_id, side, cast(last_price as double) as price, cast(source_timestamp as timestamp) as ts, l_orderkey * 10 + l_linenumber as trade_id, volume from {sql('class_ticks')} z)"
+
+
+def _wash_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.run(spark, sf_dir, f"select *, volume as quantity from {_WASH} w")
+
+
 @query(
-    f"""with t as (select client_id, instrument_id, side, cast(last_price as double) as price, source_timestamp as ts, l_orderkey * 10 + l_linenumber as trade_id from {sql('class_ticks')} z)
-      select a.instrument_id, a.client_id as buy_client, b.client_id as sell_client, a.trade_id as buy_id, b.trade_id as sell_id, a.price as buy_price, b.price as sell_price from t a join t b using (instrument_id)
-      where a.side = 'BUY' and b.side = 'SELL' and abs(date_diff('second', cast(a.ts as timestamp), cast(b.ts as timestamp))) <= 86400 * 30 and abs(a.price - b.price) < 20.0"""
+    f"""with t as (select *, row_number() over () as k from {_WASH} w) select instrument_id, trade_id, side, count(*) as matches, cast(sum(other) as double) as quantity from (
+      select a.instrument_id, a.trade_id, a.side, b.volume as other from t a join t b using (instrument_id) where a.side <> b.side and abs(date_diff('second', a.ts, b.ts)) <= 86400 * 30 and abs(a.price - b.price) < 20.0) m group by instrument_id, trade_id, side"""
 )
 def wash_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trades = view(spark, sf_dir, "class_ticks").select("client_id", "instrument_id", "side", F.col("last_price").cast("double").alias("price"), F.col("source_timestamp").alias("ts"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("trade_id"))
-    return graph.wash_trades(trades, tolerance=20.0).drop("buy_ts", "sell_ts")
+    """Trades between any two clients that opposite ones match, with the number of those; the pairs are not made."""
+    found = graph.wash_matches(_wash_trades(spark, sf_dir), tolerance=20.0)
+    return found.withColumn("quantity", F.col("quantity").cast("double"))
+
+
+@query(
+    f"""with t as (select * from {_WASH} w where ts between timestamp '1994-01-01' and timestamp '1996-12-31') select a.instrument_id, a.trade_id as trade, b.client_id as other_client, b.trade_id as other_trade from t a join t b using (instrument_id)
+      where a.client_id = '7' and a.side <> b.side and abs(a.price - b.price) < 500.0 order by a.ts, a.trade_id, b.ts, b.trade_id limit 100"""
+)
+def wash_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.wash_paths(_wash_trades(spark, sf_dir), "7", "1994-01-01", "1996-12-31", 500.0).select("instrument_id", "trade", "other_client", "other_trade")
+
+
+@query(f"select l_orderkey, l_linenumber, round(position_return, 9) as position_return, round(percent_rank() over (order by position_return), 9) as share_below from {_RETURNS} p")
+def return_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks over all rows as one scope, which no task holds."""
+    ranked = ordered.percent_rank(_returns(spark, sf_dir).select(*TIES, "position_return"), [], "position_return", "share_below")
+    return ranked.withColumns({c: F.round(c, 9) for c in ("position_return", "share_below")})
+
+
+@query(
+    f"""with r as (select *, percent_rank() over (partition by sector order by position_return) as pr from {_RETURNS} p)
+      select client_id, sector, geography, trade_date, round(avg(case when pr <= 0.05 then position_return end), 6) as expected_shortfall, count(*) as observation_count from r group by client_id, sector, geography, trade_date""", dates=("trade_date",))
+def sector_tail_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tail of a whole sector, by ranges."""
+    found = gold.risk_exposure(_returns(spark, sf_dir), ["sector"], spread=True)
+    return found.select("client_id", "sector", "geography", "trade_date", F.round("expected_shortfall", 6).alias("expected_shortfall"), "observation_count")
 
 
 @query(
