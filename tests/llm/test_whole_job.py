@@ -192,3 +192,37 @@ def test_empty_and_repeated_pages(spark):
     row = (1, "<article><p>Words, here.</p></article>")
     out = html_extract.extract(spark.createDataFrame([row, row], "page_id long, html string")).collect()
     assert [r["main"]["text"] for r in out] == ["Words, here."] * 2
+
+
+# --- scores inside articles ----------------------------------------------------------
+
+
+def _article(rng, adverts):
+    """An article whose divisions without a class hold short calls between its paragraphs; its wanted lines."""
+    words = "stone river light old window garden winter letter bread silver".split()
+    sentence = lambda n: " ".join(rng.choice(words) for _ in range(n)).capitalize() + rng.choice((", ", " and ")) + " ".join(rng.choice(words) for _ in range(n)) + "."
+    wanted, body = ["A title"], ["<h1>A title</h1>"]
+    for k in range(rng.randint(4, 9)):
+        line = " ".join(sentence(rng.randint(5, 12)) for _ in range(rng.randint(2, 4))) if k % 4 else sentence(3)
+        wanted.append(line)
+        body.append(f"<p>{line}</p>")
+        if adverts and rng.random() < 0.5:
+            body.append(f"<div><b>{rng.choice(('Buy now', 'Open an account', 'Our offer'))}</b></div>")
+    return f"<html><body><nav><a href=/>Home</a></nav><article>{''.join(body)}</article><footer>end</footer></body></html>", "\n".join(wanted)
+
+
+def test_scores_drop_unmarked_adverts_inside_an_article(monkeypatch):
+    rng = random.Random(2)
+    pages = [_article(rng, True) for _ in range(60)]
+    assert [html_extract.main_text(page)[0] for page, _ in pages] == [text for _, text in pages]
+    clean = [_article(rng, False) for _ in range(30)]
+    assert [html_extract.main_text(page)[0] for page, _ in clean] == [text for _, text in clean]
+    monkeypatch.setattr(html_extract, "path_scores", lambda page, nodes, smooth=True: np.ones(len(nodes)))
+    assert sum(html_extract.main_text(page)[0] != text for page, text in pages) > 40
+
+
+def test_divisions_of_text_stay_in_an_article():
+    """Paragraphs as divisions, short ones too: their path is that of content."""
+    lines = ["A long line of text, with marks, that says a good deal about nothing in particular.", "Short one.", "Another long line of text, with marks, that says a good deal about nothing at all."]
+    page = "<article>" + "".join(f"<div>{x}</div>" for x in lines) + "</article>"
+    assert html_extract.main_text(page)[0] == "\n".join(lines)

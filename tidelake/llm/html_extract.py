@@ -10,7 +10,9 @@ page's own spread.
 Blocks with a node over the threshold are the content, wherever they stand.  Blocks
 under it (headings, short paragraphs, list items) come along if they lie between
 content blocks, or head them, in the deepest element that holds nearly all of the
-content; but not rows of links, which paths under the threshold make a menu.  Tags,
+content; in an ``article`` or ``main``, if they are text elements, or have a path that
+content has too.  But not rows of links, which paths under the threshold make a menu,
+and no division, like an unmarked advert, whose path is all under the threshold.  Tags,
 roles, classes and ids are what is known before: parts that they name as something
 else (a menu, a form, a notice, a reader's comment, ...) are left out, and an
 ``article`` or ``main`` that holds much of the content is the element to look in.
@@ -48,6 +50,8 @@ ENDS_P = frozenset("address article aside blockquote center details dialog dir d
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tbody"}, "tbody": {"thead", "tbody"}}
 SCOPE = frozenset("ul ol table td th article section div body html nav aside footer header form".split())
 
+#: Elements that say nothing of their text.
+BARE = frozenset("div section center details figure fieldset address hgroup dialog".split())
 #: Elements, roles, and words in class or id that are not the article.
 OUTSIDE_TAGS = frozenset("nav header footer aside form button select option input menu dialog head".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
@@ -106,6 +110,12 @@ class Page:
         self.article.append(self.article[parent] or tag == "article")
         return k
 
+    def above_inline(self, element: int) -> int:
+        """The nearest element around, itself included, that is no part of a line."""
+        while self.tag[element] in INLINE:
+            element = self.parent[element]
+        return element
+
 
 def _is_outside(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
     """Is the element outside the article: for certain, and by its class, id or as a form?"""
@@ -182,8 +192,8 @@ def parse(page: str) -> Page:
     return out
 
 
-def path_scores(page: Page, nodes: np.ndarray) -> np.ndarray:
-    """Fused and smoothed tag-path ratios of the text nodes ``nodes``."""
+def path_scores(page: Page, nodes: np.ndarray, smooth: bool = True) -> np.ndarray:
+    """Fused and (unless told not to) smoothed tag-path ratios of the text nodes ``nodes``."""
     texts = [page.text[k] for k in nodes]
     lengths = np.array([len(_SPACE.sub(" ", t).strip()) for t in texts], float)
     marks = np.array([len(_PUNCTUATION.findall(t)) for t in texts], float)
@@ -193,6 +203,8 @@ def path_scores(page: Page, nodes: np.ndarray) -> np.ndarray:
     ratio, pointed = np.bincount(of, lengths) / filled, np.bincount(of, marks) / filled
     spread = np.sqrt(np.maximum(np.bincount(of, lengths**2) / filled - ratio**2, 0))
     first, second = (ratio + spread)[of], pointed[of]
+    if not smooth:
+        return first * (1 + second)
 
     def shared(a: int, b: int) -> int:
         """Depth to which two paths are one; no longer than the tags between them."""
@@ -306,7 +318,17 @@ def main_text(html_text: str | None) -> tuple[str, int, int]:
     menu = links & (several | beside)
     whole = np.flatnonzero(over)
     if named:
-        low = np.ones(len(numbers), bool)
+        # In an article, text elements come along.  What stands in a bare division comes only if the ratio of its own
+        # path is over the threshold, whatever stands beside it, or content has such a division.
+        element = [page.above_inline(elements[k]) for k in holder]
+        bare = np.array([page.tag[e] in BARE for e in element], bool)
+        own = np.zeros(len(numbers), bool)
+        np.logical_or.at(own, of, (path_scores(page, nodes, smooth=False) >= 0.5 * np.std(scores)) & (lengths > 0))
+        paths = {page.path[element[b]] for b in np.flatnonzero(own & over)}
+        low = ~bare | own | np.array([page.path[e] in paths for e in element], bool)
+        if not low[over].any():
+            low[:] = True
+        over &= low
     else:
         # Between the first and the last content block; before them, the headings next to it.
         low = np.zeros(len(numbers), bool)
