@@ -595,3 +595,29 @@ def test_slices_cover_all_texts():
     column = pa.array(["ab", None, "", "c" * 50, "d"]).slice(1)
     seen = [bytes(data[a:b]).decode() for _, data, offsets in words.slices(column, 10) for a, b in zip(offsets[:-1], offsets[1:])]
     assert seen == ["", "", "c" * 50, "d"]
+
+
+# --- columns of any name, and many copies --------------------------------------------
+
+
+@pytest.mark.parametrize("run", [licenses.scan, simhash.cluster, lambda docs: sharding.assign(docs, 3)])
+def test_other_columns_are_left_out(spark, run):
+    """Columns that have the names of results, or of steps between, change nothing."""
+    rows = [(k, t) for k, t in enumerate(["licensed under the mit license now", None, "", "a b c d e f g"] * 2)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    names = ("fingerprint", "component_id", "n_words", "labels", "shard", "slot", "size", "law", "score", "spans", "copies", "text_hash", "partition", "draw", "rank", "first", "root")
+    more = plain.withColumns({c: F.lit("mine") for c in names})
+    a, b = run(plain), run(more)
+    assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_license_scan_of_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "LOT", 7)
+    rows = spark.range(45).select(F.lit(1).cast("long").alias("doc_id"), F.lit("under the mit license").alias("text")).unionByName(spark.range(1).select(F.lit(2).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text")))
+    assert {tuple(r) for r in licenses.scan(rows).groupBy("doc_id").count().collect()} == {(1, 45), (2, 1)}
+
+
+def test_long_entries_are_held_against_long_clean_words(spark):
+    word = "x" * 50
+    counts = spark.createDataFrame([(False, word[:-1] + "y", 3), (False, "stone", 9)], "stem boolean, entry string, other long")
+    assert toxicity._near_misses(counts, [word], []) == {(False, word): 3}

@@ -14,7 +14,8 @@ under its id and a hash of its text.
 
 Defined results: a null text has no words; texts of fewer than ``K`` words have
 no runs; rows that repeat id and text repeat the result; null ids are ids like
-any other; an empty table gives an empty result.
+any other; an empty table gives an empty result; other columns are left out, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 K = 3
 #: Neighbouring diagonals, and words between two votes, that one span may have.
 DRIFT, GAP = 2, 6
+#: Copies of a row that are made at once.
+LOT = 10_000
 #: Least share of a template's runs in a span that earns its label.
 LEAST = 0.75
 
@@ -127,7 +130,9 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: flo
         F.coalesce(F.max(F.when(base | (~own & ~F.col("phrase")), F.col("score"))), F.lit(0.0)).alias("score"),
         F.array_sort(F.collect_list(F.when(good, span))).alias("spans"),
     )
-    rows = by_doc.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    # A row for each copy, in two steps, so that no array is as long as there are copies.
+    rows = by_doc.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / LOT))))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(LOT).cast("long"), F.col("copies") - F.col("lot") * LOT))))
     return rows.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")
 
 

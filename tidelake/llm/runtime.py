@@ -7,39 +7,19 @@ chosen only when that setting is absent and the session is local, as in tests.
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidelake.lineage import cut, shared_dir  # noqa: F401  (for the modules beside this one)
+
 #: Largest table that may be sent whole to every executor: rows, and bytes of their values.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 16 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints and work tables that every executor can read."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    current = context._jsc.sc().getCheckpointDir()
-    if current.isEmpty():
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidelake-checkpoint-"))
-        current = context._jsc.sc().getCheckpointDir()
-    return current.get().rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and continue from that copy."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
     """As ``cut``, but as compressed Parquet, for tables that carry texts; and its folder, to ``discard`` when done."""
     spark = df.sparkSession

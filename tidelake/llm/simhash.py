@@ -17,7 +17,8 @@ they meet under a common neighbour, and at most 65 distinct ones can.
 
 Defined results: null and empty texts and those without words have fingerprint
 zero and are linked like any other; a null id never is the smallest; repeated
-rows give repeated results; an empty table gives an empty result.
+rows give repeated results; an empty table gives an empty result; ``cluster`` leaves
+other columns out, whatever their names.
 """
 
 from __future__ import annotations

@@ -375,6 +375,16 @@ def find(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: st
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards, table = deal_to_shards(slim, shard_bytes)
+    try:
+        return _find(shards, total, length, seeds_per_range, index_bytes, block_bytes, crowd)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        discard(spark, f"{shared_dir(spark)}/tidelake/{table}")
+
+
+def _find(shards: DataFrame, total: int, length: int, seeds_per_range: int, index_bytes: int, block_bytes: int, crowd: int) -> DataFrame:
+    """``find`` of texts that are dealt to shards."""
+    spark = shards.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = max(least, -(-total // (18 * seeds_per_range)))
 
@@ -487,10 +497,7 @@ def find(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: st
                 sizes.append(b - a)
         return pa.Table.from_arrays([left.column("doc_id").combine_chunks(), pa.array(sizes, pa.int64()), pa.array(spans, _RESULT.field("spans").type), pa.array(digests, pa.string())], schema=_RESULT)
 
-    found = cut(by_shard.cogroup(copies.unionByName(runs).groupBy("shard")).applyInArrow(mark, _ddl(_RESULT)))
-    spark.sql(f"DROP TABLE {table}")
-    discard(spark, f"{shared_dir(spark)}/tidelake/{table}")
-    return found
+    return cut(by_shard.cogroup(copies.unionByName(runs).groupBy("shard")).applyInArrow(mark, _ddl(_RESULT)))
 
 
 def oracle(length: int = LENGTH, table: str = "documents") -> str:

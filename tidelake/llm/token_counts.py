@@ -25,6 +25,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -33,7 +34,7 @@ from tidelake.llm.runtime import free_name
 TOKENS = T.StructType([T.StructField("n_bytes", T.LongType(), False), T.StructField("n_tokens", T.LongType(), False)])
 _ARROW = pa.struct([pa.field("n_bytes", pa.int64(), False), pa.field("n_tokens", pa.int64(), False)])
 
-#: The split rule of byte-level BPE with ``use_regex``.
+# Fixed value: the public split rule of byte-level BPE with ``use_regex``.
 _SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 _SAFE = re.compile(r"(?<=[^\s]) (?=[^\s])")
@@ -120,7 +121,7 @@ def _count(texts: list[str | None], path: str, batch_bytes: int, piece_chars: in
             if part:
                 parts.append(part)
                 owners.append(k)
-                held += len(part)
+                held += len(part.encode("utf-8", "surrogatepass"))
                 if held >= batch_bytes:
                     flush()
                     held = 0
@@ -132,13 +133,16 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", batch_bytes: in
     """``docs`` with a struct column ``tokens`` (underscores in front if the name is taken)."""
     name = free_name(docs, "tokens")
     at = docs.columns.index(text)
+    # The file goes to all machines with the job.
+    docs.sparkSession.sparkContext.addFile(path)
+    file = os.path.basename(path)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs a task on each core
         for batch in batches:
             column = batch.column(at)
             sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            counts = _count(column.to_pylist(), path, batch_bytes, piece_chars)
+            counts = _count(column.to_pylist(), SparkFiles.get(file), batch_bytes, piece_chars)
             both = pa.StructArray.from_arrays([pa.array(sizes), pa.array(counts, pa.int64())], fields=list(_ARROW))
             yield pa.RecordBatch.from_arrays([*batch.columns, both], names=[*batch.schema.names, name])
 

@@ -326,17 +326,19 @@ def _near_misses(counts: DataFrame, words: list[str], stems: list[str]) -> dict[
             for form in (e, *(e[:k] + e[k + 1 :] for k in range(len(e)))):
                 index[form].add((stem, e))
 
+    longest = max(map(len, words), default=0) + 1  # of words that any entry may be one edit from
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[tuple[bool, str], int] = defaultdict(int)
             for word, other in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 # A stem is held against the beginnings of the word, a word against all of it.
                 near: set[tuple[bool, str]] = set()
-                for end in range(3, min(len(word), 9) + 1) if len(word) < 40 else ():
+                for end in range(3, min(len(word), 9) + 1):
                     part = word[:end]
                     for form in (part, *(part[:k] + part[k + 1 :] for k in range(end))):
                         near.update((s, e) for s, e in index.get(form, ()) if s and one_edit(part, e))
-                for form in (word, *(word[:k] + word[k + 1 :] for k in range(len(word) if len(word) < 40 else 0))):
+                for form in (word, *(word[:k] + word[k + 1 :] for k in range(len(word) if len(word) <= longest else 0))):
                     near.update((s, e) for s, e in index.get(form, ()) if not s and e != word and one_edit(word, e))
                 for s, e in near:
                     if not (s and word.startswith(e)):
