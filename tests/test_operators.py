@@ -449,9 +449,18 @@ def test_bulk_files_have_typed_headers(spark):
 
 
 def test_reports_are_in_order(spark):
-    rows = [("t", "g", "a", 1.0), ("u", "g", "b", 5.0), ("s", "g", "c", 5.0)]
-    risk = spark.createDataFrame(rows, "sector string, geography string, client_id string, total_exposure double")
-    assert [r["sector"] for r in reports.run(reports.RISK, risk=risk).collect()] == ["s", "u", "t"]
+    day = dt.date(2024, 1, 15)
+    rows = [("t", "g", "LOW", "a", day, 1.0, 20.0), ("u", "g", "LOW", "b", day, 5.0, 30.0), ("s", "g", "LOW", "c", day, 5.0, 25.0), ("s", "g", "LOW", "c", dt.date(2024, 1, 14), 50.0, 100.0)]
+    risk = spark.createDataFrame(rows, "sector string, geography string, risk_profile string, client_id string, trade_date date, total_exposure double, concentration_pct double")
+    assert [(r["sector"], r["concentrated_positions"]) for r in reports.risk_metrics(risk, "2024-01-15").collect()] == [("s", 0), ("u", 1), ("t", 0)]
+
+
+def test_portfolio_report(spark):
+    held = spark.createDataFrame([("a", "i", dt.date(2024, 1, 10), 100.0, 5.0), ("a", "j", dt.date(2024, 1, 10), 50.0, -2.0), ("a", "i", dt.date(2024, 2, 1), 0.0, 0.0), ("b", "i", dt.date(2023, 1, 1), 1.0, 0.0)], "client_id string, instrument_id string, trade_date date, market_value double, unrealized_pnl double")
+    gains = spark.createDataFrame([("a", dt.date(2023, 12, 31), 7.0), ("a", dt.date(2024, 1, 10), 1.0), ("a", dt.date(2024, 1, 20), 2.0)], "client_id string, trade_date date, gain double")
+    cash = spark.createDataFrame([("a", 10.0)], "client_id string, cash_balance double")
+    out = reports.portfolio_performance(reports.client_days(held, cash, gains), "2024-02-10").collect()
+    assert [tuple(r)[2:] for r in out] == [(0.0, 10.0, 10.0, 0.0, 3.0, 0.0), (150.0, 10.0, 160.0, 3.0, 1.0, 2.0)]
 
 
 def test_daily_quotes_and_moves(spark):

@@ -17,7 +17,7 @@ _QTY = "decimal(28,8)"
 MONEY = T.DecimalType(28, 8)
 _OUT = T.StructType([T.StructField("trade_count", T.LongType()), *(T.StructField(c, MONEY) for c in ("quantity", "average_cost", "cash", "realized", "realized_ytd"))])
 #: What a trade does to a position.
-MOVE = T.StructType([T.StructField("trade_count", T.LongType()), *(T.StructField(c, MONEY) for c in ("previous_quantity", "new_quantity", "previous_cost", "new_cost", "cash_delta", "cash", "realized", "realized_ytd"))])
+MOVE = T.StructType([T.StructField("trade_count", T.LongType()), *(T.StructField(c, MONEY) for c in ("previous_quantity", "new_quantity", "previous_cost", "new_cost", "cash_delta", "cash", "realized", "realized_ytd", "gain"))])
 
 #: Trades seen, quantity, average cost, cash, realised profit, that at the beginning of the year, and the year.
 State = tuple[int, Decimal, Decimal, Decimal, Decimal, Decimal, int | None]
@@ -44,7 +44,7 @@ def after(state: State, side: str, quantity: Decimal, price: Decimal, year: int)
 
 def move(before: State, now: State) -> tuple:
     """``MOVE`` of a trade."""
-    return now[0], before[1], now[1], before[2], now[2], now[3] - before[3], now[3], now[4], now[4] - now[5]
+    return now[0], before[1], now[1], before[2], now[2], now[3] - before[3], now[3], now[4], now[4] - now[5], now[4] - before[4]
 
 
 _CONTEXT = Context(prec=38)

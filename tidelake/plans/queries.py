@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelake.operators import cdc, events, gold, governance, graph, ordered, orders, portfolio, quality, retention, silver
-from tidelake.plans import reports, stores  # noqa: F401  (stores registers its queries)
+from tidelake.plans import stores  # noqa: F401  (it registers its queries)
 from tidelake.plans.registry import ORACLES, QUERIES, query, work_folder  # noqa: F401
 from tidelake.plans import views
 from tidelake.plans.views import AS_OF, sql, view
@@ -361,26 +361,6 @@ def orphan_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- reports, events and retention ---------------------------------------------------
 
 
-@query(reports.DAILY_VOLUME.format(median="median", daily=_DAILY, since="1998-01-01"), dates=("trade_date",))
-def report_daily_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.run(reports.DAILY_VOLUME, daily=_daily(spark, sf_dir))
-
-
-@query(reports.PORTFOLIO.format(snapshots=_SNAPSHOTS, since="1998-01-01"), dates=("trade_date",))
-def report_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.run(reports.PORTFOLIO, snapshots=_snapshots(spark, sf_dir))
-
-
-@query("select sector, geography, clients, round(exposure, 2) as exposure, largest, large from (" + reports.RISK.format(risk=_RISK) + ") x")
-def report_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.run(reports.RISK, risk=gold.risk_exposure(_returns(spark, sf_dir))).withColumn("exposure", F.round("exposure", 2))
-
-
-@query(reports.REGULATORY.format(trades=sql("ticks"), day="1998-06-15"))
-def report_regulatory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.run(reports.REGULATORY, trades=view(spark, sf_dir, "ticks"))
-
-
 @query("select c_custkey, c_mktsegment from customer")
 def visible_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = tables.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("client_name"), F.col("c_acctbal").alias("account_number"), "c_mktsegment")
@@ -969,4 +949,4 @@ def idempotent_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.idempotent_batch(e, ties=["event_id"]).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-from tidelake.plans import gold_queries, stream_queries  # noqa: E402, F401  (they register their queries)
+from tidelake.plans import gold_queries, report_queries, stream_queries  # noqa: E402, F401  (they register their queries)
