@@ -15,7 +15,7 @@ from tidelake import schemas
 from tidelake.functions.columns import bucket, ratio
 from tidelake.operators import cdc, events, gold, governance, graph, ordered, orders, portfolio, quality, retention, silver
 from tidelake.plans import jobs, reports
-from tidelake.sources import sinks, tables
+from tidelake.sources import compacted, graph_files, sinks, tables
 from tidelake.streaming import streams, trade_book
 
 
@@ -559,3 +559,54 @@ def test_a_large_partition_is_written_by_several_tasks(spark, tmp_path):
     finally:
         spark.conf.unset(size)
     assert spark.read.parquet(str(tmp_path / "t")).select(F.input_file_name()).distinct().count() > 4
+
+
+CHANGES = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.StringType()), T.StructField("operation", T.StringType()), T.StructField("lsn", T.LongType())])
+
+
+def _changes(spark, rows):
+    return spark.createDataFrame(rows, CHANGES)
+
+
+def test_compaction_rewrites_touched_buckets_only(spark, tmp_path):
+    path = str(tmp_path / "c")
+    keys, order = ["id"], ["lsn"]
+    now = lambda: {r["id"]: r["v"] for r in compacted.current(spark, path, CHANGES, keys, order).collect()}
+    compacted.append(_changes(spark, [(k, f"load {k}", "INSERT", None) for k in range(40)]), path, keys, -1, 8)
+    assert sorted(compacted.compact(spark, path, CHANGES, keys, order)) == list(range(8)) and len(now()) == 40
+    compacted.append(_changes(spark, [(3, "three", "UPDATE", 5), (3, "older", "UPDATE", 4), (9, None, "DELETE", 9)]), path, keys, 0, 8)
+    assert now()[3] == "three" and 9 not in now()
+    touched = compacted.compact(spark, path, CHANGES, keys, order)
+    held = compacted.snapshots(spark, path)
+    assert 1 <= len(touched) <= 2 and {b for b, u in held.items() if u == 0} == set(touched)
+    compacted.append(_changes(spark, [(9, "late, older than the deletion", "UPDATE", 7)]), path, keys, 1, 8)
+    assert 9 not in now()
+    compacted.compact(spark, path, CHANGES, keys, order)
+    assert 9 not in now() and compacted.compact(spark, path, CHANGES, keys, order) == []
+    compacted.append(_changes(spark, [(9, "back", "INSERT", 20)]), path, keys, 2, 8)
+    assert now()[9] == "back" and len(now()) == 40
+    gone = compacted.vacuum(spark, path)
+    assert gone >= len(touched) and now()[9] == "back" and len(now()) == 40
+
+
+def test_a_stream_of_changes_is_compacted(spark, tmp_path):
+    path = str(tmp_path / "c")
+    compacted.append(_changes(spark, [(1, "a", "INSERT", None), (2, "b", "INSERT", None)]), path, ["id"], -1, 4)
+    for rows in ([(1, "x", "UPDATE", 1)], [(2, None, "DELETE", 2), (3, "n", "INSERT", 3)]):
+        _changes(spark, rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        feed = streams.parquet_stream(spark, str(tmp_path / "in"), CHANGES)
+        streams.compacted_changes(feed, path, str(tmp_path / "cp"), ["id"], ["lsn"], 4, compact_every=2).awaitTermination()
+    assert set(compacted.snapshots(spark, path).values()) == {1}
+    assert sorted(map(tuple, compacted.current(spark, path, CHANGES, ["id"], ["lsn"]).collect())) == [(1, "x"), (3, "n")]
+
+
+def test_a_refresh_writes_what_changed_only(spark, tmp_path):
+    path = str(tmp_path / "g")
+    frame = lambda rows: graph.bulk_vertices("Client", spark.createDataFrame(rows, "k long, v string"), "k", {"v": "v"})
+    for version, rows in enumerate(([(1, "a"), (2, "b"), (3, "c")], [(1, "a"), (2, "z"), (4, None)], [(1, "a"), (2, "z"), (4, None)], [(4, "d"), (3, "c")])):
+        graph_files.export_changes({"client": frame(rows)}, path, version)
+    assert [tuple(r) for r in graph_files.versions(spark, path).orderBy("version").collect()] == [(0, "client", 3, 0, 0), (1, "client", 1, 1, 1), (2, "client", 0, 0, 0), (3, "client", 1, 1, 2)]
+    assert not (tmp_path / "g" / "changes" / "version=2").exists()
+    assert spark.read.option("header", True).csv(f"{path}/changes/version=1/name=client/kind=changed").first()[:] == ("Client:2", "Client", "z")
+    out = graph_files.applied(spark, path, "client", ["~id", "~label", "v:String"])
+    assert sorted(map(tuple, out.collect())) == [("Client:3", "Client", "c"), ("Client:4", "Client", "d")]

@@ -12,7 +12,7 @@ from tidelake.operators import cdc, events, gold, graph, quality
 from tidelake.plans import jobs
 from tidelake.plans.registry import query, work_folder
 from tidelake.plans.views import AS_OF, sql, view
-from tidelake.sources import sinks, tables
+from tidelake.sources import compacted, graph_files, sinks, tables
 from tidelake.streaming import streams
 
 _DAY_PARTS = "cast(extract(year from ts) as int) as year, cast(extract(month from ts) as int) as month, cast(extract(day from ts) as int) as day"
@@ -244,3 +244,50 @@ def daily_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     ticks = view(spark, sf_dir, "class_ticks").withColumn("instrument_type", F.col("instrument_id"))
     daily = gold.daily_summaries(ticks, ["l_orderkey", "l_linenumber", "source_id", "last_price", "volume", "client_id"])
     return gold.daily_moves(daily).select("instrument_id", "trade_date", F.round("daily_return_pct", 5).alias("daily_return_pct"), F.round("volatility_20d", 4).alias("volatility_20d"))
+
+
+@query(
+    """with c as (select o_orderkey % 4000 as id, o_totalprice * 2 as price, o_orderstatus as s, row_number() over (partition by o_orderkey % 4000 order by o_orderdate desc, o_orderkey desc) as rn from orders)
+      select id, price from c where rn = 1 and s <> 'F' union all select p_partkey as id, p_retailprice as price from part where p_partkey not in (select id from c)"""
+)
+def cdc_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A full load and three batches whose changes are out of order, compacted twice, with a batch that comes again after it."""
+    path = f"{work_folder(spark)}/changes"
+    op = F.when(F.col("o_orderstatus") == "O", "INSERT").when(F.col("o_orderstatus") == "P", "UPDATE").otherwise("DELETE")
+    orders = tables.table(spark, sf_dir, "orders")
+    changes = orders.select((F.col("o_orderkey") % 4000).alias("id"), (F.col("o_totalprice") * 2).alias("price"), op.alias("operation"), F.col("o_orderdate").cast("timestamp").alias("commit_timestamp"), F.col("o_orderkey").alias("source_lsn"))
+    load = tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("price"), F.lit("INSERT").alias("operation"), F.lit("1900-01-01").cast("timestamp").alias("commit_timestamp"), F.lit(0).cast("long").alias("source_lsn"))
+    keys, order, schema = ["id"], ["commit_timestamp", "source_lsn"], load.schema
+    compacted.append(load, path, keys, -1, 8)
+    for batch in range(3):
+        compacted.append(changes.where(F.col("source_lsn") % 3 == batch), path, keys, batch, 8)
+        if batch < 2:
+            compacted.compact(spark, path, schema, keys, order)
+    compacted.append(changes.where("source_lsn % 3 = 1"), path, keys, 1, 8)  # again, though its snapshot is there
+    return compacted.current(spark, path, schema, keys, order)
+
+
+@query(
+    f"""select 'client' as name, 'Client:' || c_custkey as id, c_mktsegment as a, case when c_custkey % 5 = 0 then 'changed' else 'same' end as b from customer where c_custkey % 7 <> 0
+      union all select 'transfers', 'TRANSFERS_TO:' || src || '-' || dst, 'Account:' || src, 'Account:' || dst from {sql('transfers')} t where dst % 11 <> 1
+      union all select 'client changes', 'added', cast(count(*) filter (c_custkey % 3 = 0 and c_custkey % 7 <> 0) as string), cast(count(*) filter (c_custkey % 5 = 0 and c_custkey % 3 <> 0 and c_custkey % 7 <> 0) as string) from customer
+      union all select 'transfers changes', 'removed', cast(count(*) filter (dst % 11 = 1) as string), '0' from {sql('transfers')} t"""
+)
+def graph_change_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three refreshes: all but some clients; others added, changed and gone; nothing new.  What all of them give, applied in order, and what the second wrote."""
+    path, clients, moves = f"{work_folder(spark)}/graph", tables.table(spark, sf_dir, "customer"), view(spark, sf_dir, "transfers")
+
+    def frames(clients: DataFrame, moves: DataFrame) -> dict[str, DataFrame]:
+        own = graph.bulk_vertices("Client", clients, "c_custkey", {"segment": "c_mktsegment", "state": "state"})
+        return {"client": own, "transfers": graph.bulk_edges("TRANSFERS_TO", moves, F.concat_ws("-", "src", "dst"), ("Account", "src"), ("Account", "dst"), {})}
+
+    first = frames(clients.where("c_custkey % 3 <> 0").withColumn("state", F.lit("same")), moves)
+    second = frames(clients.where("c_custkey % 7 <> 0").withColumn("state", F.when(F.col("c_custkey") % 5 == 0, "changed").otherwise("same")), moves.where("dst % 11 <> 1"))
+    for version, now in enumerate((first, second, second)):
+        graph_files.export_changes(now, path, version)
+    a, b = graph_files.applied(spark, path, "client", second["client"].columns), graph_files.applied(spark, path, "transfers", second["transfers"].columns)
+    out = a.select(F.lit("client").alias("name"), F.col("~id").alias("id"), F.col("segment:String").alias("a"), F.col("state:String").alias("b"))
+    out = out.unionByName(b.select(F.lit("transfers").alias("name"), F.col("~id").alias("id"), F.col("~from").alias("a"), F.col("~to").alias("b")))
+    told = graph_files.versions(spark, path).where("version > 0").groupBy("name").agg(*(F.sum(c).cast("string").alias(c) for c in ("added", "changed", "removed")))
+    counts = told.select(F.concat("name", F.lit(" changes")).alias("name"), F.when(F.col("name") == "client", "added").otherwise("removed").alias("id"), F.when(F.col("name") == "client", F.col("added")).otherwise(F.col("removed")).alias("a"), "changed")
+    return out.unionByName(counts.withColumnRenamed("changed", "b"))

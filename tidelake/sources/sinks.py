@@ -23,6 +23,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def delete(spark: SparkSession, path: str) -> bool:
+    """Deletes a file or folder; was it there?"""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def with_time_parts(df: DataFrame, ts: str) -> DataFrame:
     """Adds year, month, day and hour of a timestamp, each row its own."""
     return df.withColumns({"year": F.year(ts), "month": F.month(ts), "day": F.dayofmonth(ts), "hour": F.hour(ts)})

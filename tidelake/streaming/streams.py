@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidelake.functions.folds import fold_in_order
 from tidelake.operators import events, silver
-from tidelake.sources import sinks
+from tidelake.sources import compacted, graph_files, sinks
 
 
 def parquet_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -157,6 +157,16 @@ def graph_refresh(gold: DataFrame, frames: dict[str, DataFrame], path: str, chec
     return start(gold, write, checkpoint, every=every)
 
 
+def graph_changes(gold: DataFrame, frames: dict[str, DataFrame], path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """When gold has new rows, writes what changed in the graph since the last time: a change set for each batch."""
+
+    def write(df: DataFrame, batch: int) -> None:
+        if not df.isEmpty():
+            graph_files.export_changes(frames, path, batch)
+
+    return start(gold, write, checkpoint, every=every)
+
+
 def dead_letters(letters: DataFrame, path: str, log: str, checkpoint: str) -> StreamingQuery:
     """Dead letters with their context to a table, and for each queue of a batch one event with the count."""
 
@@ -178,6 +188,17 @@ def follow_changes(changes: DataFrame, path: str, checkpoint: str) -> StreamingQ
     return start(changes, batch_folder(path), checkpoint)
 
 
+def compacted_changes(changes: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str], buckets: int = 64, compact_every: int = 10) -> StreamingQuery:
+    """The changes after a full load (batch -1), kept by buckets of keys and compacted every so many batches; ``compacted.current`` reads them."""
+
+    def write(df: DataFrame, batch: int) -> None:
+        compacted.append(df, path, keys, batch, buckets)
+        if (batch + 1) % compact_every == 0:
+            compacted.compact(df.sparkSession, path, changes.schema, keys, order)
+
+    return start(changes, write, checkpoint)
+
+
 def touched_days(ticks: DataFrame, recompute: Callable[[SparkSession, list], None], checkpoint: str) -> StreamingQuery:
     """On new ticks, recomputes the days they touch (a bounded list of dates)."""
 
