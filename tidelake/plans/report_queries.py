@@ -1,14 +1,14 @@
-"""Registered queries of the stored reports."""
+"""Registered queries of the stored reports and of domain events."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.operators import gold, portfolio
+from tidelake.operators import cdc, events, gold, portfolio, quality
 from tidelake.plans import reports
-from tidelake.plans.queries import _DEDUP_TICKS, _SNAPSHOTS, _as_of, _daily, _doubles, _returns, _snapshots, fold_sql, units
-from tidelake.plans.registry import query
+from tidelake.plans.queries import _CHANGES, _DEDUP_TICKS, _LAG, _RULES, _SNAPSHOTS, _as_of, _daily, _doubles, _lags, _results, _returns, _schema_log, _snapshots, fold_sql, units
+from tidelake.plans.registry import ORACLES, query
 from tidelake.plans.views import AS_OF, sql, view
 from tidelake.sources import tables
 
@@ -64,3 +64,24 @@ def report_regulatory(spark: SparkSession, sf_dir: str) -> DataFrame:
     trades = ticks.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("trade_id"), "instrument_id", F.col("instrument_type").alias("instrument_name"), "side", F.col("volume").alias("quantity"), F.col("last_price").alias("price"), F.col("source_timestamp").alias("execution_timestamp"), F.date_add("trade_date", 2).alias("settlement_date"), F.lit("unknown").alias("venue"), F.lit("main").alias("account_type"), "client_id", "trade_date")
     out = _doubles(reports.regulatory_trades(trades, "1998-06-16", _as_of()), "price", "total_value")
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("execution_timestamp", "report_generated_at")})
+
+
+@query(
+    f"""select 'SchemaEvolved' as detail_type, cast(seq as string) as key, change_type || ' cdc_lake_' || table_name as what, cast(null as double) as figure from {_CHANGES} c
+      union all select 'CDCReplicationLagWarning', strftime(window_start, '%Y-%m-%d %H:%M:%S'), 'WARNING', round(max_lag_seconds, 4) from {_LAG} l where max_lag_seconds > 60
+      union all select 'quality.failed', rule_type || '/' || "column", 'HIGH', cast(failed as double) from {_RULES} r where severity = 'HIGH'
+      union all select 'quality.score_degraded', 'quotes', 'below 80', quality_score from ({ORACLES['quality_assessment']}) a where alert"""
+)
+def domain_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of schema changes, of replication lag and of quality, by what their details say."""
+    log = _schema_log(spark, sf_dir).withColumns({"schema_name": F.lit("lake"), "old_data_type": F.lit(None).cast("string"), "detected_at": F.col("seq")})
+    evolved = events.schema_evolved(log).select("detail_type", F.from_json("detail", "detected_at long, change_type string, glue_table string").alias("d"))
+    out = evolved.select("detail_type", F.col("d.detected_at").cast("string").alias("key"), F.concat_ws(" ", "d.change_type", "d.glue_table").alias("what"), F.lit(None).cast("double").alias("figure"))
+    lags = cdc.replication_lag(_lags(spark, sf_dir), 3600)
+    late = events.lag_warnings(lags, "instance-1").select("detail_type", F.from_json("detail", "timestamp timestamp, severity string, current_lag_seconds double").alias("d"))
+    out = out.unionByName(late.select("detail_type", F.date_format("d.timestamp", "yyyy-MM-dd HH:mm:ss").alias("key"), F.col("d.severity").alias("what"), F.round("d.current_lag_seconds", 4).alias("figure")))
+    results = _results(spark, sf_dir)
+    told = events.quality_events(results, quality.assess(results), "quotes", _as_of()).select("detail_type", F.from_json("detail", "dataset_name string, overall_score double, threshold double, failure_details array<struct<rule_type:string,column:string,severity:string,failed_record_count:bigint>>").alias("d"))
+    failed = told.where("detail_type = 'quality.failed'").select("detail_type", F.explode("d.failure_details").alias("f")).select("detail_type", F.concat_ws("/", "f.rule_type", "f.column").alias("key"), F.col("f.severity").alias("what"), F.col("f.failed_record_count").cast("double").alias("figure"))
+    low = told.where("detail_type = 'quality.score_degraded'").select("detail_type", F.col("d.dataset_name").alias("key"), F.format_string("below %.0f", "d.threshold").alias("what"), F.col("d.overall_score").alias("figure"))
+    return out.unionByName(failed).unionByName(low)

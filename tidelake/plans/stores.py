@@ -121,15 +121,15 @@ def governance_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.json(path).groupBy("model_version", "decision").agg(F.count("*").alias("records"))
 
 
-@query("select 'queue-' || event_type as original_queue, count(*) as messages, 'x' as failure_reason, cast(max(length(props)) as int) as longest from events group by event_type")
+@query("select event_id as message_id, 'queue-' || event_type as original_queue, 'x' as failure_reason, cast(user_id % 9 as int) as retry_count, props as preview, 'MessageDeadLettered' as detail_type from events")
 def stream_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, e = work_folder(spark), tables.table(spark, sf_dir, "events")
     raw = streams.parquet_stream(spark, f"{sf_dir}/events.parquet*", e.schema)
-    letters = raw.select(F.col("event_id").alias("message_id"), F.concat(F.lit("queue-"), "event_type").alias("original_queue"), F.lit("x").alias("error_message"), F.lit("1").alias("receive_count"), F.col("props").alias("body"))
+    letters = raw.select(F.col("event_id").alias("message_id"), F.concat(F.lit("queue-"), "event_type").alias("original_queue"), F.lit("x").alias("error_message"), (F.col("user_id") % 9).cast("string").alias("receive_count"), F.col("props").alias("body"))
     streams.dead_letters(letters, f"{folder}/letters", f"{folder}/events", f"{folder}/checkpoint").awaitTermination()
-    stored = spark.read.parquet(f"{folder}/letters").groupBy("original_queue").agg(F.max("failure_reason").alias("failure_reason"), F.max(F.length("preview")).alias("longest"))
-    told = spark.read.parquet(f"{folder}/events").select(F.from_json("detail", "original_queue string, messages long").alias("d")).groupBy("d.original_queue").agg(F.sum("d.messages").alias("messages"))
-    return stored.join(told, "original_queue")
+    stored = spark.read.parquet(f"{folder}/letters").select("message_id", "preview")
+    told = spark.read.parquet(f"{folder}/events").select("detail_type", F.from_json("detail", "message_id long, original_queue string, failure_reason string, retry_count int").alias("d")).select("detail_type", "d.*")
+    return stored.join(told, "message_id")
 
 
 @query("select event_id, event_type, 'OrderCreated' as detail_type from events where event_id % 10 <> 0")

@@ -168,14 +168,13 @@ def graph_changes(gold: DataFrame, frames: dict[str, DataFrame], path: str, chec
 
 
 def dead_letters(letters: DataFrame, path: str, log: str, checkpoint: str) -> StreamingQuery:
-    """Dead letters with their context to a table, and for each queue of a batch one event with the count."""
+    """Dead letters with their context to a table, and for each of them an event."""
 
     def write(df: DataFrame, batch: int) -> None:
         rows = events.failure_context(df).persist()
         try:
             rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
-            counts = events.letters_by_queue(rows)
-            sinks.event_log(counts, "operations", "DeadLettersReceived", counts.columns).write.mode("overwrite").parquet(f"{log}/batch={batch}")
+            events.dead_lettered(rows, F.current_timestamp()).write.mode("overwrite").parquet(f"{log}/batch={batch}")
         finally:
             rows.unpersist()
 
