@@ -610,3 +610,25 @@ def test_a_refresh_writes_what_changed_only(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"{path}/changes/version=1/name=client/kind=changed").first()[:] == ("Client:2", "Client", "z")
     out = graph_files.applied(spark, path, "client", ["~id", "~label", "v:String"])
     assert sorted(map(tuple, out.collect())) == [("Client:3", "Client", "c"), ("Client:4", "Client", "d")]
+
+
+def test_sketches_of_parts_are_the_sketch_of_the_whole(spark):
+    rng = random.Random(6)
+    values = [rng.choice((rng.gauss(0, 1), rng.expovariate(1e-6), -rng.random() * 1e-9, 0.0)) for _ in range(3000)] + [None, float("nan")]
+    df = spark.createDataFrame([(k % 5, v) for k, v in enumerate(values)], "day long, x double")
+    parts = governance.merge(governance.sketch(df, ["x"], ["day"]))
+    assert sorted(map(str, parts.collect())) == sorted(map(str, governance.sketch(df, ["x"]).collect()))
+    shares = [0.01, 0.25, 0.5, 0.9, 0.999]
+    known = sorted(v for v in values if v is not None and v == v)
+    got = {r["share"]: r["value"] for r in governance.sketch_quantiles(parts, shares).collect()}
+    for share in shares:
+        exact = known[max(int(np.ceil(share * len(known))) - 1, 0)]
+        assert abs(got[share] - exact) <= governance.ERROR * abs(exact) * 1.000001
+    assert governance.sketch_drift(parts, parts).agg(F.max("psi")).first()[0] == pytest.approx(0)
+
+
+def test_drift_is_found_and_missing_values_are_a_bin(spark):
+    old = governance.sketch(spark.range(1, 1001).selectExpr("cast(id as double) as x"), ["x"])
+    new = governance.sketch(spark.range(1, 1001).selectExpr("case when id % 4 > 0 then cast(id * 2 as double) end as x"), ["x"])
+    out = governance.sketch_drift(old, new)
+    assert out.first()["psi"] > 0.25 and out.where("bin is null").first()["current_share"] == 0.25

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,3 +123,64 @@ def drift(baseline: DataFrame, current: DataFrame, feature: str, low: float, hig
     out = both.withColumns({"baseline_share": share("b"), "current_share": share("c")})
     out = out.withColumn("term", (F.col("current_share") - F.col("baseline_share")) * F.log(F.col("current_share") / F.col("baseline_share")))
     return out.withColumn("psi", F.sum("term").over(every)).select("bin", "baseline_share", "current_share", "term", "psi")
+
+
+#: Bound of the relative error of values that a sketch gives back.
+ERROR = 0.01
+_LOG = math.log((1 + ERROR) / (1 - ERROR))
+#: Puts buckets of positive values above zero, however small they are.
+_ABOVE = 100_000
+
+
+def sketch(df: DataFrame, features: list[str], by: list[str] = ()) -> DataFrame:
+    """A quantile sketch: ``(*by, feature, bucket, n)``, rows of each feature by bucket of its logarithm; null for none.
+
+    Sketches of parts, summed by ``merge``, are that of the whole.  Buckets of a feature are some 35,000 at most."""
+    value = F.col("value")
+    size = F.ceil(F.log(F.abs(value)) / F.lit(_LOG)).cast("int") + F.lit(_ABOVE)
+    bucket = F.when(value == 0, 0).when(value > 0, size).when(value < 0, -size)
+    long = df.select(*by, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])).alias("f")).select(*by, "f.feature", "f.value")
+    return long.groupBy(*by, "feature", F.when(~F.isnan("value"), bucket).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def merge(sketches: DataFrame) -> DataFrame:
+    """The sketch of all rows that some sketches have."""
+    return sketches.groupBy("feature", "bucket").agg(F.sum("n").alias("n"))
+
+
+def value_of(bucket: Column) -> Column:
+    """A value that is at most ``ERROR`` of any value of the bucket away from it."""
+    top = F.exp((F.abs(bucket) - F.lit(_ABOVE)) * F.lit(_LOG))
+    return F.when(bucket == 0, 0.0).otherwise(F.signum(bucket.cast("double")) * top * (1 - ERROR))
+
+
+def _borders(merged: DataFrame, shares: list[float]) -> DataFrame:
+    """``(feature, share, bucket)``: the first bucket at which so much of the rows with a value is reached."""
+    order = Window.partitionBy("feature").orderBy("bucket")
+    there = merged.where("bucket is not null").withColumns({"_upto": F.sum("n").over(order), "_all": F.sum("n").over(Window.partitionBy("feature"))})
+    asked = there.withColumn("share", F.explode(F.array(*map(F.lit, shares))))
+    return asked.where(F.col("_upto") >= F.col("share") * F.col("_all")).groupBy("feature", "share").agg(F.min("bucket").alias("bucket"))
+
+
+def sketch_quantiles(merged: DataFrame, shares: list[float]) -> DataFrame:
+    """``(feature, share, value)``: quantiles to within ``ERROR`` of their size."""
+    return _borders(merged, shares).select("feature", "share", value_of(F.col("bucket")).alias("value"))
+
+
+def sketch_drift(baseline: DataFrame, current: DataFrame, bins: int = 10) -> DataFrame:
+    """Per feature and bin (between quantiles of the baseline; null: no value): shares of both sketches, the term of the
+    stability index, and ``psi``, their sum.  Both sketches have one grid, so the counts of bins are exact."""
+    borders = _borders(baseline, [k / bins for k in range(1, bins)]).groupBy("feature").agg(F.array_sort(F.collect_set("bucket")).alias("_borders"))
+
+    def binned(df: DataFrame, name: str) -> DataFrame:
+        own = df.join(F.broadcast(borders), "feature", "left")  # a row for each feature
+        below = F.size(F.filter("_borders", lambda b: b < F.col("bucket"))) + 1
+        return own.groupBy("feature", F.when(F.col("bucket").isNotNull(), below).alias("bin")).agg(F.sum("n").alias(name))
+
+    b, c = binned(baseline, "b"), binned(current, "c").withColumnsRenamed({"feature": "_f", "bin": "_bin"})
+    both = b.join(c, (F.col("feature") == F.col("_f")) & F.col("bin").eqNullSafe(F.col("_bin")), "full").select(F.coalesce("feature", "_f").alias("feature"), F.coalesce("bin", "_bin").alias("bin"), "b", "c").na.fill(0, ["b", "c"])
+    every = Window.partitionBy("feature")  # at most bins + 1 rows
+    share = lambda x: F.greatest(F.col(x) / F.sum(x).over(every), F.lit(0.0001))
+    out = both.withColumns({"baseline_share": share("b"), "current_share": share("c")})
+    out = out.withColumn("term", (F.col("current_share") - F.col("baseline_share")) * F.log(F.col("current_share") / F.col("baseline_share")))
+    return out.withColumn("psi", F.sum("term").over(every)).select("feature", "bin", "baseline_share", "current_share", "term", "psi")

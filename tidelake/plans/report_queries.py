@@ -1,14 +1,14 @@
-"""Registered queries of the stored reports and of domain events."""
+"""Registered queries of the stored reports, of domain events and of kept sketches."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.operators import cdc, events, gold, portfolio, quality
+from tidelake.operators import cdc, events, gold, governance, graph, portfolio, quality
 from tidelake.plans import reports
-from tidelake.plans.queries import _CHANGES, _DEDUP_TICKS, _LAG, _RULES, _SNAPSHOTS, _as_of, _daily, _doubles, _lags, _results, _returns, _schema_log, _snapshots, fold_sql, units
-from tidelake.plans.registry import ORACLES, query
+from tidelake.plans.queries import _CHANGES, _DEDUP_TICKS, _LAG, _RULES, _SNAPSHOTS, _as_of, _daily, _doubles, _lags, _results, _returns, _schema_log, _snapshots, connected_flagged, fold_sql, units
+from tidelake.plans.registry import ORACLES, query, work_folder
 from tidelake.plans.views import AS_OF, sql, view
 from tidelake.sources import tables
 
@@ -85,3 +85,31 @@ def domain_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = told.where("detail_type = 'quality.failed'").select("detail_type", F.explode("d.failure_details").alias("f")).select("detail_type", F.concat_ws("/", "f.rule_type", "f.column").alias("key"), F.col("f.severity").alias("what"), F.col("f.failed_record_count").cast("double").alias("figure"))
     low = told.where("detail_type = 'quality.score_degraded'").select("detail_type", F.col("d.dataset_name").alias("key"), F.format_string("below %.0f", "d.threshold").alias("what"), F.col("d.overall_score").alias("figure"))
     return out.unionByName(failed).unionByName(low)
+
+
+_BUCKET = f"case when x = 0 then 0 when x > 0 then cast(ceil(ln(x) / {governance._LOG}) as int) + 100000 when x < 0 then -(cast(ceil(ln(-x) / {governance._LOG}) as int) + 100000) end"
+
+
+@query(
+    f"""with v as (select c_custkey % 2 = 0 as old, 'balance' as feature, c_acctbal as x from customer union all select c_custkey % 2 = 0, 'key', case when c_custkey % 10 <> 3 then cast(c_custkey as double) end from customer),
+      s as (select old, feature, {_BUCKET} as bucket, count(*) as n from v group by all), r as (select *, sum(n) over (partition by feature order by bucket) as upto, sum(n) over (partition by feature) as total from s where old and bucket is not null),
+      e as (select distinct feature, (select min(bucket) from r where r.feature = f.feature and upto >= k / 10.0::double * total) as border from (select distinct feature from r) f cross join (select unnest(range(1, 10)) as k) q),
+      b as (select old, feature, case when bucket is not null then (select count(*) from e where e.feature = s.feature and border < bucket) + 1 end as bin, n from s),
+      g as (select feature, bin, coalesce(sum(n) filter (old), 0) as b, coalesce(sum(n) filter (not old), 0) as c from b group by all),
+      h as (select feature, bin, greatest(b / sum(b) over w, 0.0001) as baseline_share, greatest(c / sum(c) over w, 0.0001) as current_share from g window w as (partition by feature))
+      select feature, cast(bin as int) as bin, round(baseline_share, 6) as baseline_share, round(current_share, 6) as current_share, round(sum((current_share - baseline_share) * ln(current_share / baseline_share)) over (partition by feature), 6) as psi from h"""
+)
+def sketch_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches kept for each of seven parts, read back and merged; the bins are quantiles of the baseline."""
+    path = f"{work_folder(spark)}/sketches"
+    c = tables.table(spark, sf_dir, "customer").select((F.col("c_custkey") % 7).alias("day"), (F.col("c_custkey") % 2 == 0).alias("old"), F.col("c_acctbal").alias("balance"), F.when(F.col("c_custkey") % 10 != 3, F.col("c_custkey")).alias("key"))
+    governance.sketch(c, ["balance", "key"], ["day", "old"]).write.partitionBy("day").parquet(path)
+    kept = spark.read.parquet(path)
+    out = governance.sketch_drift(governance.merge(kept.where("old")), governance.merge(kept.where("not old")))
+    return out.select("feature", "bin", *(F.round(x, 6).alias(x) for x in ("baseline_share", "current_share", "psi")))
+
+
+@query(f"select id, flagged, hops from ({ORACLES['connected_flagged']}) c order by hops, id, flagged limit 50")
+def connected_flagged_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first fifty, nearest first."""
+    return graph.first_paths(connected_flagged(spark, sf_dir), ["hops", "id", "flagged"], 50)
