@@ -217,7 +217,7 @@ def test_scores_drop_unmarked_adverts_inside_an_article(monkeypatch):
     assert [html_extract.main_text(page)[0] for page, _ in pages] == [text for _, text in pages]
     clean = [_article(rng, False) for _ in range(30)]
     assert [html_extract.main_text(page)[0] for page, _ in clean] == [text for _, text in clean]
-    monkeypatch.setattr(html_extract, "path_scores", lambda page, nodes, smooth=True: np.ones(len(nodes)))
+    monkeypatch.setattr(html_extract, "path_scores", lambda page, nodes, ratios=None: np.ones(len(nodes)))
     assert sum(html_extract.main_text(page)[0] != text for page, text in pages) > 40
 
 

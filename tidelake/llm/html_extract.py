@@ -192,8 +192,8 @@ def parse(page: str) -> Page:
     return out
 
 
-def path_scores(page: Page, nodes: np.ndarray, smooth: bool = True) -> np.ndarray:
-    """Fused and (unless told not to) smoothed tag-path ratios of the text nodes ``nodes``."""
+def path_ratios(page: Page, nodes: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Paths of the text nodes ``nodes``, and the ratios of text and of punctuation of each one's path."""
     texts = [page.text[k] for k in nodes]
     lengths = np.array([len(_SPACE.sub(" ", t).strip()) for t in texts], float)
     marks = np.array([len(_PUNCTUATION.findall(t)) for t in texts], float)
@@ -202,9 +202,12 @@ def path_scores(page: Page, nodes: np.ndarray, smooth: bool = True) -> np.ndarra
     filled = np.maximum(np.bincount(of, lengths > 0), 1)
     ratio, pointed = np.bincount(of, lengths) / filled, np.bincount(of, marks) / filled
     spread = np.sqrt(np.maximum(np.bincount(of, lengths**2) / filled - ratio**2, 0))
-    first, second = (ratio + spread)[of], pointed[of]
-    if not smooth:
-        return first * (1 + second)
+    return path, (ratio + spread)[of], pointed[of]
+
+
+def path_scores(page: Page, nodes: np.ndarray, ratios: tuple[list[int], np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Smoothed and fused tag-path ratios of the text nodes ``nodes``."""
+    path, first, second = path_ratios(page, nodes) if ratios is None else ratios
 
     def shared(a: int, b: int) -> int:
         """Depth to which two paths are one; no longer than the tags between them."""
@@ -290,7 +293,8 @@ def main_text(html_text: str | None) -> tuple[str, int, int]:
     lengths = np.array([len(page.text[k].strip()) for k in nodes], float)
     if not lengths.sum():
         return "", len(page.text), 0
-    scores = path_scores(page, nodes)
+    ratios = path_ratios(page, nodes)
+    scores = path_scores(page, nodes, ratios)
     content = (scores >= 0.5 * np.std(scores)) & (lengths > 0)
     elements = np.array([page.element[k] for k in nodes])
     container, named = _container(page, elements, np.where(content, scores * lengths, 0.0))
@@ -323,7 +327,7 @@ def main_text(html_text: str | None) -> tuple[str, int, int]:
         element = [page.above_inline(elements[k]) for k in holder]
         bare = np.array([page.tag[e] in BARE for e in element], bool)
         own = np.zeros(len(numbers), bool)
-        np.logical_or.at(own, of, (path_scores(page, nodes, smooth=False) >= 0.5 * np.std(scores)) & (lengths > 0))
+        np.logical_or.at(own, of, (ratios[1] * (1 + ratios[2]) >= 0.5 * np.std(scores)) & (lengths > 0))
         paths = {page.path[element[b]] for b in np.flatnonzero(own & over)}
         low = ~bare | own | np.array([page.path[e] in paths for e in element], bool)
         if not low[over].any():
