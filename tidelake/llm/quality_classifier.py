@@ -2,18 +2,18 @@
 
 A text shows the n-grams of its words (runs without white space, A-Z in lower case), of
 their shapes, their last letters, and which of the words before each of them repeats, each
-once however often it occurs, hashed to ``buckets``.
-An n-gram's value is the logarithm of the ratio of its shares in the two classes; with these values, scaled to length one, a linear model with
-hinge loss is fitted by dual coordinate descent: one dual variable at a time is moved to
-its best value between 0 and its bound, and the weights with it.
+once however often it occurs, hashed to ``buckets``.  An n-gram's value is the logarithm of
+the ratio of its shares in the two classes.  With these values, scaled to length one, a
+linear model with hinge loss is fitted by dual coordinate descent: one dual variable at a
+time is moved to its best value between 0 and its bound, and the weights with it.
 
 Fitting uses at most ``max_labels`` labelled documents, chosen by a hash of their id; Spark
 counts their n-grams by class.  The descent, which goes from document to document in one
-task, takes those of them that have at most ``max_values`` n-grams together.  Scoring is one Arrow pass
-over all documents and whole texts.
+task, takes those of them that have at most ``max_values`` n-grams together.  Scoring is
+one Arrow pass over all documents and whole texts.
 
 Defined results: null and empty texts show no n-gram and get the score of the bias;
-very long texts are read whole, in slices; labels that are null are left out; without
+very long texts are read whole; labels that are null are left out; without
 labels of both kinds every score is that of the one kind there is, or one half; repeated
 rows give repeated results; columns of any name pass through.
 """
