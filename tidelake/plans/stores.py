@@ -84,25 +84,32 @@ def partition_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WHOLE = "instrument_type is not null and last_price is not null and bid_price is not null and ask_price is not null"
-_JOB = f"""(with q as (select *, {_WHOLE} as whole from {sql('quotes')} z),
-  d as (select *, not whole or last_price < 2000 or last_price > 100000 or ask_price < bid_price as bad from (select *, row_number() over (partition by instrument_id, date_trunc('month', source_timestamp), source_id, whole order by l_orderkey * 8 + l_linenumber desc, last_price, volume) as rn from q) a where rn = 1)
-  select (select count(*) from q) as rows_in, count(*) as kept, count(*) filter (bad) as rejected from d)"""
+_JOB = f"""(with q as (select *, {_WHOLE} as whole from {sql('quotes')} z)
+  select *, not whole or last_price < 2000 or last_price > 100000 or ask_price < bid_price as bad, (select count(*) from q) as every from (
+    select *, row_number() over (partition by instrument_id, date_trunc('month', source_timestamp), source_id, whole order by l_orderkey * 8 + l_linenumber desc, last_price, volume) as rn from q) a where rn = 1)"""
 
 
-@query(f"select rows_in, kept - rejected as rows_out, rejected, rows_in - kept as dedup_removed, kept - rejected as silver_rows, rejected as reject_rows, 'PipelineExecutionCompleted' as events from {_JOB} x")
+@query(
+    f"""select case when bad then 'rejected' else 'silver' end as part, l_orderkey as a, l_linenumber as b, cast(last_price as double) as c, case when bad then null else cast(ask_price - bid_price as double) end as d from {_JOB} x
+      union all select 'record', any_value(every), count(*) filter (not bad), cast(count(*) filter (bad) as double), cast(any_value(every) - count(*) as double) from {_JOB} x
+      union all select 'PipelineExecutionCompleted', any_value(every), count(*) filter (not bad), cast(count(*) filter (bad) as double), null from {_JOB} x"""
+)
 def silver_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row that the job wrote, with the counts of its record and of its event."""
     folder = work_folder(spark)
     # One quote of each instrument, source and month: the newest, by an arrival in order of lines.
     arrival = F.timestamp_seconds(F.col("l_orderkey") * 8 + F.col("l_linenumber"))
     quotes = view(spark, sf_dir, "quotes").withColumns({"source_timestamp": F.date_trunc("month", "source_timestamp"), "trade_date": F.trunc("trade_date", "month"), "ingestion_timestamp": arrival})
     arguments = jobs.SilverArguments("bronze", "bloomberg", "v2.3.1", "1992-01-01 00:00:00", "job-1")
     jobs.run_silver(quotes, folder, arguments, {"last_price": (2000.0, 100000.0)})
+    none, number = F.lit(None).cast("double"), lambda c: F.col(c).cast("double")
+    named = lambda df, part, *values: df.select(F.lit(part).alias("part") if isinstance(part, str) else part.alias("part"), *(v.alias(c) for v, c in zip(values, "abcd")))
+    out = named(spark.read.parquet(f"{folder}/silver"), "silver", F.col("l_orderkey"), F.col("l_linenumber"), number("last_price"), number("spread"))
+    out = out.unionByName(named(spark.read.parquet(f"{folder}/rejected"), "rejected", F.col("l_orderkey"), F.col("l_linenumber"), number("last_price"), none))
     record = spark.read.json(f"{folder}/lineage/job-1").select("record_counts.*")
-    stored = spark.read.parquet(f"{folder}/silver").agg(F.count("*").alias("silver_rows"))
-    rejects = spark.read.parquet(f"{folder}/rejected").agg(F.count("*").alias("reject_rows"))
-    log = spark.read.parquet(f"{folder}/events").agg(F.array_join(F.array_sort(F.collect_set("detail_type")), ",").alias("events"))
-    counts = record.select(F.col("input").alias("rows_in"), F.col("output").alias("rows_out"), "rejected", "dedup_removed")
-    return counts.crossJoin(stored).crossJoin(rejects).crossJoin(log)  # one row each
+    out = out.unionByName(named(record, "record", F.col("input"), F.col("output"), number("rejected"), number("dedup_removed")))
+    log = spark.read.parquet(f"{folder}/events").select("detail_type", F.from_json("detail", "record_counts struct<input:bigint,output:bigint,rejected:bigint>").alias("d")).select("detail_type", "d.record_counts.*")
+    return out.unionByName(named(log, F.col("detail_type"), F.col("input"), F.col("output"), number("rejected"), none))
 
 
 @query(f"select event_id, cast(date_trunc('day', ts) as date) + interval 7 year as retain_until, {_DAY_PARTS} from events")
@@ -161,18 +168,23 @@ def stream_incremental_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _GRAPH = {
-    "client": ("customer", "~id,~label,segment:String,balance:Double"),
-    "account": ("customer", "~id,~label,balance:Double,margin_enabled:Bool"),
-    "instrument": ("part", "~id,~label,name:String,type:String,sector:String,size:Long"),
-    "executed": ("lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey join part on l_partkey = p_partkey", "~id,~from,~to,~label,side:String,quantity:Long,price:Double,timestamp:Date"),
-    "owns": ("customer", "~id,~from,~to,~label,role:String"),
-    "transfers": (f"{sql('transfers')} t", "~id,~from,~to,~label,timestamp:Date"),
+    "client": ("customer", "~id,~label,segment:String,balance:Double", ("'Client:' || c_custkey", "'Client'", "c_mktsegment", "c_acctbal")),
+    "account": ("customer", "~id,~label,balance:Double,margin_enabled:Bool", ("'Account:' || c_custkey", "'Account'", "cast(c_acctbal > 0 as string)", "c_acctbal")),
+    "instrument": ("part", "~id,~label,name:String,type:String,sector:String,size:Long", ("'Instrument:' || p_partkey", "'Instrument'", "p_name || '/' || p_type || '/' || p_brand", "cast(p_size as double)")),
+    "executed": (f"{sql('ticks')} t", "~id,~from,~to,~label,side:String,quantity:Long,price:Double,timestamp:Date", ("'EXECUTED:' || l_orderkey || '-' || l_linenumber", "'Client:' || client_id", "'Instrument:' || instrument_id || '/' || side || '/' || volume", "cast(last_price as double)")),
+    "owns": ("customer", "~id,~from,~to,~label,role:String", ("'OWNS:' || c_custkey", "'Client:' || c_custkey", "'Account:' || c_custkey || '/PRIMARY'", "null")),
+    "transfers": (f"{sql('transfers')} t", "~id,~from,~to,~label,timestamp:Date", ("'TRANSFERS_TO:' || src || '-' || dst", "'Account:' || src", "'Account:' || dst || '/' || strftime(ts, '%Y-%m-%d')", "null")),
 }
+#: Columns of the files that stand for the third and fourth figure of their rows.
+_TOLD = {
+    "client": (["segment:String"], "balance:Double"), "account": (["margin_enabled:Bool"], "balance:Double"), "instrument": (["name:String", "type:String", "sector:String"], "size:Long"),
+    "executed": (["~to", "side:String", "quantity:Long"], "price:Double"), "owns": (["~to", "role:String"], None), "transfers": (["~to", "timestamp:Date"], None),
+}
 
 
-@query(" union all ".join(f"select '{name}' as file, '{header}' as header, count(*) as n from {table}" for name, (table, header) in _GRAPH.items()))
+@query(" union all ".join(f"select '{name}' as file, '{header}' as header, {a} as id, {b} as of, {c} as what, cast({d} as double) as figure from {table}" for name, (table, header, (a, b, c, d)) in _GRAPH.items()))
 def graph_bulk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six typed bulk-load files, written again by a stream that sees new orders."""
+    """All rows of six typed bulk-load files, written again by a stream that sees new orders."""
     folder = work_folder(spark)
     clients, parts, moves = tables.table(spark, sf_dir, "customer"), tables.table(spark, sf_dir, "part"), view(spark, sf_dir, "transfers")
     ticks = view(spark, sf_dir, "ticks")
@@ -189,7 +201,9 @@ def graph_bulk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for name in frames:
         rows = spark.read.option("header", True).csv(f"{folder}/graph/{name}")
-        one = rows.agg(F.lit(name).alias("file"), F.lit(",".join(rows.columns)).alias("header"), F.count("*").alias("n"))
+        what, figure = _TOLD[name]
+        text = F.concat_ws("/", *[F.substring(F.col(f"`{c}`"), 1, 10) if c == "timestamp:Date" else F.col(f"`{c}`") for c in what])
+        one = rows.select(F.lit(name).alias("file"), F.lit(",".join(rows.columns)).alias("header"), F.col("~id").alias("id"), F.col(f"`{rows.columns[1]}`").alias("of"), text.alias("what"), (F.col(f"`{figure}`") if figure else F.lit(None)).cast("double").alias("figure"))
         out = one if out is None else out.unionByName(one)
     return out
 
