@@ -331,6 +331,22 @@ def test_wash_trades_at_one_price_are_not_multiplied(spark):
     assert tuple(total) == (n, int(expected.sum()), int(expected.max()))
 
 
+def test_wash_trades_compared_and_counted_agree(spark):
+    """Crowded prices beside lone ones, against all pairs: cells compared one by one, counted, and both."""
+    rng = random.Random(8)
+    rows = [("a", rng.choice("ij"), rng.choice(("BUY", "SELL")), rng.choice((10.0, 10.0, 10.0, 10.005, round(rng.uniform(9.9, 10.1), 3))), ts("2024-01-01 00:00:00") + dt.timedelta(hours=rng.randrange(0, 600)), k, rng.randrange(1, 9)) for k in range(400)]
+    expected = {}
+    for _, i, side, price, at, k, _ in rows:
+        met = [q for _, i2, side2, price2, at2, _, q in rows if i2 == i and side2 != side and abs(price2 - price) < 0.01 and abs(at2 - at) <= dt.timedelta(days=3)]
+        if met:
+            expected[k] = (side, len(met), sum(met))
+    df = spark.createDataFrame(rows, WASH)
+    for few in (0, 5, 1_000):
+        found = {r["trade_id"]: (r["side"], r["matches"], int(r["quantity"])) for r in graph.wash_matches(df, days=3, few=few).collect()}
+        assert found == expected
+    assert graph.wash_matches(df.limit(0), days=3).count() == 0
+
+
 def test_cycles_of_random_graphs(spark):
     rng = random.Random(4)
     for size, links in ((6, 18), (12, 40), (40, 90)):
