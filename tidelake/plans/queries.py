@@ -249,9 +249,9 @@ def risk_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.withColumns(rounded).select("client_id", "sector", "geography", "trade_date", "total_exposure", "var_95_pct", "var_99_pct", "expected_shortfall", "return_volatility", "instrument_count", "observation_count", "var_95_dollars", "beta")
 
 
-@query(f"with d as (select client_id, trade_date, avg(position_return) as x from {_RETURNS} p group by client_id, trade_date), m as (select trade_date, avg(position_return) as y from {_RETURNS} p group by trade_date) select client_id, round(covar_samp(x, y) / nullif(var_samp(y), 0), 4) as beta, count(*) as days from d join m using (trade_date) group by client_id having count(*) > 2")
+@query(f"with d as (select client_id, trade_date, avg(position_return) as x from {_RETURNS} p group by client_id, trade_date), m as (select trade_date, avg(position_return) as y from {_RETURNS} p group by trade_date) select client_id, round(covar_samp(x, y) / nullif(var_samp(y), 0), 4) as beta, count(*) as days from d join m using (trade_date) group by client_id")
 def beta_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gold.beta_regression(_returns(spark, sf_dir)).where("days > 2").withColumn("beta", F.round("beta", 4))
+    return gold.beta_regression(_returns(spark, sf_dir)).withColumn("beta", F.round("beta", 4))
 
 
 @query(
@@ -734,12 +734,13 @@ def rapid_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with h as (select user_id as client_id, date_trunc('hour', ts) as hour, count(*) as trades from events group by 1, 2)
-      select client_id, hour, trades from (select *, avg(trades) over w as m, stddev_samp(trades) over w as s, count(*) over w as n from h window w as (partition by client_id order by hour rows between unbounded preceding and 1 preceding)) a where n >= 3 and trades > m + 2.0 * s + 1e-9"""
+    """with h as (select user_id as client_id, date_trunc('hour', ts) as hour, count(*)::hugeint as trades from events group by 1, 2)
+      select client_id, hour, cast(trades as bigint) as trades from (select *, sum(trades) over w as s, sum(trades * trades) over w as q, (count(*) over w)::hugeint as n from h window w as (partition by client_id order by hour rows between unbounded preceding and 1 preceding)) a
+      where n >= 3 and n * trades > s and (n * trades - s) * (n * trades - s) * (n - 1) > 4 * n * (n * q - s * s)"""
 )
 def unusual_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     trades = tables.table(spark, sf_dir, "events").select(F.col("user_id").alias("client_id"), F.col("ts").cast("timestamp").alias("ts"))
-    found = graph.velocity(trades, 2.0).where("unusual and trades > mean + 2.0 * sd + 1e-9")
+    found = graph.velocity(trades, 2.0).where("unusual")
     return found.select("client_id", F.col("hour").cast("timestamp_ntz").alias("hour"), "trades")
 
 

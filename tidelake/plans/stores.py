@@ -119,13 +119,13 @@ def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.json(path).select("event_id", F.col("retain_until").cast("timestamp_ntz").alias("retain_until"), "year", "month", "day")
 
 
-@query("select 'v' || cast(c_custkey % 5 as string) as model_version, case when c_acctbal < 0 then 'REJECTED' else 'APPROVED' end as decision, 2 * count(*) as records from customer group by 1, 2")
+@query("select 'v' || cast(c_custkey % 5 as string) as model_version, case when c_acctbal < 0 then 'REJECTED' else 'APPROVED' end as decision, c_custkey, batch from customer, (values (0), (1)) b(batch)")
 def governance_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{work_folder(spark)}/decisions"
     found = tables.table(spark, sf_dir, "customer").select(F.concat(F.lit("v"), F.col("c_custkey") % 5).alias("model_version"), F.when(F.col("c_acctbal") < 0, "REJECTED").otherwise("APPROVED").alias("decision"), "c_custkey")
-    for _ in range(2):  # what was decided before stays
-        sinks.governance_decisions(found, path)
-    return spark.read.json(path).groupBy("model_version", "decision").agg(F.count("*").alias("records"))
+    for batch in range(2):  # what was decided before stays
+        sinks.governance_decisions(found.withColumn("batch", F.lit(batch)), path)
+    return spark.read.json(path).select("model_version", "decision", "c_custkey", "batch")
 
 
 @query("select event_id as message_id, 'queue-' || event_type as original_queue, 'x' as failure_reason, cast(user_id % 9 as int) as retry_count, props as preview, 'MessageDeadLettered' as detail_type from events")
@@ -234,11 +234,12 @@ def graph_links(spark: SparkSession, sf_dir: str) -> DataFrame:
       {', '.join(f'count(*) filter ({c} < 0.0001 or {c} > 1000000) as bad_{c}' for c in ('bid_price', 'last_price'))}, date_diff('second', cast(max(source_timestamp) as timestamp), timestamp '{AS_OF}') as age from q)
       {' union all '.join(f"select 'null_rate' as rule_type, '{c}' as \"column\", n - {c} as failed, n as total, case when (n - {c}) / n::double <= 0.05 then 'PASS' when (n - {c}) / n::double <= 0.15 then 'LOW' else 'HIGH' end as severity from n" for c in ('instrument_id', 'instrument_type'))}
       union all {' union all '.join(f"select 'range', '{c}', bad_{c}, {c}, case when bad_{c} = 0 then 'PASS' when bad_{c} < 0.01 * {c} then 'LOW' else 'HIGH' end from n" for c in ('bid_price', 'last_price'))}
-      union all select 'freshness', 'source_timestamp', case when age > 300 then n else 0 end, n, case when age >= 600 then 'HIGH' when age > 300 then 'LOW' else 'PASS' end from n"""
+      union all select 'freshness', 'source_timestamp', case when age > 300 then n else 0 end, n, case when age >= 600 then 'HIGH' when age > 300 then 'LOW' else 'PASS' end from n
+      union all select 'schema', c, case when filled = 0 then n.n else 0 end, n.n, case when filled = 0 and n.n > 0 then 'HIGH' else 'PASS' end from (unpivot (select count(columns('(.*)')) as '\\1' from q) on columns(*) into name c value filled) f, n"""
 )
 def default_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = quality.default_rules(["bid_price", "last_price"], ["instrument_id", "instrument_type"], "source_timestamp")
-    return quality.results(view(spark, sf_dir, "quotes"), rules, F.lit(AS_OF).cast("timestamp")).where("rule_type <> 'schema'")
+    return quality.results(view(spark, sf_dir, "quotes"), rules, F.lit(AS_OF).cast("timestamp"))
 
 
 @query(
