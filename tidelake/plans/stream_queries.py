@@ -123,8 +123,12 @@ def _booked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(trade_book.BOOKED).parquet(f"{folder}/out/*")
 
 
+#: As text, because a column with nulls may be read as doubles, which do not hold these numbers.
+_MONEY = ("previous_cost", "new_cost", "cash_delta", "realized_ytd")
+
+
 @query(
-    f"""select outcome, client_id, instrument_id, trade_id, side, trade_count, previous_quantity, new_quantity, previous_cost, new_cost, cash_delta, realized_ytd from (
+    f"""select outcome, client_id, instrument_id, trade_id, side, trade_count, previous_quantity, new_quantity, {', '.join(f'cast({c} as varchar) as {c}' for c in _MONEY)} from (
       select 'booked' as outcome, client_id, instrument_id, trade_id, side, k as trade_count, cast(before_q as bigint) as previous_quantity, cast(q as bigint) as new_quantity, cast(before_a as bigint) as previous_cost, cast(a as bigint) as new_cost, cast(cash - before_cash as bigint) as cash_delta, cast(realized - began as bigint) as realized_ytd
         from {fold_sql(_BOOKED, 'executed_at, trade_id, side, quantity, price', 'trade_id,')} x
       union all select outcome, client_id, instrument_id, trade_id, side, null, null, null, null, null, null, null from {_OUTCOMES} o where outcome <> 'booked') u"""
@@ -133,4 +137,4 @@ def stream_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every trade of five runs with its outcome and what it did to its position; money in whole numbers of 1e-8."""
     out = _booked(spark, sf_dir)
     whole = {c: F.col(c).cast("bigint") for c in ("previous_quantity", "new_quantity")}
-    return out.select("outcome", "client_id", "instrument_id", "trade_id", "side", "trade_count", "previous_quantity", "new_quantity", "previous_cost", "new_cost", "cash_delta", "realized_ytd").withColumns(whole | units("previous_cost", "new_cost", "cash_delta", "realized_ytd"))
+    return out.select("outcome", "client_id", "instrument_id", "trade_id", "side", "trade_count", "previous_quantity", "new_quantity", *_MONEY).withColumns(whole | {c: amount.cast("string") for c, amount in units(*_MONEY).items()})
