@@ -304,6 +304,15 @@ def test_rapid_transfers_across_the_hour(spark):
     assert [r["transfers"] for r in graph.rapid(moves, 1, 3).collect()] == [4]
 
 
+def test_unusual_velocity_at_the_limit(spark):
+    """After hours of 1, 2 and 3 trades the limit is 4, after equal ones their number; an hour at the limit is usual."""
+    hours = {"a": (1, 1, 1, 2, 3), "b": (2, 2, 2, 2), "c": (2, 2, 2, 3), "d": (1, 2, 3, 4), "e": (1, 2, 3, 5), "f": (1, 9)}
+    rows = [(client, ts("2024-01-01 00:00:00") + dt.timedelta(hours=h, minutes=k)) for client, counts in hours.items() for h, n in enumerate(counts) for k in range(n)]
+    found = graph.velocity(spark.createDataFrame(rows, "client_id string, ts timestamp"), 2.0)
+    assert {(r["client_id"], r["trades"]) for r in found.where("unusual").collect()} == {("a", 2), ("a", 3), ("c", 3), ("e", 5)}
+    assert "_sum" not in found.columns
+
+
 WASH = "client_id string, instrument_id string, side string, price double, ts timestamp, trade_id long, quantity long"
 
 
