@@ -41,6 +41,7 @@ class TradeBook(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getListState("waiting", _HELD)
         self.seen = handle.getMapState("seen", T.StructType([T.StructField("content", T.StringType())]), T.StructType([T.StructField("ms", T.LongType())]))
+        self.oldest = handle.getValueState("oldest", T.StructType([T.StructField("ms", T.LongType())]))
         money = ("quantity", "cost", "cash", "realized", "year_began")
         self.position = handle.getValueState("position", T.StructType([T.StructField("n", T.LongType()), *(T.StructField(c, _MONEY) for c in money), T.StructField("year", T.IntegerType())]))
 
@@ -54,29 +55,50 @@ class TradeBook(StatefulProcessor):
                 yield self._row(key, row, "late")
             else:
                 self.seen.updateValue(content, (row.ms,))
-                kept.append(tuple(row[f.name] for f in _HELD))
-                self.handle.registerTimer(row.ms)
-                self.handle.registerTimer(row.ms + self.dedup_ms)
+                kept.append(row)
         if kept:
-            self.waiting.appendList(kept)
+            self.waiting.appendList([tuple(row[f.name] for f in _HELD) for row in kept])
+            # One timer for the first trade to book and one for the first to forget, not one for each row: what
+            # waits is read once a batch.
+            first = min(row.ms for row in kept)
+            self.handle.registerTimer(first)
+            oldest = self.oldest.get()[0] if self.oldest.exists() else None
+            if oldest is None or first < oldest:
+                self.oldest.update((first,))
+                self.handle.registerTimer(first + self.dedup_ms)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs()
         held = [Row(**dict(zip(_HELD.names, t))) for t in self.waiting.get()] if self.waiting.exists() else []
         due = sorted((t for t in held if t.ms <= passed), key=lambda t: (t.executed_at, t.trade_id, t.side, t.quantity, t.price))
         if due:
-            rest = [tuple(t) for t in held if t.ms > passed]
+            rest = [t for t in held if t.ms > passed]
             self.waiting.clear()
             if rest:
-                self.waiting.put(rest)
+                self.waiting.put([tuple(t) for t in rest])
+                self.handle.registerTimer(min(t.ms for t in rest))
             state = tuple(self.position.get()) if self.position.exists() else portfolio.opening()
             for t in due:
                 now = portfolio.after(state, t.side, t.quantity, t.price, t.year)
                 yield self._row(key, t, "booked", portfolio.move(state, now))
                 state = now
             self.position.update(state)
-        for content in [c for c, m in self.seen.iterator() if m[0] + self.dedup_ms <= passed]:
-            self.seen.removeKey(tuple(content))
+        oldest = self.oldest.get()[0] if self.oldest.exists() else None
+        if oldest is not None and oldest + self.dedup_ms <= passed:
+            self._forget(passed)
+
+    def _forget(self, passed: int) -> None:
+        """Contents older than the span of duplicates go; the oldest of the rest has the next timer."""
+        held = [(tuple(content), m[0]) for content, m in self.seen.iterator()]
+        for content, ms in held:
+            if ms + self.dedup_ms <= passed:
+                self.seen.removeKey(content)
+        rest = [ms for _, ms in held if ms + self.dedup_ms > passed]
+        if rest:
+            self.oldest.update((min(rest),))
+            self.handle.registerTimer(min(rest) + self.dedup_ms)
+        else:
+            self.oldest.clear()
 
     def close(self) -> None:
         pass
