@@ -497,6 +497,25 @@ def test_daily_quotes_and_moves(spark):
     assert moves[0] is None and [round(m, 9) for m in moves[1:]] == [10.0, -10.0]
 
 
+def test_trades_of_one_busy_key(spark, tmp_path):
+    """Thousands of trades of one key over three runs, out of order within ten minutes, are booked as in one fold."""
+    n, span = 3_000, 1_000
+    made = F.timestamp_seconds(F.lit(1_705_312_800) + F.col("id") * 2)
+    rows = spark.range(n).select(F.lit("c").alias("client_id"), F.lit("main").alias("account_id"), F.lit("i").alias("instrument_id"), F.when(F.col("id") % 3 == 0, "SELL").otherwise("BUY").alias("side"), (F.col("id") % 7 + 1).cast("decimal(28,8)").alias("quantity"), (F.col("id") % 11 + 100).cast("decimal(28,8)").alias("price"), made.alias("executed_at"), F.col("id").alias("trade_id"))
+    # Every tenth trade of a run comes with the next one, if it is not too old for that.
+    run = F.floor(F.col("trade_id") / span) + F.when((F.col("trade_id") % 10 == 0) & (F.col("trade_id") % span > 800), 1).otherwise(0)
+    last = rows.limit(1).withColumns({"client_id": F.lit("end"), "executed_at": F.lit("2025-01-01").cast("timestamp")})
+    for k in range(4):
+        (rows.where(run == k) if k < 3 else rows.where(run == k).unionByName(last)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        booked = trade_book.book(streams.parquet_stream(spark, str(tmp_path / "in"), rows.schema), "10 minutes")
+        streams.start(booked, streams.batch_folder(str(tmp_path / "out")), str(tmp_path / "cp"), stateful=True).awaitTermination()
+    out = spark.read.schema(trade_book.BOOKED).parquet(str(tmp_path / "out" / "*")).where("client_id = 'c'")
+    columns = ["trade_id", "trade_count", "new_quantity", "new_cost", "cash", "realized"]
+    expected = portfolio.position_updates(rows, ["trade_id"]).select(*columns)
+    assert out.where("outcome = 'booked'").select(*columns).exceptAll(expected).count() == 0
+    assert out.count() == expected.count() == n
+
+
 def test_trades_wait_for_their_order(spark, tmp_path):
     """Runs with trades out of order, twice, too late and bad: nothing is lost, and contents are forgotten in time."""
     schema = "client_id string, account_id string, instrument_id string, side string, quantity decimal(18,8), price decimal(18,8), executed_at timestamp, trade_id long"
