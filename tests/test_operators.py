@@ -356,6 +356,16 @@ def test_wash_trades_compared_and_counted_agree(spark):
     assert graph.wash_matches(df.limit(0), days=3).count() == 0
 
 
+def test_wash_trades_that_repeat_are_one_class(spark, monkeypatch):
+    """Sixty copies of each trade are compared once, with their number, and no sweep is made for them."""
+    monkeypatch.setattr(graph, "_counted", lambda *a: pytest.fail("copies were counted one by one"))
+    copies = spark.range(60)
+    rows = [("a", "i", "BUY", 10.0, ts("2024-01-15 10:00:00"), 0, 5), ("b", "i", "SELL", 10.005, ts("2024-01-15 11:00:00"), 100, 7)]
+    df = spark.createDataFrame(rows, WASH).crossJoin(copies).withColumn("trade_id", F.col("trade_id") + F.col("id")).drop("id")
+    found = sorted((r["trade_id"], r["side"], r["matches"], int(r["quantity"])) for r in graph.wash_matches(df).collect())
+    assert found == [(k, "BUY", 60, 420) for k in range(60)] + [(100 + k, "SELL", 60, 300) for k in range(60)]
+
+
 def test_cycles_of_random_graphs(spark):
     rng = random.Random(4)
     for size, links in ((6, 18), (12, 40), (40, 90)):
