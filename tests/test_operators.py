@@ -686,3 +686,10 @@ def test_drift_is_found_and_missing_values_are_a_bin(spark):
     new = governance.sketch(spark.range(1, 1001).selectExpr("case when id % 4 > 0 then cast(id * 2 as double) end as x"), ["x"])
     out = governance.sketch_drift(old, new)
     assert out.first()["psi"] > 0.25 and out.where("bin is null").first()["current_share"] == 0.25
+
+
+def test_daily_volume_report_reaches_back_to_its_first_day(spark):
+    from tidelake.plans.queries import QUERIES
+
+    first = QUERIES["report_daily_volume"](spark, "/root/testdata/sf0.001").agg(F.min("trade_date")).first()[0]
+    assert "1998-01-01" <= first <= "1998-01-31"

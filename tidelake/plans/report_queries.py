@@ -14,14 +14,16 @@ from tidelake.sources import tables
 
 #: Day that stands for today.
 _LAST_DAY = "2000-12-01"
+#: First day of the report of volumes, and the days from there.
+_FIRST_DAY, _VOLUME_DAYS = "1998-01-01", 1_065
 
 
 @query(
     f"""select instrument_id, instrument_type as instrument_name, trade_date, cast(sum(volume) as bigint) as total_volume, cast(sum(last_price * volume) as double) as total_turnover, count(*) as total_trades, cast(max(last_price) as double) as daily_high,
-      cast(min(last_price) as double) as daily_low, cast(sum(last_price * volume) as double) / cast(sum(volume) as double) as median_vwap from {_DEDUP_TICKS} d where trade_date >= date '2000-11-01' group by instrument_id, instrument_type, trade_date""", dates=("trade_date",))
+      cast(min(last_price) as double) as daily_low, cast(sum(last_price * volume) as double) / cast(sum(volume) as double) as median_vwap from {_DEDUP_TICKS} d where trade_date >= date '{_FIRST_DAY}' group by instrument_id, instrument_type, trade_date""", dates=("trade_date",))
 def report_daily_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = _daily(spark, sf_dir).withColumnRenamed("instrument_type", "instrument_name")
-    return _doubles(reports.daily_volume(daily, _LAST_DAY), "total_turnover", "daily_high", "daily_low")
+    return _doubles(reports.daily_volume(daily, _LAST_DAY, _VOLUME_DAYS), "total_turnover", "daily_high", "daily_low")
 
 
 def _client_days(spark: SparkSession, sf_dir: str) -> DataFrame:
