@@ -693,3 +693,26 @@ def test_daily_volume_report_reaches_back_to_its_first_day(spark):
 
     first = QUERIES["report_daily_volume"](spark, "/root/testdata/sf0.001").agg(F.min("trade_date")).first()[0]
     assert "1998-01-01" <= first <= "1998-01-31"
+
+
+def test_positions_in_whole_numbers_agree_with_decimals():
+    rng, unit = random.Random(3), Decimal("1e-8")
+    exact, whole = portfolio.opening(), (0, 0, 0, 0, 0, 0, None)
+    for k in range(2_000):
+        side, q, p, year = rng.choice(("BUY", "SELL")), rng.randrange(1, 10**11), rng.randrange(1, 10**11), 2000 + k // 300
+        exact, whole = portfolio.after(exact, side, q * unit, p * unit, year), portfolio.after_units(whole, side, q, p, year)
+        assert [int(x / unit) for x in exact[1:6]] == list(whole[1:6])
+
+
+def test_positions_beyond_long(spark):
+    """Amounts over 64 bits, negative ones and keys with a null."""
+    rows = [("a", None, "i", "BUY", Decimal("3000000"), Decimal("90000.5"), ts("2024-01-01 00:00:00"), 1), ("a", None, "i", "SELL", Decimal("1"), Decimal("1"), ts("2024-01-02 00:00:00"), 2), ("b", "m", "i", "SELL", Decimal("2"), Decimal("0.00000003"), ts("2024-01-02 00:00:00"), 3)]
+    df = spark.createDataFrame(rows, "client_id string, account_id string, instrument_id string, side string, quantity decimal(28,8), price decimal(28,8), executed_at timestamp, k long")
+    found = {r["client_id"]: r for r in portfolio.positions(df, ["k"]).collect()}
+    assert (found["a"]["quantity"], found["a"]["average_cost"], found["a"]["cash"], found["a"]["realized"]) == (Decimal(2999999), Decimal("90000.5"), Decimal("-270001499999"), Decimal("-89999.5"))
+    assert (found["b"]["quantity"], found["b"]["cash"]) == (Decimal(-2), Decimal("6e-8"))
+
+
+def test_folds_are_dealt_to_many_tasks(spark):
+    rows = spark.range(100).select(F.col("id").cast("string").alias("client_id"), F.lit("m").alias("account_id"), F.lit("i").alias("instrument_id"), F.lit("BUY").alias("side"), F.lit(1).alias("quantity"), F.lit(2).alias("price"), F.current_timestamp().alias("executed_at"), "id")
+    assert portfolio.position_updates(rows, ["id"]).rdd.getNumPartitions() >= 192
