@@ -96,6 +96,14 @@ def test_near_copies_of_long_texts_are_all_found(spark):
     assert [found.get(k, k) for k in range(len(values))] == want
 
 
+def test_common_shingles_are_counted_over_all_texts(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(30_000).select(F.concat(F.lit("all texts begin so "), F.col("id").cast("string")).alias("text"))
+    hashes, counts = simhash.common_shingles(docs, 4)
+    assert counts.tolist() == [30_000] and len(hashes) == 1
+
+
 def test_sketches_are_prefixes_long_enough():
     n, common = np.array([0, 1, 5, 50, 5_000, 5_000, 5_000]), np.array([0, 0, 0, 0, 0, 3_000, 4_900])
     sizes = simhash.sketch_sizes(n, common, 0.8)

@@ -257,19 +257,18 @@ def _distinct(counts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.nd
     return of[new], hashes[new]
 
 
-def common_shingles(docs: DataFrame, size: int, rows: int = 20_000, least: int = 3, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several texts of a sample have, sorted, and in how many they are.
+def common_shingles(docs: DataFrame, size: int, share: float = 1.5e-4, least: int = 3, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a ``share`` of all texts have, and ``least`` texts at least, sorted, and in how many they are.
 
-    They only order the shingles for ``sketches``: what is missing here costs time, not results."""
-    n = docs.count()
-    some = docs.select("text").sample(min(1.0, rows / max(n, 1)), seed=SEED)
+    Every text is counted.  Shingles only order ``sketches``: ``most`` of them, those of most texts, are held by each task."""
+    needed = max(float(least), share * docs.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for counts, _, hashes, _ in _shingles(batch.column(0), size):
                 yield pa.RecordBatch.from_arrays([pa.array(_distinct(counts, hashes)[1].view(np.int64))], names=["h"])
 
-    found = some.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= least).orderBy(F.desc("count"), "h").limit(most).toArrow()
+    found = docs.select("text").mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= needed).orderBy(F.desc("count"), "h").limit(most).toArrow()
     hashes = found.column("h").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], found.column("count").to_numpy()[order]
