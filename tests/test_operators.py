@@ -178,6 +178,29 @@ def test_connected_flagged_takes_the_fewest_hops(spark):
     assert [tuple(r) for r in out.collect()] == [(1, 4, 2)]
 
 
+def test_connected_flagged_writes_no_row_for_each_start_and_vertex(spark, monkeypatch):
+    """600 clients that meet at one hub, and one more behind a chain: more than one block of starts, few rows a step."""
+    written = []
+
+    def counted(write):
+        def run(df):
+            out = write(df)
+            written.append(out.count())
+            return out
+
+        return run
+
+    for name in ("cut", "stored"):
+        monkeypatch.setattr(graph, name, counted(getattr(graph, name)))
+    links = spark.createDataFrame([(k, -1) for k in range(600)] + [(-1, -2), (-2, -3), (-3, 1000), (-3, 2000), (2000, 2000)], "src long, dst long")
+    ids = spark.createDataFrame([(k,) for k in [*range(600), 1000, 2000, 5000]], "id long")
+    out = graph.connected_flagged(links, ids, ids, 4)
+    found = {(r["near"], r["hops"]): r["n"] for r in out.groupBy((F.greatest("id", "flagged") < 600).alias("near"), "hops").agg(F.count("*").alias("n")).collect()}
+    assert found == {(True, 2): 600 * 599, (False, 2): 2, (False, 4): 2 * 2 * 600}
+    assert out.where("id = flagged").isEmpty() and out.distinct().count() == sum(found.values())
+    assert max(written) < 5_000
+
+
 def test_brackets_leave_gaps(spark):
     out = spark.createDataFrame([(50000.0,), (50000.5,), (300000.0,)], "v double").select(bucket(F.col("v"), schemas.INCOME_GROUPS).alias("b")).collect()
     assert [r["b"] for r in out] == ["low", None, "very_high"]
