@@ -104,6 +104,21 @@ def test_common_shingles_are_counted_over_all_texts(spark):
     assert counts.tolist() == [30_000] and len(hashes) == 1
 
 
+def test_counting_common_shingles_shuffles_arrays_and_no_shingles(spark, monkeypatch):
+    """2,000 texts of 60 words: 112,000 shingles, of which one is in all texts; a task hands its counts on in parts."""
+    from pyspark.sql import functions as F
+
+    frame, shuffled = type(spark.range(0)), []
+    plain = frame.toArrow
+    monkeypatch.setattr(frame, "toArrow", lambda df: shuffled.append(df._jdf.queryExecution().optimizedPlan().toString()) or plain(df))
+    monkeypatch.setattr(simhash, "MOST_TEXTS", 700)
+    words = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(60)), lambda k: F.concat(F.col("id"), F.lit("x"), k)))
+    docs = spark.range(2_000).select(F.concat(F.lit("all texts begin like this "), words).alias("text")).repartition(3)
+    cells, counts = simhash.common_shingles(docs, 5)
+    assert counts[counts > 3].tolist() == [2_000] and len(cells) < 20
+    assert "Aggregate" not in shuffled[0] and "RepartitionByExpression [part" in shuffled[0]
+
+
 def test_sketches_are_prefixes_long_enough():
     n, common = np.array([0, 1, 5, 50, 5_000, 5_000, 5_000]), np.array([0, 0, 0, 0, 0, 3_000, 4_900])
     sizes = simhash.sketch_sizes(n, common, 0.8)

@@ -257,21 +257,58 @@ def _distinct(counts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.nd
     return of[new], hashes[new]
 
 
+#: Cells that shingles are counted in, by the last bits of their hashes, and how many of them are a row.
+CELLS, CELLS_A_ROW = 1 << 23, 1 << 9
+#: Texts after which a task's counts are handed on: none is above what two bytes hold.
+MOST_TEXTS = (1 << 16) - 1
+
+
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(CELLS - 1)).astype(np.int64)
+
+
 def common_shingles(docs: DataFrame, size: int, share: float = 1.5e-4, least: int = 3, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a ``share`` of all texts have, and ``least`` texts at least, sorted, and in how many they are.
+    """Cells whose shingles a ``share`` of all texts have, and ``least`` texts at least, sorted, and in how many they are.
 
-    Every text is counted.  Shingles only order ``sketches``: ``most`` of them, those of most texts, are held by each task."""
+    Every shingle of every text is counted, in its cell; so a cell's count is that of its shingle, or more if rare ones
+    fall there too.  A task counts its texts in one array and only arrays are shuffled, not shingles.  Counts only order
+    ``sketches``: ``most`` cells, those of most texts, are held by each task."""
     needed = max(float(least), share * docs.count())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def rows(table: np.ndarray) -> pa.RecordBatch:
+        used = np.flatnonzero(table.reshape(-1, CELLS_A_ROW).any(axis=1))
+        width = 2 * CELLS_A_ROW
+        offsets = pa.py_buffer(np.arange(0, (len(used) + 1) * width, width, dtype=np.int32))
+        counts = pa.Array.from_buffers(pa.binary(), len(used), [None, offsets, pa.py_buffer(table.reshape(-1, CELLS_A_ROW)[used])])
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), counts], names=["part", "counts"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, texts = np.zeros(CELLS, np.uint16), 0
+        for batch in (whole.slice(k, 500) for whole in batches for k in range(0, whole.num_rows, 500)):
+            if texts + batch.num_rows > MOST_TEXTS:
+                yield rows(table)
+                table[:], texts = 0, 0
+            texts += batch.num_rows
             for counts, _, hashes, _ in _shingles(batch.column(0), size):
-                yield pa.RecordBatch.from_arrays([pa.array(_distinct(counts, hashes)[1].view(np.int64))], names=["h"])
+                np.add.at(table, _cells(_distinct(counts, hashes)[1]), np.uint16(1))
+        yield rows(table)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((CELLS // CELLS_A_ROW, CELLS_A_ROW), np.int64)  # memory is taken where a part comes
+        seen = np.zeros(len(sums), bool)
+        for batch in batches:
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums[part] += np.frombuffer(counts.as_buffer(), np.uint16)
+                seen[part] = True
+        for part in np.flatnonzero(seen).tolist():
+            often = np.flatnonzero(sums[part] >= needed)
+            yield pa.RecordBatch.from_arrays([pa.array(part * CELLS_A_ROW + often, pa.int64()), pa.array(sums[part][often])], names=["cell", "n"])
 
-    found = docs.select("text").mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= needed).orderBy(F.desc("count"), "h").limit(most).toArrow()
-    hashes = found.column("h").to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], found.column("count").to_numpy()[order]
+    counted = docs.select("text").mapInArrow(count, "part long, counts binary").repartition("part").mapInArrow(add, "cell long, n long")
+    found = counted.orderBy(F.desc("n"), "cell").limit(most).toArrow()
+    cells = found.column("cell").to_numpy().astype(np.int64)
+    order = np.argsort(cells)
+    return cells[order], found.column("n").to_numpy()[order]
 
 
 def sketch_sizes(n: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
@@ -298,8 +335,9 @@ def _sketches(counts: np.ndarray, hashes: np.ndarray, least: float, common: tupl
     known, often = common
     rank = np.zeros(len(hashes), np.int64)
     if len(known):
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        rank = np.where(known[at] == hashes, often[at], 0)
+        cells = _cells(hashes)
+        at = np.minimum(np.searchsorted(known, cells), len(known) - 1)
+        rank = np.where(known[at] == cells, often[at], 0)
     mixed = W.mix(hashes ^ np.uint64(0x5E7))
     sets, flips = np.zeros(len(counts), np.uint64), np.zeros(len(counts), np.uint64)
     np.add.at(sets, of, mixed)
