@@ -201,6 +201,21 @@ def test_connected_flagged_writes_no_row_for_each_start_and_vertex(spark, monkey
     assert max(written) < 5_000
 
 
+@pytest.mark.parametrize("spread", [False, True])
+def test_risk_reads_its_positions_once_and_adds_up_the_market(spark, tmp_path, spread):
+    rows = [("a", "x", "g", "2024-01-02", f"i{k}", 10.0, 1, r) for k, r in enumerate((0.1, -0.3, 0.25))]
+    rows += [("b", "y", "g", "2024-01-02", "i", 10.0, 2, 0.7), ("a", "x", "g", "2024-01-03", "i", 10.0, 1, 0.1), ("b", "x", "g", "2024-01-03", "i", 10.0, 1, 0.1), ("a", "x", "g", "2024-01-04", "i", 10.0, 1, 0.2)]
+    schema = "client_id string, sector string, geography string, trade_date string, instrument_id string, last_price double, volume long, position_return double"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "positions"))
+    out = gold.risk_exposure(spark.read.parquet(str(tmp_path / "positions")), spread=spread, once=True)
+    assert out.inputFiles() and not [f for f in out.inputFiles() if "/positions/" in f]
+    found = {(r["client_id"], r["trade_date"]): (r["market_avg_return"], r["market_variance"], r["beta"]) for r in out.collect()}
+    mean = 0.75 / 4
+    variance = sum((x - mean) ** 2 for x in (0.1, -0.3, 0.25, 0.7)) / 3
+    assert found["a", "2024-01-02"] == pytest.approx((mean, variance, 0.05 / 3 / mean)) and found["b", "2024-01-02"] == pytest.approx((mean, variance, 0.7 / mean))
+    assert found["a", "2024-01-03"][1:] == (0.0, 1.0) and found["a", "2024-01-04"][1:] == (None, 1.0)
+
+
 def test_brackets_leave_gaps(spark):
     out = spark.createDataFrame([(50000.0,), (50000.5,), (300000.0,)], "v double").select(bucket(F.col("v"), schemas.INCOME_GROUPS).alias("b")).collect()
     assert [r["b"] for r in out] == ["low", None, "very_high"]
