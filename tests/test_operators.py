@@ -7,7 +7,7 @@ from decimal import Decimal
 
 import numpy as np
 import pytest
-from pyspark.sql import Window
+from pyspark.sql import Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -564,6 +564,47 @@ def test_trades_of_one_busy_key(spark, tmp_path):
     assert out.count() == expected.count() == n
 
 
+def test_many_keys_of_a_batch_take_few_calls_to_the_state():
+    """800 trades of 400 keys, newest first: fewer calls to the state store than keys, and booked in order of time."""
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.rows = []
+
+        exists = lambda self: bool(self.rows)
+        get = lambda self: calls.append("get") or list(self.rows)
+        put = lambda self, rows: calls.append("put") or setattr(self, "rows", list(rows))
+        clear = lambda self: self.put([])
+        appendList = lambda self, rows: self.put([*self.rows, *rows])
+
+    class Value(State):
+        get = lambda self: calls.append("get") or self.rows[0]
+        update = lambda self, row: self.put([row])
+
+    class Handle:
+        timers = []
+        getListState = lambda self, *_: State()
+        getValueState = lambda self, *_: Value()
+        registerTimer = lambda self, ms: self.timers.append(ms)
+
+    class Clock:
+        now = 0
+        getCurrentWatermarkInMs = lambda self: self.now
+
+    book, clock = trade_book.TradeBook(60_000), Clock()
+    book.init(Handle())
+    names = ["client_id", "account_id", "instrument_id", "trade_id", "executed_at", "side", "quantity", "price", "ms", "year"]
+    trade = lambda k, n, ms: Row(**dict(zip(names, (f"c{k}", "main", "i", n, ms * 1000, "BUY", Decimal(n), Decimal(1), ms, 1970))))
+    rows = [trade(k, n, ms) for n, ms in ((1, 2000), (2, 1000)) for k in range(400)]
+    assert list(book.handleInputRows((0,), iter(rows), clock)) == []
+    assert {r.outcome for r in book.handleInputRows((0,), iter(rows), clock)} == {"duplicate"}
+    clock.now = 5000
+    booked = [r for _ in Handle.timers for r in book.handleExpiredTimer((0,), clock, None)]
+    assert len(booked) == 800 and len(calls) < 40
+    assert {(r.trade_id, r.trade_count, r.new_quantity) for r in booked} == {(2, 1, 2), (1, 2, 3)}
+
+
 def test_trades_wait_for_their_order(spark, tmp_path):
     """Runs with trades out of order, twice, too late and bad: nothing is lost, and contents are forgotten in time."""
     schema = "client_id string, account_id string, instrument_id string, side string, quantity decimal(18,8), price decimal(18,8), executed_at timestamp, trade_id long"

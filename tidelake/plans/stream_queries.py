@@ -114,7 +114,8 @@ def _booked(spark: SparkSession, sf_dir: str) -> DataFrame:
             if run == 4:  # a trade of another market far ahead: the day's end
                 closing = rows.limit(1).withColumns({"client_id": F.lit("closing"), "side": F.lit("BUY"), "quantity": F.lit(1).cast("decimal(18,0)"), "executed_at": F.lit("2100-01-01").cast("timestamp")})
                 rows = rows.unionByName(closing)
-            rows.write.mode("append").parquet(f"{folder}/in")
+            # Files by size, not one for each task.
+            rows.hint("rebalance").write.mode("append").parquet(f"{folder}/in")
             raw = streams.parquet_stream(spark, f"{folder}/in", schema)
             booked = trade_book.book(raw, f"{_DISORDER} days", dedup_minutes=60 * 24 * 365 * 20)
             streams.start(booked, streams.batch_folder(f"{folder}/out"), f"{folder}/checkpoint", stateful=True).awaitTermination()

@@ -1,4 +1,4 @@
-"""Trades booked in order: a stateful stream per client, account and instrument."""
+"""Trades booked in order: a stateful stream over buckets of clients, accounts and instruments."""
 
 from __future__ import annotations
 
@@ -13,99 +13,109 @@ from tidelake import schemas
 from tidelake.operators import portfolio
 
 _MONEY = portfolio.MONEY
+_KEY = [T.StructField(c, T.StringType()) for c in portfolio.KEYS]
 _TRADE = [T.StructField("trade_id", T.LongType()), T.StructField("executed_at", T.TimestampType()), T.StructField("side", T.StringType()), T.StructField("quantity", _MONEY), T.StructField("price", _MONEY)]
-#: A trade as it waits, with its time in milliseconds and its year by the session's time zone.
-_HELD = T.StructType([*_TRADE, T.StructField("ms", T.LongType()), T.StructField("year", T.IntegerType())])
+#: A trade in a processor: its time in microseconds and milliseconds, and its year by the session's time zone.
+_HELD = T.StructType([*_KEY, *(T.StructField(f.name, T.LongType()) if f.name == "executed_at" else f for f in _TRADE), T.StructField("ms", T.LongType()), T.StructField("year", T.IntegerType())])
 #: One row for each trade that came: its outcome and, if booked, what it did to the position.
-BOOKED = T.StructType(
-    [
-        *(T.StructField(c, T.StringType()) for c in portfolio.KEYS),
-        *_TRADE,
-        T.StructField("outcome", T.StringType()),
-        *portfolio.MOVE.fields,
-    ]
-)
+BOOKED = T.StructType([*_KEY, *_TRADE, T.StructField("outcome", T.StringType()), *portfolio.MOVE.fields])
+_OUT = T.StructType([*_HELD.fields[: len(_KEY) + len(_TRADE)], T.StructField("outcome", T.StringType()), *portfolio.MOVE.fields])
+#: Buckets that keys are dealt into; a checkpoint keeps the number it began with.
+BUCKETS = 1024
 
 
 class TradeBook(StatefulProcessor):
     """Holds trades back until the watermark has passed them, then books them in order of time and id.
 
-    State of a key: the trades that wait (a list, as long as disorder goes), the contents
-    seen (a map, emptied ``dedup_ms`` behind the watermark) and the position.  A trade that
-    was seen is a duplicate; one behind the watermark came too late to be put in order."""
+    Works on a bucket of keys, whose state is read and written as lists: a call to the state store takes longer than
+    the work on a trade, so there are a few for each bucket and batch, whatever it holds.  State: the trades that
+    wait (as long as disorder goes), the contents seen (emptied ``dedup_ms`` behind the watermark), the positions, and
+    when the first trade is to book and the first content to forget.  A trade that was seen is a duplicate; one behind
+    the watermark came too late to be put in order."""
 
     def __init__(self, dedup_ms: int) -> None:
         self.dedup_ms = dedup_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", _HELD)
-        self.seen = handle.getMapState("seen", T.StructType([T.StructField("content", T.StringType())]), T.StructType([T.StructField("ms", T.LongType())]))
-        self.oldest = handle.getValueState("oldest", T.StructType([T.StructField("ms", T.LongType())]))
         money = ("quantity", "cost", "cash", "realized", "year_began")
-        self.position = handle.getValueState("position", T.StructType([T.StructField("n", T.LongType()), *(T.StructField(c, _MONEY) for c in money), T.StructField("year", T.IntegerType())]))
+        self.waiting = handle.getListState("waiting", _HELD)
+        self.seen = handle.getListState("seen", T.StructType([*_KEY, T.StructField("content", T.StringType()), T.StructField("ms", T.LongType())]))
+        self.positions = handle.getListState("positions", T.StructType([*_KEY, T.StructField("n", T.LongType()), *(T.StructField(c, _MONEY) for c in money), T.StructField("year", T.IntegerType())]))
+        self.next = handle.getValueState("next", T.StructType([T.StructField("due", T.LongType()), T.StructField("oldest", T.LongType())]))
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        passed, kept = timerValues.getCurrentWatermarkInMs(), []
+        passed, kept, new = timerValues.getCurrentWatermarkInMs(), [], []
+        known = set(_all(self.seen))
         for row in rows:
-            content = (f"{row.trade_id}|{row.ms}|{row.side}|{row.quantity}|{row.price}",)
-            if self.seen.containsKey(content):
-                yield self._row(key, row, "duplicate")
+            content = (row.client_id, row.account_id, row.instrument_id, f"{row.trade_id}|{row.ms}|{row.side}|{row.quantity}|{row.price}", row.ms)
+            if content in known:
+                yield self._row(row, "duplicate")
             elif row.ms <= passed:
-                yield self._row(key, row, "late")
+                yield self._row(row, "late")
             else:
-                self.seen.updateValue(content, (row.ms,))
-                kept.append(row)
+                known.add(content)
+                new.append(content)
+                kept.append(tuple(row[f.name] for f in _HELD))
         if kept:
-            self.waiting.appendList([tuple(row[f.name] for f in _HELD) for row in kept])
-            # One timer for the first trade to book and one for the first to forget, not one for each row: what
-            # waits is read once a batch.
-            first = min(row.ms for row in kept)
-            self.handle.registerTimer(first)
-            oldest = self.oldest.get()[0] if self.oldest.exists() else None
+            self.waiting.appendList(kept)
+            self.seen.appendList(new)
+            # One timer for the first trade to book and one for the first to forget, not one for each row.
+            first, (due, oldest) = min(content[-1] for content in new), self._next()
+            if due is None or first < due:
+                due = first
+                self.handle.registerTimer(due)
             if oldest is None or first < oldest:
-                self.oldest.update((first,))
-                self.handle.registerTimer(first + self.dedup_ms)
+                oldest = first
+                self.handle.registerTimer(oldest + self.dedup_ms)
+            self.next.update((due, oldest))
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        held = [Row(**dict(zip(_HELD.names, t))) for t in self.waiting.get()] if self.waiting.exists() else []
-        due = sorted((t for t in held if t.ms <= passed), key=lambda t: (t.executed_at, t.trade_id, t.side, t.quantity, t.price))
-        if due:
+        passed, (due, oldest) = timerValues.getCurrentWatermarkInMs(), self._next()
+        books, forgets = due is not None and due <= passed, oldest is not None and oldest + self.dedup_ms <= passed
+        if books:
+            held = [Row(**dict(zip(_HELD.names, t))) for t in _all(self.waiting)]
             rest = [t for t in held if t.ms > passed]
-            self.waiting.clear()
-            if rest:
-                self.waiting.put([tuple(t) for t in rest])
-                self.handle.registerTimer(min(t.ms for t in rest))
-            state = tuple(self.position.get()) if self.position.exists() else portfolio.opening()
-            for t in due:
-                now = portfolio.after(state, t.side, t.quantity, t.price, t.year)
-                yield self._row(key, t, "booked", portfolio.move(state, now))
-                state = now
-            self.position.update(state)
-        oldest = self.oldest.get()[0] if self.oldest.exists() else None
-        if oldest is not None and oldest + self.dedup_ms <= passed:
-            self._forget(passed)
-
-    def _forget(self, passed: int) -> None:
-        """Contents older than the span of duplicates go; the oldest of the rest has the next timer."""
-        held = [(tuple(content), m[0]) for content, m in self.seen.iterator()]
-        for content, ms in held:
-            if ms + self.dedup_ms <= passed:
-                self.seen.removeKey(content)
-        rest = [ms for _, ms in held if ms + self.dedup_ms > passed]
-        if rest:
-            self.oldest.update((min(rest),))
-            self.handle.registerTimer(min(rest) + self.dedup_ms)
+            self._put(self.waiting, [tuple(t) for t in rest])
+            states = {row[: len(_KEY)]: row[len(_KEY) :] for row in _all(self.positions)}
+            for t in sorted((t for t in held if t.ms <= passed), key=lambda t: (t.executed_at, t.trade_id, t.side, t.quantity, t.price)):
+                own = (t.client_id, t.account_id, t.instrument_id)
+                state = states.get(own) or portfolio.opening()
+                states[own] = now = portfolio.after(state, t.side, t.quantity, t.price, t.year)
+                yield self._row(t, "booked", portfolio.move(state, now))
+            self._put(self.positions, [(*own, *state) for own, state in states.items()])
+            due = min((t.ms for t in rest), default=None)
+            if due is not None:
+                self.handle.registerTimer(due)
+        if forgets:
+            rest = [content for content in _all(self.seen) if content[-1] + self.dedup_ms > passed]
+            self._put(self.seen, rest)
+            oldest = min((content[-1] for content in rest), default=None)
+            if oldest is not None:
+                self.handle.registerTimer(oldest + self.dedup_ms)
+        if books or forgets:
+            self.next.update((due, oldest))
+
+    def _next(self) -> tuple:
+        return tuple(self.next.get()) if self.next.exists() else (None, None)
+
+    @staticmethod
+    def _put(state, rows: list[tuple]) -> None:
+        if rows:
+            state.put(rows)
         else:
-            self.oldest.clear()
+            state.clear()
 
     def close(self) -> None:
         pass
 
     @staticmethod
-    def _row(key: tuple, trade: Row, outcome: str, moved: tuple = (None,) * len(portfolio.MOVE)) -> Row:
-        return Row(**dict(zip(BOOKED.names, (*key, *(trade[f.name] for f in _TRADE), outcome, *moved))))
+    def _row(trade: Row, outcome: str, moved: tuple = (None,) * len(portfolio.MOVE)) -> Row:
+        return Row(**dict(zip(_OUT.names, (*(trade[f.name] for f in (*_KEY, *_TRADE)), outcome, *moved))))
+
+
+def _all(state) -> Iterator[tuple]:
+    return (tuple(row) for row in state.get()) if state.exists() else iter(())
 
 
 def split_trades(trades: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -117,19 +127,22 @@ def split_trades(trades: DataFrame) -> tuple[DataFrame, DataFrame]:
     return trades.where(whole), trades.where(~whole)
 
 
-def book(trades: DataFrame, disorder: str = "10 minutes", dedup_minutes: int = 5) -> DataFrame:
+def book(trades: DataFrame, disorder: str = "10 minutes", dedup_minutes: int = 5, buckets: int = BUCKETS) -> DataFrame:
     """``BOOKED`` rows of a stream of trades, one for each that comes: booked, duplicate, late or invalid.
 
     Trades wait until the newest one is ``disorder`` ahead of them; all that came by then are
     booked in order.  None is lost: what cannot be booked comes out with its outcome.  Runs in
-    append mode on the RocksDB state store (``streams.start`` with ``stateful=True``)."""
+    append mode on the RocksDB state store (``streams.start`` with ``stateful=True``).  A task holds the state of
+    one of ``buckets`` at a time."""
     exact = trades.select(*portfolio.KEYS, *(F.col(f.name).cast(f.dataType) for f in _TRADE))
     good, bad = split_trades(exact)
     # The clock drives the watermark and goes, so that late rows are not dropped but come to the processor.
     clocked = good.withColumn("_clock", F.col("executed_at")).withWatermark("_clock", disorder)
-    at = F.timestamp_micros(F.unix_micros("executed_at"))
-    plain = clocked.withColumns({"executed_at": at, "ms": F.unix_millis(at), "year": F.year(at)}).drop("_clock")
-    booked = plain.groupBy(*portfolio.KEYS).transformWithState(TradeBook(dedup_minutes * 60_000), BOOKED, "Append", "EventTime")
+    micros = F.unix_micros("executed_at")
+    at = F.timestamp_micros(micros)
+    plain = clocked.withColumns({"executed_at": micros, "ms": F.unix_millis(at), "year": F.year(at), "bucket": F.pmod(F.xxhash64(*portfolio.KEYS), F.lit(buckets))}).drop("_clock")
+    booked = plain.groupBy("bucket").transformWithState(TradeBook(dedup_minutes * 60_000), _OUT, "Append", "EventTime")
+    booked = booked.withColumn("executed_at", F.timestamp_micros("executed_at"))
     none = {f.name: F.lit(None).cast(f.dataType) for f in BOOKED if f.name not in bad.columns and f.name != "outcome"}
     invalid = bad.withColumns({"outcome": F.lit("invalid"), **none}).select(*BOOKED.names)
     return booked.unionByName(invalid)
