@@ -119,6 +119,20 @@ def test_counting_common_shingles_shuffles_arrays_and_no_shingles(spark, monkeyp
     assert "Aggregate" not in shuffled[0] and "RepartitionByExpression [part" in shuffled[0]
 
 
+def test_near_dedup_hands_its_counts_on_in_small_batches(spark, monkeypatch):
+    """Counts of 8 million cells are 16 MB: none is handed on as one batch, and no count is lost."""
+    import pyarrow as pa
+
+    frame, run = type(spark.range(0)), []
+    plain = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda df, f, schema, **kw: run.append(f) or plain(df, f, schema, **kw))
+    text = [" ".join(f"{k}x{j}" for j in range(60)) for k in range(1_200)]
+    simhash.common_shingles(spark.createDataFrame([(t,) for t in text[:3]], "text string"), 5)
+    batches = list(run[0](iter([pa.record_batch({"text": text})])))
+    assert max(b.nbytes for b in batches) < 2 << 20
+    assert sum(int(np.frombuffer(c.as_buffer(), np.uint16).sum()) for b in batches for c in b.column(1)) == 1_200 * 56
+
+
 def test_sketches_are_prefixes_long_enough():
     n, common = np.array([0, 1, 5, 50, 5_000, 5_000, 5_000]), np.array([0, 0, 0, 0, 0, 3_000, 4_900])
     sizes = simhash.sketch_sizes(n, common, 0.8)

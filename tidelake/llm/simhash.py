@@ -77,6 +77,11 @@ def _shingles(column: pa.Array, size: int) -> Iterator[tuple[np.ndarray, np.ndar
         yield shingles, base, hashes, fps
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of few texts."""
+    return (whole.slice(k, TEXTS_A_BATCH) for whole in batches for k in range(0, whole.num_rows, TEXTS_A_BATCH))
+
+
 def _fingerprints(column: pa.Array, size: int) -> np.ndarray:
     return np.concatenate([np.empty(0, np.uint64), *(fps for *_, fps in _shingles(column, size))])
 
@@ -259,6 +264,8 @@ def _distinct(counts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.nd
 
 #: Cells that shingles are counted in, by the last bits of their hashes, and how many of them are a row.
 CELLS, CELLS_A_ROW = 1 << 23, 1 << 9
+#: Rows of counts that a task hands on at once (1 MB), and texts that one works on at once.
+ROWS_A_BATCH, TEXTS_A_BATCH = 1 << 10, 500
 #: Texts after which a task's counts are handed on: none is above what two bytes hold.
 MOST_TEXTS = (1 << 16) - 1
 
@@ -275,23 +282,24 @@ def common_shingles(docs: DataFrame, size: int, share: float = 1.5e-4, least: in
     ``sketches``: ``most`` cells, those of most texts, are held by each task."""
     needed = max(float(least), share * docs.count())
 
-    def rows(table: np.ndarray) -> pa.RecordBatch:
-        used = np.flatnonzero(table.reshape(-1, CELLS_A_ROW).any(axis=1))
-        width = 2 * CELLS_A_ROW
-        offsets = pa.py_buffer(np.arange(0, (len(used) + 1) * width, width, dtype=np.int32))
-        counts = pa.Array.from_buffers(pa.binary(), len(used), [None, offsets, pa.py_buffer(table.reshape(-1, CELLS_A_ROW)[used])])
-        return pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), counts], names=["part", "counts"])
+    def rows(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+        width, parts = 2 * CELLS_A_ROW, table.reshape(-1, CELLS_A_ROW)
+        for k in range(0, len(parts), ROWS_A_BATCH):  # never a second copy of the whole array, nor one batch of it
+            used = np.flatnonzero(parts[k : k + ROWS_A_BATCH].any(axis=1))
+            offsets = pa.py_buffer(np.arange(0, (len(used) + 1) * width, width, dtype=np.int32))
+            counts = pa.Array.from_buffers(pa.binary(), len(used), [None, offsets, pa.py_buffer(parts[k + used])])
+            yield pa.RecordBatch.from_arrays([pa.array(k + used, pa.int64()), counts], names=["part", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, texts = np.zeros(CELLS, np.uint16), 0
-        for batch in (whole.slice(k, 500) for whole in batches for k in range(0, whole.num_rows, 500)):
+        for batch in _small(batches):
             if texts + batch.num_rows > MOST_TEXTS:
-                yield rows(table)
+                yield from rows(table)
                 table[:], texts = 0, 0
             texts += batch.num_rows
             for counts, _, hashes, _ in _shingles(batch.column(0), size):
                 np.add.at(table, _cells(_distinct(counts, hashes)[1]), np.uint16(1))
-        yield rows(table)
+        yield from rows(table)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((CELLS // CELLS_A_ROW, CELLS_A_ROW), np.int64)  # memory is taken where a part comes
@@ -359,7 +367,7 @@ def sketches(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
     longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             columns: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(4)]
             shown: list[np.ndarray] = []
             for counts, _, hashes, own in _shingles(batch.column(1), size):
@@ -438,8 +446,9 @@ def similar(docs: DataFrame, pairs: DataFrame, size: int, least: float, share: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         last = None
-        for batch in (whole.slice(k, 500) for whole in batches for k in range(0, whole.num_rows, 500)):
-            sets = [np.unique(h) for counts, base, hashes, _ in _shingles(batch.column(3), size) for h in np.split(hashes, base[1:-1])]
+        for batch in _small(batches):
+            # One slice's sets at a time: those of long texts are larger than the texts.
+            sets = (np.unique(h) for _, base, hashes, _ in _shingles(batch.column(3), size) for h in np.split(hashes, base[1:-1]))
             out: list[tuple] = []
             for a, b, own in zip(batch.column(2).to_pylist(), batch.column(0).to_pylist(), sets):
                 if a is None:  # rows of one id with different texts stand for it each
