@@ -795,3 +795,15 @@ def test_positions_beyond_long(spark):
 def test_folds_are_dealt_to_many_tasks(spark):
     rows = spark.range(100).select(F.col("id").cast("string").alias("client_id"), F.lit("m").alias("account_id"), F.lit("i").alias("instrument_id"), F.lit("BUY").alias("side"), F.lit(1).alias("quantity"), F.lit(2).alias("price"), F.current_timestamp().alias("executed_at"), "id")
     assert portfolio.position_updates(rows, ["id"]).rdd.getNumPartitions() >= 192
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_margin_decisions_fold_their_trades_once(spark):
+    """Totals and orders take the same positions, which are stored."""
+    from tidelake.plans.queries import QUERIES
+
+    out = QUERIES["margin_decisions"](spark, SMALL)
+    assert "MapInArrow" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [f for f in out.inputFiles() if "/lineitem" in f]
