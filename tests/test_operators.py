@@ -807,3 +807,22 @@ def test_margin_decisions_fold_their_trades_once(spark):
     out = QUERIES["margin_decisions"](spark, SMALL)
     assert "MapInArrow" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert not [f for f in out.inputFiles() if "/lineitem" in f]
+
+
+def test_tail_of_few_scopes_is_not_dealt_by_scope(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(f"c{k % 7}", f"s{k % 3}", "g", f"d{k % 4}", rng.choice((None, 0.0, round(rng.uniform(-1, 1), 2)))) for k in range(900)]
+    spark.createDataFrame(rows, "client_id string, sector string, geography string, trade_date string, position_return double").write.parquet(str(tmp_path / "p"))
+    positions = spark.read.parquet(str(tmp_path / "p"))
+    keys = ["client_id", "sector", "geography", "trade_date"]
+    tail = F.percent_rank().over(Window.partitionBy("sector").orderBy("position_return")) <= 0.05
+    want = positions.withColumn("t", tail).groupBy(*keys).agg(F.avg(F.when(F.col("t"), F.col("position_return"))).alias("e"), F.count("*").alias("n"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = gold.tail_shortfall(positions, ["sector"], spread=True)
+        assert not [f for f in out.inputFiles() if f.startswith(f"file://{tmp_path}")] and "SortMergeJoin" not in out._jdf.queryExecution().sparkPlan().toString()
+        key = lambda rows: sorted(map(str, rows))
+        assert key([tuple(r) for r in want.select(*keys, F.round("e", 9), "n").collect()]) == key([tuple(r) for r in out.select(*keys, F.round("expected_shortfall", 9), "observation_count").collect()])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
