@@ -826,3 +826,9 @@ def test_tail_of_few_scopes_is_not_dealt_by_scope(spark, tmp_path):
         assert key([tuple(r) for r in want.select(*keys, F.round("e", 9), "n").collect()]) == key([tuple(r) for r in out.select(*keys, F.round("expected_shortfall", 9), "observation_count").collect()])
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_return_ranks_derive_returns_once(spark):
+    from tidelake.plans.queries import QUERIES
+
+    assert not [f for f in QUERIES["return_ranks"](spark, SMALL).inputFiles() if "/lineitem" in f]
