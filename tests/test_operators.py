@@ -832,3 +832,12 @@ def test_return_ranks_derive_returns_once(spark):
     from tidelake.plans.queries import QUERIES
 
     assert not [f for f in QUERIES["return_ranks"](spark, SMALL).inputFiles() if "/lineitem" in f]
+
+
+def test_silver_shuffles_no_derived_column(spark, tmp_path, monkeypatch):
+    given, real = [], silver.enrich
+    monkeypatch.setattr(silver, "enrich", lambda df, *more: given.append(df._jdf.queryExecution().analyzed().toString()) or real(df, *more))
+    jobs.run_silver(silver_rows(spark, 2), str(tmp_path), jobs.SilverArguments("p", "s", "v", "2024-01-15 12:00:00", "job"), {"last_price": (0.0, 10.0)})
+    assert len(given) == 1 and given[0].startswith("RebalancePartitions")
+    out = spark.read.parquet(str(tmp_path / "silver"))
+    assert out.where("length(dedup_key) = 64 and spread = 1 and trade_date = '2024-01-15'").count() == 8
