@@ -841,3 +841,11 @@ def test_silver_shuffles_no_derived_column(spark, tmp_path, monkeypatch):
     assert len(given) == 1 and given[0].startswith("RebalancePartitions")
     out = spark.read.parquet(str(tmp_path / "silver"))
     assert out.where("length(dedup_key) = 64 and spread = 1 and trade_date = '2024-01-15'").count() == 8
+
+
+def test_links_are_dealt_by_both_ends_and_counted(spark):
+    rows = [("E", "a", f"x{k % 50}") for k in range(200)] + [("E", "b", None), ("E", "b", None), ("O", "a", "x0")]
+    out = graph.link_counts(spark.createDataFrame(rows, "label string, src string, dst string"))
+    assert {tuple(r) for r in out.collect()} == {("E", "a", 200, 50), ("E", "b", 2, 0), ("O", "a", 1, 1)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [label" in plan and ", 192" in plan

@@ -226,7 +226,7 @@ def graph_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = kinds[0]
     for more in kinds[1:]:
         every = every.unionByName(more)
-    return every.groupBy("label", "src").agg(F.count("*").alias("links"), F.count_distinct("dst").alias("ends"))
+    return graph.link_counts(every)
 
 
 @query(
