@@ -849,3 +849,21 @@ def test_links_are_dealt_by_both_ends_and_counted(spark):
     assert {tuple(r) for r in out.collect()} == {("E", "a", 200, 50), ("E", "b", 2, 0), ("O", "a", 1, 1)}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [label" in plan and ", 192" in plan
+
+
+def test_gains_are_those_of_sales_from_a_day_on(spark):
+    rows = [("BUY", "4", "2.5", "2023-05-01"), ("SELL", "1", "3.5", "2023-12-31"), ("BUY", "2", "4", "2024-01-01"), ("SELL", "2", "5", "2024-01-01"), ("SELL", "1", "1", "2024-03-01")]
+    df = spark.createDataFrame([("c", "m", "i", s, Decimal(q), Decimal(p), ts(f"{d} 10:00:00"), k) for k, (s, q, p, d) in enumerate(rows)], "client_id string, account_id string, instrument_id string, side string, quantity decimal(18,0), price decimal(18,2), executed_at timestamp, trade_id long")
+    moves = portfolio.position_updates(df, ["trade_id", "executed_at"]).where("side = 'SELL'").select(F.to_date("executed_at").alias("d"), "gain").collect()
+    for since in ("2024-01-01", "2023-01-01"):
+        found = portfolio.gains(df, ["trade_id"], since).select("trade_date", "gain").collect()
+        assert sorted(map(tuple, found)) == sorted(tuple(r) for r in moves if str(r["d"]) >= since)
+    assert reports.year_of("2024-02-10", 90) == "2023-01-01" and reports.year_of("2024-03-31", 90) == "2024-01-01"
+
+
+def test_snapshots_sort_once_and_take_the_last_of_a_day(spark):
+    rows = [("2024-01-02", 2, 7), ("2024-01-02", 1, 5), ("2024-01-03", 3, 1), (None, 4, 2), (None, 5, 3)]
+    df = spark.createDataFrame([("c", "i", d and dt.date.fromisoformat(d), ts("2024-01-02 10:00:00"), k, "BUY", 1.0, v) for d, k, v in rows], "client_id string, instrument_id string, trade_date date, source_timestamp timestamp, id long, side string, last_price double, volume long")
+    out = gold.portfolio_snapshots(df, ["id"])
+    assert {(str(r["trade_date"]), r["id"], r["position_quantity"]) for r in out.collect()} == {("None", 5, 5), ("2024-01-02", 2, 17), ("2024-01-03", 3, 18)}
+    assert out._jdf.queryExecution().sparkPlan().toString().count("Window ") == 1

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelake.operators import cdc, events, gold, governance, graph, portfolio, quality
-from tidelake.plans import reports
-from tidelake.plans.queries import _CHANGES, _DEDUP_TICKS, _LAG, _RULES, _SNAPSHOTS, _as_of, _daily, _doubles, _lags, _results, _returns, _schema_log, _snapshots, connected_flagged, fold_sql, units
+from tidelake.plans import reports, views
+from tidelake.plans.queries import _CHANGES, _DEDUP_TICKS, _LAG, _RULES, _SNAPSHOTS, _as_of, _daily, _doubles, _lags, _results, _returns, _schema_log, _SNAP_TIES, connected_flagged, fold_sql, units
 from tidelake.plans.registry import ORACLES, query, work_folder
 from tidelake.plans.views import AS_OF, sql, view
 from tidelake.sources import tables
@@ -26,11 +26,13 @@ def report_daily_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _doubles(reports.daily_volume(daily, _LAST_DAY, _VOLUME_DAYS), "total_turnover", "daily_high", "daily_low")
 
 
-def _client_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _client_days(spark: SparkSession, sf_dir: str, since: str) -> DataFrame:
+    """Days of clients from the first of a year on; what they held and gained then comes of all their trades."""
+    ticks = views.kept(spark, sf_dir, ["client_id", "instrument_id", "side", "trade_date", "source_timestamp", "source_id", "l_orderkey", "l_linenumber", "last_price", "volume"])
     cash = tables.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("client_id"), F.col("c_acctbal").alias("cash_balance"))
-    moves = portfolio.position_updates(view(spark, sf_dir, "trades"), ["l_orderkey", "l_linenumber", "side", "executed_at"])
-    gains = moves.select("client_id", F.to_date("executed_at").alias("trade_date"), "gain")
-    return reports.client_days(_snapshots(spark, sf_dir), cash, gains)
+    gains = portfolio.gains(views.trades(ticks), ["l_orderkey", "l_linenumber", "side"], since)
+    held = gold.portfolio_snapshots(ticks, _SNAP_TIES).where(F.col("trade_date") >= F.lit(since).cast("date"))
+    return reports.client_days(held, cash, gains)
 
 
 @query(
@@ -41,7 +43,7 @@ def _client_days(spark: SparkSession, sf_dir: str) -> DataFrame:
         round(case when v > 0 then u / v * 100 else 0.0 end, 5) as unrealized_return_pct from held join customer on cast(c_custkey as string) = client_id where trade_date >= date '{_LAST_DAY}' - interval 90 days""", dates=("snapshot_date",))
 def report_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Realised profit in whole numbers of 1e-8."""
-    out = reports.portfolio_performance(_client_days(spark, sf_dir), _LAST_DAY)
+    out = reports.portfolio_performance(_client_days(spark, sf_dir, reports.year_of(_LAST_DAY, 90)), _LAST_DAY)
     return out.withColumns({c: F.round(c, n) for c, n in (("total_market_value", 2), ("total_portfolio_value", 2), ("unrealized_pnl", 3), ("unrealized_return_pct", 5))} | units("realized_pnl_ytd"))
 
 

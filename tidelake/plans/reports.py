@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,11 @@ def daily_volume(daily: DataFrame, as_of: str, days: int = 30, accuracy: int = 1
     return out.orderBy(F.col("trade_date").desc(), F.col("total_volume").desc(), "instrument_id")
 
 
+def year_of(day: str, days: int) -> str:
+    """The first day of the year in which a report of the last ``days`` begins."""
+    return f"{(date.fromisoformat(day) - timedelta(days=days)).year:04}-01-01"
+
+
 def client_days(snapshots: DataFrame, cash: DataFrame, gains: DataFrame) -> DataFrame:
     """Per client and day: market value, cash, unrealised profit, and profit realised since the year began.
 
