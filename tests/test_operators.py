@@ -867,3 +867,15 @@ def test_snapshots_sort_once_and_take_the_last_of_a_day(spark):
     out = gold.portfolio_snapshots(df, ["id"])
     assert {(str(r["trade_date"]), r["id"], r["position_quantity"]) for r in out.collect()} == {("None", 5, 5), ("2024-01-02", 2, 17), ("2024-01-03", 3, 18)}
     assert out._jdf.queryExecution().sparkPlan().toString().count("Window ") == 1
+
+
+def test_values_at_risk_of_a_group_are_exact(spark):
+    rng = random.Random(6)
+    rows = [(c, "s", "g", "d", rng.choice((None, "i", "j")), 1.0, 1, rng.choice((None, round(rng.uniform(-1, 1), 3)))) for c, n in (("a", 2_000), ("b", 20), ("c", 1)) for _ in range(n)]
+    schema = "client_id string, sector string, geography string, trade_date string, instrument_id string, last_price double, volume long, position_return double"
+    found = {r["client_id"]: r for r in gold.risk_exposure(spark.createDataFrame(rows, schema), gold.GROUP, accuracy=10, once=True).collect()}
+    for c in "abc":
+        own = sorted(r[-1] for r in rows if r[0] == c and r[-1] is not None)
+        assert found[c]["instrument_count"] == len({r[4] for r in rows if r[0] == c} - {None})
+        for share, name in ((0.05, "var_95_pct"), (0.01, "var_99_pct")):
+            assert found[c][name] == (own[int(np.ceil(share * len(own))) - 1] if own else None)
