@@ -263,3 +263,15 @@ def test_divisions_of_text_stay_in_an_article():
     lines = ["A long line of text, with marks, that says a good deal about nothing in particular.", "Short one.", "Another long line of text, with marks, that says a good deal about nothing at all."]
     page = "<article>" + "".join(f"<div>{x}</div>" for x in lines) + "</article>"
     assert html_extract.main_text(page)[0] == "\n".join(lines)
+
+
+def test_hashes_of_long_slices_leave_no_tables_behind():
+    """A worker keeps 8 MB of powers at most, and hashes are those of short slices."""
+    from tidelake.llm import words as W
+
+    data = np.frombuffer(b"some words of a text " * 100_000, np.uint8)
+    starts, ends = np.array([0, 5, 1_000_000]), np.array([4, 10, 1_000_300])
+    long = W.span_hash(data, starts, ends)
+    assert sum(p.nbytes for p in W._powers) <= 8 << 20
+    assert [int(W.span_hash(data[a:b], np.array([0]), np.array([b - a]))[0]) for a, b in zip(starts, ends)] == long.tolist()
+    assert sum(p.nbytes for p in W._powers) <= 8 << 20

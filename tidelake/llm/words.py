@@ -23,6 +23,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 _BASE = 0x9E3779B97F4A7C15
+#: Bytes of text for which the powers stay in memory; workers are used again, so those of longer slices go.
+KEPT = 1 << 19
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -73,18 +75,23 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def _power_table(base: int, size: int) -> np.ndarray:
+    step = np.full(size, base, np.uint64)
+    step[0] = 1
+    return np.multiply.accumulate(step)
+
+
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit polynomial hash of each span of ``data``, by one prefix sum."""
     n = len(data)
-    if len(_powers[0]) <= n:
-        size = max(n + 1, 1 << 19)
-        for k, base in ((0, _BASE), (1, pow(_BASE, -1, 1 << 64))):
-            step = np.full(size, base, np.uint64)
-            step[0] = 1
-            _powers[k] = np.multiply.accumulate(step)
+    powers = _powers
+    if len(powers[0]) <= n:
+        powers = [_power_table(base, max(n + 1, KEPT)) for base in (_BASE, pow(_BASE, -1, 1 << 64))]
+        if n < KEPT:
+            _powers[:] = powers
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers[0][:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _powers[1][starts])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[0][:n], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * powers[1][starts])
 
 
 def window_hash(hashes: np.ndarray, size: int) -> np.ndarray:
