@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelake.lineage import stored
 from tidelake.plans.queries import _ERRORS, fold_sql, units
 from tidelake.plans.registry import query, work_folder
 from tidelake.plans.views import AS_OF, sql, view
@@ -103,24 +104,21 @@ _BOOKED = f"(select * from {_OUTCOMES} b where outcome = 'booked')"
 
 
 def _booked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidelake.plans import views
-
     folder = work_folder(spark)
-    messages = views.run(spark, sf_dir, _MESSAGES).withColumn("executed_at", F.col("executed_at").cast("timestamp")).persist()
+    # Messages take each trade in several ways, and runs take the messages one by one: both are derived once.
+    trades = stored(view(spark, sf_dir, "trades"))
+    messages = stored(spark.sql(f"select * from {_MESSAGES.replace(sql('trades'), '{trades}')} m", trades=trades))
     schema = messages.drop("run").schema
-    try:
-        for run in range(5):
-            rows = messages.where(F.col("run") == run).drop("run")
-            if run == 4:  # a trade of another market far ahead: the day's end
-                closing = rows.limit(1).withColumns({"client_id": F.lit("closing"), "side": F.lit("BUY"), "quantity": F.lit(1).cast("decimal(18,0)"), "executed_at": F.lit("2100-01-01").cast("timestamp")})
-                rows = rows.unionByName(closing)
-            # Files by size, not one for each task.
-            rows.hint("rebalance").write.mode("append").parquet(f"{folder}/in")
-            raw = streams.parquet_stream(spark, f"{folder}/in", schema)
-            booked = trade_book.book(raw, f"{_DISORDER} days", dedup_minutes=60 * 24 * 365 * 20)
-            streams.start(booked, streams.batch_folder(f"{folder}/out"), f"{folder}/checkpoint", stateful=True).awaitTermination()
-    finally:
-        messages.unpersist()
+    for run in range(5):
+        rows = messages.where(F.col("run") == run).drop("run")
+        if run == 4:  # a trade of another market far ahead: the day's end
+            closing = rows.limit(1).withColumns({"client_id": F.lit("closing"), "side": F.lit("BUY"), "quantity": F.lit(1).cast("decimal(18,0)"), "executed_at": F.lit("2100-01-01").cast("timestamp")})
+            rows = rows.unionByName(closing)
+        # Files by size, not one for each task.
+        rows.hint("rebalance").write.mode("append").parquet(f"{folder}/in")
+        raw = streams.parquet_stream(spark, f"{folder}/in", schema)
+        booked = trade_book.book(raw, f"{_DISORDER} days", dedup_minutes=60 * 24 * 365 * 20)
+        streams.start(booked, streams.batch_folder(f"{folder}/out"), f"{folder}/checkpoint", stateful=True).awaitTermination()
     return spark.read.schema(trade_book.BOOKED).parquet(f"{folder}/out/*")
 
 
