@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelake.lineage import stored
-from tidelake.operators import graph
+from tidelake.operators import gold, graph
 from tidelake.plans import queries, views
 
 DATA = "/root/testdata/sf0.001"
@@ -72,3 +72,11 @@ def test_stored_tables_leave_no_shuffle_files(spark):
     out = stored(rows)
     assert files() <= before and out.count() == 10
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="driver tables are absent")
+def test_risk_is_dealt_by_client_once(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(gold, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df))
+    queries.QUERIES["risk_exposure"](spark, DATA)
+    assert len(plans) == 1 and plans[0].count("hashpartitioning(client_id") == 1
